@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Pieces kept by a worker at most; the store is emptied when it is full.
-KEEP_PIECES = 250_000
+KEEP_PIECES = 600_000
 _PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ɏ]*")
+if sys.byteorder != "little":
+    raise ImportError("ids are written as the machine's own integers, which must be little-endian")
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -41,7 +43,7 @@ class Encoder:
         if not text:
             return b""
         if not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         known = self.known
         pieces = _PIECE.findall(text)
         new = set(pieces).difference(known)
@@ -51,7 +53,7 @@ class Encoder:
                 new = set(pieces)
             new = list(new)
             for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
+                known[piece] = array("I", e.ids).tobytes()
         return b"".join([known[p] for p in pieces])
 
 
