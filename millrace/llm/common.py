@@ -7,10 +7,12 @@ most work is vectorised. Nothing here depends on a local path of the driver or a
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR[0]}"
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows, for actions on tables whose rows hold whole texts of pairs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared scratch folder and read it back.
 
