@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lmscore, neardup, packing, secrets, sharding
+from . import decontaminate, langid, lmscore, neardup, packing, secrets, sharding, substrings
 from .common import table
 
 
@@ -27,6 +28,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_near_duplicates, op3_decontamination, op5_lm_scoring, op6_sharding, op8_packing, op10_language_id]
+    own = [op1_secret_scan, op2_near_duplicates, op3_decontamination, op4_substring_dedup, op5_lm_scoring, op6_sharding, op8_packing, op10_language_id]
     return {f.__name__: f for f in own}
 
 
