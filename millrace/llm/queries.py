@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lmscore, neardup, packing, secrets, sharding, substrings
+from . import decontaminate, langid, lmscore, media, neardup, packing, secrets, sharding, substrings, tokenfile
 from .common import table
 
 
@@ -41,17 +41,25 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.encode_media(table(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify_language(docs, langid.fit_language_model(docs))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_near_duplicates, op3_decontamination, op4_substring_dedup, op5_lm_scoring, op6_sharding, op8_packing, op10_language_id]
+    own = [op1_secret_scan, op2_near_duplicates, op3_decontamination, op4_substring_dedup, op5_lm_scoring, op6_sharding, op7_media, op8_packing, op9_token_output, op10_language_id]
     return {f.__name__: f for f in own}
 
 
