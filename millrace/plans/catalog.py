@@ -1,11 +1,649 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, for each that SQL can express, the same in DuckDB SQL.
+
+Both sides name every output column alike and give bigint, double, string or boolean values.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import classify as C
+from ..operators import dedup as D
+from ..operators import keywords as K
+from ..operators import quality as Q
+from ..sources import feeds, html, sinks
+from ..streaming import progress as S
+from . import pages as P
+
+TERMS = ("the", "que", "ment")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """A literal table, the same text for both engines."""
+    cell = lambda v: "CAST(NULL AS VARCHAR(99))" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def _literal(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    kinds = [next(("bigint" if isinstance(r[i], int) else "string" for r in rows if r[i] is not None), "string") for i in range(len(rows[0]))]
+    return spark.createDataFrame(rows, ", ".join(f"{c.strip()} {k}" for c, k in zip(columns.split(","), kinds)))
+
+
+# ---- flagship --------------------------------------------------------------------------------
+
+_PAGE = r"""p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) title, regexp_extract(html, '<html lang="([A-Za-z]+)', 1) lang,
+ trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) body FROM pages)"""
+_DOMAIN = r"regexp_replace(lower(regexp_extract({0}, '^[^:/?#]+://([^/?#]*)', 1)), '^www\.', '')"
+_PATH = r"regexp_extract({0}, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
+_COUNT = "(length({0}) - length(replace({0}, '{1}', ''))) // {2}"
+
+
+def _counts(column: str, terms=TERMS) -> str:
+    return " + ".join(_COUNT.format(f"lower({column})", t, len(t)) for t in terms)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return P.ranked(_t(spark, d, "pages"), list(TERMS))
+
+
+_WORDS = r"len(list_filter(regexp_split_to_array(body, '\s+'), lambda x: x <> ''))"
+_SCORE = f"(CASE WHEN nt > 0 THEN 35.0 ELSE 0.0 END + CASE WHEN nu > 0 THEN 10.0 ELSE 0.0 END + CASE WHEN {_WORDS} > 0 THEN least(40.0, CAST(nb AS DOUBLE) / {_WORDS} * 2000) ELSE 0.0 END)"
+
+
+@query(f"""WITH {_PAGE}, c AS (SELECT *, {_counts('title')} nt, {_counts('body')} nb, {_counts('url')} nu FROM p)
+SELECT page_id, url, {_DOMAIN.format('url')} AS domain, title, lang, CAST(nt + nb + CASE WHEN nu > 0 THEN 1 ELSE 0 END AS BIGINT) occurrences,
+ array_to_string(list_filter([{', '.join(f"CASE WHEN contains(lower(title || chr(10) || body || chr(10) || url), '{t}') THEN '{t}' END" for t in TERMS)}], lambda x: x IS NOT NULL), ', ') keywords,
+ floor(CAST({_SCORE} AS DOUBLE) * 10 + 0.5) / 10.0 AS relevance_score FROM c WHERE nt + nb + nu > 0""")
+def page_keyword_rank(spark, d):
+    return flagship(spark, d)
+
+
+# ---- URLs ------------------------------------------------------------------------------------
+
+URLS = [
+    ("https://example.com/search?q=war",), ("https://example.com/page/2/?s=x",), ("https://example.com/?s=navy",), ("https://example.com/?Q=",), ("https://example.com/search/",), ("https://example.com/results?query=a",),
+    ("https://example.com/find?keyword=b",), ("https://example.com/research/paper-1",), ("https://example.com/findings/2024",), ("https://example.com/news/page/2/",), ("https://example.com/article?id=123&ref=homepage",),
+    ("https://www.example.com/a/202607/27/1234.html",), ("https://example.com/2024/05/17/story",), ("https://example.com/2024-13-40/x/2024/07/",), ("http://gov.example.org/t20260727_11234567.shtml",), ("https://example.com/",),
+    ("https://example.com/world",), ("https://example.com/index.html",), ("https://example.com/news/2024/story-9.html",), ("ftp://example.com/x",), ("https://example.com/no_results",), ("https://m.youtube.com/watch?v=1",),
+    ("https://example.com/a.PDF",), ("https://notbbc.com/x",), ("https://www.bbc.com/news/world-1",), ("//cdn.example.com/a",), ("/local/path",), ("https://ex.com/listing/55?p=3",), ("https://www.google.com/l/?uddg=https%3A%2F%2Ftarget.org%2Fa&x=1",), ("https://r.yahoo.com/_y/RU=https%3a%2f%2ft.net%2fb/RK=0",),
+]
+_URLS = f"u AS (SELECT url FROM pages UNION ALL SELECT url FROM {_values(URLS, 'url')})"
+
+
+def _urls(spark, d):
+    return _t(spark, d, "pages").select("url").unionByName(_literal(spark, URLS, "url"))
+
+
+@query(f"SELECT {_DOMAIN.format('url')} AS domain, count(*) AS n FROM pages GROUP BY 1")
+def url_domain_counts(spark, d):
+    return _t(spark, d, "pages").groupBy(U.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
+
+
+_QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
+_SEARCH = rf"""coalesce(starts_with(url, 'http') AND (regexp_matches({_PATH.format('url')}, '(?i)/(?:{'|'.join(U.SEARCH_SEGMENTS)})(?:/|$)')
+ OR ({_QUERY} <> '' AND list_has_any(list_transform(string_split({_QUERY}, '&'), lambda x: lower(url_decode(string_split(x, '=')[1]))), {list(U.SEARCH_PARAMETERS)}))
+ OR (regexp_matches({_PATH.format('url')}, '(?i)/page/\d+') AND regexp_matches('?' || {_QUERY}, '(?i)[?&](?:{'|'.join(U.PAGED_SEARCH_PARAMETERS)})='))
+ OR regexp_matches(url, '{U.NO_RESULTS}')), false)"""
+
+
+@query(f"WITH {_URLS} SELECT url, {_SEARCH} AS is_search FROM u")
+def url_search_page_flag(spark, d):
+    return _urls(spark, d).select("url", U.is_search_page(F.col("url")).alias("is_search"))
+
+
+@query(f"WITH {_URLS} SELECT url FROM u WHERE NOT {_SEARCH}")
+def url_candidate_filter(spark, d):
+    return _urls(spark, d).where(~U.is_search_page(F.col("url")))
+
+
+_CLEAN = f"regexp_replace(lower({_PATH.format('url')}), '^/+|/+$', '', 'g')"
+
+
+@query(rf"""WITH {_URLS} SELECT url, CASE WHEN c = '' OR c IN {U.INDEX_FILES} THEN false
+ WHEN regexp_matches(p, '/\d{{4}}[-/]?\d{{2}}[-/]?\d{{2}}/|/\d{{6}}/|/page/\d{{6}}/|/a/\d{{6}}/') OR regexp_matches(p, 't\d{{8}}_') THEN true
+ WHEN n <= 2 AND NOT g THEN false WHEN n >= 2 AND (g OR ends_with(c, '.html') OR ends_with(c, '.shtml') OR ends_with(c, '.htm')) THEN true ELSE false END AS is_article
+ FROM (SELECT url, lower({_PATH.format('url')}) p, {_CLEAN} c, len(string_split({_CLEAN}, '/')) n, regexp_matches(string_split({_CLEAN}, '/')[-1], '[0-9]') g FROM u)""")
+def url_article_flag(spark, d):
+    return _urls(spark, d).select("url", U.is_article(F.col("url")).alias("is_article"))
+
+
+def _date(pattern: str, day: str) -> str:
+    part = lambda k: f"regexp_extract(p, '{pattern}', {k})"
+    return f"TRY_CAST(CASE WHEN {part(1)} <> '' THEN {part(1)} || '-' || {part(2)} || '-' || {day or part(3)} END AS DATE)"
+
+
+@query(rf"""WITH {_URLS} SELECT url, CAST(coalesce({_date(r'/(\d{4})[-/](\d{2})[-/](\d{2})/', '')}, {_date(r'/(\d{4})[-/](\d{2})/', "'01'")}, {_date(r'/(\d{4})(\d{2})/', "'01'")},
+ {_date(r'/a/(\d{4})(\d{2})/', "'01'")}, {_date(r't(\d{4})(\d{2})(\d{2})_', '')}) AS VARCHAR) AS published FROM (SELECT url, lower({_PATH.format('url')}) p FROM u)""")
+def url_date(spark, d):
+    return _urls(spark, d).select("url", U.date_from_url(F.col("url")).cast("string").alias("published"))
+
+
+@query(rf"""WITH {_URLS} SELECT url, regexp_matches(url, '^https?://') AND NOT ({' OR '.join(f"ends_with(lower({_PATH.format('url')}), '{e}')" for e in U.STATIC_ENDINGS)})
+ AND NOT ({_DOMAIN.format('url')} IN {U.EXCLUDED_DOMAINS} OR len(list_filter({list(U.EXCLUDED_DOMAINS)}, lambda x: ends_with({_DOMAIN.format('url')}, '.' || x))) > 0) AS valid FROM u""")
+def url_valid_result(spark, d):
+    return _urls(spark, d).select("url", U.is_valid_result(F.col("url")).alias("valid"))
+
+
+@query(r"SELECT regexp_replace(url, '#.*$', '') AS canonical, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1")
+def url_canonical_dedup(spark, d):
+    return _t(spark, d, "pages").groupBy(U.strip_fragment(F.col("url")).alias("canonical")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+@query(rf"""SELECT url, h = 'example.com' OR ends_with(h, '.example.com') AS in_scope, regexp_matches(h, '^blog\..*\.example\.net$') AS in_glob, ends_with(h, 'le.com') AS raw_suffix
+ FROM (SELECT url, {_DOMAIN.format('url')} h FROM pages)""")
+def host_scope_filter(spark, d):
+    u = F.col("url")
+    return _t(spark, d, "pages").select("url", U.host_in_scope(u, "example.com").alias("in_scope"), U.host_in_scope(u, "", ["blog.*.example.net"]).alias("in_glob"), U.domain_wanted(U.domain(u), ["le.com"], []).alias("raw_suffix"))
+
+
+@query(rf"WITH {_URLS} SELECT url, h AS domain FROM (SELECT url, {_DOMAIN.format('url')} h FROM u) WHERE (ends_with(h, 'bbc.com') OR ends_with(h, 'example.com')) AND NOT ends_with(h, 'spam-farm.example.org')")
+def domain_include_exclude(spark, d):
+    rows = _urls(spark, d).select("url", U.domain(F.col("url")).alias("domain"))
+    return rows.where(U.domain_wanted(F.col("domain"), ["bbc.com", "example.com"], ["spam-farm.example.org"]))
+
+
+@query(rf"""WITH {_URLS} SELECT url, CASE WHEN regexp_matches(url, '/world$|/page/') THEN false WHEN regexp_matches(url, '\d{{3,}}') THEN true END AS is_article FROM u""")
+def url_listing_tristate(spark, d):
+    return _urls(spark, d).select("url", U.listing_or_article(F.col("url"), [r"/world$", r"/page/"], [r"\d{3,}"]).alias("is_article"))
+
+
+@query(rf"""WITH {_URLS} SELECT url, CASE WHEN starts_with(url, '//') THEN 'https:' || url WHEN starts_with(url, '/') THEN 'https://base.org' || url WHEN regexp_matches(url, '^https?://') THEN url END AS absolute,
+ coalesce(regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1), '') AS origin, TRY_CAST(regexp_extract(url, '(?i)[?&](?:page|p|pg|paged|start|offset|from)=(\d+)', 1) AS BIGINT) AS page_no,
+ CAST(len(list_filter(string_split({_PATH.format('url')}, '/'), lambda x: x <> '')) AS BIGINT) AS n_segments, lower(regexp_extract({_PATH.format('url')}, '(\.[A-Za-z0-9]+)$', 1)) AS ending FROM u""")
+def url_parts(spark, d):
+    u = F.col("url")
+    return _urls(spark, d).select("url", U.absolutize(u, F.lit("https://base.org")).alias("absolute"), U.origin(u).alias("origin"), U.page_number(u).alias("page_no"), F.size(U.segments(u)).cast("bigint").alias("n_segments"), U.file_ending(u).alias("ending"))
+
+
+@query(rf"WITH {_URLS} SELECT url, coalesce(url_decode(coalesce(nullif(regexp_extract(url, '[?&]uddg=([^&]+)', 1), ''), nullif(regexp_extract(url, '/RU=([^/]+)/', 1), ''))), url) AS target FROM u")
+def url_unwrap_redirect(spark, d):
+    return _urls(spark, d).select("url", U.unwrap_redirect(F.col("url")).alias("target"))
+
+
+@query(rf"""WITH {_URLS} SELECT url, starts_with(url, '#') OR {' OR '.join(f"ends_with(lower({_PATH.format('url')}), '{e}')" for e in U.SKIPPED_ENDINGS)}
+ OR len(list_filter(string_split({_PATH.format('url')}, '/'), lambda x: x <> '')) = 0 OR regexp_matches(url, '(?i)[?&](?:page|p|pg|paged|start|offset|from)=\d+') AS skip FROM u""")
+def url_skippable(spark, d):
+    return _urls(spark, d).select("url", U.is_skippable(F.col("url")).alias("skip"))
+
+
+@query(r"""SELECT prefix, suffix, max(CAST(num AS BIGINT)) AS highest FROM (SELECT regexp_extract(url, '^(.*?)(\d+)(/?(?:\?.*)?)$', 1) prefix, regexp_extract(url, '^(.*?)(\d+)(/?(?:\?.*)?)$', 2) num, regexp_extract(url, '^(.*?)(\d+)(/?(?:\?.*)?)$', 3) suffix FROM pages) WHERE num <> '' GROUP BY 1, 2""")
+def numeric_tail_max(spark, d):
+    prefix, number, suffix = U.trailing_number(F.col("url"))
+    return _t(spark, d, "pages").select(prefix.alias("prefix"), number.alias("num"), suffix.alias("suffix")).where("num <> ''").groupBy("prefix", "suffix").agg(F.max(F.col("num").cast("bigint")).alias("highest"))
+
+
+TEMPLATES = [("https://e.com/?s={keyword}&p={page}", "south sea", 2), ("https://e.com/find/{keyword}", "a+b&c", 1)]
+
+
+@query(f"SELECT template, replace(replace(template, '{{keyword}}', replace(url_encode(keyword), '%20', '+')), '{{page}}', CAST(page AS VARCHAR)) AS url FROM {_values(TEMPLATES, 'template, keyword, page')}")
+def search_url_template(spark, d):
+    return _literal(spark, TEMPLATES, "template, keyword, page").select("template", U.search_url(F.col("template"), F.col("keyword"), F.col("page")).alias("url"))
+
+
+# ---- keywords on documents -------------------------------------------------------------------
+
+
+@query("SELECT doc_id, " + ", ".join(f"CAST({_COUNT.format('lower(text)', t, len(t))} AS BIGINT) AS n_{t}" for t in TERMS) + ", array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in TERMS) + "], lambda x: x IS NOT NULL), ',') AS matched FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{t}')" for t in TERMS))
+def doc_phrase_match(spark, d):
+    text = F.col("text")
+    rows = _t(spark, d, "documents").select("doc_id", *[K.occurrences(text, t).alias(f"n_{t}") for t in TERMS])
+    named = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"n_{t}") > 0, F.lit(t)) for t in TERMS])), ",")
+    return rows.withColumn("matched", named).where("matched <> ''")
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\bthe\b')) AS BIGINT) AS n_the FROM documents WHERE lang = 'en'")
+def doc_exact_word_count(spark, d):
+    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", T.whole_word_count(F.col("text"), "the").alias("n_the"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND (contains(lower(text), 'que') OR contains(lower(text), 'sch')) AND NOT contains(lower(text), 'ciado')")
+def doc_boolean_match(spark, d):
+    return _t(spark, d, "documents").where(K.parse_boolean("the AND (que OR sch) AND NOT ciado").match(F.col("text"))).select("doc_id")
+
+
+_FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH f AS (SELECT doc_id, {_FLAT} t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') ws FROM f), h AS (SELECT *, len(ws) n, CAST(list_position(list_transform(ws, lambda x: contains(lower(x), 'que')), true) AS BIGINT) - 1 i FROM w)
+SELECT doc_id, CASE WHEN i IS NULL OR i < 0 THEN CASE WHEN length(t) > 150 THEN left(t, 150) || '...' ELSE t END
+ ELSE CASE WHEN i > 10 THEN '... ' ELSE '' END || array_to_string(ws[greatest(i - 10, 0) + 1 : least(i + 10, n)], ' ') || CASE WHEN least(i + 10, n) < n THEN ' ...' ELSE '' END END AS snippet FROM h""")
+def doc_snippet(spark, d):
+    return _t(spark, d, "documents").select("doc_id", K.snippet(F.col("text"), ["que"]).alias("snippet"))
+
+
+_NWORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))"
+
+
+@query(f"SELECT doc_id, floor(CASE WHEN {_NWORDS} > 0 THEN least(40.0, CAST({_counts('text')} AS DOUBLE) / {_NWORDS} * 2000) ELSE 0.0 END * 10 + 0.5) / 10.0 AS score FROM documents")
+def doc_relevance(spark, d):
+    hits = sum((K.occurrences(F.col("text"), t) for t in TERMS[1:]), K.occurrences(F.col("text"), TERMS[0]))
+    no = F.lit(False)
+    return _t(spark, d, "documents").select("doc_id", K.round_score(K.relevance(no, no, no, hits, F.col("text"))).alias("score"))
+
+
+@query(f"SELECT doc_id, ({_counts('text', ('ther', 'tion'))}) / 2.0 AS tf FROM documents")
+def doc_tf_score(spark, d):
+    return _t(spark, d, "documents").select("doc_id", K.term_frequency(F.col("text"), "ther tion").alias("tf"))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE (lang IS NULL OR lang IN ('en', 'fr')) AND length(text) >= 200")
+def doc_language_filter(spark, d):
+    return _t(spark, d, "documents").where(Q.language_allowed(F.col("lang"), ["en", "fr"]) & (F.length("text") >= html.LEAST_BODY)).select("doc_id", "lang", "n_chars")
+
+
+HIGHLIGHTS = [('a <b> "The" theory & x',), ("nothing here",)]
+
+
+@query(f"""SELECT s, regexp_replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '(?i)(the|amp)', '<mark>\\1</mark>', 'g') AS marked FROM {_values(HIGHLIGHTS, 's')}""")
+def text_highlight(spark, d):
+    return _literal(spark, HIGHLIGHTS, "s").select("s", T.highlight(F.col("s"), ["the", "amp", "x"]).alias("marked"))
+
+
+# ---- duplicates ------------------------------------------------------------------------------
+
+_HASH = f"md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT doc_id, {_HASH} AS content_hash FROM documents")
+def doc_content_hash(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"SELECT doc_id, {_HASH} AS content_hash, row_number() OVER (PARTITION BY {_HASH} ORDER BY doc_id) > 1 AS is_duplicate FROM documents")
+def doc_exact_dups(spark, d):
+    return D.exact_duplicates(_t(spark, d, "documents")).select("doc_id", "content_hash", "is_duplicate")
+
+
+@query()
+def doc_simhash(spark, d):
+    return _t(spark, d, "documents").select("doc_id", D.simhash_text(D.simhash(F.col("text"))).alias("simhash"))
+
+
+@query()
+def doc_simhash_near_pairs(spark, d):
+    return D.near_pairs(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), D.simhash(F.col("text")).alias("simhash")))
+
+
+@query()
+def doc_near_dup_leaders(spark, d):
+    return D.first_kept(_t(spark, d, "documents"))
+
+
+_PRINT = "CAST(('0x' || substr(md5(CAST(c_custkey % 700 AS VARCHAR)), 1, 15)) AS BIGINT)"
+
+
+@query(f"SELECT a.c_custkey AS a, b.c_custkey AS b, CAST(bit_count(xor(a.p, b.p)) AS BIGINT) AS distance FROM (SELECT c_custkey, {_PRINT} p FROM customer) a JOIN (SELECT c_custkey, {_PRINT} p FROM customer) b ON a.c_custkey < b.c_custkey AND bit_count(xor(a.p, b.p)) <= 3")
+def hamming_pairs(spark, d):
+    value = F.conv(F.substring(F.md5((F.col("c_custkey") % 700).cast("string")), 1, 15), 16, 10).cast("bigint")
+    return D.near_pairs(_t(spark, d, "customer").select(F.col("c_custkey").alias("id"), value.alias("simhash")))
+
+
+# ---- text ------------------------------------------------------------------------------------
+
+LINES = [("Body line one\nBody two\nRelated stories\nnoise",), ("Only body",), ("A\nMore from our site\nB",), ("Comments\nx",)]
+_STOPS = "(?i)" + "|".join(f"(?:{p})" for p in T.STOP_PATTERNS)
+
+
+@query(f"""SELECT s, array_to_string(CASE WHEN hit > 0 THEN ls[1 : hit - 1] ELSE ls END, chr(10)) AS kept FROM (SELECT s, ls, coalesce(list_position(list_transform(ls, lambda x: length(trim(x)) < 80 AND regexp_matches(trim(x), '{_STOPS}')), true), 0) hit FROM
+ (SELECT s, string_split(s, chr(10)) ls FROM (SELECT s FROM {_values(LINES, 's')} UNION ALL SELECT text FROM documents)))""")
+def doc_stop_pattern_trim(spark, d):
+    rows = _literal(spark, LINES, "s").unionByName(_t(spark, d, "documents").select(F.col("text").alias("s")))
+    return rows.select("s", T.trim_at_stop_line(F.col("s")).alias("kept"))
+
+
+SLUGS = [("Hello, World!",), ("  a_b  C--d ",), ("Ünïcode x",)]
+
+
+@query(rf"""SELECT s, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9\s_]', '', 'g'), '\s+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS slug, replace(trim(regexp_replace(s, '[^A-Za-z0-9 _-]', '', 'g')), ' ', '_') AS file FROM
+ (SELECT s FROM {_values(SLUGS, 's')} UNION ALL SELECT p_name FROM part)""")
+def slugify(spark, d):
+    rows = _literal(spark, SLUGS, "s").unionByName(_t(spark, d, "part").select(F.col("p_name").alias("s")))
+    return rows.select("s", T.slug(F.col("s")).alias("slug"), T.file_name(F.col("s")).alias("file"))
+
+
+DATES = [("2026-08-01T10:00:00Z",), ("2026-08-01",), ("2026-08-01garbage",), ("nonsense",), (None,)]
+
+
+@query(f"SELECT v, strftime(coalesce(CAST(TRY_CAST(v AS TIMESTAMPTZ) AS TIMESTAMP), TRY_CAST(left(v, 10) AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT v FROM {_values(DATES, 'v')})")
+def date_parse_lenient(spark, d):
+    return _literal(spark, DATES, "v").select("v", F.date_format(T.lenient_timestamp(F.col("v")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+AUTHORS = [("By Jane Doe",), ("posted by  X",), ("Byron",)]
+
+
+@query(f"SELECT v, regexp_replace(v, '(?i)^(by|posted by)\\s+', '') AS author FROM {_values(AUTHORS, 'v')}")
+def author_prefix(spark, d):
+    return _literal(spark, AUTHORS, "v").select("v", T.author_name(F.col("v")).alias("author"))
+
+
+@query("""SELECT o_orderkey, strftime(CASE WHEN t > b THEN t ELSE t + INTERVAL 1 DAY END, '%Y-%m-%d %H:%M') AS daily,
+ strftime(CASE WHEN wk > b THEN wk ELSE wk + INTERVAL 7 DAY END, '%Y-%m-%d %H:%M') AS weekly,
+ strftime(CASE WHEN m1 > b THEN m1 ELSE m2 END, '%Y-%m-%d %H:%M') AS monthly, strftime(b + INTERVAL 30 DAY, '%Y-%m-%d %H:%M') AS plain FROM
+ (SELECT o_orderkey, b, date_trunc('day', b) + INTERVAL 390 MINUTE t, date_trunc('day', b) + to_days(CAST((3 - dayofweek(b) + 7) % 7 AS INTEGER)) + INTERVAL 390 MINUTE wk,
+  date_trunc('month', b) + to_days(CAST(least(31, day(last_day(b))) - 1 AS INTEGER)) + INTERVAL 390 MINUTE m1,
+  date_trunc('month', b) + INTERVAL 1 MONTH + to_days(CAST(least(31, day(last_day(date_trunc('month', b) + INTERVAL 1 MONTH))) - 1 AS INTEGER)) + INTERVAL 390 MINUTE m2
+  FROM (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) b FROM orders))""")
+def next_run(spark, d):
+    base = F.col("b")
+    rows = _t(spark, d, "orders").select("o_orderkey", F.timestamp_seconds(F.unix_timestamp("o_orderdate") + (F.col("o_orderkey") % 24) * 3600).alias("b"))
+    run = lambda kind, hour=6: F.date_format(T.next_run(F.lit(kind), base, F.lit(hour).cast("int"), F.lit(30), F.lit(3), F.lit(31)), "yyyy-MM-dd HH:mm")
+    return rows.select("o_orderkey", run("daily").alias("daily"), run("weekly").alias("weekly"), run("monthly").alias("monthly"), run("monthly", None).alias("plain"))
+
+
+# ---- labels ----------------------------------------------------------------------------------
+
+ARTICLES = [
+    (1, "https://www.rand.org/policy_briefs/a.pdf", "US Maritime Security Strategy", "navy vessels defense Indo-Pacific", "en"), (2, "https://state.gov/x", "Election in India", "growth and support for trade", "xx"), (3, "https://mit.edu/p", None, "crisis", None),
+    (4, "https://journal.com/p", "Toward research", None, "FR"), (5, "https://vimeo.com/1", "watch", "The U.S. Navy", "ja"), (6, "https://e.com/p", "Plain", "nothing of note", "de"),
+]
+
+
+def _like(words, *columns) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words for c in columns) + ")"
+
+
+_SOURCE = f"CASE WHEN contains(h, '.gov') THEN 'Government' WHEN {_like(('.edu', '.ac.'), 'h')} THEN 'Research Institute' WHEN {_like(C.JOURNAL_WORDS, 'h', 'u')} THEN 'Journal' WHEN {_like(C.THINK_TANK_WORDS, 'h', 'u')} THEN 'Think Tank' ELSE 'News' END"
+
+
+def _geo(names) -> str:
+    return ", ".join(f"CASE WHEN regexp_matches(x, '\\b{n.lower()}\\b') THEN '{n}' END" for n in names)
+
+
+@query(rf"""WITH a AS (SELECT id, lower(url) u, {_DOMAIN.format('url')} h, lower(coalesce(title, '')) n, coalesce(title, '') || ' ' || coalesce(content, '') r, lower(coalesce(title, '') || ' ' || coalesce(content, '')) x, lang FROM {_values(ARTICLES, 'id, url, title, content, lang')}),
+ b AS (SELECT *, {_SOURCE} source_type, list_filter([{_geo(C.COUNTRIES)}], lambda z: z IS NOT NULL) cs, list_filter([{_geo(C.REGIONS)}], lambda z: z IS NOT NULL) rs, array_to_string(list_filter([{', '.join(f"CASE WHEN {_like(w, 'x')} THEN '{k}' END" for k, w in C.THEMES.items())}], lambda z: z IS NOT NULL), ', ') th FROM a)
+ SELECT CAST(id AS BIGINT) AS id, source_type, CASE WHEN contains(u, 'pdf') THEN CASE WHEN {_like(C.BRIEF_WORDS, 'u', 'n')} THEN 'Policy Brief' ELSE 'Report' END {' '.join(f"WHEN {_like(w, 'u', 'n')} THEN '{k}'" for k, w in C.CONTENT_WORDS.items())} WHEN source_type = 'Journal' THEN 'Journal' ELSE 'Article' END AS content_type,
+ CASE WHEN th = '' THEN 'General' ELSE th END AS theme,
+ coalesce(nullif(array_to_string(list_concat(list_concat(cs, CASE WHEN regexp_matches(r, '\bUS\b|\bU\.S\.\b') AND NOT list_contains(cs, 'United States') THEN ['United States'] ELSE [] END), rs), ', '), ''), 'Global') AS geography,
+ coalesce(CASE lower(coalesce(lang, 'en')) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in C.LANGUAGES.items())} END, 'English') AS language,
+ CASE WHEN p > q THEN 'positive' WHEN q > p THEN 'negative' ELSE 'neutral' END AS sentiment FROM (SELECT *, {' + '.join(f"CAST(contains(x, '{w}') AS INT)" for w in C.POSITIVE)} p, {' + '.join(f"CAST(contains(x, '{w}') AS INT)" for w in C.NEGATIVE)} q FROM b)""")
+def article_labels(spark, d):
+    url, title, content = F.col("url"), F.col("title"), F.col("content")
+    rows = _literal(spark, ARTICLES, "id, url, title, content, lang")
+    return rows.select("id", C.source_type(url).alias("source_type"), C.content_type(url, title).alias("content_type"), C.subject_theme(title, content).alias("theme"), C.country_region(title, content).alias("geography"), C.language_name(F.col("lang")).alias("language"), C.sentiment(title, content).alias("sentiment"))
+
+
+_MOODS = {"p": ("tion", "ment", "ther"), "n": ("que", "sch", "ciado", "sea")}
+_TOPICS = {"Alpha": ("ciado", "osció"), "Beta": ("sch", "keit"), "Gamma": ("sea", "thion")}
+
+
+@query(f"SELECT doc_id, CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN th = '' THEN 'General' ELSE th END AS theme FROM (SELECT doc_id, {', '.join(' + '.join(f'''CAST(contains(lower(text), '{w}') AS INT)''' for w in ws) + f' {k}' for k, ws in _MOODS.items())}, array_to_string(list_filter([{', '.join(f'''CASE WHEN {_like(w, 'lower(text)')} THEN '{k}' END''' for k, w in _TOPICS.items())}], lambda z: z IS NOT NULL), ', ') th FROM documents)")
+def doc_sentiment_theme(spark, d):
+    none = F.lit(None).cast("string")
+    return _t(spark, d, "documents").select("doc_id", C.sentiment(none, F.col("text"), _MOODS["p"], _MOODS["n"]).alias("sentiment"), C.subject_theme(none, F.col("text"), _TOPICS).alias("theme"))
+
+
+@query(f"SELECT page_id, {_SOURCE} AS source_type FROM (SELECT page_id, lower(url) u, {_DOMAIN.format('url')} h FROM pages)")
+def page_source_type(spark, d):
+    return _t(spark, d, "pages").select("page_id", C.source_type(F.col("url")).alias("source_type"))
+
+
+ERRORS = [
+    (1, "x | 504: Gateway time-out", "the gateway failed"), (2, "Fine", "502 Bad Gateway nginx"), (3, "Just a moment", "cloudflare ray id 1 verify you are human"), (4, "Essay", "a " * 700 + "504 gateway timeout"), (5, "Fine", "An ordinary short page"),
+]
+_PHRASES = list(Q.ERROR_PHRASES)
+
+
+@query(f"""SELECT CAST(id AS BIGINT) AS id, (length(title) < 120 AND len(list_filter({_PHRASES}, lambda z: contains(lower(title), z))) > 0) OR (length(body) < 1200 AND len(list_filter({_PHRASES}, lambda z: instr(lower(body), z) BETWEEN 1 AND 120)) > 0)
+ OR (length(body) < 250 AND len(list_filter({_PHRASES}, lambda z: contains(lower(body), z))) > 0) OR ((contains(lower(body), 'cloudflare') OR contains(lower(title), 'cloudflare')) AND (s >= 2 OR (length(body) < 1500 AND s >= 1))) AS is_error
+ FROM (SELECT *, len(list_filter({list(Q.CHALLENGE_SIGNALS)}, lambda z: contains(lower(body), z))) s FROM {_values(ERRORS, 'id, title, body')})""")
+def error_page_flag(spark, d):
+    return _literal(spark, ERRORS, "id, title, body").select("id", Q.is_error_page(F.col("body"), F.col("title"), F.col("body")).alias("is_error"))
+
+
+# ---- pages -----------------------------------------------------------------------------------
+
+_LINKS = r"""l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 pos FROM pages),
+ k AS (SELECT page_id, url, CAST(pos AS BIGINT) pos, href, coalesce(CASE WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || href WHEN regexp_matches(href, '^https?://') THEN href END, href) link FROM l)"""
+
+
+@query(f"WITH {_LINKS} SELECT page_id, pos, href, link FROM k")
+def page_links(spark, d):
+    return P.links(_t(spark, d, "pages")).select("page_id", "pos", "href", "link")
+
+
+@query(f"""WITH {_LINKS} SELECT page_id, link FROM (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) n FROM k WHERE {_DOMAIN.format('link')} = {_DOMAIN.format('url')}
+ AND NOT ({' OR '.join(f"ends_with(lower({_PATH.format('link')}), '{e}')" for e in U.STATIC_ENDINGS)})) WHERE n <= 100""")
+def link_expansion_top100(spark, d):
+    rows = P.links(_t(spark, d, "pages"))
+    same = (U.domain(F.col("link")) == U.domain(F.col("url"))) & ~U._ends_with_any(F.lower(U.path(F.col("link"))), U.STATIC_ENDINGS)
+    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return rows.where(same).withColumn("n", nth).where("n <= 100").select("page_id", "link")
+
+
+@query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<p>([^<]*)</p>', 1))) AS paragraph FROM pages")
+def page_paragraphs(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), 1))).alias("paragraph"))
+
+
+@query()
+def page_extract(spark, d):
+    e = html.extracted(F.col("html"), F.col("url"))
+    return _t(spark, d, "pages").select("page_id", e.alias("e")).select("page_id", "e.title", "e.lang", F.length("e.body").cast("bigint").alias("body_chars"), F.size("e.links").cast("bigint").alias("n_links"), F.size("e.paragraphs").cast("bigint").alias("n_paragraphs"), F.length("e.markdown").cast("bigint").alias("markdown_chars"))
+
+
+@query()
+def page_nested_document(spark, d):
+    e = html.extracted(F.col("html"), F.col("url"))
+    meta = F.struct("e.title", "e.description", F.col("e.lang").alias("language"), F.col("url").alias("sourceURL"), F.lit(200).alias("statusCode"))
+    content = F.struct("e.headings", "e.paragraphs", "e.lists", "e.tables", F.col("e.code").alias("codeBlocks"), "e.quotes")
+    doc = F.struct(F.lit(True).alias("success"), F.struct("e.markdown", "html", meta.alias("metadata"), "e.links", "e.images", "e.videos", content.alias("content")).alias("data"))
+    return _t(spark, d, "pages").select("page_id", "url", "html", e.alias("e")).select("page_id", F.to_json(doc).alias("document"))
+
+
+# ---- joins, sets, windows --------------------------------------------------------------------
+
+
+@query("SELECT url FROM pages WHERE page_id % 2 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")
+def frontier_new_urls(spark, d):
+    pages = _t(spark, d, "pages")
+    return pages.where("page_id % 2 = 0").select("url").join(pages.where("page_id % 3 = 0").select("url"), "url", "left_anti").distinct()
+
+
+@query("SELECT url, min(seq) AS seq FROM (SELECT url, page_id * 2 AS seq FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, page_id * 2 + 1 AS seq FROM pages WHERE page_id % 3 = 0) GROUP BY url")
+def candidate_union_dedup(spark, d):
+    pages = _t(spark, d, "pages")
+    both = pages.where("page_id % 2 = 0").select("url", (F.col("page_id") * 2).alias("seq")).unionByName(pages.where("page_id % 3 = 0").select("url", (F.col("page_id") * 2 + 1).alias("seq")))
+    return both.groupBy("url").agg(F.min("seq").alias("seq"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_join_matched(spark, d):
+    return _t(spark, d, "documents").join(_t(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT l.doc_id, CAST(l.quality AS BIGINT) AS quality, d.source FROM labels l JOIN documents d USING (doc_id)")
+def join_foreign_key(spark, d):
+    return _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id").select("doc_id", F.col("quality").cast("bigint").alias("quality"), "source")
+
+
+_KW = [("ther", "g1"), ("keit", "g2"), ("ciado", "g3")]
+
+
+@query(f"SELECT keyword, label, count(*) AS n FROM documents JOIN {_values(_KW, 'keyword, label')} ON contains(lower(text), keyword) GROUP BY 1, 2")
+def keyword_page_matrix(spark, d):
+    hits = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(k)), F.lit(k)) for k, _ in _KW]))
+    found = _t(spark, d, "documents").select(F.explode(hits).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(_literal(spark, _KW, "keyword, label")), "keyword").select("keyword", "label", "n")
+
+
+_STATUS = "CASE event_type WHEN 'purchase' THEN 'matched' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'skipped' END"
+
+
+@query(f"SELECT coalesce({_STATUS}, 'total') AS status, count(*) AS n FROM events GROUP BY ROLLUP ({_STATUS})")
+def status_breakdown(spark, d):
+    rows = _t(spark, d, "events").select(P.status_of(F.col("event_type")).alias("s"))
+    return rows.rollup("s").agg(F.count("*").alias("n")).select(F.coalesce("s", F.lit("total")).alias("status"), "n")
+
+
+@query("SELECT CASE WHEN length(m) > 63 THEN left(m, 60) || '...' ELSE m END AS reason, count(*) AS n FROM (SELECT coalesce(CASE WHEN value > 50 THEN repeat('x', 64) || CAST(user_id % 3 AS VARCHAR) WHEN value > 20 THEN props END, 'Unknown Error') m FROM events WHERE event_type = 'error') GROUP BY 1")
+def failure_reasons(spark, d):
+    message = F.coalesce(F.when(F.col("value") > 50, F.concat(F.repeat(F.lit("x"), 64), (F.col("user_id") % 3).cast("string"))).when(F.col("value") > 20, F.col("props")), F.lit("Unknown Error"))
+    rows = _t(spark, d, "events").where("event_type = 'error'").select(T.truncated(message, 63, 60).alias("reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT user_id, count(*) AS found, count(*) FILTER (WHERE event_type <> 'signup') AS crawled, count(*) FILTER (WHERE event_type = 'purchase') AS matched FROM events GROUP BY user_id")
+def job_progress(spark, d):
+    status = P.status_of(F.col("event_type"))
+    return _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("found"), F.count_if(status != "pending").alias("crawled"), F.count_if(status == "matched").alias("matched"))
+
+
+@query("SELECT count(*) AS runs, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS completed, count(DISTINCT o_custkey) AS owners FROM orders")
+def dashboard_totals(spark, d):
+    return _t(spark, d, "orders").agg(F.count("*").alias("runs"), F.count_if(F.col("o_orderstatus") == "F").alias("completed"), F.countDistinct("o_custkey").alias("owners"))
+
+
+@query(f"SELECT doc_id, s AS score, total FROM (SELECT doc_id, {_counts('text', ('the',))} s, count(*) OVER () total FROM documents WHERE {_counts('text', ('the',))} >= 2) ORDER BY s DESC, doc_id LIMIT 50 OFFSET 50")
+def results_page(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", K.occurrences(F.col("text"), "the").alias("score"))
+    return P.results_page(rows, [F.col("score").desc(), F.col("doc_id")], page=2, limit=50, where=F.col("score") >= 2)
+
+
+@query("""SELECT doc_id AS "ID", source AS "Domain", left(text, 200) AS "Title", n_chars AS "Occurrences", upper(lang) AS "Language" FROM documents WHERE contains(lower(text), 'the') AND source <> 'src3'""")
+def export_projection(spark, d):
+    rows = _t(spark, d, "documents").where(F.contains(F.lower("text"), F.lit("the")) & (F.col("source") != "src3"))
+    return rows.select(F.col("doc_id").alias("ID"), F.col("source").alias("Domain"), F.left("text", F.lit(200)).alias("Title"), F.col("n_chars").alias("Occurrences"), F.upper("lang").alias("Language"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events WHERE event_id % 2 = 1), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) r FROM events WHERE event_id % 2 = 0)
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_type, o.event_type) AS event_type, coalesce(o.event_id, n.event_id) AS created_at FROM (SELECT * FROM n WHERE r = 1) n FULL JOIN (SELECT * FROM o WHERE r = 1) o ON n.user_id = o.user_id""")
+def upsert_latest(spark, d):
+    events = _t(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("created_at"))
+    old = D.latest_per_key(events.where("created_at % 2 = 0"), "user_id", [F.col("created_at")])
+    return D.upsert(old, events.where("created_at % 2 = 1"), key="user_id", keep="created_at", order=[F.col("created_at").desc()])
+
+
+@query("SELECT r_name AS grp, array_to_string(list_sort(list(n_name)), ',') AS members, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def group_collect(spark, d):
+    rows = _t(spark, d, "nation").join(F.broadcast(_t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy(F.col("r_name").alias("grp")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("members"), F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, CAST(sum(CASE WHEN text = prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) stops FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) prev FROM conversations)) WHERE stops = 0")
+def repeat_page_stop(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, d, "conversations").withColumn("same", F.coalesce((F.col("text") == F.lag("text").over(w)).cast("int"), F.lit(0)))
+    return rows.withColumn("stops", F.sum("same").over(w)).where("stops = 0").select("conv_id", "turn")
+
+
+@query("SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * CAST(1 AS DOUBLE) AS wait FROM events")
+def domain_spacing(spark, d):
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return _t(spark, d, "events").select("event_id", "user_id", ((nth - 1) * F.lit(1.0)).cast("double").alias("wait"))
+
+
+@query("SELECT event_id FROM events WHERE value > 10 AND (ts IS NULL OR (ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY AND ts <= TIMESTAMP '2024-01-20'))")
+def date_range_filter(spark, d):
+    as_of = F.lit("2024-01-20").cast("timestamp")
+    return _t(spark, d, "events").where((F.col("value") > 10) & Q.date_allowed(F.col("ts").cast("timestamp"), as_of, end=as_of, days=10)).select("event_id")
+
+
+# ---- discovery -------------------------------------------------------------------------------
+
+PAYLOADS = [
+    (1, '<?xml version="1.0"?><urlset><url><loc>https://a.com/1</loc></url><url><loc><![CDATA[https://a.com/2]]></loc></url></urlset>'), (2, "<sitemapindex><sitemap><loc> https://a.com/s2.xml</loc></sitemap></sitemapindex>"),
+    (3, "<rss><channel><item><title>x</title><link>https://b.com/1</link></item><item><link>https://b.com/2</link></item></channel></rss>"), (4, '<feed><entry><link rel="x" href="https://c.com/1"/></entry></feed>'), (5, "not xml"),
+]
+
+
+@query(f"SELECT CAST(id AS BIGINT) AS id, unnest(regexp_extract_all(body, '{feeds.LOC}', 1)) AS url FROM {_values(PAYLOADS, 'id, body')}")
+def sitemap_locations(spark, d):
+    return _literal(spark, PAYLOADS, "id, body").select("id", F.explode(feeds.locations(F.col("body"))).alias("url"))
+
+
+@query(rf"""SELECT CAST(id AS BIGINT) AS id, regexp_matches(left(body, 2000), '(?i)<(?:urlset|sitemapindex)\b') AS is_map, regexp_matches(left(body, 1000), '(?i)<(?:rss|feed|rdf:RDF)\b') AS is_feed,
+ array_to_string(list_concat(regexp_extract_all(body, '(?is)<item\b.*?<link>\s*(?:<!\[CDATA\[)?\s*(https?://[^<\]\s]+)', 1), regexp_extract_all(body, '(?is)<entry\b.*?<link\b[^>]*?href=["''](https?://[^"'']+)', 1)), ' ') AS links FROM {_values(PAYLOADS, 'id, body')}""")
+def feed_parse(spark, d):
+    body = F.col("body")
+    return _literal(spark, PAYLOADS, "id, body").select("id", feeds.is_sitemap(body).alias("is_map"), feeds.is_feed(body).alias("is_feed"), F.array_join(feeds.feed_links(body), " ").alias("links"))
+
+
+ENVELOPES = [(1, '{"data": [{"id": 1}, {"id": 2}]}'), (2, '[{"id": 3}]'), (3, '{"data": {"items": [{"id": 4}]}}'), (4, "broken"), (5, '{"other": 1}')]
+
+
+@query(f"""SELECT id, CAST(json_extract_string(r, '$.id') AS BIGINT) AS record FROM (SELECT CAST(id AS BIGINT) AS id, unnest(json_extract(CASE WHEN body LIKE '[%' THEN body WHEN json_type(TRY_CAST(body AS JSON), '$.data') = 'ARRAY' THEN json_extract(body, '$.data') WHEN json_type(TRY_CAST(body AS JSON), '$.data.items') = 'ARRAY' THEN json_extract(body, '$.data.items') END, '$[*]')) r FROM {_values(ENVELOPES, 'id, body')} WHERE json_valid(body))""")
+def json_record_list(spark, d):
+    return _literal(spark, ENVELOPES, "id, body").select("id", F.explode(feeds.json_records(F.col("body"), "array<struct<id:bigint>>")).alias("r")).select("id", F.col("r.id").alias("record"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark, d):
+    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+POSTS = [('[{"id": 7, "link": "https://w.com/7", "date_gmt": "2026-01-02T03:04:05", "title": {"rendered": "A &amp; B"}, "excerpt": {"rendered": "x"}}, {"id": 8}]',), ("oops",)]
+
+
+@query("SELECT 'https://w.com/7' AS url, 'wp_api' AS source, 'A & B' AS title, '2026-01-02 03:04:05' AS published, '7' AS post_id")
+def wp_json_map(spark, d):
+    return feeds.wordpress_posts(_literal(spark, POSTS, "body")).select("url", "source", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), F.element_at("metadata", "id").alias("post_id"))
+
+
+_EDGES = "e AS (SELECT CAST(o_custkey % 97 AS VARCHAR) src, CAST((o_custkey * 7 + o_orderkey % 3) % 97 AS VARCHAR) dst FROM orders GROUP BY 1, 2)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r(url, depth) AS (SELECT '1', CAST(0 AS BIGINT) UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY url")
+def bfs_depth(spark, d):
+    edges = _t(spark, d, "orders").select((F.col("o_custkey") % 97).cast("string").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 97).cast("string").alias("dst")).distinct()
+    return feeds.breadth_first(edges, spark.createDataFrame([("1",)], "url string"), 3)
+
+
+CONFIG = [(1, "https://a.com", "A"), (2, "notaurl", "B"), (3, "https://a.com", "C"), (4, None, "D"), (5, "https://old.com", "E"), (6, "https://new.com", "")]
+
+
+@query(f"""SELECT CAST(line AS BIGINT) AS line, CASE WHEN coalesce(trim(url), '') = '' OR coalesce(trim(label), '') = '' THEN 'missing field' WHEN NOT regexp_matches(url, '^https?://') THEN 'invalid format'
+ WHEN row_number() OVER (PARTITION BY url, coalesce(trim(url), '') <> '' AND coalesce(trim(label), '') <> '' AND coalesce(regexp_matches(url, '^https?://'), false) ORDER BY line) > 1 THEN 'duplicate in batch' WHEN url = 'https://old.com' THEN 'duplicate' END AS reason FROM {_values(CONFIG, 'line, url, label')}""")
+def config_validate_split(spark, d):
+    stored = spark.createDataFrame([("https://old.com",)], "url string")
+    return sinks.validated(_literal(spark, CONFIG, "line, url, label"), stored, "url", ["url", "label"], "^https?://").select("line", "reason")
+
+
+# ---- streams, as the batch plans they must equal ---------------------------------------------
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def stream_progress_tumbling(spark, d):
+    rows = S.progress(_t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
+
 
-def queries() -> dict:
-    return {}
+@query("""SELECT user_id, count(*) AS n_sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, s, count(*) n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM
+ (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END g FROM events)) GROUP BY 1, 2) GROUP BY 1""")
+def stream_sessions(spark, d):
+    rows = S.sessions(_t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    return S.first_events(_t(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"])
