@@ -76,7 +76,9 @@ def near_pairs(prints: DataFrame, value: str = "simhash", key: str = "id", most:
         return F.shiftrightunsigned(F.shiftleft(F.col(value), 64 - start - width), 64 - width)
 
     tables = [F.struct(F.lit(k).alias("t"), sum((block(*BLOCKS[b]) * (1 << 11 * i) for i, b in enumerate(c)), F.lit(0)).alias("v")) for k, c in enumerate(itertools.combinations(range(6), 3))]
-    rows = prints.where(F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).alias("p"), F.explode(F.array(*tables)).alias("x")).select("id", "p", "x.t", "x.v")
+    # written once: both sides of the join, and each table, would compute the fingerprints again
+    known = written(prints.select(F.col(key).alias("id"), F.col(value).alias(value)), "prints")
+    rows = known.where(F.col(value).isNotNull()).select("id", F.col(value).alias("p"), F.explode(F.array(*tables)).alias("x")).select("id", "p", "x.t", "x.v")
     other = rows.select(F.col("id").alias("b"), F.col("p").alias("q"), "t", "v")
     found = rows.withColumnRenamed("id", "a").join(other, ["t", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= most))
     return found.select("a", "b", F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).cast("bigint").alias("distance")).distinct()
