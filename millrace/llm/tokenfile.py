@@ -8,7 +8,6 @@ with a checksum and a model of its own. A segment is read without any other.
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +96,5 @@ def token_digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, vocabulary=vocabulary)
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_tokens(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = read_tokens(spark, path)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
