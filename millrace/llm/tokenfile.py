@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import blob, scratch_dir, strings_of
 from .rangecoder import decode_blocks, encode_blocks
-from .tokens import default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, forget_pieces
 
 END = 0
 #: Documents of a part, and ids after which a segment closes.
-PART_DOCS, SEGMENT_IDS = 8192, 1 << 22
+PART_DOCS, SEGMENT_IDS = 8192, 1 << 21
 _NULL_ID = -(1 << 63)
 _SCHEMA = "part int, segment int, start long, n_ids long, doc_ids binary, lengths binary, blocks array<binary>, checks array<long>"
 
@@ -73,6 +73,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(first)
 
     def run(batches):
+        forget_pieces()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}

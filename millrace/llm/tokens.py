@@ -57,6 +57,12 @@ class Encoder:
         return b"".join([known[p] for p in pieces])
 
 
+def forget_pieces() -> None:
+    """Empty the worker's stores, where other large arrays follow."""
+    for e in _LOADED.values():
+        e.known.clear()
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _LOADED:
