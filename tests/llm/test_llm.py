@@ -167,6 +167,38 @@ def test_lm_base_and_tree(docs):
     assert tree.token_scores([natural])[0].sum() > tree.token_scores([shuffled])[0].sum()
 
 
+def test_tree_equals_one_counted_plainly(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randint(0, 120))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tree, depth = lmscore.fit_suffix_tree(docs), lmscore.DEPTH
+    symbols = lambda t: [0] * depth + [int(tree.symbol[b]) for w in lmscore.words_of(t.encode()) for b in w + b" "] + [0]
+    counts: dict[tuple, Counter] = {}
+    for i, t in enumerate(texts):
+        s = symbols(t)
+        for j in range(depth, len(s) if not lmscore.held_out(i) else 0):
+            for k in range(depth + 1):
+                counts.setdefault(tuple(s[j - k : j]), Counter())[s[j]] += 1
+    root = np.array([counts[()][x] + 0.5 for x in range(lmscore.SYMBOLS)])
+    states, least = {(): root / root.sum()}, max(lmscore.LEAST_COUNT, lmscore.LEAST_SHARE * root.sum())
+
+    def longest(context):
+        return next(context[k:] for k in range(len(context) + 1) if context[k:] in states)
+
+    for c in sorted((c for c in counts if c), key=len):
+        if len(c) <= lmscore.DENSE or c[1:] in states:
+            n, shorter = sum(counts[c].values()), states[longest(c[1:])]
+            if n >= least and sum(m * math.log(m / n / shorter[x]) for x, m in counts[c].items()) >= lmscore.LEAST_GAIN:
+                states[c] = np.array([(counts[c][x] + lmscore.SMOOTHING * shorter[x]) / (n + lmscore.SMOOTHING) for x in range(lmscore.SYMBOLS)])
+    assert {len(c) for c in states} == set(range(depth + 1)) and len(states) == len(tree.logp)
+    for t in texts[:40]:
+        s = symbols(t)
+        extra = sum(tree.extra[b] for w in lmscore.words_of(t.encode()) for b in w + b" ")
+        expected = extra + sum(math.log10(states[longest(tuple(s[j - depth : j]))][s[j]]) for j in range(depth, len(s)))
+        assert tree.token_scores([t.encode()])[0].sum() == pytest.approx(expected, rel=1e-4)
+
+
 def test_shards(docs):
     rows = sharding.shard_by_bytes(docs).collect()
     sizes = Counter()
