@@ -162,8 +162,11 @@ def analysis(df, terms: list[str], title="title", description="description", bod
     named = F.array_compact(F.array(*[F.when(sum((n[k][i] for k in fields), F.lit(0)) > 0, F.lit(t)) for i, t in enumerate(terms)]))
     if parsed:
         named, matched = F.array_sort(named), parsed.match(F.concat_ws("\n", *fields.values()), case_sensitive)
-    else:
+    elif exact or case_sensitive or any(not t or "\n" in t for t in terms):
         matched = F.size(named) > 0
+    else:
+        # a filter on this reaches the scan, where each mention of a field would extract it anew: name each once
+        matched = let(F.lower(F.concat_ws("\n", *fields.values())), lambda text: F.greatest(*(F.contains(text, F.lit(t.lower())) for t in terms), F.lit(False)))
     out = df.withColumns({f"found_in_{k}": c > 0 for k, c in hits.items()} | {"occurrences": hits["title"] + hits["description"] + hits["body"] + (hits["url"] > 0).cast("bigint"), "matched_keywords": named, "matched": matched, "snippet": snippet(fields["body"], terms), "_body_hits": hits["body"]})
     score = F.when(F.col("matched"), round_score(relevance(F.col("found_in_title"), F.col("found_in_description"), F.col("found_in_url"), F.col("_body_hits"), fields["body"]))).otherwise(0.0)
     return out.withColumn("relevance_score", score).drop("_body_hits")
