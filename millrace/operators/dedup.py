@@ -84,6 +84,17 @@ def near_pairs(prints: DataFrame, value: str = "simhash", key: str = "id", most:
     return found.select("a", "b", F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).cast("bigint").alias("distance")).distinct()
 
 
+def near_links(prints: DataFrame, value: str = "simhash", key: str = "id", most: int = NEAR) -> DataFrame:
+    """The near pairs of rows with a fingerprint, as links: each row to the first row of its fingerprint
+    (distance 0), and the first rows of near fingerprints to each other. Rows are near if their first rows
+    are the same or linked, so nothing is lost, and equal rows cost one link each, not one for each pair.
+    """
+    known = written(prints.select(F.col(key).alias("id"), F.col(value).alias(value)).where(F.col(value).isNotNull()), "prints")
+    firsts = written(known.groupBy(value).agg(F.min("id").alias("first")), "firsts")
+    members = known.join(firsts, value).where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).cast("bigint").alias("distance"))
+    return near_pairs(firsts, value, "first", most).unionByName(members)
+
+
 def exact_duplicates(rows: DataFrame, text: str = "text", order: str = "doc_id", scope: list[str] | None = None) -> DataFrame:
     """Adds content_hash and is_duplicate: an earlier row of the scope has the same hash."""
     hashed = rows.withColumn("content_hash", content_hash(F.col(text)))

@@ -290,7 +290,7 @@ def doc_simhash(spark, d):
 
 @query()
 def doc_simhash_near_pairs(spark, d):
-    return D.near_pairs(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), D.simhash(F.col("text")).alias("simhash")))
+    return D.near_links(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), D.simhash(F.col("text")).alias("simhash")))
 
 
 @query()

@@ -63,6 +63,23 @@ def test_near_pairs_are_complete(spark):
     assert {(r.a, r.b) for r in D.near_pairs(df).collect()} == expected
 
 
+def test_near_links_lose_no_pair(spark):
+    rng = random.Random(3)
+    values = [rng.getrandbits(62) for _ in range(5)]
+    values += [v ^ (1 << rng.randrange(62)) for v in values]
+    rows = [(i, rng.choice([*values, None])) for i in range(80)]
+    links = D.near_links(spark.createDataFrame(rows, "id bigint, simhash bigint")).collect()
+    prints, first = dict(rows), {}
+    for i, p in rows:
+        first.setdefault(p, i)
+    near = {(r.a, r.b) for r in links}
+    assert len(near) == len(links) and all(bin(prints[r.a] ^ prints[r.b]).count("1") == r.distance and r.a < r.b for r in links)
+    for (i, p), (j, q) in itertools.combinations([r for r in rows if r[1] is not None], 2):
+        x, y = sorted((first[p], first[q]))
+        assert (bin(p ^ q).count("1") <= 3) == (x == y or (x, y) in near)
+        assert all(k == first[prints[k]] or (first[prints[k]], k) in near for k in (i, j))
+
+
 def test_first_kept_is_the_sequential_rule(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice("abcdef"), rng.choice([0, 1, 3, 7, 15, 255, 1 << 40])) for i in range(60)]
