@@ -51,6 +51,7 @@ class _Group:
         """Appends (start, end, items) of every occurrence."""
         m, b, n, i = self.length, self.width, len(words), self.length
         shift, most = self.shift, self.length - self.width + 1
+        head = min(2, m)
         while i <= n:
             block = (words[i - 2], words[i - 1]) if b == 2 else words[i - 1]
             s = shift.get(block, most)
@@ -58,7 +59,7 @@ class _Group:
                 i += s
                 continue
             start = i - m
-            for p, items in self.buckets[block].get(hash((*words[start : start + 2],)), ()):
+            for p, items in self.buckets[block].get(hash((*words[start : start + head],)), ()):
                 if words[start:i] == p:
                     found.append((start, i, items))
             i += 1

@@ -138,6 +138,20 @@ def test_decontamination_against_scan(docs, spark):
         assert tuple(found[r.doc_id]) == expected == tuple(split[r.doc_id])
 
 
+def test_short_items_at_any_place(spark):
+    items = [["alpha"], ["beta", "gamma"], [f"t{k}" for k in range(12)]]
+    filler = [f"f{k}" for k in range(40)]
+    rows, expected = [], {}
+    for k, item in enumerate(items):
+        for at in (0, 17, 40):  # start, middle and end
+            doc = len(rows)
+            rows.append((doc, " ".join(filler[:at] + item + filler[at:])))
+            expected[doc] = (doc, 40 + len(item), len(item), 1, hashlib.sha256(str(k).encode()).hexdigest(), 20 * len(item) >= 40 + len(item))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: tuple(r) for r in decontaminate.contamination(docs, bench).collect()} == expected
+
+
 def test_substrings_against_scan(docs):
     seen, expected = set(), {}
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
