@@ -8,7 +8,9 @@ with the member closest to the bucket's consensus (all with all in small buckets
 bucket of bounded size, level by level, and then all with the last level's centre; so the number
 of pairs is linear. The samples discard
 clear misses, the weighted Jaccard similarity of the whole texts decides (or the plain one, if
-greater), and connected components of the links are the classes.
+greater), and connected components of the links are the classes. Members of a large bucket that
+these links leave in different classes are then compared all with all, so that no two classes
+stay apart that some pair of a bucket would join.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_rows, materialize, release, texts_of
@@ -32,6 +34,8 @@ _SLICE = 1 << 12
 IDF_SHARE = 0.25
 #: Members of a bucket that one comparison step takes; all pairs are made up to SMALL of them.
 BUCKET, SMALL = 256, 24
+#: Members of a large bucket on either side of one all-with-all comparison, and pairs that each class verifies in the first round.
+TILE, FIRST_PAIRS = 1024, 4
 #: Candidates whose samples agree less often than this cannot reach LEAST but by an odd chance (4 deviations).
 LEAST_AGREEMENT = LEAST - 4 * (LEAST * (1 - LEAST) / HASHES) ** 0.5
 _STEP = 1 << 15
@@ -215,6 +219,15 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary")
 
 
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The key of each band of each row of samples."""
+    sig = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.zeros(sig.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+    return key.view(np.int64)
+
+
 def _band_keys(texts: DataFrame) -> DataFrame:
     """band key and node of each band of each distinct text."""
 
@@ -222,12 +235,9 @@ def _band_keys(texts: DataFrame) -> DataFrame:
         for batch in batches:
             keep = batch.filter(pa.array([n > 0 for n in batch.column("n_shingles").to_pylist()], pa.bool_()))
             if keep.num_rows:
-                sig = np.frombuffer(b"".join(keep.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                key = np.zeros(sig.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-                for k in range(ROWS):
-                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+                key = _keys(np.frombuffer(b"".join(keep.column("sig").to_pylist()), np.uint32))
                 node = keep.column("node").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], names=["band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node, BANDS))], names=["band", "node"])
 
     return texts.mapInArrow(run, "band long, node long")
 
@@ -253,16 +263,14 @@ def _pairs_of(nodes: np.ndarray, sig: np.ndarray) -> tuple[list[tuple[int, int]]
     return list(zip(nodes[i[near]].tolist(), nodes[j[near]].tolist())), int(nodes[centre])
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
+def candidate_pairs(bands: DataFrame, sigs: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of nodes whose samples agree often enough, linear in the members of buckets.
 
     Buckets beyond BUCKET members are dealt into sub-buckets by a hash of the node; the centres of
     the sub-buckets form the next level's bucket, until one step takes each bucket.
     """
-    bands = materialize(_band_keys(texts), "bands")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = bands.join(sizes, "band").select("band", "node", "n")
-    sigs = texts.select("node", "sig")
     pairs, tops, level = None, None, 0
     while True:
         salted = members.join(sigs, "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("n") / BUCKET))).select("band", "salt", "node", "sig")
@@ -367,6 +375,107 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (band, node) with their class, for the buckets that hold several: main is the bucket's largest class, n its own members."""
+    own = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("class"))
+    counts = own.groupBy("band", "class").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    return own.join(mixed, "band").join(counts, ["band", "class"])
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different classes, class_a and class_b."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"class_{end}", F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
+    return pairs.where("class_a <> class_b")
+
+
+def _apart(classed: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Every pair (a, b, agree) of a bucket that is in different classes and whose samples agree often enough, once for all buckets.
+
+    The members outside the bucket's largest class are compared with all members, in tiles of a bounded size.
+    """
+    signed = classed.join(sigs, "node").withColumn("open", F.expr("class <> main"))
+    blocks = signed.groupBy("band").agg(F.ceil(F.sum(F.col("open").cast("long")) / TILE).alias("across"), F.ceil(F.count("*") / TILE).alias("down"))
+    dealt = signed.join(blocks, "band")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    columns = ["band", "i", "j", "node", "class", "open", "sig"]
+    left = dealt.where("open").withColumn("i", deal("across")).withColumn("j", every("down")).select(columns)
+    right = dealt.withColumn("j", deal("down")).withColumn("i", every("across")).select([F.col(c).alias(f"{c}_b") for c in columns])
+
+    def compare(key, a, b):
+        b = b.rename_columns(columns)
+        read = lambda t, c: t.column(c).to_numpy()
+        sig_a, sig_b = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES) for t in (a, b))
+        keys_a, keys_b = _keys(sig_a), _keys(sig_b)
+        node_a, node_b, class_a, class_b, open_b = read(a, "node"), read(b, "node"), read(a, "class"), read(b, "class"), np.array(b.column("open").to_pylist(), bool)
+        out = []
+        for lo in range(0, len(node_a), 256):
+            part = slice(lo, lo + 256)
+            agree = np.zeros((len(node_a[part]), len(node_b)), np.uint8)
+            for k in range(HASHES):
+                agree += sig_a[part, k][:, None] == sig_b[:, k]
+            i, j = np.nonzero((agree >= LEAST_AGREEMENT * HASHES) & (class_a[part][:, None] != class_b) & ~(open_b & (node_a[part][:, None] > node_b)))
+            same = keys_a[part][i] == keys_b[j]
+            here = keys_b[j, same.argmax(axis=1)] == key[0].as_py()  # the first band that the two share
+            i, j = i[here], j[here]
+            x, y = node_a[part][i], node_b[j]
+            out.append((np.minimum(x, y), np.maximum(x, y), agree[i, j].astype(np.int32)))
+        found = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        return pa.table(dict(zip(("a", "b", "agree"), map(pa.array, found))))
+
+    return left.groupBy("band", "i", "j").cogroup(right.groupBy("band_b", "i_b", "j_b")).applyInArrow(compare, "a long, b long, agree int")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after links (a, b, class_a, class_b) between classes."""
+    moved = components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()).select(F.col("node").alias("class"), F.col("root").alias("least"))
+    nodes = roots.unionByName(moved.select(F.col("class").alias("node"), F.col("class").alias("root"))).distinct().withColumnRenamed("root", "class")
+    return materialize(nodes.join(moved, "class", "left").select("node", F.coalesce("least", "class").alias("root")), "roots")
+
+
+def complete(links: DataFrame, bands: DataFrame, sigs: DataFrame, verify) -> tuple[DataFrame, DataFrame]:
+    """links with those that still join classes of a large bucket, and the roots of the classes.
+
+    While it helps, members in classes that are small in their bucket are compared with a centre of
+    their own. All pairs across classes that are left are then listed; in each round every class
+    verifies its most promising ones, four times as many as in the round before, and pairs that have
+    come into one class need no verification. It ends when no pair is left.
+    """
+    roots = components(links)
+    large = materialize(bands.join(bands.groupBy("band").count().where(F.col("count") > SMALL).select("band"), "band"), "large")
+    before = None
+    while True:
+        classed = materialize(_classed(large, roots), "classed")
+        loose = classed.where(F.col("n") <= SMALL)
+        crowded = loose.groupBy("band").count().where(F.col("count") > SMALL).select("band")
+        loose = loose.join(crowded, "band", "left_semi").select("band", "node")
+        n = loose.count()
+        if not n or before is not None and 4 * n > 3 * before:
+            break
+        before = n
+        found = verify(_across(candidate_pairs(loose, sigs), roots).select("a", "b"))
+        if found.isEmpty():
+            break
+        links, roots = links.unionByName(found), _joined(roots, _across(found, roots))
+    if classed.isEmpty():
+        return links, roots
+    left, each = materialize(_apart(classed, sigs), "apart"), FIRST_PAIRS
+    while True:
+        pool = _across(left, roots)
+        sides = pool.select("a", "b", "agree", F.col("class_a").alias("class")).unionByName(pool.select("a", "b", "agree", F.col("class_b").alias("class")))
+        nth = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("agree"), "a", "b"))
+        picked = materialize(sides.withColumn("nth", nth).where(F.col("nth") <= each).select("a", "b").distinct(), "picked")
+        if picked.isEmpty():
+            return links, roots
+        found = verify(picked)
+        left = materialize(pool.select("a", "b", "agree").join(picked, ["a", "b"], "left_anti"), "apart")
+        if not found.isEmpty():
+            links, roots = links.unionByName(found), _joined(roots, _across(found, roots))
+        each *= 4
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id, n_links and n_copies of every row of docs (doc_id, text).
 
@@ -381,12 +490,19 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     signed = materialize(signatures(rows, idf), "signed")
     texts = materialize(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "texts")
     nodes = texts.where("node is not null")
-    pairs = materialize(candidate_pairs(nodes), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    node_texts = materialize(rows.withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "node-texts")
-    with batch_rows(docs.sparkSession, 100):  # a row holds two whole texts
-        links = materialize(verified(pairs, node_texts, idf, least), "links")
-    roots = components(links)
+    sigs, bands = nodes.select("node", "sig"), materialize(_band_keys(nodes), "bands")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "candidates")
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        node_texts = materialize(rows.withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "node-texts")
+        with batch_rows(docs.sparkSession, 100):  # a row holds two whole texts
+            found = materialize(verified(pairs, node_texts, idf, least), "links")
+        release(node_texts)
+        release(pairs)
+        return found
+
+    links, roots = complete(verify(candidate_pairs(bands, sigs)), bands, sigs, verify)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = texts.select("key", "node", "n_copies").join(roots, "node", "left").join(degree, "node", "left")
     classes = classes.select("key", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

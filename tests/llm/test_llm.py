@@ -116,6 +116,31 @@ def test_large_bucket_finds_the_hub(spark):
     assert {r.class_id for r in out} == {0}
 
 
+def test_large_buckets_lose_no_pair(spark):
+    """Pairs that share a template's bucket and are alike to each other, but not to its centre."""
+    rng = random.Random(3)
+    base, texts = [f"w{i}" for i in range(250)], []
+    for pair in range(120):
+        own = list(base)
+        at = rng.randrange(10, 100)
+        own[at : at + 30] = [f"p{pair}x{i}" for i in range(30)]
+        for member in range(2):
+            w = list(own)
+            at = rng.randrange(150, 230)
+            w[at : at + 8] = [f"m{pair}x{member}x{i}" for i in range(8)]
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    idf = neardup.idf_table(docs)
+    sets = [(h, neardup.weights(h, n, idf)) for _, h, n in (neardup.weighted_sets([t.encode()]) for t in texts)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(root[:], 2):
+        if neardup.similarity(sets[i], sets[j]) >= neardup.LEAST:
+            root = [min(root[i], root[j]) if r == max(root[i], root[j]) else r for r in root]
+    assert len(set(root)) == 120
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == dict(enumerate(root))
+
+
 def test_decontamination_against_scan(docs, spark):
     bench = table(spark, DATA, "benchmark")
     items = {r.item_id: decontaminate.words_of((r.text or "").encode()) for r in bench.collect()}
