@@ -68,8 +68,8 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabul
         enc = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), strings_of(batch.column("text"))):
-                ids = enc.ids(text) + tail
+            for doc, own in zip(batch.column("doc_id").to_pylist(), enc.each(strings_of(batch.column("text")))):
+                ids = own + tail
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for piece, stop in enumerate(range(first, n + 1, capacity)):

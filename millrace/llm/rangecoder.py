@@ -1,11 +1,16 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-For each id the model holds three predictions: the id that last followed the two ids before
-(order 2), the one that last followed the id before (order 1), and a cache of recent ids (order
-0). What is coded is which of them holds, or none: its probabilities mix counts kept for the joint
-confidence of the higher orders with counts kept for the block. The place in the cache, or the id
-itself, follows with equal probabilities. A range coder with 32-bit low and range writes 16-bit
-words. All blocks of a segment are coded in step by numpy, a block to a lane.
+For each id the model holds predictions of three orders: the id that last followed the two ids
+before (order 2), the one that last followed the id before (order 1), and for order 0 a cache of
+recent ids and an adaptive distribution of magnitudes. First coded is which of the first three
+holds, or none: its probabilities mix a distribution kept for the joint confidence of the higher
+orders with one kept for the block. The place in the cache is part of that step; an id that none
+predicts follows by its magnitude and, within that, with equal probabilities.
+
+A distribution over four symbols is its three inner boundaries, 16 bits each, in one 64-bit
+integer; it moves towards each symbol seen by a share of the distance, never quite to the end. The
+range coder has 64-bit low and range and writes 32-bit words. All blocks of a segment are coded in
+step by numpy, a block to a lane.
 """
 
 from __future__ import annotations
@@ -14,62 +19,97 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-_H1, _H2, _CACHE = 1024, 4096, 256
-_BITS = 12  # of the mixed probabilities
-_LIMIT = 1 << 10
+BLOCK = 1024
+#: Bits of the tables of order 2 and 1 and of the cache, in each lane.
+_B2, _B1, _B0 = 10, 9, 8
 HIT2, HIT1, HIT0, LITERAL = range(4)
+#: Bits of coded frequencies; contexts of the joint confidence; bits between a distribution's boundaries, and the least frequency.
+_BITS, _JOINT, _FIELD, _MARGIN = 12, 32, 21, 64
+_U, _V = np.uint64, np.uint32
+_WORD, _LEAST, _MASK = _U(32), _U(1 << 32), _U((1 << _BITS) - 1)
+_HASH = _V(0x9E3779B1)
+#: Bits of the ids that each magnitude holds.
+_FLAT = np.array([9, 11, 13, 16], _U)
+_MAGNITUDE = np.searchsorted(1 << _FLAT.astype(np.int64), np.arange(1 << 16), side="right")
 
 
 class CorruptBlock(ValueError):
     """A block's ids do not match its checksum."""
 
 
+def _fields(values) -> int:
+    return sum(int(v) << (_FIELD * i) for i, v in enumerate(values))
+
+
+def _steps(rate: int) -> tuple[np.ndarray, np.uint64]:
+    """What is added when symbol k is seen, for each k, and the mask of a distribution shifted by rate."""
+    ends = [[(1 << 16) - (3 - i) * _MARGIN if k <= i else (i + 1) * _MARGIN for i in range(3)] for k in range(4)]
+    return np.array([_fields(b >> rate for b in own) for own in ends], _U), _U(_fields([(1 << (_FIELD - rate)) - 1] * 3))
+
+
+_FAST, _SLOW = 4, 5
+_STEP4, _MASK4 = _steps(_FAST)
+_STEP5, _MASK5 = _steps(_SLOW)
+_EVEN = _U(_fields((i << 16) // 4 for i in (1, 2, 3)))
+#: By kind: how far its range is shifted (the place in the cache has eight bits of it), and the mask of that place.
+_SHIFT, _PLACE = np.array([8, 8, 0, 8], _U), np.array([0, 0, 255, 0], _U)
+#: Which kind holds, by the hits of order 2, 1 and 0 as bits; change of a table's entry, by hit and confidence.
+_KIND = np.array([LITERAL, HIT2, HIT1, HIT2, HIT0, HIT2, HIT1, HIT2])
+_CHANGE = np.array([0, 0, -1, -1, 1, 1, 1, 0]).astype(_V)
+
+
 class _Model:
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.t2, self.t1 = np.zeros(lanes * _H2, np.uint32), np.zeros(lanes * _H1, np.uint32)  # id << 2 | confidence
-        self.cache = np.zeros(lanes * _CACHE, np.uint32)
-        self.joint = np.ones((lanes * 16, 4), np.int32)
-        self.own = np.full((lanes, 4), 2, np.int32)
-        self.p1, self.p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.base2, self.base1, self.base0, self.base_j = self.row * _H2, self.row * _H1, self.row * _CACHE, self.row * 16
+        self.lanes, self.row = lanes, np.arange(lanes)
+        row = self.row.astype(_V)
+        # entries of both orders, id << 2 | confidence, one table after the other
+        self.table = np.zeros(lanes * ((1 << _B2) + (1 << _B1)), _V)
+        self.base = np.stack([row << _V(_B2), (row << _V(_B1)) + _V(lanes << _B2)])
+        self.hashes = np.zeros((2, lanes), _V)
+        self.cache, self.base0 = np.zeros(lanes << _B0, _V), row << _V(_B0)
+        self.joint, self.base_j = np.full(lanes * _JOINT, _EVEN), row * _V(_JOINT)
+        self.own, self.magnitude = np.full(lanes, _EVEN), np.full(lanes, _EVEN)
+        self.m1 = self.m2 = np.zeros(lanes, _V)
+        self.bounds = np.zeros((5, lanes), _U)
+        self.bounds[4] = 1 << _BITS
+        self.flat_bounds = self.bounds.ravel()
 
     def look(self) -> None:
-        """Predictions and cumulative frequencies for the next id."""
-        self.at2 = self.base2 + (((self.p1 * np.uint32(0x9E3779B1)) ^ (self.p2 * np.uint32(0x85EBCA6B))) >> np.uint32(20))
-        self.at1 = self.base1 + ((self.p1 * np.uint32(0x9E3779B1)) >> np.uint32(22))
-        e2, e1 = self.t2[self.at2], self.t1[self.at1]
-        self.c2, self.c1, self.f2, self.f1 = e2 >> np.uint32(2), e1 >> np.uint32(2), e2 & np.uint32(3), e1 & np.uint32(3)
-        self.at_j = self.base_j + (self.f2 << np.uint32(2) | self.f1)
-        cum = np.cumsum(self.joint[self.at_j] * 4 + self.own, axis=1)
-        # each of the four keeps a frequency of at least one
-        self.high = cum * ((1 << _BITS) - 4) // cum[:, 3:] + np.arange(1, 5)
-
-    def kind_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = self.slot_of(ids)
-        kind = np.where(self.cache[self.base0 + slot] == ids, HIT0, LITERAL)
-        kind[self.c1 == ids] = HIT1
-        kind[self.c2 == ids] = HIT2
-        return kind, slot
-
-    @staticmethod
-    def slot_of(ids: np.ndarray) -> np.ndarray:
-        return (ids * np.uint32(0x9E3779B1)) >> np.uint32(24)
-
-    def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.joint[self.at_j, kind] += 8
-        self.own[self.row, kind] += 8
-        # each lane halves its own counts, whatever other lanes hold
-        for counts, at in ((self.own, self.row), (self.joint, self.at_j)):
-            over = np.flatnonzero(counts[at, kind] > _LIMIT)
-            if over.size:
-                counts[at[over]] = (counts[at[over]] + 1) >> 1
-        for table, at, seen, conf in ((self.t2, self.at2, self.c2, self.f2), (self.t1, self.at1, self.c1, self.f1)):
-            hit = seen == ids
-            table[at] = np.where(hit, seen << np.uint32(2) | np.minimum(conf + np.uint32(1), 3), np.where(conf > 1, seen << np.uint32(2) | conf >> np.uint32(1), ids << np.uint32(2))).astype(np.uint32)
-        self.cache[self.base0 + self.slot_of(ids)] = ids
-        self.p2, self.p1 = self.p1, ids
+        """Predictions, and the boundaries of the kinds, for the next id."""
+        np.right_shift((self.m1 ^ (self.m2 >> _V(5))) * _V(0x85EBCA6B), _V(32 - _B2), out=self.hashes[0])
+        np.right_shift(self.m1, _V(32 - _B1), out=self.hashes[1])
+        self.at = self.base + self.hashes
+        self.entry = self.table.take(self.at)
+        self.seen, self.sure = self.entry >> _V(2), self.entry & _V(3)
+        self.at_j = self.base_j + (self.sure[0] << _V(3) | self.sure[1] << _V(1) | (self.seen[0] == self.seen[1]))
+        self.j = self.joint.take(self.at_j)
+        mixed = self.j * _U(3) + self.own
+        for i in range(3):
+            np.bitwise_and(mixed >> _U(_FIELD * i + 18 - _BITS), _MASK, out=self.bounds[i + 1])
+
+    def place(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of a kind's range."""
+        at = kind * self.lanes + self.row
+        start = self.flat_bounds.take(at)
+        return start, self.flat_bounds.take(at + self.lanes) - start
+
+    def magnitudes(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distributions of magnitudes in some lanes, and their boundaries."""
+        own = self.magnitude.take(lanes)
+        out = np.zeros((5, len(lanes)), _U)
+        for i in range(3):
+            np.bitwise_and(own >> _U(_FIELD * i + 16 - _BITS), _MASK, out=out[i + 1])
+        out[4] = 1 << _BITS
+        return own, out
+
+    def update(self, ids: np.ndarray, mixed: np.ndarray, hits: np.ndarray, kind: np.ndarray) -> None:
+        """Learn ids: with their hashes, whether each higher order held, and the kind."""
+        self.joint[self.at_j] = self.j - (self.j >> _U(_FAST) & _MASK4) + _STEP4.take(kind)
+        self.own += _STEP5.take(kind) - (self.own >> _U(_SLOW) & _MASK5)
+        state = self.sure + (hits.view(np.uint8) << np.uint8(2))
+        self.table[self.at] = np.where(state < 2, ids << _V(2), self.entry + _CHANGE.take(state))
+        self.cache[self.base0 + (mixed >> _V(32 - _B0))] = ids
+        self.m2, self.m1 = self.m1, mixed
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
@@ -79,101 +119,129 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
     if int(ids.max()) >= 1 << 16:
         raise ValueError("ids of 16 bits are coded")
     lanes = -(-len(ids) // BLOCK)
-    grid = np.zeros((lanes, BLOCK), np.uint32)
+    grid = np.zeros((lanes, BLOCK), _V)
     grid.ravel()[: len(ids)] = ids
-    steps = np.full(lanes, BLOCK)
-    steps[-1] = len(ids) - BLOCK * (lanes - 1)
-    model, row = _Model(lanes), np.arange(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
-    out, ptr = np.zeros((lanes, BLOCK * 2 + 8), np.uint16), np.ones(lanes, np.int64)  # word 0 takes a carry
+    end = len(ids) - BLOCK * (lanes - 1)  # ids of the last block
     columns = np.ascontiguousarray(grid.T)
-    end = int(steps[-1])
-
-    def narrow(start, size, bits) -> None:
-        nonlocal low, span
-        r = span >> bits
-        low = low + r * start
-        span = r * size
-        if (carry := np.flatnonzero(low >> np.uint64(32))).size:
-            low[carry] &= np.uint64(0xFFFFFFFF)
-            for i in carry.tolist():
-                j = ptr[i] - 1
-                while out[i, j] == 0xFFFF:
-                    out[i, j] = 0
+    model = _Model(lanes)
+    low, span = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+    width = BLOCK * 7 // 4 + 4  # two steps of at most 28 bits an id
+    out, ptr = np.zeros((lanes, width), _V), np.ones(lanes, np.intp)  # word 0 takes a carry
+    flat = out.ravel()
+    ptr += model.row * width
+
+    def narrow(lane, low, start, span):
+        """low and span of some lanes (all: None) after a step into a part; words that are settled are written."""
+        new = low + start
+        if (carry := np.flatnonzero(new < low)).size:
+            at = ptr[carry if lane is None else lane[carry]] - 1
+            flat[at] += _V(1)
+            for j in at[flat[at] == 0].tolist():  # a word of all ones passes the carry on
+                while flat[j] == 0:
                     j -= 1
-                out[i, j] += 1
-        need = np.flatnonzero(span < 1 << 16)
+                    flat[j] += _V(1)
+        need = np.flatnonzero(span < _LEAST)
         if need.size:
-            out[need, ptr[need]] = low[need] >> np.uint64(16)
-            ptr[need] += 1
-            low[need] = low[need] << np.uint64(16) & np.uint64(0xFFFFFFFF)
-            span[need] <<= np.uint64(16)
-
-    last_words = None
+            own, word = need if lane is None else lane[need], new[need]
+            at = ptr[own]
+            flat[at] = word >> _WORD
+            ptr[own] = at + 1
+            new[need] = word << _WORD
+            span[need] <<= _WORD
+        return new, span
+
+    last = None
     for t in range(BLOCK if lanes > 1 else end):
         if t == end:
-            last_words = (low[-1], int(ptr[-1]), out[-1].copy())
+            last = (int(low[-1]), out[-1, : ptr[-1] - (lanes - 1) * width].copy())
         now = columns[t]
+        mixed = now * _HASH
+        slot = mixed >> _V(32 - _B0)
         model.look()
-        kind, slot = model.kind_of(now)
-        high = model.high[row, kind]
-        start = np.where(kind > 0, model.high[row, kind - 1], 0)
-        narrow(start.astype(np.uint64), (high - start).astype(np.uint64), np.uint64(_BITS))
-        bits = _EXTRA[kind]
-        narrow(np.where(kind == HIT0, slot, np.where(kind == LITERAL, now, 0)).astype(np.uint64), np.uint64(1), bits)
-        model.update(now, kind)
+        hits = model.seen == now
+        recent = model.cache.take(model.base0 + slot) == now
+        bits = hits.view(np.uint8)
+        kind = _KIND.take(bits[0] | bits[1] << np.uint8(1) | recent.view(np.uint8) << np.uint8(2))
+        start, size = model.place(kind)
+        r = span >> _U(_BITS + 8)
+        low, span = narrow(None, low, r * ((start << _U(8)) + (slot & _PLACE.take(kind)) * size), r * (size << _SHIFT.take(kind)))
+        lit = np.flatnonzero(kind == LITERAL)
+        if lit.size:
+            value = now[lit]
+            k = _MAGNITUDE.take(value)
+            own, bounds = model.magnitudes(lit)
+            at = k * len(lit) + np.arange(len(lit))
+            start, some = bounds.take(at), span[lit]
+            r = some >> _U(_BITS)
+            each = r * (bounds.take(at + len(lit)) - start) >> _FLAT.take(k)
+            low[lit], span[lit] = narrow(lit, low[lit], r * start + each * value, each)
+            model.magnitude[lit] = own - (own >> _U(_SLOW) & _MASK5) + _STEP5.take(k)
+        model.update(now, mixed, hits, kind)
     blocks = []
+    ptr -= model.row * width
     for i in range(lanes):
-        lo, n, words = (int(low[i]), int(ptr[i]), out[i]) if i + 1 < lanes or last_words is None else (int(last_words[0]), last_words[1], last_words[2])
-        blocks.append(words[:n].astype(">u2").tobytes() + lo.to_bytes(4, "big"))
+        bottom, words = (int(low[i]), out[i, : ptr[i]]) if i + 1 < lanes or last is None else last
+        blocks.append(words.astype(">u4").tobytes() + bottom.to_bytes(8, "big"))
     data = ids.astype("<u4")
     return blocks, [zlib.crc32(data[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(lanes)]
 
 
-_EXTRA = np.array([0, 0, 8, 16], np.uint64)
-
-
 def decode_blocks(blocks: list[bytes], n: int, checks: list[int]) -> np.ndarray:
     """The n ids of the blocks; each block is held against its crc32."""
     lanes = len(blocks)
     if not lanes:
-        return np.zeros(0, np.uint32)
-    longest = max(map(len, blocks))
-    words = np.frombuffer(b"".join(b.ljust(longest + 4, b"\0") for b in blocks), ">u2").reshape(lanes, -1).astype(np.uint64)
-    row, end = np.arange(lanes), n - BLOCK * (lanes - 1)
+        return np.zeros(0, _V)
+    longest = -(-max(map(len, blocks)) // 4) * 4 + 8
+    words = np.frombuffer(b"".join(b.ljust(longest, b"\0") for b in blocks), ">u4").astype(_V).reshape(lanes, -1)
+    end = n - BLOCK * (lanes - 1)
     model = _Model(lanes)
-    # word 0 is the carry of the first word
-    code = (words[:, 0] << np.uint64(32) | words[:, 1] << np.uint64(16) | words[:, 2]) & np.uint64(0xFFFFFFFF)
-    span, ptr, width = np.full(lanes, 0xFFFFFFFF, np.uint64), np.full(lanes, 3), words.shape[1] - 1
-    flat, base = words.ravel(), row * words.shape[1]
-    grid = np.zeros((BLOCK, lanes), np.uint32)
-
-    def take(start, size, r) -> None:
-        nonlocal code, span
-        code = code - r * start
-        span = r * size
-        need = np.flatnonzero(span < 1 << 16)
+    # word 0 is the carry of the first word; low is kept at zero, so code is what lies above it
+    code, span = words[:, 1].astype(_U) << _WORD | words[:, 2], np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+    flat, ptr = words.ravel(), model.row * words.shape[1] + 3
+    stop = ptr + (words.shape[1] - 4)  # the last word of a lane is padding
+    grid = np.zeros((BLOCK, lanes), _V)
+
+    def take(lane, code, span):
+        need = np.flatnonzero(span < _LEAST)
         if need.size:
-            code[need] = code[need] << np.uint64(16) | flat[base[need] + np.minimum(ptr[need], width)]
-            ptr[need] += 1
-            span[need] <<= np.uint64(16)
-
+            own = need if lane is None else lane[need]
+            at = ptr[own]
+            code[need] = code[need] << _WORD | flat.take(np.minimum(at, stop[own]))
+            ptr[own] = at + 1
+            span[need] <<= _WORD
+        return code, span
+
+    top, last = _U((1 << (_BITS + 8)) - 1), _U((1 << _BITS) - 1)
     for t in range(BLOCK if lanes > 1 else end):
         model.look()
-        r = span >> np.uint64(_BITS)
-        value = np.minimum(code // r, (1 << _BITS) - 1).astype(np.int64)
-        kind = np.minimum((value[:, None] >= model.high).sum(axis=1), 3)
-        high = model.high[row, kind]
-        start = np.where(kind > 0, model.high[row, kind - 1], 0)
-        take(start.astype(np.uint64), (high - start).astype(np.uint64), r)
-        bits = _EXTRA[kind]
-        r = span >> bits
-        value = np.minimum(code // r, (np.uint64(1) << bits) - np.uint64(1))
-        take(value, np.uint64(1), r)
-        slot = value.astype(np.int64) & 255
-        now = np.where(kind == LITERAL, value.astype(np.uint32), np.where(kind == HIT0, model.cache[model.base0 + slot], np.where(kind == HIT1, model.c1, model.c2))).astype(np.uint32)
+        r = span >> _U(_BITS + 8)
+        value = np.minimum(code // r, top)
+        above = (value >> _U(8)) >= model.bounds[1:4]
+        kind = np.add.reduce(above, axis=0, dtype=np.intp)
+        start, size = model.place(kind)
+        start <<= _U(8)
+        slot = np.minimum((value - start) // size, _PLACE.take(kind))
+        code, span = take(None, code - r * (start + slot * size), r * (size << _SHIFT.take(kind)))
+        # what is beyond the higher orders' lanes is read from the cache and put right for literals
+        now = model.cache.take(model.base0 + slot.astype(_V))
+        now = np.where(kind == HIT2, model.seen[0], np.where(kind == HIT1, model.seen[1], now))
+        lit = np.flatnonzero(kind == LITERAL)
+        if lit.size:
+            own, bounds = model.magnitudes(lit)
+            rest, some = code[lit], span[lit]
+            r = some >> _U(_BITS)
+            value = np.minimum(rest // r, last)
+            k = np.add.reduce(value >= bounds[1:4], axis=0, dtype=np.intp)
+            at = k * len(lit) + np.arange(len(lit))
+            start, bits = bounds.take(at), _FLAT.take(k)
+            each = r * (bounds.take(at + len(lit)) - start) >> bits
+            rest -= r * start
+            value = np.minimum(rest // each, (_U(1) << bits) - _U(1))
+            now[lit] = value
+            code[lit], span[lit] = take(lit, rest - each * value, each)
+            model.magnitude[lit] = own - (own >> _U(_SLOW) & _MASK5) + _STEP5.take(k)
         grid[t] = now
-        model.update(now, kind)
+        model.update(now, now * _HASH, model.seen == now, kind)
     ids = grid.T.ravel()[:n].copy()
     for i, check in enumerate(checks):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != check:

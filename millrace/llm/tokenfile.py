@@ -19,8 +19,8 @@ from .rangecoder import decode_blocks, encode_blocks
 from .tokens import default_vocabulary, encoder, forget_pieces
 
 END = 0
-#: Documents of a part, and ids after which a segment closes.
-PART_DOCS, SEGMENT_IDS = 8192, 1 << 21
+#: Documents of a part, parts of a table at most (their sizes are collected and broadcast; larger tables have larger parts), and ids after which a segment closes.
+PART_DOCS, MOST_PARTS, SEGMENT_IDS = 8192, 1 << 16, 3 << 20
 _NULL_ID = -(1 << 63)
 _SCHEMA = "part int, segment int, start long, n_ids long, doc_ids binary, lengths binary, blocks array<binary>, checks array<long>"
 
@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, vocabulary: str | N
     Documents are sorted by doc_id, null first, then text; null texts are the end id alone.
     """
     rows = docs.select("doc_id", "text")
-    parts = max(1, -(-rows.count() // PART_DOCS))
+    parts = min(MOST_PARTS, max(1, -(-rows.count() // PART_DOCS)))
     tail, vocabulary = end.to_bytes(4, "little"), vocabulary or default_vocabulary()
 
     def run(batches):
@@ -53,8 +53,8 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, vocabulary: str | N
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names=["part", "segment", "start", "n_ids", "doc_ids", "lengths", "blocks", "checks"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), strings_of(batch.column("text"))):
-                held.append(enc.ids(text) + tail)
+            for doc, own in zip(batch.column("doc_id").to_pylist(), enc.each(strings_of(batch.column("text")))):
+                held.append(own + tail)
                 ids.append(_NULL_ID if doc is None else doc)
                 state["size"] += len(held[-1]) // 4
                 if state["size"] >= SEGMENT_IDS:

@@ -1,9 +1,11 @@
 """Token ids of whole texts by the public tokenizers library.
 
-Byte-level BPE encodes each piece that the pre-tokenizer cuts on its own, so a worker keeps the
-ids of pieces it has met. Texts with characters outside a plain range, where the pre-tokenizer's
-classes and those of Python's ``re`` might differ, go to the library whole. Strings of special
-tokens in a text are ordinary text.
+A space before a character that is no white space always begins a new piece of byte-level BPE's
+pre-tokenizer, and so does a line feed between two such characters; the words between them are
+encoded on their own. Their pieces go to the
+library's model, and a worker keeps the ids of words and pieces it has met. Words beyond a plain
+range of characters, where the classes of the pre-tokenizer and of Python's ``re`` might differ, go
+to the library whole, and so do texts that hold the string of an added token.
 """
 
 from __future__ import annotations
@@ -12,11 +14,19 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
-#: Pieces kept by a worker at most; the store is emptied when it is full.
-KEEP_PIECES = 600_000
+from .common import slices
+
+#: Words, and pieces of them, kept by a worker at most; a store is emptied when it is full. Longer words are not kept.
+KEEP_WORDS, KEEP_PIECES, LONGEST = 250_000, 450_000, 48
+#: Characters of texts that are encoded at once.
+_STEP = 1 << 20
 _PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ɏ]*")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SYMBOL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+_CUT = re.compile(r" (?=\S)")
 if sys.byteorder != "little":
     raise ImportError("ids are written as the machine's own integers, which must be little-endian")
 _LOADED: dict[str, "Encoder"] = {}
@@ -28,39 +38,111 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers, as ``encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}  # ids of a space and the word
+        self.pieces: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not _PLAIN.fullmatch(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        known = self.known
-        pieces = _PIECE.findall(text)
-        new = set(pieces).difference(known)
-        if new:
-            if len(known) + len(new) > KEEP_PIECES:
-                known.clear()
-                new = set(pieces)
-            new = list(new)
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[piece] = array("I", e.ids).tobytes()
-        return b"".join([known[p] for p in pieces])
+        return next(self.each([text]))
+
+    def each(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, by steps of a bounded size."""
+        for lo, hi in slices(list(map(len, texts)), _STEP):
+            yield from self._step(texts[lo:hi])
+
+    def _step(self, texts: list[str]) -> list[bytes]:
+        known, tail = self.words, slice(1, None)
+        rows: list[tuple[list[str], list[bytes | None]] | None] = []
+        for t in texts:
+            if any(a in t for a in self.added):
+                rows.append(None)
+                continue
+            parts = t.replace("\n", " \n").split(" ")
+            own = list(map(known.get, parts))
+            rows.append((parts, own))
+        new = {p for r in rows if r for p, v in zip(r[0][tail], r[1][tail]) if v is None}
+        if odd := {p for p in new if not p or p[0].isspace() and (p[0] != "\n" or p[1:2].isspace() or len(p) == 1)}:  # not cut where a piece begins
+            for i, r in enumerate(rows):
+                if r and not odd.isdisjoint(r[0][tail]):
+                    parts = _CUT.split(texts[i])
+                    rows[i] = (parts, list(map(known.get, parts)))
+            new = {p for r in rows if r for p, v in zip(r[0][tail], r[1][tail]) if v is None}
+        order = list(new)
+        fresh = dict(zip(order, self._encoded([p if p[0] == "\n" else " " + p for p in order])))
+        heads = iter(self._encoded([r[0][0] for r in rows if r]))
+        out = []
+        for t, r in zip(texts, rows):
+            if r is None:
+                out.append(_bytes(self.tokenizer.encode(t, add_special_tokens=False).ids))
+                continue
+            parts, own = r
+            own[0] = next(heads)
+            if None in own:
+                own = [fresh[p] if v is None else v for p, v in zip(parts, own)]
+            out.append(b"".join(own))
+        if len(known) + len(fresh) > KEEP_WORDS:
+            known.clear()
+        known.update((p, v) for p, v in fresh.items() if len(p) <= LONGEST)
+        return out
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """Ids of strings that begin pieces and end them."""
+        known, model = self.pieces, self.model
+        fresh: dict[str, bytes] = {}
+        out = []
+        for part in parts:
+            own = _pieces(part)
+            found = []
+            for x in own or ():
+                v = known.get(x) or fresh.get(x)
+                if v is None:
+                    v = fresh[x] = _bytes([t.id for t in model.tokenize(_symbols(x))])
+                found.append(v)
+            if own is None:  # the library cuts it
+                found.append(_bytes(self.tokenizer.encode(part, add_special_tokens=False).ids))
+            out.append(found[0] if len(found) == 1 else b"".join(found))
+        if len(known) + len(fresh) > KEEP_PIECES:
+            known.clear()
+        known.update((x, v) for x, v in fresh.items() if len(x) <= LONGEST)
+        return out
+
+
+def _symbols(piece: str) -> str:
+    """The bytes of a piece as the model's symbols: printable ones are themselves, others have characters from U+0100 on."""
+    if piece.isascii() and piece[1:].isalnum():
+        return "\u0120" + piece[1:] if piece[0] == " " else piece if piece[0] > " " else piece.translate(_SYMBOL)
+    return piece.encode().decode("latin-1").translate(_SYMBOL)
+
+
+def _pieces(part: str) -> list[str] | None:
+    """The part as pieces of the pre-tokenizer; None where its characters are not plain."""
+    if part[:1] == "\n" and not part[1:2].isspace():
+        rest = _pieces(part[1:])
+        return None if rest is None else ["\n", *rest]
+    letters = part.rstrip(".,;:!?")
+    if (letters[1:] if letters[:1] == " " else letters).isalpha() and (letters.isascii() or _PLAIN.fullmatch(letters)):
+        return [letters] if len(letters) == len(part) else [letters, part[len(letters) :]]
+    return _PIECE.findall(part) if _PLAIN.fullmatch(part) else None
 
 
 def forget_pieces() -> None:
     """Empty the worker's stores, where other large arrays follow."""
     for e in _LOADED.values():
-        e.known.clear()
+        e.words.clear()
+        e.pieces.clear()
 
 
 def encoder(path: str) -> Encoder:
