@@ -3,26 +3,27 @@
 A document is the weighted set of its shingles of five words. A shingle weighs
 tf * (1 + IDF_SHARE * idf), where idf in 0..1 comes from document frequencies counted over the
 whole corpus in a hashed table of fixed size. Each distinct text gets HASHES consistent weighted
-samples; BANDS bands of ROWS samples select candidates. Members of a band's bucket are compared
-with the member closest to the bucket's consensus (all with all in small buckets), bucket by
-bucket of bounded size, level by level, and then all with the last level's centre; so the number
-of pairs is linear. The samples discard
-clear misses, the weighted Jaccard similarity of the whole texts decides (or the plain one, if
-greater), and connected components of the links are the classes. Members of a large bucket that
-these links leave in different classes are then compared all with all, so that no two classes
-stay apart that some pair of a bucket would join.
+samples, in BANDS bands of ROWS samples; texts that share a band are in one bucket, and two of them
+are linked if the weighted Jaccard similarity of their whole texts is LEAST or more. Classes are the
+connected components of all links within buckets.
+
+All pairs of a bucket need no verification for that. In buckets of up to SMALL members all pairs
+are candidates; in larger ones each member is a candidate with a centre, bucket by bucket of bounded
+size, level by level, so the number of pairs is linear. The samples discard clear misses, and the
+whole texts decide. What this leaves in several classes is then settled exactly: the members of a
+larger bucket that are outside its largest class are compared with all its members, in tiles of a
+bounded size that hold each member's shingles once, and a tile gives one link for each two classes
+that it joins. So no two classes stay apart that some pair of a bucket would join.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, materialize, release, texts_of
+from .common import batch_rows, blob, materialize, release, texts_of
 from .decontaminate import words_of
 
 SHINGLE = 5
@@ -34,8 +35,8 @@ _SLICE = 1 << 12
 IDF_SHARE = 0.25
 #: Members of a bucket that one comparison step takes; all pairs are made up to SMALL of them.
 BUCKET, SMALL = 256, 24
-#: Members of a large bucket on either side of one all-with-all comparison, and pairs that each class verifies in the first round.
-TILE, FIRST_PAIRS = 1024, 4
+#: Members and shingles on either side of a tile, about, and shingles that are multiplied at once.
+TILE, TILE_SHINGLES, _COLUMNS = 1024, 1 << 21, 4096
 #: Candidates whose samples agree less often than this cannot reach LEAST but by an odd chance (4 deviations).
 LEAST_AGREEMENT = LEAST - 4 * (LEAST * (1 - LEAST) / HASHES) ** 0.5
 _STEP = 1 << 15
@@ -198,25 +199,28 @@ class Sampler:
             out[docs, k] = (_mix(h[first] + t[first].astype(np.int64).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)).astype(np.uint32)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs and ``_text_key``, 16 bytes that identify the text (null for a null text)."""
+    return docs.withColumn("_text_key", F.unhex(F.md5("text")))
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (16 bytes that identify the text; null for a null text), n_shingles and samples of each row."""
+    """doc_id, key of the text, n_shingles and samples of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         sampler, idf = Sampler(), shared.value
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            null = batch.column("text").is_null().to_pylist()
-            keys = [None if x else hashlib.blake2b(t, digest_size=16).digest() for t, x in zip(texts, null)]
             counts, sigs = [], []
             for lo, hi in _batches_of(texts):
                 doc, h, n = weighted_sets(texts[lo:hi])
                 sig = sampler.signatures(doc, h, weights(h, n, idf), hi - lo)
                 counts += np.bincount(doc, minlength=hi - lo).tolist()
                 sigs += [s.tobytes() for s in sig]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text_key"), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "n_shingles", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary")
+    return with_key(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary")
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -256,8 +260,7 @@ def _pairs_of(nodes: np.ndarray, sig: np.ndarray) -> tuple[list[tuple[int, int]]
             value, inverse, count = np.unique(sig[:, k], return_inverse=True, return_counts=True)
             agree += count[inverse]
         centre = int(agree.argmax())
-        i = np.concatenate((np.full(n - 1, centre), np.arange(n - 1)))
-        j = np.concatenate((np.delete(np.arange(n), centre), np.arange(1, n)))
+        i, j = np.full(n - 1, centre), np.delete(np.arange(n), centre)
         i, j = np.minimum(i, j), np.maximum(i, j)
     near = (sig[i] == sig[j]).mean(axis=1) >= LEAST_AGREEMENT
     return list(zip(nodes[i[near]].tolist(), nodes[j[near]].tolist())), int(nodes[centre])
@@ -315,15 +318,11 @@ def _with_top(bands: DataFrame, tops: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets, each as sorted hashes and their weights, or that of the plain sets if greater.
-
-    The weights alone would part members of a very large group, whose common shingles weigh little.
-    """
+    """Weighted Jaccard similarity of two sets, each as sorted hashes and their weights."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     shared = np.minimum(a[1][i], b[1][j]).sum()
     total = a[1].sum() + b[1].sum() - shared
-    plain = len(i) / max(1, len(a[0]) + len(b[0]) - len(i))
-    return max(float(shared / total), plain) if total else 0.0
+    return float(shared / total) if total else 0.0
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = LEAST) -> DataFrame:
@@ -375,147 +374,183 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (band, node) with their class, for the buckets that hold several: main is the bucket's largest class, n its own members."""
-    own = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("class"))
-    counts = own.groupBy("band", "class").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    return own.join(mixed, "band").join(counts, ["band", "class"])
-
-
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different classes, class_a and class_b."""
-    for end in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"class_{end}", F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
-    return pairs.where("class_a <> class_b")
-
+def _across(classed: DataFrame, sets: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Links (a, b) that join classes of a bucket, for members (band, node, class, open) and their shingles (node, h, n).
 
-def _apart(classed: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Every pair (a, b, agree) of a bucket that is in different classes and whose samples agree often enough, once for all buckets.
-
-    The members outside the bucket's largest class are compared with all members, in tiles of a bounded size.
+    Open members are compared with all members of their bucket, in tiles; both sides are dealt by a hash of the node.
     """
-    signed = classed.join(sigs, "node").withColumn("open", F.expr("class <> main"))
-    blocks = signed.groupBy("band").agg(F.ceil(F.sum(F.col("open").cast("long")) / TILE).alias("across"), F.ceil(F.count("*") / TILE).alias("down"))
-    dealt = signed.join(blocks, "band")
+    shared = classed.sparkSession.sparkContext.broadcast(idf)
+    sized = classed.join(sets, "node").withColumn("size", F.octet_length("h") / 8)
+    tiles = lambda only: F.greatest(F.ceil(F.sum(only) / TILE), F.ceil(F.sum(F.col("size") * only) / TILE_SHINGLES)).cast("int")
+    blocks = sized.groupBy("band").agg(tiles(F.col("open").cast("long")).alias("across"), tiles(F.lit(1)).alias("down"))
+    dealt = sized.join(blocks, "band")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    columns = ["band", "i", "j", "node", "class", "open", "sig"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["band", "i", "j", "node", "class", "open", "h", "n"]
     left = dealt.where("open").withColumn("i", deal("across")).withColumn("j", every("down")).select(columns)
     right = dealt.withColumn("j", deal("down")).withColumn("i", every("across")).select([F.col(c).alias(f"{c}_b") for c in columns])
 
     def compare(key, a, b):
-        b = b.rename_columns(columns)
-        read = lambda t, c: t.column(c).to_numpy()
-        sig_a, sig_b = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES) for t in (a, b))
-        keys_a, keys_b = _keys(sig_a), _keys(sig_b)
-        node_a, node_b, class_a, class_b, open_b = read(a, "node"), read(b, "node"), read(a, "class"), read(b, "class"), np.array(b.column("open").to_pylist(), bool)
-        out = []
-        for lo in range(0, len(node_a), 256):
-            part = slice(lo, lo + 256)
-            agree = np.zeros((len(node_a[part]), len(node_b)), np.uint8)
-            for k in range(HASHES):
-                agree += sig_a[part, k][:, None] == sig_b[:, k]
-            i, j = np.nonzero((agree >= LEAST_AGREEMENT * HASHES) & (class_a[part][:, None] != class_b) & ~(open_b & (node_a[part][:, None] > node_b)))
-            same = keys_a[part][i] == keys_b[j]
-            here = keys_b[j, same.argmax(axis=1)] == key[0].as_py()  # the first band that the two share
-            i, j = i[here], j[here]
-            x, y = node_a[part][i], node_b[j]
-            out.append((np.minimum(x, y), np.maximum(x, y), agree[i, j].astype(np.int32)))
-        found = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        return pa.table(dict(zip(("a", "b", "agree"), map(pa.array, found))))
-
-    return left.groupBy("band", "i", "j").cogroup(right.groupBy("band_b", "i_b", "j_b")).applyInArrow(compare, "a long, b long, agree int")
-
-
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots after links (a, b, class_a, class_b) between classes."""
-    moved = components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()).select(F.col("node").alias("class"), F.col("root").alias("least"))
-    nodes = roots.unionByName(moved.select(F.col("class").alias("node"), F.col("class").alias("root"))).distinct().withColumnRenamed("root", "class")
-    return materialize(nodes.join(moved, "class", "left").select("node", F.coalesce("least", "class").alias("root")), "roots")
-
-
-def complete(links: DataFrame, bands: DataFrame, sigs: DataFrame, verify) -> tuple[DataFrame, DataFrame]:
-    """links with those that still join classes of a large bucket, and the roots of the classes.
-
-    While it helps, members in classes that are small in their bucket are compared with a centre of
-    their own. All pairs across classes that are left are then listed; in each round every class
-    verifies its most promising ones, four times as many as in the round before, and pairs that have
-    come into one class need no verification. It ends when no pair is left.
-    """
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        found = _links_of_tile(_Side(a, shared.value), _Side(b.rename_columns(columns), shared.value), least)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return left.groupBy("band", "i", "j").cogroup(right.groupBy("band_b", "i_b", "j_b")).applyInArrow(compare, "a long, b long")
+
+
+class _Side:
+    """One side of a tile: nodes, classes, and each shingle's occurrences as features of a weight of their own."""
+
+    def __init__(self, table: pa.Table, idf: np.ndarray):
+        self.node, self.cls = table.column("node").to_numpy(), table.column("class").to_numpy()
+        self.open = np.array(table.column("open").to_pylist(), bool)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
+        counts = [np.frombuffer(x, np.int32) for x in table.column("n").to_pylist()]
+        h, n = np.concatenate(sets), np.concatenate(counts)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.row, plain = np.repeat(row, n), np.repeat(h, n)
+        self.feature = np.where(nth > 0, _mix(plain + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), plain)
+        self.weight = weights(plain, np.ones(len(plain)), idf)
+        self.total = np.bincount(self.row, self.weight, len(sets))
+
+    def exact(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = self.row == i
+        order = np.argsort(self.feature[own])
+        return self.feature[own][order], self.weight[own][order]
+
+
+def _links_of_tile(a: _Side, b: _Side, least: float) -> list[tuple[int, int]]:
+    """One linked pair for each two classes that the tile joins, without those that others imply."""
+    # shared weights, as products over the features that both sides have
+    both = np.intersect1d(a.feature, b.feature)
+    shared = np.zeros((len(a.node), len(b.node)), np.float32)
+    columns = []
+    for side in (a, b):
+        at = np.minimum(np.searchsorted(both, side.feature), max(len(both) - 1, 0))
+        hit = both[at] == side.feature if len(both) else np.zeros(len(at), bool)
+        order = np.argsort(at[hit], kind="stable")
+        columns.append((at[hit][order], side.row[hit][order], np.sqrt(side.weight[hit][order]).astype(np.float32)))
+    for lo in range(0, len(both), _COLUMNS):
+        parts = []
+        for (at, row, w), side in zip(columns, (a, b)):
+            x, y = np.searchsorted(at, (lo, lo + _COLUMNS))
+            dense = np.zeros((len(side.node), min(_COLUMNS, len(both) - lo)), np.float32)
+            dense[row[x:y], at[x:y] - lo] = w[x:y]
+            parts.append(dense)
+        shared += parts[0] @ parts[1].T
+    similar = shared / np.maximum(a.total[:, None] + b.total - shared, 1e-9)
+    near = (similar >= least - 1e-3) & (a.cls[:, None] != b.cls) & ~(b.open & (a.node[:, None] > b.node))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out, sets = [], {}
+    i, j = np.nonzero(near)
+    order = np.argsort(-similar[i, j], kind="stable")
+    for x, y in zip(i[order].tolist(), j[order].tolist()):
+        p, q = root(int(a.cls[x])), root(int(b.cls[y]))
+        if p == q:
+            continue
+        if similar[x, y] < least + 1e-3:  # too close to call in single precision
+            for k, side, at in ((0, a, x), (1, b, y)):
+                if (k, at) not in sets:
+                    sets[k, at] = side.exact(at)
+            if similarity(sets[0, x], sets[1, y]) < least - 1e-9:
+                continue
+        parent[p] = q
+        out.append((int(a.node[x]), int(b.node[y])))
+    return out
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """node, hashes and counts of the distinct shingles of texts (node, text)."""
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column("text"))
+            sets, counts = [], []
+            for lo, hi in _batches_of(texts):
+                doc, h, n = weighted_sets(texts[lo:hi])
+                cut = np.searchsorted(doc, np.arange(1, hi - lo))
+                sets += [blob(x) for x in np.split(h, cut)]
+                counts += [blob(x.astype(np.int32)) for x in np.split(n, cut)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], names=["node", "h", "n"])
+
+    return texts.mapInArrow(run, "node long, h binary, n binary")
+
+
+def _settled(links: DataFrame, bands: DataFrame, node_texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """node and root of the classes that links and all other links within large buckets make."""
     roots = components(links)
-    large = materialize(bands.join(bands.groupBy("band").count().where(F.col("count") > SMALL).select("band"), "band"), "large")
-    before = None
-    while True:
-        classed = materialize(_classed(large, roots), "classed")
-        loose = classed.where(F.col("n") <= SMALL)
-        crowded = loose.groupBy("band").count().where(F.col("count") > SMALL).select("band")
-        loose = loose.join(crowded, "band", "left_semi").select("band", "node")
-        n = loose.count()
-        if not n or before is not None and 4 * n > 3 * before:
-            break
-        before = n
-        found = verify(_across(candidate_pairs(loose, sigs), roots).select("a", "b"))
-        if found.isEmpty():
-            break
-        links, roots = links.unionByName(found), _joined(roots, _across(found, roots))
+    large = bands.join(bands.groupBy("band").count().where(F.col("count") > SMALL).select("band"), "band")
+    own = materialize(large.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("class")), "classed")
+    counts = own.groupBy("band", "class").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("band", "main")
+    classed = materialize(own.join(mixed, "band").select("band", "node", "class", F.expr("class <> main").alias("open")), "mixed")
+    release(own)
     if classed.isEmpty():
-        return links, roots
-    left, each = materialize(_apart(classed, sigs), "apart"), FIRST_PAIRS
-    while True:
-        pool = _across(left, roots)
-        sides = pool.select("a", "b", "agree", F.col("class_a").alias("class")).unionByName(pool.select("a", "b", "agree", F.col("class_b").alias("class")))
-        nth = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("agree"), "a", "b"))
-        picked = materialize(sides.withColumn("nth", nth).where(F.col("nth") <= each).select("a", "b").distinct(), "picked")
-        if picked.isEmpty():
-            return links, roots
-        found = verify(picked)
-        left = materialize(pool.select("a", "b", "agree").join(picked, ["a", "b"], "left_anti"), "apart")
-        if not found.isEmpty():
-            links, roots = links.unionByName(found), _joined(roots, _across(found, roots))
-        each *= 4
+        return roots
+    sets = materialize(_sets(node_texts.join(classed.select("node").distinct().hint("merge"), "node", "left_semi")), "sets")
+    found = materialize(_across(classed, sets, idf, least), "links")
+    release(classed)
+    release(sets)
+    return roots if found.isEmpty() else components(found.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id and key of each row of docs, and key, n_copies, class (null for texts without links) and least doc_id of each distinct text."""
+    rows = docs.select("doc_id", "text")
+    idf = idf_table(rows)
+    signed = materialize(signatures(rows, idf), "signed")
+    grouped = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    texts = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "texts")
+    bands = _band_keys(texts.select("node", "n_shingles", "sig"))
+    crowded = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    bands = materialize(bands.join(crowded, "band").select("band", "node"), "bands")
+    # only texts that share a band are ever compared
+    wanted = bands.select("node").distinct().join(texts.select("node", "key"), "node").withColumnRenamed("key", "_text_key")
+    node_texts = materialize(with_key(rows).join(wanted.hint("merge"), "_text_key").select("node", "text").dropDuplicates(["node"]), "node-texts")
+    pairs = materialize(candidate_pairs(bands, texts.select("node", "sig")), "candidates")
+    with batch_rows(docs.sparkSession, 100):  # a row holds two whole texts
+        links = materialize(verified(pairs, node_texts, idf, least), "links")
+    release(pairs)
+    roots = _settled(links.select("a", "b"), bands, node_texts, idf, least)
+    classes = materialize(texts.select("key", "node", "n_copies", "least_id").join(roots, "node", "left"), "classes")
+    for t in (texts, bands, node_texts, links):
+        release(t)
+    return signed, classes
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every row of docs (doc_id, text).
+    """doc_id, class_id and n_copies of every row of docs (doc_id, text).
 
     class_id is the least doc_id of the class: equal texts, and texts linked by a similarity of at
-    least ``least``, directly or by others. n_links counts the verified links of the row's text to
-    other texts, n_copies the rows of the same text. A null text is a class of its own row; texts
-    without words only equal themselves; repeated rows are copies; a null doc_id gets the class of
-    its text; an empty table gives no rows; extra columns are ignored.
+    least ``least``, directly or by others. n_copies counts the rows of the same text. A null text
+    is a class of its own row, by its doc_id, with one copy; texts without words only equal themselves; repeated rows
+    are copies; different texts under one doc_id are judged apart; a null doc_id gets the class of
+    its text, and a class without any doc_id a negative number made from its texts; an empty table
+    gives no rows; extra columns are ignored.
     """
-    rows = docs.select("doc_id", "text")
-    idf = idf_table(rows)
-    signed = materialize(signatures(rows, idf), "signed")
-    texts = materialize(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "texts")
-    nodes = texts.where("node is not null")
-    sigs, bands = nodes.select("node", "sig"), materialize(_band_keys(nodes), "bands")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "candidates")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        node_texts = materialize(rows.withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "node-texts")
-        with batch_rows(docs.sparkSession, 100):  # a row holds two whole texts
-            found = materialize(verified(pairs, node_texts, idf, least), "links")
-        release(node_texts)
-        release(pairs)
-        return found
-
-    links, roots = complete(verify(candidate_pairs(bands, sigs)), bands, sigs, verify)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = texts.select("key", "node", "n_copies").join(roots, "node", "left").join(degree, "node", "left")
-    classes = classes.select("key", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = signed.select("doc_id", "key").join(classes, "key", "left")
-    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    signed, classes = _classes(docs, least)
+    nameless = F.lit(-1).cast("long") - F.min(F.pmod(F.xxhash64("key"), F.lit(1 << 62)))
+    named = classes.withColumn("class", F.coalesce("root", "node")).groupBy("class").agg(F.coalesce(F.min("least_id"), nameless).alias("class_id"))
+    own = classes.withColumn("class", F.coalesce("root", "node")).join(named, "class").select("key", "class_id", "n_copies")
+    out = signed.select("doc_id", "key").join(own, "key", "left")
+    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Rows of docs, all columns, one for each class: the row whose doc_id is the class_id.
+    """Rows of docs, all columns, one for each class of near_duplicates(): one with the class's least doc_id (null ids come last), and of those with the least text key.
 
-    Rows with a null doc_id are kept. Where several rows have the class's doc_id, all copies of one
-    row are the same document and one of them is kept.
+    Rows with a null text are kept. Repeated rows are the same document, of which any one is kept.
     """
-    classes = near_duplicates(docs, least).where("doc_id = class_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(classes, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    _, classes = _classes(docs, least)
+    first = F.min(F.struct(F.col("least_id").isNull(), F.col("least_id"), F.col("key"))).alias("first")
+    kept = classes.groupBy(F.coalesce("root", "node").alias("class")).agg(first).select(F.col("first.key").alias("_text_key"), F.col("first.least_id").alias("_least_id"))
+    found = with_key(docs).join(kept.hint("merge"), "_text_key").where(F.col("doc_id").eqNullSafe(F.col("_least_id")))
+    return found.dropDuplicates(["_text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("text is null"))

@@ -142,6 +142,23 @@ def test_large_buckets_lose_no_pair(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == dict(enumerate(root))
 
 
+def test_near_duplicates_by_text_not_by_id(spark):
+    """Different texts of one doc_id are judged apart, and texts without any doc_id have classes too."""
+    rng = random.Random(4)
+    prose = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    near = lambda w: [*w[:100], "other", *w[101:]]
+    p, q, r = prose(), prose(), prose()
+    rows = [(1, p), (1, q), (2, near(p)), (3, near(q)), (None, near(near(p))), (None, r), (None, near(r)), (5, prose())]
+    docs = spark.createDataFrame([(i, " ".join(w), [k]) for k, (i, w) in enumerate(rows)], "doc_id bigint, text string, key array<int>")
+    found = neardup.near_duplicates(docs).collect()
+    ids = Counter((x.doc_id, x.class_id) for x in found)
+    nameless = {c for (i, c) in ids if i is None and c != 1}
+    assert len(nameless) == 1 and nameless.copy().pop() < 0
+    assert ids == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (None, 1): 1, (None, nameless.pop()): 2, (5, 5): 1})
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and len({x.key[0] for x in kept.collect()} & {0, 2, 4}) == 1 and kept.count() == 4
+
+
 def test_decontamination_against_scan(docs, spark):
     bench = table(spark, DATA, "benchmark")
     items = {r.item_id: decontaminate.words_of((r.text or "").encode()) for r in bench.collect()}
