@@ -251,7 +251,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     tree = spark.sparkContext.broadcast(fit_suffix_tree(docs))
-    rows, n_buckets = chunked(docs)
+    rows, _, n_buckets = chunked(docs)
 
     def distinct(table):
         """The chunk's words in a fixed order, by bucket, and their training counts. The end is the empty word."""

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tokenizers
-from millrace.llm import decontaminate, jpeg, langid, lmscore, media, neardup, packing, rangecoder, secrets, sharding, substrings, tokenfile, tokens
+from millrace.llm import chunks, decontaminate, jpeg, langid, lmscore, media, neardup, packing, rangecoder, secrets, sharding, substrings, tokenfile, tokens
 from millrace.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -195,20 +195,41 @@ def test_short_items_at_any_place(spark):
     assert {r.doc_id: tuple(r) for r in decontaminate.contamination(docs, bench).collect()} == expected
 
 
-def test_substrings_against_scan(docs):
+def plain_repeats(rows):
     seen, expected = set(), {}
-    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        w = r.text.encode().split()
+    for i, text in sorted(rows):
+        w = text.encode().split()
         gone = set()
         for a in range(len(w) - 19):
             k = tuple(w[a : a + 20])
             if k in seen:
                 gone |= set(range(a, a + 20))
             seen.add(k)
-        expected[r.doc_id] = (r.doc_id, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
+        expected[i] = (i, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
+    return expected
+
+
+def test_substrings_against_scan(docs):
+    expected = plain_repeats([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id: tuple(r) for r in substrings.drop_repeats(docs).collect()} == expected
 
 
+def test_substrings_of_hot_prefixes(spark, monkeypatch):
+    """Few words, so prefixes are frequent, in varied and in equal contexts; chunks meet two at a time."""
+    monkeypatch.setattr(chunks, "CHUNK_DOCS", 24)
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(45)]
+    rows = []
+    for i in range(160):
+        w = rng.choices("abcd", k=rng.randint(0, 12)) + rng.choices(["x", "x", "x", "y"], k=rng.randint(0, 60)) + passage[rng.randint(0, 9) : rng.randint(25, 45)] * rng.randint(0, 2) + [f"u{rng.randrange(9)}" for _ in range(rng.randint(0, 30))]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = plain_repeats(rows)
+    assert sum(x[2] for x in expected.values()) > 2000
+    for hot, fan in ((4, 2), (1, 3), (10**9, 10**9)):
+        assert {r.doc_id: tuple(r) for r in substrings.drop_repeats(docs, hot, fan).collect()} == expected
+
+
 def test_lm_base_and_tree(docs):
     words = {r.doc_id: [*lmscore.words_of(r.text.encode()), b""] for r in docs.collect()}
     counts = Counter(w for i, own in words.items() if not lmscore.held_out(i) for w in own)
