@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 from .common import texts_of
 
 CHUNK_DOCS = 512
-#: There are as many buckets as chunks, so what one holds does not grow with the input, but so many at least.
+#: There is a bucket for so many documents, so what one holds does not grow with the input, but so many at least.
 LEAST_BUCKETS = 256
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int, int]:
+def chunked(docs: DataFrame, size: int | None = None) -> tuple[DataFrame, int, int]:
     """doc_id, text and chunk of each row, and how many chunks and buckets there are. Rows of one doc_id with different texts may be in different chunks."""
     rows = docs.select("doc_id", "text")
-    n = max(1, -(-rows.count() // CHUNK_DOCS))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n, max(LEAST_BUCKETS, n)
+    total = rows.count()
+    n, least = max(1, -(-total // (size or CHUNK_DOCS))), -(-total // CHUNK_DOCS)
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n, max(LEAST_BUCKETS, least)
 
 
 def documents_of(table: pa.Table) -> list[tuple[int | None, bytes]]:

@@ -239,16 +239,16 @@ def test_lm_base_and_tree(docs):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
         assert r.score < 0
-    tree = lmscore.fit_suffix_tree(docs)
-    assert np.allclose((10.0**tree.logp).sum(axis=1), 1, atol=1e-3)
-    natural, shuffled = docs.first().text.encode(), bytes(random.Random(0).sample(list(docs.first().text.encode()), len(docs.first().text.encode())))
-    assert tree.token_scores([natural])[0].sum() > tree.token_scores([shuffled])[0].sum()
+    assert np.allclose((10.0 ** lmscore.fit_suffix_tree(docs).logp).sum(axis=1), 1, atol=1e-3)
 
 
-def test_tree_equals_one_counted_plainly(spark):
+def test_tree_equals_one_counted_plainly(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "CHUNK_DOCS", 20)
+    monkeypatch.setattr(lmscore, "FAN", 3)
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
     texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randint(0, 120))) for _ in range(150)]
+    texts[70] = bytes(rng.sample(list(texts[71].encode("latin-1")), len(texts[71]))).decode("latin-1")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     tree, depth = lmscore.fit_suffix_tree(docs), lmscore.DEPTH
     symbols = lambda t: [0] * depth + [int(tree.symbol[b]) for w in lmscore.words_of(t.encode()) for b in w + b" "] + [0]
@@ -259,22 +259,34 @@ def test_tree_equals_one_counted_plainly(spark):
             for k in range(depth + 1):
                 counts.setdefault(tuple(s[j - k : j]), Counter())[s[j]] += 1
     root = np.array([counts[()][x] + 0.5 for x in range(lmscore.SYMBOLS)])
-    states, least = {(): root / root.sum()}, max(lmscore.LEAST_COUNT, lmscore.LEAST_SHARE * root.sum())
+    states = {(): root / root.sum()}
 
     def longest(context):
         return next(context[k:] for k in range(len(context) + 1) if context[k:] in states)
 
     for c in sorted((c for c in counts if c), key=len):
-        if len(c) <= lmscore.DENSE or c[1:] in states:
-            n, shorter = sum(counts[c].values()), states[longest(c[1:])]
-            if n >= least and sum(m * math.log(m / n / shorter[x]) for x, m in counts[c].items()) >= lmscore.LEAST_GAIN:
-                states[c] = np.array([(counts[c][x] + lmscore.SMOOTHING * shorter[x]) / (n + lmscore.SMOOTHING) for x in range(lmscore.SYMBOLS)])
-    assert {len(c) for c in states} == set(range(depth + 1)) and len(states) == len(tree.logp)
-    for t in texts[:40]:
+        n, shorter = sum(counts[c].values()), states[longest(c[1:])]
+        if n >= lmscore.LEAST_COUNT and sum(m * math.log(m / n / shorter[x]) for x, m in counts[c].items()) >= lmscore.LEAST_GAIN:
+            states[c] = np.array([(counts[c][x] + lmscore.SMOOTHING * shorter[x]) / (n + lmscore.SMOOTHING) for x in range(lmscore.SYMBOLS)])
+    assert {len(c) for c in states} == set(range(depth + 1))
+    found = {r.doc_id: r.score for r in lmscore.score(docs).collect()}
+    for i, t in enumerate(texts):
         s = symbols(t)
         extra = sum(tree.extra[b] for w in lmscore.words_of(t.encode()) for b in w + b" ")
         expected = extra + sum(math.log10(states[longest(tuple(s[j - depth : j]))][s[j]]) for j in range(depth, len(s)))
-        assert tree.token_scores([t.encode()])[0].sum() == pytest.approx(expected, rel=1e-4)
+        assert found[i] == pytest.approx(expected, rel=1e-4)
+    assert found[70] < found[71]
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """More contexts pass the tests on more text, without a bound."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    kept = []
+    for share in (8, 1):
+        tree = spark.sparkContext.broadcast(lmscore.fit_suffix_tree(docs.where(f"doc_id % {share} = 0")))
+        table_of = lmscore._states_table(docs.where(f"doc_id % {share} = 0"), tree, 16).collect()
+        kept.append(sum(len(r.context4) + len(r.context5) for r in table_of) // 8)
+    assert kept[1] > 3 * kept[0] > 0
 
 
 def test_shards(docs):
