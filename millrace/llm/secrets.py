@@ -2,9 +2,9 @@
 
 Rules find the base spans. What they find labels credentials by kind; from a bounded sample of
 those, and of ordinary tokens, one prefix tree per kind is folded into a probabilistic automaton
-by merging states whose outgoing frequencies a Hoeffding test cannot tell apart. Every other long
-token is then scored: it becomes a span of kind ``learned`` if the best credential automaton
-explains its format much better than the automaton of ordinary tokens.
+by merging states whose outgoing frequencies a Hoeffding test cannot tell apart. Every other token of
+six or more credential characters is then scored: it becomes a span of kind ``learned`` if the best
+credential automaton explains its format much better than the automaton of ordinary tokens.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _VALUE_LEAST = 6
-#: Candidates and ordinary tokens: maximal runs of credential characters.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: Candidates and ordinary tokens: maximal runs of credential characters, as long as an assigned value at least.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+#: A state that meets unseen characters less often than this has none.
+LEAST_NEW = 0.02
+#: Decisions on tokens that a worker keeps.
+KEEP_TOKENS = 200_000
 #: Classes of characters and their sizes; within a class all characters are equally likely.
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_", ".", "=", "-")
 _CLASS = {c: k for k, cs in enumerate(_CLASSES) for c in cs}
@@ -47,16 +53,20 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def other_tokens(text: str, spans: list) -> list[tuple[int, int, str]]:
-    """Long tokens that touch no base span and have a digit."""
-    out = []
+    """Tokens that touch no base span. Both are in order of their starts, so each is passed once."""
+    out, reach, k = [], 0, 0  # reach: the furthest end of the spans that start before the token ends
     for m in _TOKEN.finditer(text):
-        if any(c.isdigit() for c in m[0]) and not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
-            out.append((m.start(), m.end(), m[0]))
+        start, end = m.span()
+        while k < len(spans) and spans[k][0] < end:
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= start:
+            out.append((start, end, m[0]))
     return out
 
 
 class Automaton:
-    """A probabilistic automaton over character classes.
+    """A probabilistic automaton over character classes, that also knows the characters of each move.
 
     States hold counts of visits, ends and moves. ``learn`` builds the prefix tree of the sample and
     merges, in breadth-first order, each state on the border into the first finished state that the
@@ -65,6 +75,7 @@ class Automaton:
 
     def __init__(self):
         self.moves: list[dict[int, list]] = [{}]  # class -> [state, count]
+        self.chars: list[Counter] = [Counter()]
         self.visits, self.ends = [0], [0]
 
     @classmethod
@@ -78,14 +89,17 @@ class Automaton:
                 if k not in a.moves[state]:
                     a.moves[state][k] = [len(a.moves), 0]
                     a.moves.append({})
+                    a.chars.append(Counter())
                     a.visits.append(0)
                     a.ends.append(0)
                 edge = a.moves[state][k]
                 edge[1] += 1
+                a.chars[state][c] += 1
                 state = edge[0]
                 a.visits[state] += 1
             a.ends[state] += 1
         a._fold(alpha)
+        a._prune()
         return a
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
@@ -112,6 +126,7 @@ class Automaton:
             p, q = todo.pop()
             self.visits[p] += self.visits[q]
             self.ends[p] += self.ends[q]
+            self.chars[p] += self.chars[q]
             for k, (to, n) in self.moves[q].items():
                 if k in self.moves[p]:
                     self.moves[p][k][1] += n
@@ -137,25 +152,72 @@ class Automaton:
             else:
                 done.append(q)
 
+    def _prune(self) -> None:
+        """Keep only the states that folding has left."""
+        order, at = [0], {0: 0}
+        for q in order:
+            for _, (to, _) in sorted(self.moves[q].items()):
+                if to not in at:
+                    at[to] = len(order)
+                    order.append(to)
+        self.moves = [{k: [at[to], n] for k, (to, n) in self.moves[q].items()} for q in order]
+        self.chars, self.visits, self.ends = ([own[q] for q in order] for own in (self.chars, self.visits, self.ends))
+
+    def background(self) -> dict[str, float]:
+        """Log probability of each character, by how often the sample has its class."""
+        counts = [1 + sum(moves[k][1] for moves in self.moves if k in moves) for k in range(len(_CLASSES))]
+        return {c: math.log(counts[k] / sum(counts)) - _WITHIN[k] for c, k in _CLASS.items()}
+
+    def finish(self, background: dict[str, float]) -> Automaton:
+        """Next state and log probability of each character in each state, and the log probability of each state's end.
+
+        A character that a state has not seen is likely as its class is, if the state has met many
+        different ones for its visits. Otherwise it is as unlikely as the visits are many, and leads
+        to a last state where characters have their background, the same for all automata.
+        """
+        lost = len(self.moves)
+        self.steps, self.stops = [], []
+        for moves, chars, seen, ends in zip(self.moves, self.chars, self.visits, self.ends):
+            new = len(chars) / (seen + len(chars)) if seen else 1.0  # that the next character is one not met here
+            rest = math.log(0.5 / (seen + 0.5))
+            row = {}
+            for c, k in _CLASS.items():
+                if c in chars or k in moves and new >= LEAST_NEW:
+                    p = (1 - new) * chars[c] / seen + new * (moves[k][1] / seen / len(_CLASSES[k]) if k in moves else 0)
+                    row[c] = (moves[k][0], math.log(p))
+                else:
+                    row[c] = (lost, rest + background[c])
+            self.steps.append(row)
+            self.stops.append(math.log(ends / seen) if ends else rest)
+        self.steps.append({c: (lost, p) for c, p in background.items()})
+        self.stops.append(0.0)
+        return self
+
     def log_likelihood(self, word: str) -> float:
-        """Natural logarithm of the smoothed probability of the word."""
-        state, total, n = 0, 0.0, len(_CLASSES) + 1
+        """Natural logarithm of the probability of the word."""
+        state, total, steps = 0, 0.0, self.steps
         for c in word:
-            k = _CLASS.get(c, 0)
-            edge = self.moves[state].get(k) if state is not None else None
-            seen = self.visits[state] if state is not None else 0
-            total += math.log(((edge[1] if edge else 0) + 0.5) / (seen + 0.5 * n)) - _WITHIN[k]
-            state = edge[0] if edge else None
-        ends, seen = (self.ends[state], self.visits[state]) if state is not None else (0, 0)
-        return total + math.log((ends + 0.5) / (seen + 0.5 * n))
+            state, p = steps[state][c]
+            total += p
+        return total + self.stops[state]
 
 
 class SecretModel:
     def __init__(self, credentials: dict[str, Automaton], ordinary: Automaton):
-        self.credentials, self.ordinary = credentials, ordinary
+        background = ordinary.background()
+        self.credentials, self.ordinary = {k: a.finish(background) for k, a in credentials.items()}, ordinary.finish(background)
+        self.known: dict[str, bool] = {}
 
     def accepts(self, token: str) -> bool:
         """Whether some credential automaton explains the token's format much better than the ordinary one."""
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= KEEP_TOKENS:
+                self.known.clear()
+            found = self.known[token] = self._accepts(token)
+        return found
+
+    def _accepts(self, token: str) -> bool:
         if not self.credentials:
             return False
         gain = max(a.log_likelihood(token) for a in self.credentials.values()) - self.ordinary.log_likelihood(token)
@@ -163,26 +225,30 @@ class SecretModel:
 
     def spans(self, text: str) -> list[tuple[int, int, int, str]]:
         """All spans: those of the rules, and the learned ones."""
-        found = base_spans(text)
+        found, known = base_spans(text), self.known
+        if not any([known[t] if t in known else self.accepts(t) for t in set(_TOKEN.findall(text))]):
+            return found
         return sorted(found + [(a, 3, b, t) for a, b, t in other_tokens(text, found) if self.accepts(t)])
 
 
+_HALF = 1 << 63
+
+
 def _rank(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big", signed=True)
+    return xxhash.xxh64_intdigest(value.encode()) - _HALF
 
 
-def fit_secret_model(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> SecretModel:
-    """Automata from the ``per_kind`` distinct strings of each kind with the least hashes.
+def fit_secret_model(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND, labelled: dict[str, list[str]] | None = None) -> SecretModel:
+    """Automata from the ``per_kind`` distinct strings of each kind with the least hashes, and from ``labelled`` credentials of other kinds.
 
-    Every text is read; each task keeps its own least hashes, so that what is exchanged and
-    collected is bounded whatever the input. Words of ordinary text of 8 or more characters stand
-    for ordinary tokens, beside long tokens that no rule labels.
+    Every token of every text is ranked; each task keeps its own least hashes, so that what is
+    exchanged and collected is bounded whatever the input. Tokens that no rule labels are the
+    ordinary ones; those of letters and those with other characters are sampled apart.
     """
-    plain = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 
     def label(batches):
-        least: list[dict[str, int]] = [{}, {}, {}, {}]
-        tops = [1 << 63] * 4
+        least: list[dict[str, int]] = [{}, {}, {}, {}, {}]
+        tops, hashed = [_HALF] * 5, xxhash.xxh64_intdigest
 
         def add(kind: int, value: str) -> None:
             if value not in least[kind] and (h := _rank(value)) < tops[kind]:
@@ -197,18 +263,20 @@ def fit_secret_model(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Secret
                 spans = base_spans(text)
                 for _, kind, _, value in spans:
                     add(kind, value)
-                if _rank(text[:64]) % 16 == 0:  # ordinary words are plenty: those of one text in 16 are ranked
-                    for m in plain.finditer(text):
-                        if not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
-                            add(3, m[0])
+                ordinary = {t for _, _, t in other_tokens(text, spans)} if spans else set(_TOKEN.findall(text))
+                for value in ordinary:
+                    kind = 3 if value.isalpha() else 4
+                    if hashed(value.encode()) - _HALF < tops[kind]:
+                        add(kind, value)
         rows = [(k, h, v) for k, own in enumerate(least) for v, h in sorted(own.items(), key=lambda x: (x[1], x[0]))[:per_kind]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["kind", "rank", "value"])
 
     found = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(label, "kind int, rank long, value string")
     found = found.distinct().persist()
-    sample = {k: [r["value"] for r in found.where(F.col("kind") == k).orderBy("rank", "value").limit(per_kind).collect()] for k in range(4)}
+    sample = {k: [r["value"] for r in found.where(F.col("kind") == k).orderBy("rank", "value").limit(per_kind).collect()] for k in range(5)}
     found.unpersist()
-    return SecretModel({KINDS[k]: Automaton.learn(sample[k]) for k in range(3) if sample[k]}, Automaton.learn(sample[3]))
+    credentials = {KINDS[k]: sample[k] for k in range(3)} | (labelled or {})
+    return SecretModel({k: Automaton.learn(own) for k, own in credentials.items() if own}, Automaton.learn(sample[3] + sample[4]))
 
 
 def _joined(spans) -> str:
