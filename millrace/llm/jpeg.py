@@ -138,7 +138,14 @@ _END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 
 def parse(data: bytes, at: int = 0) -> tuple[Frame, int]:
-    """The frame that begins at a place of data, and where it ends."""
+    """The frame that begins at a place of data, and where it ends. Whatever is wrong with the bytes is NotBaseline."""
+    try:
+        return _parse(data, at)
+    except (KeyError, IndexError, ValueError, ZeroDivisionError, struct.error) as e:
+        raise NotBaseline(str(e)) from e
+
+
+def _parse(data: bytes, at: int) -> tuple[Frame, int]:
     if data[at : at + 2] != b"\xff\xd8":
         raise NotBaseline("no start of image")
     at += 2
@@ -152,6 +159,8 @@ def parse(data: bytes, at: int = 0) -> tuple[Frame, int]:
         if mark == 0xDB:
             while body:
                 wide = body[0] >> 4
+                if wide > 1 or len(body) < 1 + 64 * (1 + wide):
+                    raise NotBaseline("a quantization table is broken")
                 quant[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
                 body = body[1 + 64 * (1 + wide) :]
         elif mark == 0xC4:
@@ -172,6 +181,8 @@ def parse(data: bytes, at: int = 0) -> tuple[Frame, int]:
             break
     if size is None or not parts or body[0] != len(parts):
         raise NotBaseline("one scan of all components is needed")
+    if not all(1 <= h <= 4 and 1 <= v <= 4 for h, v, _ in parts.values()) or 0 in size:
+        raise NotBaseline("the frame's size or sampling is not one of a picture")
     names, pattern = [], []
     for i in range(body[0]):
         c, t = body[1 + 2 * i : 3 + 2 * i]
@@ -193,6 +204,8 @@ def parse(data: bytes, at: int = 0) -> tuple[Frame, int]:
     mcus = [min(each, total - k * each) for k in range(len(intervals))]
     if len(intervals) != -(-total // each):
         raise NotBaseline("restart intervals are missing")
+    if any(2 * m * len(pattern) > 8 * len(s) for m, s in zip(mcus, intervals)):  # a block has two codes at least
+        raise NotBaseline("the scan is too short for its frame")
     return Frame(width, height, tuple(pattern), tuple(names), quant[q], (down * v, across * h), (v, h), intervals, mcus), end.end()
 
 
@@ -200,6 +213,8 @@ def _lookup(table) -> np.ndarray:
     """Length * 256 + symbol for each 16 bits that begin with a code; 0 where none does."""
     out = np.zeros(1 << 16, np.int32)
     for s, (code, n) in huffman_codes(*table).items():
+        if code >> n:
+            raise NotBaseline("a table has too many codes")
         out[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | s
     return out
 
@@ -275,7 +290,7 @@ def thumbnails(frames: list[Frame]) -> list[np.ndarray]:
                 v, h = f.sampling
                 rows, columns = f.grid
                 dc = dc.reshape(rows // v, columns // h, v, h).transpose(0, 2, 1, 3).reshape(rows, columns)
-                level = np.clip((dc * f.quant + 4) // 8 + 128, 0, 255).astype(np.uint8)
+                level = np.clip((dc.astype(np.int64) * f.quant + 4) // 8 + 128, 0, 255).astype(np.uint8)
                 out[i] = level[: -(-f.height // 8), : -(-f.width // 8)]
             lo = hi
     return out

@@ -77,7 +77,7 @@ def media_features(media: DataFrame) -> DataFrame:
 def _frames(media: list[bytes | None]) -> list[list]:
     try:
         return jpeg.read_all([m or b"" for m in media])
-    except (jpeg.NotBaseline, KeyError, IndexError):
+    except jpeg.NotBaseline:
         if len(media) == 1:
             return [[]]
         return [x for m in media for x in _frames([m])]
