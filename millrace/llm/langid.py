@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Features are byte n-grams (2 to 4 bytes of UTF-8, A-Z lower-cased, everything that is not a
-letter or a non-ASCII byte taken as a space), hashed into ``bins`` buckets. The matrix of log
+Features are n-grams of 1 to 3 characters (code points; A-Z lower-cased, ASCII characters that are
+no letters taken as a space; a space stands before each text), hashed into ``bins`` buckets. The matrix of log
 probabilities has bins x languages entries, which bounds what is broadcast whatever the input.
 """
 
@@ -18,50 +18,51 @@ from pyspark.sql import functions as F
 from .common import strings_of
 
 BINS = 1 << 16
-ORDERS = (2, 3, 4)
+ORDERS = (1, 2, 3)
 #: Bound of the training sample: so many labelled documents of each language at most.
 TRAIN_PER_LANGUAGE = 4000
 #: The matrix that is broadcast may have at most so many bytes.
 MATRIX_LIMIT = 256 << 20
 _STEP = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
-_FOLD = np.full(256, 32, np.uint8)
+_FOLD = np.full(128, 32, np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
-_FOLD[128:] = np.arange(128, 256)
 
 
 def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """One buffer of folded bytes, a space before each text, and where each text begins."""
-    raw = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
-    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-    return _FOLD[np.frombuffer(b"".join(raw), np.uint8)], np.concatenate(([0], ends))
+    """One buffer of folded code points, a space before each text, and where each text begins."""
+    data = np.frombuffer("".join([" " + t for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
+    plain = data < 128
+    return np.where(plain, _FOLD[np.where(plain, data, 0)], data), np.cumsum([0, *(len(t) + 1 for t in texts)], dtype=np.int64)
+
+
+def _hashed(gram: np.ndarray, shift: np.uint32) -> np.ndarray:
+    """Buckets of n-grams, given as 32-bit mixtures of their characters."""
+    h = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return ((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> shift
 
 
 def _ngrams(data: np.ndarray, bounds: np.ndarray, bins: int):
     """Yields (document of each n-gram, bucket of each n-gram) for steps of the buffer."""
     shift = np.uint32(32 - int(bins).bit_length() + 1)
+    back = ORDERS[-1] - 1
     for lo in range(0, len(data), _STEP):
         hi = min(lo + _STEP, len(data))
-        part = data[max(0, lo - 3) : hi].astype(np.uint32)
-        skip = lo - max(0, lo - 3)
+        skip = lo - max(0, lo - back)
+        part = data[lo - skip : hi]
         at = np.arange(lo, hi)
         doc = np.searchsorted(bounds, at, side="right") - 1
         inside = at - bounds[doc]
-        gram = part[skip:].copy()
-        for order in range(2, 5):
-            back = order - 1
-            older = np.zeros(hi - lo, np.uint32)
-            src = part[max(0, skip - back) : len(part) - back]
+        gram = np.zeros(hi - lo, np.uint32)
+        for order in ORDERS:
+            older = np.zeros(hi - lo, np.uint32)  # the character that the n-gram begins with
+            src = part[max(0, skip - order + 1) : len(part) - order + 1]
             older[len(older) - len(src) :] = src
-            gram |= older << np.uint32(8 * back)
-            ok = inside >= back
-            # a run of spaces says nothing
-            ok &= (part[skip:] != 32) | (older != 32)
-            h = ((gram ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B))
-            h ^= h >> np.uint32(15)
-            h = (h * np.uint32(0xC2B2AE35)) >> shift
-            yield doc[ok], h[ok]
+            gram = (gram + older + np.uint32(order)) * np.uint32(0x9E3779B1)
+            # it lies within its text, and is not of spaces alone
+            ok = (inside >= order - 1) & ((part[skip:] != 32) | (older != 32))
+            yield doc[ok], _hashed(gram[ok], shift)
 
 
 class LanguageModel:
@@ -96,8 +97,8 @@ def in_training(doc_id) -> bool:
 def fit_language_model(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, bins: int = BINS, alpha: float = 0.05) -> LanguageModel:
     """Fit on the training share of docs (doc_id, text, lang).
 
-    The sample holds about ``per_language`` documents of each language, picked by a hash of the
-    id from all labelled rows; smaller languages are taken whole. Rows without text or label are
+    The sample holds about ``per_language`` documents of each language, picked by a hash of id and
+    text from all labelled rows; smaller languages are taken whole. Rows without text or label are
     left out. An empty table gives a model that answers ``und``.
     """
     spark = docs.sparkSession
@@ -110,7 +111,7 @@ def fit_language_model(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE,
     if not languages:
         return LanguageModel([], np.zeros((bins, 0), np.float32))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    picked = train.where(F.pmod(F.xxhash64(ident), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
+    picked = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
     code = {k: i for i, k in enumerate(languages)}
 
     def count(batches):
