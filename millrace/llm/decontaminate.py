@@ -15,6 +15,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, texts_of
 
@@ -120,7 +121,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     side's size is bounded. Null and empty texts have no words; items with null id or text have
     no windows; repeated rows give repeated results; extra columns are ignored.
     """
-    rows = docs.select("doc_id", "text").withColumn("found", F.lit(None).cast("array<struct<a:long,b:long>>")).withColumn("items", F.lit(None).cast("array<string>"))
+    rows = _searched(docs.select(F.struct("doc_id").alias("row"), "text"), benchmark, window, block_bytes)
+    return rows.select("row.doc_id", *_JUDGED)
+
+
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """row, and what the whole benchmark finds in each text, for rows (row, text)."""
+    rows = rows.withColumn("found", F.lit(None).cast("array<struct<a:long,b:long>>")).withColumn("items", F.lit(None).cast("array<string>"))
     blocks = _blocks(benchmark, block_bytes)
     for k, block in enumerate(blocks):
         rows = _search_block(rows, [(r[0], (r[1] or "").encode()) for r in block.collect()], window, k + 1 == len(blocks))
@@ -129,7 +136,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return rows
 
 
-_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_JUDGED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+_RESULT = T.StructType([T.StructField(n, k) for n, k in zip(_JUDGED, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()))])
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
@@ -159,20 +167,19 @@ def _search_block(rows: DataFrame, items: list, window: int, last: bool) -> Data
                     found[k], ids[k] = [{"a": a, "b": b} for a, b in spans], sorted(own)
             if last:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out, kinds)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, out, kinds)], names=["row", *_JUDGED])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(found, _SPANS), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "text", "found", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(found, _SPANS), pa.array(ids, pa.list_(pa.string()))], names=["row", "text", "found", "items"])
 
-    return rows.mapInArrow(run, _RESULT if last else rows.schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *_RESULT]) if last else rows.schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of docs, all columns, that are not contaminated by the rule of contamination()."""
-    spark, kept = docs.sparkSession, docs
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) > 1:  # the rule adds up hits of all blocks
-        bad = contamination(docs, benchmark, window, block_bytes).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-        return docs.join(bad, F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    spark, blocks = docs.sparkSession, _blocks(benchmark, block_bytes)
+    if len(blocks) > 1:  # the rule adds up hits of all blocks, so each row travels whole
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+        return _searched(rows, benchmark, window, block_bytes).where("not contaminated").select("row.*")
     shared = spark.sparkContext.broadcast([(r[0], (r[1] or "").encode()) for r in blocks[0].collect()])
 
     def run(batches):
@@ -185,4 +192,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 keep.append(not (hit > 0 and 20 * hit >= len(words)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return kept.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

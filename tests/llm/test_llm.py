@@ -86,6 +86,37 @@ def test_automaton_prefers_its_format():
     assert sum(model.accepts(key()) for _ in range(40)) >= 38 and not model.accepts("notationinationate")
 
 
+def test_learned_spans_on_labelled_forms(spark):
+    """Tokens that no rule finds are found by the format of labelled ones; words of prose are not."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda kinds, n: "".join(rng.choices(kinds, k=n))
+    forms = {
+        "prefixed": lambda: "ghp_" + draw(letters + "0123456789", 36),
+        "dashed": lambda: "sk-" + draw(letters + "0123456789", 24),
+        "parts": lambda: ".".join(draw(letters + "0123456789_-", rng.randint(20, 30)) for _ in range(3)),
+        "short": lambda: draw("0123456789ABCDEF", 16),
+    }
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    model = secrets.fit_secret_model(docs, labelled={k: [f() for _ in range(200)] for k, f in forms.items()})
+    prose = [r.text for r in docs.collect() if r.text]
+    hits = Counter()
+    for k, form in enumerate(list(forms) * 75):
+        words, token = prose[k].split()[:40], forms[form]()
+        at = rng.randrange(len(words) + 1)
+        start = len(" ".join(words[:at])) + (at > 0)
+        hits[form] += (start, 3, start + len(token)) in [x[:3] for x in model.spans(" ".join([*words[:at], token, *words[at:]]))]
+    assert all(hits[f] >= 0.9 * 75 for f in forms), hits
+    learned = [t for text in prose for _, kind, _, t in model.spans(text) if kind == 3]
+    assert len(learned) <= sum(len(t.split()) for t in prose) / 2000, len(learned)  # words in capitals look like short keys
+
+
+def test_spans_of_many_credentials_are_told_apart():
+    text = " ".join(f"token={k:08d} word{k}" for k in range(4000))
+    spans = secrets.base_spans(text)
+    assert len(spans) == 4000 and [t for _, _, t in secrets.other_tokens(text, spans)] == [f"word{k}" for k in range(4000) if k > 9]
+
+
 def test_near_duplicates_against_all_pairs(docs):
     rows = {r.doc_id: r.text for r in docs.collect()}
     idf = neardup.idf_table(docs)
@@ -181,6 +212,15 @@ def test_decontamination_against_scan(docs, spark):
         assert tuple(found[r.doc_id]) == expected == tuple(split[r.doc_id])
 
 
+def test_rows_are_judged_alike_by_one_block_and_many(spark):
+    bench = spark.createDataFrame([(k, " ".join(f"b{k}w{i}" for i in range(30))) for k in range(6)], "item_id bigint, text string")
+    rows = [(None, "b1w3 " * 2 + " ".join(f"b1w{i}" for i in range(20))), (7, " ".join(f"b2w{i}" for i in range(15))), (7, "clean text of the same id"), (8, None), (None, "clean")]
+    docs = spark.createDataFrame([(i, t, [k], "x") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, found array<int>, items string")
+    for size in (10**6, 200):
+        kept = decontaminate.drop_contaminated(docs, bench, block_bytes=size)
+        assert kept.columns == docs.columns and sorted(r.found[0] for r in kept.collect()) == [2, 3, 4]
+
+
 def test_short_items_at_any_place(spark):
     items = [["alpha"], ["beta", "gamma"], [f"t{k}" for k in range(12)]]
     filler = [f"f{k}" for k in range(40)]
@@ -317,9 +357,103 @@ def test_jpeg_round_trip_and_features(docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
 
 
+def plain_jpeg(rng, width, height, sampling, restart):
+    """A baseline frame of random coefficients, coded symbol by symbol; and its luminance DC levels."""
+    dc_table, ac_table = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(11, -1, -1))), ((0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15), None)
+    symbols = [0, 0xF0, *(r << 4 | n for r in range(16) for n in range(1, 8) if (r, n) != (0, 0))]
+    ac_table = (ac_table[0], tuple(symbols[: sum(ac_table[0])]))
+    dc, ac = jpeg.huffman_codes(*dc_table), jpeg.huffman_codes(*ac_table)
+    bits: list[str] = []
+
+    def put(code, n):
+        bits.append(format(code, f"0{n}b") if n else "")
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, v if v >= 0 else v + (1 << n) - 1
+
+    hm, vm = max(h for h, _ in sampling), max(v for _, v in sampling)
+    if len(sampling) == 1:
+        hm = vm = 1
+        sampling = [(1, 1)]
+    across, down = -(-width // (8 * hm)), -(-height // (8 * vm))
+    levels = np.zeros((down * sampling[0][1], across * sampling[0][0]), int)
+    scan, pred, marks = b"", [0] * len(sampling), 0
+
+    def flush():
+        joined = "".join(bits)
+        joined += "1" * (-len(joined) % 8)
+        bits.clear()
+        return int(joined, 2).to_bytes(len(joined) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    for m in range(across * down):
+        if restart and m and m % restart == 0:
+            scan += flush() + bytes((0xFF, 0xD0 + marks % 8))
+            marks, pred = marks + 1, [0] * len(sampling)
+        for c, (h, v) in enumerate(sampling):
+            for y, x in itertools.product(range(v), range(h)):
+                value = rng.randint(-60, 60)
+                n, raw = number(value - pred[c])
+                pred[c] = value
+                put(*dc[n])
+                put(raw, n)
+                if c == 0:
+                    levels[m // across * v + y, m % across * h + x] = value
+                k = 1
+                while k < 64:
+                    symbol = rng.choice(ac_table[1])
+                    run, size = symbol >> 4, symbol & 15
+                    if rng.random() < 0.3 or size and k + run > 63 or symbol == 0xF0 and k + 16 > 63:
+                        symbol = size = 0
+                    put(*ac[symbol])
+                    if size:
+                        raw = rng.randrange(1 << size)
+                        put(raw, size)
+                        k += run + 1
+                    else:
+                        k = k + 16 if symbol == 0xF0 else 64
+    scan += flush()
+    segment = lambda mark, body: bytes((0xFF, mark)) + (len(body) + 2).to_bytes(2, "big") + body
+    parts = b"".join(bytes((c + 1, h << 4 | v, 0)) for c, (h, v) in enumerate(sampling))
+    head = b"\xff\xd8" + segment(0xDB, b"\x10" + b"\x00\x05" * 64) + segment(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + parts)
+    head += b"".join(segment(0xC4, bytes([kind, *t[0], *t[1]])) for kind, t in ((0x00, dc_table), (0x10, ac_table)))
+    if restart:
+        head += segment(0xDD, restart.to_bytes(2, "big"))
+    sos = segment(0xDA, bytes([len(sampling)]) + b"".join(bytes((c + 1, 0)) for c in range(len(sampling))) + b"\x00\x3f\x00")
+    return head + sos + scan + b"\xff\xd9", np.clip((levels * 5 + 4) // 8 + 128, 0, 255)[: -(-height // 8), : -(-width // 8)]
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)]])
+def test_frames_of_other_encoders(sampling):
+    rng = random.Random(len(sampling) * 10 + sampling[0][0])
+    made = [plain_jpeg(rng, w, h, sampling, r) for w, h, r in ((40, 24, 0), (17, 65, 3), (8, 8, 0), (100, 50, 2))]
+    for (_, levels), ((frame, thumb),) in zip(made, jpeg.read_all([data for data, _ in made])):
+        assert thumb.shape == levels.shape and (thumb == levels).all()
+        rows, columns = (np.arange(8) * thumb.shape[0]) // 8, (np.arange(9) * thumb.shape[1]) // 9
+        assert media.difference_hash(thumb) == media.difference_hash(levels.astype(np.uint8)) and len(rows) + len(columns) == 17
+
+
+def test_features_computed_plainly():
+    payload = np.random.default_rng(1).integers(0, 256, 576 * 3, dtype=np.uint8)
+    ((_, thumb),) = jpeg.read_all(jpeg.encode([payload.tobytes()]))[0]
+    grid = payload.reshape(-1, 24).tolist()
+    n = len(grid)
+    cell = lambda y, x: [grid[a][b] for a in range(y * n // 8, (y + 1) * n // 8) for b in range(x * 24 // 9, (x + 1) * 24 // 9)]
+    mean = [[sum(c) / len(c) for c in (cell(y, x) for x in range(9))] for y in range(8)]
+    bits = "".join("1" if mean[y][x] > mean[y][x + 1] else "0" for y in range(8) for x in range(8))
+    assert media.difference_hash(thumb) == f"{int(bits, 2):016x}"
+
+
 def test_broken_media_are_null(spark):
-    rows = spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"\xff\xd8junk")), (3, 1, bytearray(jpeg.encode([media.payload_of(b"x")])[0]))], "doc_id bigint, n_bytes bigint, media binary")
+    good = jpeg.encode([media.payload_of(b"x")])[0]
+    rows = spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"\xff\xd8junk")), (3, 1, bytearray(good))], "doc_id bigint, n_bytes bigint, media binary")
     assert [r.payload_bytes for r in media.media_features(rows).orderBy("doc_id").collect()] == [None, None, 576]
+    rng = random.Random(8)
+    for _ in range(1500):  # headers changed at random give a frame or none, but no other error
+        bad = bytearray(good)
+        for _ in range(2):
+            bad[rng.randrange(2, 180)] = rng.randrange(256)
+        media._frames([bytes(bad)[: rng.randint(20, len(bad))] if rng.random() < 0.2 else bytes(bad)])
 
 
 def test_packing(docs):
@@ -373,6 +507,32 @@ def test_language_on_held_out(spark):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
 
 
+def test_language_against_plain_bayes(spark, monkeypatch):
+    """Counts of n-grams of characters, kept by n-gram and not by bucket."""
+    rows = table(spark, DATA, "documents").select("doc_id", "text", "lang").collect()
+    rows += [(10**6 + k, t, k % 2 and "ru" or "zh") for k, t in enumerate(["мама мыла раму", "中文字符測試", "рама мыла маму", "測試字符", "где моя мама", "字符"] * 4)]
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "_STEP", 1000)
+
+    def grams(text):
+        s = " " + "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in text)
+        return [s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i] != " " or s[i + n - 1] != " "]
+
+    counts: dict[str, Counter] = {}
+    for i, t, k in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and k is not None and t is not None:
+            counts.setdefault(k, Counter()).update(grams(t))
+    bins = 1 << 22  # hardly any two n-grams share a bucket
+    model = langid.fit_language_model(docs, bins=bins)
+    assert model.languages == sorted(counts)
+    for i, t, _ in rows[::7] + rows[-6:]:
+        own = grams(t)
+        score = [sum(math.log((c[g] + 0.05) / (c.total() + 0.05 * bins)) for g in own) for k, c in sorted(counts.items())]
+        (lang,), (p,) = model.predict([t])
+        assert lang == sorted(counts)[int(np.argmax(score))]
+        assert p == pytest.approx(1 / sum(math.exp(x - max(score)) for x in score), abs=0.02)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
