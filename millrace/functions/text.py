@@ -133,3 +133,12 @@ def next_run(frequency: Column, base: Column, hour: Column, minute: Column, week
 def run_reference(expected: Column, now: Column) -> Column:
     """What the next run counts from: now, if the expected time is over 12 hours past."""
     return F.when(expected < now - F.expr("INTERVAL 12 HOURS"), now).otherwise(expected)
+
+
+def from_epoch_ms(value: Column) -> Column:
+    """The time of a number of milliseconds since 1970."""
+    return F.timestamp_millis(value)
+
+
+def record_id(url: Column) -> Column:
+    return F.md5(url)

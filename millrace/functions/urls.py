@@ -17,6 +17,8 @@ SKIPPED_ENDINGS = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".z
 EXCLUDED_DOMAINS = ("google.com", "google.co.in", "google.co.uk", "google.ad", "google.ae", "youtube.com", "youtu.be", "facebook.com", "twitter.com", "instagram.com", "linkedin.com", "pinterest.com", "duckduckgo.com", "bing.com", "yahoo.com", "search.yahoo.com", "microsoft.com", "wikipedia.org", "w3.org", "schema.org")
 INDEX_FILES = ("index.html", "index.shtml", "index.htm", "default.html", "default.shtml")
 PAGE_PARAMETERS = ("page", "p", "pg", "paged", "start", "offset", "from")
+SEARCH_ENDPOINTS = ("/search", "/find/", "/results", "/site-search", "/query")
+LISTING_PARAMETERS = ("q", "s", "query", "search", "keyword", "keywords", "find", "keys", "searchword", "term")
 VIDEO_HOSTS = ("youtube.com", "youtu.be", "vimeo.com", "dailymotion.com")
 VIDEO_ENDINGS = (".mp4", ".webm", ".mov", ".m3u8")
 
@@ -90,6 +92,17 @@ def is_search_page(url: Column) -> Column:
     return F.coalesce(url.startswith("http") & (by_path | has_search_parameter(url) | paged | url.rlike(NO_RESULTS)), F.lit(False))
 
 
+def is_search_listing(url: Column) -> Column:
+    """The detector's own test: an endpoint's name anywhere in the path, or a search parameter."""
+    by_path = F.lower(path(url)).rlike("|".join(SEARCH_ENDPOINTS))
+    return F.coalesce(by_path | F.concat(F.lit("?"), query(url)).rlike(r"(?i)[?&](?:" + "|".join(LISTING_PARAMETERS) + ")="), F.lit(False))
+
+
+def in_path_scope(url: Column, prefix: str) -> Column:
+    """Whether a URL's path begins with a prefix; an empty one holds all."""
+    return path(url).startswith(prefix)
+
+
 def _ends_with_any(value: Column, endings: Sequence[str]) -> Column:
     out = F.lit(False)
     for e in endings:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,42 +21,41 @@ BITS, NEAR = 64, 3
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 
-@lru_cache(maxsize=1 << 16)
-def _votes(token: str) -> np.ndarray:
-    h = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return np.unpackbits(np.frombuffer(h, np.uint8)).astype(np.int64) * 2 - 1
+#: Words of so many characters vote alone where they are enough; shorter ones join as long as they are not.
+_LONG = 5
+_MARKS = regex.compile(r"\p{P}")
 
 
-@lru_cache(maxsize=1 << 16)
-def _mark(c: str) -> bool:
-    return unicodedata.category(c)[0] == "P"
+def _voters(text: str) -> list[str]:
+    """The alphanumeric words that vote: of the greatest least length, up to _LONG, that leaves half as many as there are bits; else all."""
+    words = [w for w in _MARKS.sub(" ", text).split() if w.isalnum()]
+    if not words:
+        return words
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    at_least = np.bincount(np.minimum(lengths, _LONG), minlength=_LONG + 1)[::-1].cumsum()[::-1]  # words by least length
+    enough = np.flatnonzero(2 * at_least >= BITS)
+    return [words[i] for i in np.flatnonzero(lengths >= enough[-1])] if len(enough) else words
 
 
-def simhash_tokens(text: str) -> list[str]:
-    """Alphanumeric tokens, longer than the greatest of 4..0 that leaves 32 of them; else all."""
-    plain = "".join(" " if _mark(c) else c for c in text)
-    tokens = [t for t in plain.split() if t.isalnum()]
-    for least in (4, 3, 2, 1, 0):
-        some = [t for t in tokens if len(t) > least]
-        if len(some) >= BITS // 2:
-            return some
-    return tokens
-
-
-def simhash_value(text: str | None) -> int | None:
-    """The fingerprint as a signed 64-bit number; null below 30 characters or without tokens."""
-    if not text or len(text.strip()) < 30:
-        return None
-    tokens = simhash_tokens(text)
-    if not tokens:
-        return None
-    bits = np.sum([_votes(t) for t in tokens], axis=0) >= 0
-    return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
+def simhash_values(texts: list[str | None]) -> list[int | None]:
+    """Fingerprints as signed 64-bit numbers; null below 30 characters or without words. Each distinct word of the texts is hashed once."""
+    number: dict[str, int] = {}
+    votes = [[number.setdefault(w, len(number)) for w in _voters(t)] if t and len(t.strip()) >= 30 else [] for t in texts]
+    digests = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=BITS // 8).digest() for w in number)
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, BITS)
+    out: list[int | None] = []
+    for own in votes:
+        # a bit is set if at least half of the votes have it
+        out.append(int.from_bytes(np.packbits(2 * bits[own].sum(axis=0, dtype=np.int64) >= len(own)).tobytes(), "big", signed=True) if own else None)
+    return out
 
 
 @arrow_udf("bigint")
 def simhash(text: pd.Series) -> pd.Series:
-    return pd.Series([simhash_value(t) for t in text], dtype="Int64")
+    texts, found = text.tolist(), []
+    for lo in range(0, len(texts), 512):
+        found += simhash_values(texts[lo : lo + 512])
+    return pd.Series(found, dtype="Int64")
 
 
 def simhash_text(value: Column) -> Column:
@@ -80,8 +78,13 @@ def near_pairs(prints: DataFrame, value: str = "simhash", key: str = "id", most:
     known = written(prints.select(F.col(key).alias("id"), F.col(value).alias(value)), "prints")
     rows = known.where(F.col(value).isNotNull()).select("id", F.col(value).alias("p"), F.explode(F.array(*tables)).alias("x")).select("id", "p", "x.t", "x.v")
     other = rows.select(F.col("id").alias("b"), F.col("p").alias("q"), "t", "v")
-    found = rows.withColumnRenamed("id", "a").join(other, ["t", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= most))
-    return found.select("a", "b", F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).cast("bigint").alias("distance")).distinct()
+    differ = F.col("p").bitwiseXOR(F.col("q"))
+    # of the tables that a pair shares, the first gives it: the one of the three first blocks that are alike
+    alike = F.filter(F.array(*[F.when(F.shiftrightunsigned(F.shiftleft(differ, 64 - start - width), 64 - width) == 0, F.lit(k)) for k, (start, width) in enumerate(BLOCKS)]), lambda k: k.isNotNull())
+    numbers = F.create_map(*[F.lit(x) for k, c in enumerate(itertools.combinations(range(6), 3)) for x in ("".join(map(str, c)), k)])
+    first = F.element_at(numbers, F.array_join(F.slice(alike, 1, 3), ""))
+    found = rows.withColumnRenamed("id", "a").join(other, ["t", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= most) & (F.col("t") == first))
+    return found.select("a", "b", F.bit_count(differ).cast("bigint").alias("distance"))
 
 
 def near_links(prints: DataFrame, value: str = "simhash", key: str = "id", most: int = NEAR) -> DataFrame:
@@ -114,13 +117,16 @@ def first_kept(rows: DataFrame, text: str = "text", order: str = "doc_id", print
     hashed = written(rows.select(F.col(order).alias("id"), content_hash(F.col(text)).alias("content_hash"), value.alias("simhash")), "prints")
     same = F.struct("content_hash", F.coalesce(F.col("simhash").cast("string"), F.lit("")))
     firsts = written(hashed.groupBy(same.alias("k")).agg(F.min("id").alias("id"), F.first("content_hash").alias("content_hash"), F.first("simhash").alias("simhash")), "firsts")
-    twins = firsts.select(F.col("id").alias("a"), "content_hash").join(firsts.select(F.col("id").alias("b"), "content_hash"), "content_hash").where("a < b").select("a", "b")
-    edges = written(twins.unionByName(near_pairs(firsts).select("a", "b")).distinct(), "edges")
-    state = written(firsts.select("id", F.lit(None).cast("boolean").alias("kept")), "state")
+    edges = written(near_pairs(firsts).select("a", "b"), "edges")
+    state = written(firsts.select("id", "content_hash", F.lit(None).cast("boolean").alias("kept")), "state")
     while True:
         seen = edges.join(state.select(F.col("id").alias("a"), "kept"), "a").groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.bool_or(F.col("kept").isNull()).alias("open"))
-        new = state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("near_kept"), False).when(F.coalesce("open", F.lit(False)), F.lit(None).cast("boolean")).otherwise(True).alias("kept"))
-        state = written(new, "state")
+        # rows of one hash are told by their group: whether one is kept, and which undecided one is first
+        alike = state.groupBy("content_hash").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("twin_kept"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("first_open"))
+        known = state.join(seen.withColumnRenamed("b", "id"), "id", "left").join(alike, "content_hash")
+        waits = F.coalesce(F.col("open"), F.lit(False)) | F.coalesce(F.col("first_open") < F.col("id"), F.lit(False))
+        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("near_kept", F.lit(False)) | F.col("twin_kept"), False).when(waits, F.lit(None).cast("boolean")).otherwise(True)
+        state = written(known.select("id", "content_hash", decided.alias("kept")), "state")
         if state.where("kept is null").isEmpty():
             break
     kept = state.where("kept").select("id", F.lit(True).alias("_kept"))

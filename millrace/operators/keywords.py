@@ -49,19 +49,47 @@ class Expression:
             out = out & c if self.kind == "and" else out | c
         return out
 
-    def terms(self) -> list[str]:
-        if self.kind == "term":
-            return [self.term]
-        return list(dict.fromkeys(t for p in self.parts for t in p.terms()))
+
+OPERATORS = ("AND", "OR", "NOT")
+
+
+def boolean_terms(text: str) -> list[str]:
+    """The quoted phrases and words of an expression that are no operators, negated and unread ones included; each once."""
+    found = [m["phrase"] or m["word"] for m in re.finditer(r'"(?P<phrase>[^"]+)"|(?P<word>\w+)', text)]
+    return list(dict.fromkeys(t for t in found if t.upper() not in OPERATORS))
+
+
+def _scan(text: str) -> list[str]:
+    """Brackets, quoted phrases, operators and other words of an expression.
+
+    A bracket stands alone wherever it is, so inside quotes it has spaces around it. An operator
+    ends where a word would, so ``AND-x`` is an operator and a word.
+    """
+    out, at = [], 0
+    while at < len(text):
+        c, end = text[at], at + 1
+        if c == '"' and (close := text.find('"', end)) > end:
+            out.append("".join(f" {x} " if x in "()" else x for x in text[at : close + 1]))
+            end = close + 1
+        elif c in "()":
+            out.append(c)
+        elif not c.isspace():
+            operator = next((w for w in OPERATORS if text[at : at + len(w)].upper() == w and not re.match(r"\w", text[at + len(w) : at + len(w) + 1])), "")
+            end = at + len(operator)
+            while not operator and end < len(text) and not text[end].isspace() and text[end] not in "()":
+                end += 1
+            out.append(text[at:end])
+        at = end
+    return out
 
 
 def parse_boolean(text: str) -> Expression:
     """OR binds less than AND, AND less than NOT; words of operators in any case; quotes hold a phrase.
 
-    What follows a complete expression without an operator is not read; a broken one matches nothing.
+    What follows a complete expression without an operator is not read. A missing operand is false, so
+    ``war OR`` is war, ``war AND`` nothing and ``NOT`` everything.
     """
-    tokens = re.findall(r'\(|\)|"[^"]+"|[^\s()]+', text.replace("(", " ( ").replace(")", " ) "))
-    at = 0
+    tokens, at = _scan(text), 0
 
     def word() -> str | None:
         return tokens[at].upper() if at < len(tokens) else None
@@ -76,6 +104,8 @@ def parse_boolean(text: str) -> Expression:
 
     def atom() -> Expression:
         nonlocal at
+        if at == len(tokens):
+            return Expression("empty")
         token = tokens[at]
         at += 1
         if token == "(":
@@ -95,10 +125,7 @@ def parse_boolean(text: str) -> Expression:
     def either() -> Expression:
         return chain("OR", lambda: chain("AND", negated))
 
-    try:
-        return either()
-    except IndexError:
-        return Expression("empty")
+    return either()
 
 
 def occurrences(text: Column, term: str, exact: bool = False, case_sensitive: bool = False) -> Column:
@@ -142,8 +169,21 @@ def relevance(in_title: Column, in_description: Column, in_url: Column, body_hit
 
 
 def round_score(score: Column) -> Column:
-    """One decimal, halves up: the same in any engine that computes the sum alike."""
-    return F.floor(score * 10 + 0.5) / 10.0
+    """Rounded to one decimal by the exact binary value, ties to even.
+
+    Twenty times the score is 16 and 4 times it, both exact, and their sum is kept with its error: an
+    odd sum is a tie or the error decides.
+    """
+
+    def decide(x: Column) -> Column:
+        total = x * 16 + x * 4
+        other = total - x * 16
+        error = (x * 16 - (total - other)) + (x * 4 - other)
+        half = F.floor((total - 1) / 2)
+        odd = half + F.when(error > 0, 1).when(error < 0, 0).otherwise(half % 2)
+        return F.when(total % 2 == 1, odd).otherwise(F.floor((total + 1) / 2)) / 10.0
+
+    return let(score, decide)
 
 
 def analysis(df, terms: list[str], title="title", description="description", body="body", url="url", exact=False, case_sensitive=False, expression: str | None = None):
@@ -155,7 +195,7 @@ def analysis(df, terms: list[str], title="title", description="description", bod
     if not terms and not expression:
         return df.withColumns({"occurrences": F.lit(0).cast("bigint"), "matched_keywords": F.array().cast("array<string>"), "matched": F.lit(True), "snippet": F.left(fields["body"], F.lit(150)), "relevance_score": F.lit(100.0)})
     parsed = parse_boolean(expression) if expression else None
-    terms = parsed.terms() if parsed else terms
+    terms = boolean_terms(expression) if parsed else terms
     n = {k: [occurrences(c, t, exact, case_sensitive) for t in terms] for k, c in fields.items()}
     total = lambda cs: sum(cs[1:], cs[0])
     hits = {k: total(cs) for k, cs in n.items()}
@@ -172,6 +212,14 @@ def analysis(df, terms: list[str], title="title", description="description", bod
     return out.withColumn("relevance_score", score).drop("_body_hits")
 
 
+def any_keyword(text: Column, keywords: list[str]) -> Column:
+    """Whether one of the keywords is anywhere in a text, in any case."""
+    out = F.lit(False)
+    for k in keywords:
+        out = out | F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(k.lower()))
+    return out
+
+
 def term_frequency(text: Column, keyword: str) -> Column:
     """Occurrences of the keyword's words, over their number; null without a keyword."""
     words = [w for w in re.split(r"\W+", keyword.lower()) if w]

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..functions.urls import authority, date_from_url, is_article
 
 # fixed values: phrases of error pages and of challenge pages
 ERROR_PHRASES = ("504 gateway time-out", "504 gateway timeout", "502 bad gateway", "503 service unavailable", "503 service temporarily unavailable", "500 internal server error", "403 forbidden", "404 not found", "database error", "database connection error", "error establishing a database connection", "site is down", "maintenance mode", "access denied", "gateway time-out", "gateway timeout", "bad gateway")
@@ -43,3 +44,25 @@ def date_allowed(published: Column, as_of: Column, start: Column | None = None,
     if end is not None:
         inside = inside & (published <= end)
     return F.coalesce(inside, F.lit(True))
+
+
+# fixed values: where a maintenance page is and how long, signs of a challenge, and why pages are left out
+MAINTENANCE_PATH, MAINTENANCE_HOST, MAINTENANCE_SIZE, MAINTENANCE_SLACK = "mfa.gov.cn/web/system/", "mfa.gov.cn", 55990, 500
+CHALLENGE_MARKERS = ("Just a moment", "cf-chl-", "challenges.cloudflare.com", "Checking your browser")
+LANDING, UNDATED, OLD = "Skipped: Homepage or category/index landing page content.", "Skipped: Unable to verify article publication date.", "Skipped: Article published more than 3 months ago ("
+
+
+def response_verdict(url: Column, size: Column, mitigated: Column, status: Column, body: Column) -> Column:
+    """``maintenance`` or ``challenge`` for responses that stand for a page, else null. url is the final one, size
+    the bytes of the body, mitigated the cf-mitigated header."""
+    drift = F.contains(F.lower(authority(url)), F.lit(MAINTENANCE_HOST)) & (F.abs(size - MAINTENANCE_SIZE) < MAINTENANCE_SLACK)
+    head = F.left(F.coalesce(body, F.lit("")), F.lit(4000))
+    asked = status.isin(403, 503) & F.exists(F.array(*map(F.lit, CHALLENGE_MARKERS)), lambda m: F.contains(head, m))
+    return F.when(F.contains(url, F.lit(MAINTENANCE_PATH)) | drift, "maintenance").when(F.contains(F.lower(F.coalesce(mitigated, F.lit(""))), F.lit("challenge")) | asked, "challenge")
+
+
+def keyword_free_verdict(url: Column, published: Column, as_of: Column, days: int = 90) -> Column:
+    """status and error_message of a page of a configured source without keywords: articles of the last 90 days match."""
+    day = F.coalesce(published, date_from_url(url))
+    reason = F.when(~is_article(url), LANDING).when(day.isNull(), UNDATED).when(day < F.date_sub(as_of, days), F.concat(F.lit(OLD), F.date_format(day, "yyyy-MM-dd"), F.lit(").")))
+    return F.struct(F.when(reason.isNull(), "matched").otherwise("skipped").alias("status"), reason.alias("error_message"))

@@ -36,10 +36,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import lifecycle  # noqa: F401  adds its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import lifecycle  # noqa: F401  adds its queries
+
     return dict(ORACLE)
 
 
@@ -71,6 +75,13 @@ def _counts(column: str, terms=TERMS) -> str:
     return " + ".join(_COUNT.format(f"lower({column})", t, len(t)) for t in terms)
 
 
+def _rounded(score: str) -> str:
+    """One decimal by the exact binary value, ties to even, of a double column of a subquery."""
+    s, e = f"({score} * 16 + {score} * 4)", f"(({score} * 16 - ((({score} * 16 + {score} * 4)) - (({score} * 16 + {score} * 4) - {score} * 16))) + ({score} * 4 - (({score} * 16 + {score} * 4) - {score} * 16)))"
+    half = f"floor(({s} - 1) / 2)"
+    return f"CASE WHEN {s} % 2 = 1 THEN {half} + CASE WHEN {e} > 0 THEN 1 WHEN {e} < 0 THEN 0 ELSE {half} % 2 END ELSE floor(({s} + 1) / 2) END / 10.0"
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return P.ranked(_t(spark, d, "pages"), list(TERMS))
 
@@ -82,7 +93,7 @@ _SCORE = f"(CASE WHEN nt > 0 THEN 35.0 ELSE 0.0 END + CASE WHEN nu > 0 THEN 10.0
 @query(f"""WITH {_PAGE}, c AS (SELECT *, {_counts('title')} nt, {_counts('body')} nb, {_counts('url')} nu FROM p)
 SELECT page_id, url, {_DOMAIN.format('url')} AS domain, title, lang, CAST(nt + nb + CASE WHEN nu > 0 THEN 1 ELSE 0 END AS BIGINT) occurrences,
  array_to_string(list_filter([{', '.join(f"CASE WHEN contains(lower(title || chr(10) || body || chr(10) || url), '{t}') THEN '{t}' END" for t in TERMS)}], lambda x: x IS NOT NULL), ', ') keywords,
- floor(CAST({_SCORE} AS DOUBLE) * 10 + 0.5) / 10.0 AS relevance_score FROM c WHERE nt + nb + nu > 0""")
+ {_rounded('x')} AS relevance_score FROM (SELECT *, CAST({_SCORE} AS DOUBLE) x FROM c) WHERE nt + nb + nu > 0""")
 def page_keyword_rank(spark, d):
     return flagship(spark, d)
 
@@ -220,9 +231,9 @@ def doc_phrase_match(spark, d):
     return rows.withColumn("matched", named).where("matched <> ''")
 
 
-@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\bthe\b')) AS BIGINT) AS n_the FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x = 'the')) AS BIGINT) AS n_the FROM documents")
 def doc_exact_word_count(spark, d):
-    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", T.whole_word_count(F.col("text"), "the").alias("n_the"))
+    return _t(spark, d, "documents").select("doc_id", T.whole_word_count(F.col("text"), "the").alias("n_the"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND (contains(lower(text), 'que') OR contains(lower(text), 'sch')) AND NOT contains(lower(text), 'ciado')")
@@ -243,7 +254,7 @@ def doc_snippet(spark, d):
 _NWORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))"
 
 
-@query(f"SELECT doc_id, floor(CASE WHEN {_NWORDS} > 0 THEN least(40.0, CAST({_counts('text')} AS DOUBLE) / {_NWORDS} * 2000) ELSE 0.0 END * 10 + 0.5) / 10.0 AS score FROM documents")
+@query(f"SELECT doc_id, {_rounded('x')} AS score FROM (SELECT doc_id, CAST(CASE WHEN {_NWORDS} > 0 THEN least(40.0, CAST({_counts('text')} AS DOUBLE) / {_NWORDS} * 2000) ELSE 0.0 END AS DOUBLE) x FROM documents)")
 def doc_relevance(spark, d):
     hits = sum((K.occurrences(F.col("text"), t) for t in TERMS[1:]), K.occurrences(F.col("text"), TERMS[0]))
     no = F.lit(False)
@@ -298,12 +309,13 @@ def doc_near_dup_leaders(spark, d):
     return D.first_kept(_t(spark, d, "documents"))
 
 
-_PRINT = "CAST(('0x' || substr(md5(CAST(c_custkey % 700 AS VARCHAR)), 1, 15)) AS BIGINT)"
+# eight customers share a fingerprint in which the k-th of them has its own k bits flipped
+_PRINT = "xor(CAST(('0x' || substr(md5(CAST(c_custkey // 8 AS VARCHAR)), 1, 15)) AS BIGINT), ((CAST(1 AS BIGINT) << CAST(c_custkey % 8 AS INT)) - 1) << 13)"
 
 
 @query(f"SELECT a.c_custkey AS a, b.c_custkey AS b, CAST(bit_count(xor(a.p, b.p)) AS BIGINT) AS distance FROM (SELECT c_custkey, {_PRINT} p FROM customer) a JOIN (SELECT c_custkey, {_PRINT} p FROM customer) b ON a.c_custkey < b.c_custkey AND bit_count(xor(a.p, b.p)) <= 3")
 def hamming_pairs(spark, d):
-    value = F.conv(F.substring(F.md5((F.col("c_custkey") % 700).cast("string")), 1, 15), 16, 10).cast("bigint")
+    value = F.conv(F.substring(F.md5(F.expr("CAST(c_custkey DIV 8 AS STRING)")), 1, 15), 16, 10).cast("bigint").bitwiseXOR(F.expr("shiftleft(shiftleft(1L, CAST(c_custkey % 8 AS INT)) - 1L, 13)"))
     return D.near_pairs(_t(spark, d, "customer").select(F.col("c_custkey").alias("id"), value.alias("simhash")))
 
 
@@ -609,13 +621,13 @@ def wp_json_map(spark, d):
     return feeds.wordpress_posts(_literal(spark, POSTS, "body")).select("url", "source", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), F.element_at("metadata", "id").alias("post_id"))
 
 
-_EDGES = "e AS (SELECT CAST(o_custkey % 97 AS VARCHAR) src, CAST((o_custkey * 7 + o_orderkey % 3) % 97 AS VARCHAR) dst FROM orders GROUP BY 1, 2)"
+_EDGES = "e AS (SELECT CAST(o_custkey AS VARCHAR) src, CAST(o_custkey + 1 + o_orderkey % 97 AS VARCHAR) dst FROM orders GROUP BY 1, 2)"
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r(url, depth) AS (SELECT '1', CAST(0 AS BIGINT) UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY url")
+@query(f"WITH RECURSIVE {_EDGES}, r(url, depth) AS (SELECT '1', CAST(0 AS BIGINT) UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url")
 def bfs_depth(spark, d):
-    edges = _t(spark, d, "orders").select((F.col("o_custkey") % 97).cast("string").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 97).cast("string").alias("dst")).distinct()
-    return feeds.breadth_first(edges, spark.createDataFrame([("1",)], "url string"), 3)
+    edges = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("src"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 97).cast("string").alias("dst")).distinct()
+    return feeds.breadth_first(edges, spark.createDataFrame([("1",)], "url string"), 4)
 
 
 CONFIG = [(1, "https://a.com", "A"), (2, "notaurl", "B"), (3, "https://a.com", "C"), (4, None, "D"), (5, "https://old.com", "E"), (6, "https://new.com", "")]

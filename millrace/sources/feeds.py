@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 import re
 import xml.etree.ElementTree as ET
 from urllib.robotparser import RobotFileParser
@@ -43,11 +43,20 @@ def sitemap(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_sitemap(d) for d in data], columns=["kind", "entries"])
 
 
+#: Bytes that a packed sitemap may unpack to; larger ones are unknown.
+MOST_SITEMAP = 64 << 20
+
+
 def parse_sitemap(data: bytes | None) -> tuple[str, list[dict]]:
     try:
-        raw = gzip.decompress(data) if data and data[:2] == b"\x1f\x8b" else data or b""
+        raw = data or b""
+        if raw[:2] == b"\x1f\x8b":
+            unpack = zlib.decompressobj(31)
+            raw = unpack.decompress(raw, MOST_SITEMAP)
+            if unpack.unconsumed_tail:
+                return "unknown", []
         root = ET.fromstring(raw)
-    except (ET.ParseError, OSError, EOFError, ValueError):
+    except (ET.ParseError, OSError, EOFError, ValueError, zlib.error):
         return "unknown", []
     local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
     kind = local(root) if local(root) in ("urlset", "sitemapindex") else "unknown"
@@ -106,26 +115,27 @@ def json_records(body: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(F.when(body.rlike(r"^\s*\["), body), schema), *[F.from_json(F.when(F.get_json_object(body, p).rlike(r"^\s*\["), F.get_json_object(body, p)), schema) for p in paths])
 
 
-def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
-    """Adds allowed to pages (host, url) by the robots texts of hosts (host, body); hosts without one allow all."""
+def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = "*", salts: int = 64) -> DataFrame:
+    """host, url and allowed of pages (host, url) by the robots texts of hosts (host, body); hosts without one allow all.
+
+    A host's pages are judged in salted groups, so no group grows with the host, and its rules go once to each group.
+    """
 
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
+    def judge(group: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         rules = RobotFileParser()
-        body = group["body"].iloc[0]
-        rules.parse((body or "").splitlines())
-        group["allowed"] = [True if not body else rules.can_fetch(agent, u) for u in group["url"]]
-        return group[["host", "url", "allowed"]]
+        body = next((b for b in texts["body"] if b), "")
+        rules.parse(body.splitlines())
+        return pd.DataFrame({"host": group["host"], "url": group["url"], "allowed": [not body or rules.can_fetch(agent, u) for u in group["url"]]})
 
-    joined = pages.select("host", "url").join(robots.select("host", "body"), "host", "left")
-    # a host's pages are judged in salted groups: no group grows with the host
-    salted = joined.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(64)))
-    return salted.groupBy("host", "salt").applyInPandas(lambda g: judge(g), "host string, url string, allowed boolean")
+    dealt = pages.select("host", "url", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("salt"))
+    texts = robots.select("host", "body", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return dealt.groupBy("host", "salt").cogroup(texts.groupBy("host", "salt")).applyInPandas(judge, "host string, url string, allowed boolean")
 
 
 def capped(rows: DataFrame, order: list[Column], n: int) -> tuple[DataFrame, bool]:
-    """The first n rows of an order, and whether there are more."""
-    some = rows.orderBy(*order).limit(n + 1)
-    return rows.orderBy(*order).limit(n), some.count() > n
+    """The first n rows of an order, and whether there are more; rows are sorted once."""
+    some = written(rows.orderBy(*order).limit(n + 1), "capped")
+    return some.orderBy(*order).limit(n), some.count() > n
 
 
 STRATEGIES: dict = {}

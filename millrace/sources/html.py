@@ -161,19 +161,39 @@ def _published(root: Node, meta: dict, articles: list[dict]) -> str | None:
     return None
 
 
+# fixed values: what names of containers say, tags that are none, and names and targets of search fields
+GOOD_NAMES = ("content", "article", "post", "body", "entry", "main", "story", "text")
+BAD_NAMES = ("menu", "nav", "sidebar", "footer", "header", "comment", "widget", "ad-", "ads", "share", "social", "banner", "cookie")
+NO_CONTAINERS = ("script", "style", "nav", "footer", "header", "aside", "noscript", "form")
+SEARCH_NAMES = re.compile(r"\b(search|query|q|find|keyword|keywords|s|term|terms|text|buscar|suche)\b", re.I)
+SEARCH_TARGETS = re.compile(r"(search|find|query|results|buscar|suche|zoeken|/?s=|/?q=)", re.I)
+
+
+def _length(n: Node) -> int:
+    """Characters of all strings below, a space between them, without those at the ends; scripts and styles have none."""
+    out: list[str] = []
+    todo = list(reversed(n.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag not in ("script", "style", "template"):
+            todo += reversed(c.children)
+    return len(" ".join(out).strip())
+
+
 def _score(n: Node) -> float:
     """How much a container looks like the article."""
-    text = n.text(_TECHNICAL)
-    if n.tag in ("nav", "footer", "header", "aside"):
+    if n.tag in NO_CONTAINERS:
         return -1000.0
-    if len(text) < 30:
+    size = _length(n)
+    if size < 30:
         return -100.0
-    linked = sum(len(a.text()) for a in n.all("a"))
-    name = (n.attrs.get("class", "") + " " + n.attrs.get("id", "")).lower()
-    good = sum(w in name for w in ("article", "content", "post", "story", "main", "body", "entry"))
-    bad = sum(w in name for w in ("sidebar", "comment", "footer", "menu", "related", "advert", "promo", "share", "nav", "cookie"))
-    bonus = 600 if n.tag in ("article", "main") else 150 if n.tag == "section" else 0
-    return 50.0 * len(n.all("p")) + 0.1 * len(text) + bonus + 200 * good - 400 * bad - (500 if linked > 0.5 * len(text) else 0)
+    if sum(map(_length, n.all("a"))) > 0.5 * size:
+        return -500.0
+    name = f"{n.attrs.get('id', '')} {' '.join(n.attrs.get('class', '').split())}".lower()
+    named = 200.0 * sum(w in name for w in GOOD_NAMES) - 400.0 * sum(w in name for w in BAD_NAMES)
+    return 50.0 * len(n.all("p")) + 0.1 * size + {"article": 600.0, "main": 600.0, "section": 150.0}.get(n.tag, 0.0) + named
 
 
 def container(root: Node) -> Node:
@@ -229,9 +249,9 @@ def markdown(box: Node, stop: Node | None = None) -> str:
             elif c.tag == "blockquote":
                 out.append("\n".join("> " + s for s in c.text().split("\n")))
             elif c.tag in ("ul", "ol"):
-                out.append("\n".join((f"{i}. " if c.tag == "ol" else "- ") + li.text() for i, li in enumerate([x for x in c.children if isinstance(x, Node) and x.tag == "li"], 1)))
+                out.append("\n".join(("1. " if c.tag == "ol" else "- ") + li.text() for li in c.children if isinstance(li, Node) and li.tag == "li"))
             elif c.tag == "table":
-                rows = _table(c)
+                rows = [[x.replace("|", "\\|") for x in r] for r in _table(c)]
                 if rows:
                     out.append("\n".join(["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0]), *("| " + " | ".join(r) + " |" for r in rows[1:])]))
             elif c.tag == "p":
@@ -317,21 +337,19 @@ def search_form(root: Node, base: str) -> dict | None:
     """The form most likely to search the site; the first of equals, none below two points."""
     best, most = None, 1
     for form in root.all("form"):
-        named = " ".join(form.attrs.get(k, "") for k in ("id", "class", "role", "name")).lower()
-        inputs = form.all("input")
-        points = 3 * ("search" in form.attrs.get("action", "").lower()) - 2 * (form.attrs.get("method", "get").lower() == "post") + 2 * ("search" in named)
-        field = None
-        for i in inputs:
-            kind, name = i.attrs.get("type", "text").lower(), i.attrs.get("name", "").lower()
-            if kind == "password":
-                points -= 10
-            if kind == "search":
-                points, field = points + 5, i
-            elif kind == "text" and name in ("q", "s", "query", "search", "keyword", "keywords"):
-                points, field = points + 3, field or i
-        if field is not None and field.attrs.get("name") and points > most:
-            hidden = {i.attrs["name"]: i.attrs.get("value", "") for i in inputs if i.attrs.get("type", "").lower() == "hidden" and i.attrs.get("name")}
-            best, most = {"action": urljoin(base, form.attrs.get("action", "")), "input": field.attrs["name"], "hidden": hidden}, points
+        get = form.attrs.get
+        points = 3 * bool(SEARCH_TARGETS.search(get("action", ""))) - 2 * (get("method", "").lower() == "post")
+        points += 2 * sum(bool(SEARCH_NAMES.search(get(k, ""))) for k in ("role", "class", "id", "aria-label"))
+        fields = []
+        for i in form.all("input"):
+            kind = i.attrs.get("type", "").lower() or "text"
+            worth = 5 if kind == "search" else 3 if kind == "text" and any(SEARCH_NAMES.search(i.attrs.get(k, "")) for k in ("name", "id", "placeholder")) else 0
+            points += worth
+            fields += [i] if worth else []
+        if fields and points > most:
+            hidden = {i.attrs["name"]: i.attrs.get("value", "") for i in form.all("input") if i.attrs.get("type", "").lower() == "hidden" and i.attrs.get("name")}
+            name = fields[0].attrs.get("name") or fields[0].attrs.get("id") or "q"
+            best, most = {"action": urljoin(base, get("action", "")), "input": name, "hidden": hidden}, points
     return best
 
 
@@ -362,9 +380,9 @@ def extract(html: str | None, url: str | None) -> dict:
     image = meta.get("og:image") or meta.get("twitter:image") or next((n.attrs.get("href") for n in root.all("link") if n.attrs.get("rel") == "image_src"), None)
     image = image or next((n.attrs["src"] for n in root.all("img") if n.attrs.get("src") and not any(w in n.attrs["src"].lower() for w in (".gif", "logo", "icon", "avatar"))), None)
     return {
-        "title": named or meta.get("og:title") or h1,
+        "title": (named or meta.get("og:title") or h1 or "Untitled")[:200],
         "description": meta.get("description") or meta.get("og:description"),
-        "author": _author(root, meta, articles),
+        "author": (_author(root, meta, articles) or "Unknown")[:100],
         "lang": re.split("[-_]", tag)[0].lower() if tag else None,
         "published": _published(root, meta, articles),
         "image": urljoin(base, image) if image else None,

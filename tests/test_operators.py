@@ -18,7 +18,7 @@ def test_keyword_lists():
     assert K.parse_keywords("5") == ["5"] and K.parse_keywords("  ") == []
 
 
-@pytest.mark.parametrize(("expression", "expected"), [("python AND fastapi", True), ("python AND ruby", False), ("fastapi OR ruby", True), ("python AND (fastapi OR ruby)", True), ("python AND NOT ruby", True), ("NOT php", True), ("python and", False), ('"fast api" OR python', True), ("ruby python", False)])
+@pytest.mark.parametrize(("expression", "expected"), [("python AND fastapi", True), ("python AND ruby", False), ("fastapi OR ruby", True), ("python AND (fastapi OR ruby)", True), ("python AND NOT ruby", True), ("NOT php", True), ("python and", False), ("python or", True), ("NOT", True), ("", False), ("(python", True), ('"fast api" OR python', True), ("ruby python", False)])
 def test_boolean(spark, expression, expected):
     df = spark.createDataFrame([("Python with FastAPI and Celery",)], "t string")
     assert df.select(K.parse_boolean(expression).match(F.col("t"))).first()[0] is expected
@@ -48,9 +48,9 @@ def test_analysis_without_terms(spark):
 
 def test_simhash_values():
     mask = (1 << 64) - 1
-    assert format(D.simhash_value("The quick brown fox jumps over the lazy dog and runs away happily.") & mask, "x") == "1ad043f190521a37"
-    assert format(D.simhash_value("A completely different text that has absolutely nothing in common with the quick brown fox.") & mask, "x") == "16f2030c107ada16"
-    assert D.simhash_value("short") is None
+    assert format(D.simhash_values(["The quick brown fox jumps over the lazy dog and runs away happily."])[0] & mask, "x") == "1ad043f190521a37"
+    assert format(D.simhash_values(["A completely different text that has absolutely nothing in common with the quick brown fox."])[0] & mask, "x") == "16f2030c107ada16"
+    assert D.simhash_values(["short", None, "!?" * 40]) == [None] * 3
 
 
 def test_near_pairs_are_complete(spark):
@@ -127,7 +127,7 @@ def test_extract(spark):
     assert [(v.src, v.type) for v in e.videos] == [("https://e.com/v.mp4", "html5"), ("https://www.youtube.com/embed/1", "youtube")]
     assert e.search_form.input == "q" and e.search_form.hidden == {"l": "en"} and e.next_page == "https://e.com/a/?page=2"
     assert "# Story" in e.markdown and "- one" in e.markdown and "](" not in e.markdown
-    assert r[1].e.title is None
+    assert r[1].e.title == "Untitled"
 
 
 def test_decoded(spark):
@@ -172,3 +172,74 @@ def test_stream_equals_batch(spark, tmp_path):
     out = S.run_once(S.progress(S.event_stream(spark, str(tmp_path / "in")), late="400 days"), "progress", "complete")
     key = lambda r: (str(r.window_start), r.event_type, r.n, round(r.total, 6))
     assert sorted(map(key, out.collect())) == sorted(map(key, S.progress(events).collect()))
+
+
+def test_boolean_terms_are_all_words():
+    assert K.boolean_terms('alpha beta AND NOT "two words" or x') == ["alpha", "beta", "two words", "x"]
+
+
+def test_container_scores():
+    score = lambda s: html._score(html.parse(s).children[0])
+    text = "x" * 50
+    assert score(f"<nav>{text}</nav>") == score(f"<form>{text}</form>") == -1000 and score("<div>short</div>") == -100
+    assert score(f"<div><a href='/'>{text}</a> and</div>") == -500
+    assert score(f"<div>{text}<script>{text}</script></div>") == 5.0
+    assert score(f"<article class='Main-Content' id='post'><p>{text}</p></article>") == 50 + 5 + 600 + 600
+    assert score(f"<section class='ads share'>{text}</section>") == 5 + 150 - 800
+
+
+def test_search_form_points():
+    form = lambda s: html.search_form(html.parse(s), "https://e.com/x")
+    assert form('<form action="/login" method="post"><input name="user"><input type="password" name="pass"></form>') is None
+    assert form('<form><input placeholder="Search here"></form>')["input"] == "q"
+    assert form('<form role="search" class="q"><input id="find-box"></form>') == {"action": "https://e.com/x", "input": "find-box", "hidden": {}}
+    both = form('<form action="/a"><input name="s"></form><form action="/search" aria-label="search"><input type="search" name="k"><input type="hidden" name="t" value="1"></form>')
+    assert both == {"action": "https://e.com/search", "input": "k", "hidden": {"t": "1"}}
+
+
+def test_defaults_and_cuts_of_heads():
+    assert (html.extract("", "")["title"], html.extract("", "")["author"]) == ("Untitled", "Unknown")
+    page = f"<title>{'t' * 300}</title><meta name=author content={'a' * 150}>"
+    assert [len(html.extract(page, "")[k]) for k in ("title", "author")] == [200, 100]
+
+
+def test_packed_sitemaps_have_a_bound(monkeypatch):
+    import gzip
+
+    body = b"<urlset><url><loc>https://a.com/1</loc></url></urlset>"
+    assert feeds.parse_sitemap(gzip.compress(body))[1][0]["loc"] == "https://a.com/1"
+    monkeypatch.setattr(feeds, "MOST_SITEMAP", 20)
+    assert feeds.parse_sitemap(gzip.compress(body)) == ("unknown", [])
+
+
+def test_robots(spark):
+    pages = spark.createDataFrame([("a.com", f"https://a.com/{p}/{i}") for i in range(40) for p in ("x", "no")] + [("b.com", "https://b.com/no/1")], "host string, url string")
+    robots = spark.createDataFrame([("a.com", "User-agent: *\nDisallow: /no/"), ("c.com", "x")], "host string, body string")
+    found = feeds.robots_allowed(pages, robots).collect()
+    assert len(found) == 81 and all(r.allowed == ("a.com/no" not in r.url) for r in found)
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    """Sessions, first events and spacing of a stream that lands in several files, against the same rows at once."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts").limit(600).collect()
+    schema = S.EVENTS
+    for k in range(3):
+        spark.createDataFrame([tuple(r) for r in rows[k * 200 : (k + 1) * 200]], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = spark.createDataFrame([tuple(r) for r in rows], schema)
+    stream = lambda: S.event_stream(spark, str(tmp_path / "in"))
+    last = max(r.ts for r in rows)
+    from datetime import timedelta
+
+    closed = lambda found: {(r.user_id, r.session_start, r.n) for r in found if r.session_end < last - timedelta(hours=3)}
+    streamed = closed(S.run_once(S.sessions(stream()), "sessions_once").collect())
+    assert streamed and streamed == closed(S.sessions(batch).collect())
+    first = S.run_once(S.first_events(stream(), ["user_id", "event_type"], late="1000 days"), "first_once").collect()
+    assert sorted((r.user_id, r.event_type) for r in first) == sorted({(r.user_id, r.event_type) for r in rows})
+    spaced = {r.event_id: r.start_at for r in S.run_once(S.spaced(stream(), "user_id", 5000.0), "spaced_once").collect()}
+    expected, at = {}, {}
+    for r in rows:
+        t = r.ts.timestamp()
+        at[r.user_id] = max(t, at.get(r.user_id, float("-inf")) + 5000.0)
+        expected[r.event_id] = at[r.user_id]
+    assert set(spaced) == set(expected)
+    assert all(b >= a + 5000 - 1e-3 for u in at for a, b in itertools.pairwise(sorted(spaced[r.event_id] for r in rows if r.user_id == u)))
