@@ -6,10 +6,7 @@ most work is vectorised. Nothing here depends on a local path of the driver or a
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -18,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: list[str] = []
-
+from ..session import shared_folder
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set, read by Spark only (any store that Spark knows)."""
@@ -27,14 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="millrace-"))
-        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
-    return f"file://{_OWN_DIR[0]}"
+    """This application's folder in spark.checkpoint.dir, deleted when the driver ends; a temporary one where that is unset and the master local."""
+    return shared_folder(spark)
 
 
 @contextmanager
@@ -105,6 +95,23 @@ def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order, by sorting: numpy's own hashes them, which takes many times as long."""
+    ordered = np.sort(keys)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and each one's place among them."""
+    order = keys.argsort()
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], at
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]]) -> DataFrame:
     """mapInArrow with a function per task: make() is called once in each task."""
 

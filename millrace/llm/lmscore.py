@@ -18,7 +18,7 @@ symbol sequences that it holds, as it asks for the counts of its words.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_bucket, chunked, documents_of
-from .common import blob, collect_garbage, materialize, release, slices, texts_of
+from .common import blob, collect_garbage, distinct, materialize, ranked, release, slices, texts_of
 
 SYMBOLS = 64
 #: Contexts of up to DENSE symbols are counted in one array, longer ones up to DEPTH by key.
@@ -74,10 +74,12 @@ class SuffixTree:
 
     def grams(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """At each byte the symbol and the five before it, the oldest in the highest digit, and whether its context may have a longer state."""
-        s = self.symbol[data].astype(np.int64)
-        gram = s.copy()
-        for k in range(1, DEPTH + 1):
-            gram[k:] |= s[:-k] << (6 * k)
+        one = self.symbol[data].astype(np.int64)
+        two = one.copy()
+        two[1:] |= one[:-1] << 6
+        gram = two.copy()
+        gram[2:] |= two[:-2] << 12
+        gram[4:] |= two[:-4] << 24
         four = gram >> 6 & _FOUR
         return gram, (self.open4[four >> 3] >> (four & 7).astype(np.uint8) & 1).astype(bool)
 
@@ -150,7 +152,7 @@ def _longer_counts(docs: DataFrame, tree) -> DataFrame:
     """Counts (gram, n) of the longest contexts with their next symbol, where contexts of more than three symbols may be retained."""
 
     def merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        value, where = np.unique(np.concatenate(values), return_inverse=True)
+        value, where = ranked(np.concatenate(values))
         return value, np.bincount(where, np.concatenate(counts), len(value)).astype(np.int64)
 
     def run(batches):
@@ -212,8 +214,8 @@ def fit_suffix_tree(docs: DataFrame) -> SuffixTree:
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the sum of n of each, and each row's place among them."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, n, len(distinct)), at
+    known, at = ranked(keys)
+    return known, np.bincount(at, n, len(known)), at
 
 
 def longer_states(gram: np.ndarray, n: np.ndarray, tree: SuffixTree) -> dict[str, np.ndarray]:
@@ -291,35 +293,40 @@ def _asked(rows: DataFrame, tree, n_buckets: int) -> DataFrame:
 
     def ask(table):
         found = documents_of(table)
-        known, buckets = _distinct_words(found, n_buckets)
+        number, ids = _numbered(found)
+        known = np.zeros(len(number), np.int64)  # training counts
+        for (doc, _), own in zip(found, ids):
+            if not held_out(doc):
+                np.add.at(known, own, 1)
+        buckets = by_bucket(number, n_buckets)
         texts = [t for _, t in found]
         grams = [np.zeros(0, np.int64)]
         for lo, hi in slices(np.array([len(t) for t in texts], np.int64), _STEP):
             gram, ok = tree.value.grams(_buffer(texts[lo:hi])[0])
-            grams.append(np.unique(gram[ok]))
-        parts = _by_gram_bucket(np.unique(np.concatenate(grams)), n_buckets)
+            grams.append(distinct(gram[ok]))
+        parts = _by_gram_bucket(distinct(np.concatenate(grams)), n_buckets)
         chunk = table.column("chunk")[0].as_py()
         return pa.table({
             "kind": pa.array([0] * len(buckets) + [1] * len(parts), pa.int32()),
             "chunk": pa.array([chunk] * (len(buckets) + len(parts)), pa.int32()),
             "bucket": pa.array([*buckets, *(b for b, _ in parts)], pa.int32()),
             "keys": pa.array([b"\n".join(own) for own in buckets.values()] + [_packed_grams(g) for _, g in parts], pa.binary()),
-            "counts": pa.array([np.array([known[w] for w in own], np.int32).tobytes() for own in buckets.values()] + [b""] * len(parts), pa.binary()),
+            "counts": pa.array([known[[number[w] for w in own]].astype(np.int32).tobytes() for own in buckets.values()] + [b""] * len(parts), pa.binary()),
         })
 
     return materialize(rows.groupBy("chunk").applyInArrow(ask, "kind int, chunk int, bucket int, keys binary, counts binary"), "asked")
 
 
-def _distinct_words(found: list, n_buckets: int) -> tuple[Counter, dict[int, list[bytes]]]:
-    """A chunk's words in a fixed order, by bucket, and their training counts. The end is the empty word."""
-    known: Counter = Counter()
-    for doc, text in found:
-        words = [*words_of(text), b""]
-        if held_out(doc):
-            known.update(dict.fromkeys(words, 0))
-        else:
-            known.update(words)
-    return known, by_bucket(known, n_buckets)
+def _numbered(found: list) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """Numbers of a chunk's distinct words, in the order they come, and each document's words as numbers. The end is the empty word."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    ids = []
+    for _, text in found:
+        words = words_of(text)
+        words.append(b"")
+        ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+    return number, ids
 
 
 def _by_gram_bucket(gram: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -392,20 +399,18 @@ def score(docs: DataFrame) -> DataFrame:
         if not docs_table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in _RESULT.items()})
         found = documents_of(docs_table)
-        _, buckets = _distinct_words(found, n_buckets)
-        count: dict[bytes, int] = {}
+        number, words = _numbered(found)
+        buckets = by_bucket(number, n_buckets)
+        count = np.zeros(len(number))
         answer: dict[int, np.ndarray] = {}
         for kind, bucket, values in zip(*(answers_table.column(x).to_pylist() for x in ("kind", "bucket", "values"))):
             if kind:
                 answer[bucket] = np.frombuffer(values, np.float32)
             else:
-                count.update(zip(buckets[bucket], np.frombuffer(values, np.int64).tolist()))
-        out: list[list] = [[] for _ in range(4)]
-        for (_, text), spelled in zip(found, _spelled([t for _, t in found], tree.value, answer, n_buckets)):
-            words = [*words_of(text), b""]
-            c = np.array([count[w] for w in words], np.float64)
-            for column, value in zip(out, (len(words), int((c > 0).sum()), float((np.log10(c + 1)).sum() - len(words) * np.log10(n + v + 1)), spelled)):
-                column.append(value)
+                count[[number[w] for w in buckets[bucket]]] = np.frombuffer(values, np.int64)
+        known, each = count > 0, np.log10(count + 1) - np.log10(n + v + 1)
+        spelled = _spelled([t for _, t in found], tree.value, answer, n_buckets)
+        out = [[len(w) for w in words], [int(known[w].sum()) for w in words], [float(each[w].sum()) for w in words], spelled]
         ids = [d for d, _ in found]
         values = (ids, [held_out(d) for d in ids], out[0], out[1], [n] * len(ids), out[2], out[3])
         return pa.table({k: pa.array(x, t) for (k, t), x in zip(_RESULT.items(), values)})
@@ -416,16 +421,16 @@ def score(docs: DataFrame) -> DataFrame:
 
 def _spelled(texts: list[bytes], tree: SuffixTree, answer: dict[int, np.ndarray], n_buckets: int) -> list[float]:
     """log10 probability of each text of a chunk, with the buckets' answers for its sequences."""
-    parts, distinct = [], [np.zeros(0, np.int64)]
+    parts, found = [], [np.zeros(0, np.int64)]
     for lo, hi in slices(np.array([len(t) for t in texts], np.int64), _STEP):
         data, starts = _buffer(texts[lo:hi])
         gram, ok = tree.grams(data)
-        value = tree.short(gram).astype(np.float64) + tree.extra[data]
-        own, at = np.unique(gram[ok], return_inverse=True)
-        value[ok] -= tree.short(own)[at]
-        parts.append((data, starts, value, ok, own, at.astype(np.int32)))
-        distinct.append(own)
-    every = np.unique(np.concatenate(distinct))
+        value = tree.extra[data]
+        value[~ok] += tree.short(gram[~ok])
+        own, at = ranked(gram[ok])
+        parts.append((data, starts, value, ok, own, at))
+        found.append(own)
+    every = distinct(np.concatenate(found))
     logp = np.zeros(len(every))
     for bucket, own in _by_gram_bucket(every, n_buckets):
         logp[np.searchsorted(every, own)] = answer[bucket]
