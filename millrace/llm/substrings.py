@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunked, documents_of
-from .common import blob, collect_garbage, materialize
+from .common import blob, collect_garbage, distinct, materialize, ranked
 from .neardup import _mix, word_hashes
 
 WINDOW, ANCHOR = 20, 8
@@ -78,10 +78,10 @@ class _Chunk:
 
     def buckets(self, n: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
         """Distinct anchor hashes by bucket, in order, and all of them sorted; buckets are ranges of the hash."""
-        distinct = np.unique(self.hash)
-        own = _bucket(distinct, n)
+        known = distinct(self.hash)
+        own = _bucket(known, n)
         at = np.flatnonzero(np.diff(own, prepend=-1))
-        return [(int(own[a]), distinct[a:b]) for a, b in zip(at, np.append(at[1:], len(distinct)))], distinct
+        return [(int(own[a]), known[a:b]) for a, b in zip(at, np.append(at[1:], len(known)))], known
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -103,10 +103,10 @@ def repeated_windows(docs: DataFrame, hot: int = HOT, fan: int = FAN) -> tuple[D
 
     def ask(table):
         chunk = _Chunk(table)
-        parts, distinct = chunk.buckets(n_buckets)
+        parts, known = chunk.buckets(n_buckets)
         # an anchor occurs as often as there are places it stands at
         at = np.flatnonzero(np.diff(chunk.anchor, prepend=-1)) if len(chunk.anchor) else np.zeros(0, np.int64)
-        count = np.minimum(np.bincount(np.searchsorted(distinct, chunk.hash[at]), minlength=len(distinct)), 255).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
+        count = np.minimum(np.bincount(np.searchsorted(known, chunk.hash[at]), minlength=len(known)), 255).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
         out, lo = [], 0
         for bucket, own in parts:
             out.append((bucket, {"hashes": blob(own), "counts": blob(count[lo : lo + len(own)])}))
@@ -118,7 +118,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT, fan: int = FAN) -> tuple[D
         chunks = table.column("chunk").to_pylist()
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()])
-        value, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        value, inverse = ranked(np.concatenate(hashes))
         total = np.bincount(inverse, counts, len(value))
         kind = ((total > 1).astype(np.uint8) + (total > hot))[inverse]
         lo, out = 0, []
@@ -134,10 +134,10 @@ def repeated_windows(docs: DataFrame, hot: int = HOT, fan: int = FAN) -> tuple[D
         if not left.num_rows:
             return _group_rows([], [])
         chunk = _Chunk(left)
-        parts, distinct = chunk.buckets(n_buckets)
+        parts, known = chunk.buckets(n_buckets)
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("again").to_pylist()))
         kind = np.concatenate([np.frombuffer(answers[b], np.uint8) for b, _ in parts]) if parts else np.zeros(0, np.uint8)
-        kind = kind[np.searchsorted(distinct, chunk.hash)] if len(distinct) else kind
+        kind = kind[np.searchsorted(known, chunk.hash)] if len(known) else kind
         # stretches: runs of neighbouring windows with one anchor, or single windows of a hot one
         run = np.flatnonzero((np.diff(chunk.anchor, prepend=-1) != 0) | (kind == 2)) if len(kind) else np.zeros(0, np.int64)
         ends = np.append(run[1:], len(chunk.anchor)) if len(run) else run
@@ -212,7 +212,7 @@ def _suffix_array(words: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[
         cur = ranks[-1]
         pair = cur * (int(cur.max()) + 1)
         pair[: len(cur) - depth] += cur[depth:]
-        ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+        ranks.append(ranked(pair)[1].astype(np.int64))
         depth *= 2
     whole = np.append(ranks[-1], 0)
     order = np.lexsort((whole[np.minimum(at + 16, len(words))], whole[at]))
