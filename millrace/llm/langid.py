@@ -122,9 +122,11 @@ def fit_language_model(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE,
             label = np.array(langs, np.int64)
             for doc, h in _ngrams(data, bounds, bins):
                 both = np.bincount(label[doc] * bins + h, minlength=0)
-                for k in np.unique(label[doc]):
-                    own = total.setdefault(int(k), np.zeros(bins, np.int64))
+                for k in range(len(languages)):
                     part = both[k * bins : (k + 1) * bins]
+                    if not part.any():
+                        continue
+                    own = total.setdefault(k, np.zeros(bins, np.int64))
                     own[: len(part)] += part
         for k, own in total.items():
             at = np.flatnonzero(own)

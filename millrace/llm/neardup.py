@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, blob, materialize, release, texts_of
+from .common import batch_rows, blob, distinct, materialize, release, texts_of
 from .decontaminate import words_of
 
 SHINGLE = 5
@@ -424,7 +424,7 @@ class _Side:
 def _links_of_tile(a: _Side, b: _Side, least: float) -> list[tuple[int, int]]:
     """One linked pair for each two classes that the tile joins, without those that others imply."""
     # shared weights, as products over the features that both sides have
-    both = np.intersect1d(a.feature, b.feature)
+    both = np.intersect1d(distinct(a.feature), distinct(b.feature), assume_unique=True)
     shared = np.zeros((len(a.node), len(b.node)), np.float32)
     columns = []
     for side in (a, b):
