@@ -14,7 +14,8 @@ from ..functions import urls as U
 from ..operators import jobs as J
 from ..operators import keywords as K
 from ..operators import quality as Q
-from ..sources import html
+from ..sources import discovery as D
+from ..sources import html, sinks
 from . import records as R
 from .catalog import _literal, _t, _values, query
 
@@ -355,3 +356,96 @@ _FIELD = r"regexp_extract(html, '{0}', 1)"
 def page_head_fields(spark, d):
     e = html.extracted(F.col("html"), F.col("url"))
     return _t(spark, d, "pages").select("page_id", e.alias("e")).select("page_id", "e.title", "e.lang", "e.author")
+
+
+# ---- discovery and configuration -------------------------------------------------------------
+
+
+@query("SELECT event_id AS id, 'https://s.com/x/y/' || CAST(event_id AS VARCHAR) AS url FROM events WHERE event_id BETWEEN (SELECT max(event_id) FROM events) - 189 AND (SELECT max(event_id) FROM events) AND event_id % 3 > 0 AND (event_id % 5 = 0 OR ts >= TIMESTAMP '2024-01-10')")
+def discovery_id_walk(spark, d):
+    events = _t(spark, d, "events")
+    landed = events.where("event_id % 3 > 0").select(F.concat(F.lit("https://s.com/x/y/"), F.col("event_id").cast("string")).alias("url"), F.when(F.col("event_id") % 5 > 0, F.col("ts").cast("timestamp")).alias("published_at"))
+    newest = events.agg(F.max("event_id")).first()[0] + 10
+    return D.id_walk(spark, landed, "https://s.com/x/y/{id}", newest, since=F.lit("2024-01-10").cast("timestamp")).select("id", "url")
+
+
+_SERIES = "s AS (SELECT 'https://n.com/' || CAST(c_nationkey AS VARCHAR) || '/news/' || lpad(CAST(c_custkey % 50 AS VARCHAR), 3, '0') AS url, c_nationkey, c_custkey % 50 AS n FROM customer)"
+
+
+@query(f"WITH {_SERIES}, m AS (SELECT c_nationkey, max(n) n FROM s GROUP BY 1) SELECT 'https://n.com/' || CAST(c_nationkey AS VARCHAR) || '/news/' || lpad(CAST(n + i AS VARCHAR), 3, '0') AS url, n + i AS n FROM m, (SELECT unnest(generate_series(1, 120)) i)")
+def discovery_tail_probes(spark, d):
+    url = F.concat(F.lit("https://n.com/"), F.col("c_nationkey").cast("string"), F.lit("/news/"), F.lpad((F.col("c_custkey") % 50).cast("string"), 3, "0"))
+    return D.tail_probes(_t(spark, d, "customer").select(url.alias("url"))).select("url", "n")
+
+
+SEEDED = [(1, '[{"url": "https://a.com/news/sea-1", "status": "valid", "head_data": {"title": "The sea", "jsonld": [{"datePublished": "bad"}, {"datePublished": "2024-01-15T00:00:00"}]}}, {"url": "https://a.com/news/x", "status": "not_valid"}]'), (2, '[{"url": "https://b.com/news/y", "relevance_score": 0.5}, {"url": "https://a.com/list/9"}, {"url": "https://a.com/news/old", "head_data": {"jsonld": [{"datePublished": "2020-01-01"}]}}, {"url": "https://a.com/blog/z"}, {"url": "https://a.com/news/last", "relevance_score": 2}]'), (3, "broken")]
+
+
+@query("SELECT * FROM (VALUES ('https://a.com/news/sea-1', 'The sea', '2024-01-15', 2.0::DOUBLE), ('https://a.com/news/last', NULL, NULL, 2.0)) AS t(url, title, published, relevance_score)")
+def discovery_seeder_rows(spark, d):
+    rows = D.seeder_rows(_literal(spark, SEEDED, "id, body"), U.host_in_scope(F.col("url"), "a.com"), "sea", [r"/list/"], since=F.lit("2023-01-01").cast("timestamp"), prefix="/news")
+    return rows.select("url", "title", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "relevance_score")
+
+
+@query(r"SELECT url, CAST((length(url) - length(replace(url, 'a', ''))) AS DOUBLE) AS relevance_score FROM (SELECT DISTINCT url FROM pages) WHERE NOT regexp_matches(url, '/[a-m][^/]*/[^/]*$') ORDER BY relevance_score DESC, url LIMIT 25")
+def discovery_sitemap_strategy(spark, d):
+    entries = _t(spark, d, "pages").select(F.col("url").alias("loc"), F.lit(None).cast("string").alias("lastmod"))
+    return D.sitemap_strategy(entries, F.lit(True), "a", 25, listing=[r"/[a-m][^/]*/[^/]*$"]).select("url", "relevance_score")
+
+
+_BULK = [("https://a.com, A , g1\n\n  https://b.com\nhttps://c.com,,,news,fr,my note\n",)]
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'https://a.com', 'A', 'g1', 'site', 'en', ''), (3, 'https://b.com', 'https://b.com', 'general', 'site', 'en', ''), (4, 'https://c.com', 'https://c.com', 'general', 'news', 'fr', 'my note')) AS t(line, url, label, \"group\", type, language, notes)")
+def config_bulk_lines(spark, d):
+    return D.bulk_lines(_literal(spark, _BULK, "text"), group="general", type="site", language="en")
+
+
+@query("SELECT page_id, link, CAST(min(pos) AS BIGINT) AS pos FROM (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos, CASE WHEN starts_with(unnest(hrefs), '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || unnest(hrefs) ELSE unnest(hrefs) END AS link FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) hrefs FROM pages)) WHERE regexp_matches(link, '[0-9]') GROUP BY 1, 2")
+def discovery_topic_search(spark, d):
+    from . import pages as P
+
+    return D.topic_search(P.links(_t(spark, d, "pages")).select("page_id", "pos", "link"), F.lit(True), ["[0-9]"])
+
+
+@query("""WITH t AS (SELECT user_id AS search, CAST(floor(event_id / 400) AS BIGINT) AS page, event_id AS pos, 'https://r.com/' || CAST(event_id % 40 AS VARCHAR) AS url FROM events), l AS (SELECT search, page, list(url ORDER BY pos) urls FROM t GROUP BY 1, 2),
+ e AS (SELECT *, row_number() OVER w nth, lag(urls) OVER w prev FROM l WINDOW w AS (PARTITION BY search ORDER BY page)), k AS (SELECT *, sum(CASE WHEN urls = prev THEN 1 ELSE 0 END) OVER (PARTITION BY search ORDER BY page) ended FROM e),
+ u AS (SELECT search, page, unnest(urls) url, generate_subscripts(urls, 1) i FROM k WHERE ended = 0 AND nth <= 5), f AS (SELECT search, url, min(page * 1000000 + i) o FROM u GROUP BY 1, 2)
+ SELECT search, url, place FROM (SELECT search, url, row_number() OVER (PARTITION BY search ORDER BY o, url) place FROM f) WHERE place <= 200""")
+def discovery_search_loop(spark, d):
+    rows = _t(spark, d, "events").select(F.col("user_id").alias("search"), F.floor(F.col("event_id") / 400).alias("page"), F.col("event_id").alias("pos"), F.concat(F.lit("https://r.com/"), (F.col("event_id") % 40).cast("string")).alias("url"))
+    return D.search_loop(rows)
+
+
+_LINES = [(1, "https://a.com", None), (2, "x", "missing field"), (3, "y", "duplicate"), (4, "z", "duplicate"), (5, "w", None)]
+
+
+@query("SELECT CAST(2 AS BIGINT) AS added, CAST(3 AS BIGINT) AS skipped, 'line 2: missing field; line 3: duplicate' AS errors")
+def config_summary(spark, d):
+    return sinks.summary(_literal(spark, _LINES, "line, url, reason"), 2).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || CAST(n_nationkey AS VARCHAR) ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey % 7 > 0")
+def config_update_delete(spark, d):
+    nation = _t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    changes = nation.where("n_nationkey % 4 = 0").select("n_nationkey", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("n_name"))
+    return sinks.removed(sinks.updated(nation, "n_nationkey", changes), "n_nationkey", nation.where("n_nationkey % 7 = 0"))
+
+
+@query(f"WITH {_STORED} SELECT md5(url) AS record_id, domain AS source_name, url, coalesce(title, '') AS title, 'sea, navy' AS keywords, 'sea, navy' AS tags, '' AS pdf_link, coalesce(image_url, '') AS image_links, domain AS organization, '2024-01-20T12:00:00' AS scraped_date FROM r")
+def archive_records(spark, d):
+    rows = _stored(spark, d).select("url", F.col("domain").alias("source_name"), F.coalesce("title", F.lit("")).alias("title"), "author", "language", F.col("full_content").alias("full_text"), F.array_compact(F.array("image_url", "image_url")).alias("image_urls"), F.array().cast("array<string>").alias("video_urls"))
+    return R.archive_rows(rows, ["sea", "navy"], _now()).select("record_id", "source_name", "url", "title", "keywords", "tags", "pdf_link", "image_links", "organization", "scraped_date")
+
+
+@query(f"WITH {_STORED} SELECT id, coalesce(title, 'T' || CAST(id AS VARCHAR)) AS title, 'someone' AS author FROM r")
+def metadata_enriched(spark, d):
+    rows = _stored(spark, d).select("id", "title", "author")
+    second = rows.select("id", F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"), F.lit("someone").alias("author"))
+    return R.enriched(rows, second, "id", ["title", "author"])
+
+
+@query()
+def page_clean_text(spark, d):
+    c = html.clean_text(F.col("html"))
+    return _t(spark, d, "pages").select("page_id", c.alias("c")).select("page_id", "c.*")

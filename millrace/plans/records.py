@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
-from ..operators.classify import country_region, language_name, sentiment, subject_theme
+from ..operators.classify import content_type, country_region, language_name, sentiment, source_type, subject_theme
 
 # fixed values: the names of export columns by column, what an empty one holds, and groups that lists begin with
 EXPORT_NAMES = {
@@ -76,6 +76,24 @@ def sink_rows(rows: DataFrame, keyword: str, crawl_id: Column, now: Column) -> D
     )
 
 
+def archive_rows(rows: DataFrame, keywords: Sequence[str], now: Column) -> DataFrame:
+    """The 19 fields of an archived page, from url, source_name, title, author, language, full_text, image_urls and video_urls."""
+    names = F.lit(", ".join(keywords))
+    text = F.col("full_text")
+    return rows.select(
+        F.md5("url").alias("record_id"), "source_name", source_type(F.col("url")).alias("source_type"), "title", "url", F.date_format(now, _ISO).alias("publication_date"), "author", content_type(F.col("url"), F.col("title")).alias("content_type"),
+        subject_theme(F.col("title"), text).alias("subject_theme"), country_region(F.col("title"), text).alias("country_region"), language_name(F.col("language")).alias("language"), names.alias("keywords"), "full_text", names.alias("tags"),
+        F.when(F.lower("url").endswith(".pdf"), F.col("url")).otherwise("").alias("pdf_link"), F.array_join(F.array_distinct("image_urls"), ", ").alias("image_links"), F.array_join(F.array_distinct("video_urls"), ", ").alias("video_links"), F.col("source_name").alias("organization"), F.date_format(now, _ISO).alias("scraped_date"),
+    )
+
+
+def enriched(rows: DataFrame, second: DataFrame, key: str, fields: Sequence[str] = ("author", "title", "description", "published")) -> DataFrame:
+    """rows with fields that are missing filled from a second extractor's."""
+    other = second.select(key, *[F.col(f).alias(f"_second_{f}") for f in fields])
+    joined = rows.join(other, key, "left")
+    return joined.select(*[F.coalesce(F.nullif(c, F.lit("")), f"_second_{c}").alias(c) if c in fields else F.col(c) for c in rows.columns])
+
+
 def listed(rows: DataFrame, q: str = "", status: str = "", exclude_duplicates: bool = False, fields: Sequence[str] = ("title", "url", "domain")) -> DataFrame:
     """Rows with q in one of the fields, in any case, with the status, and without duplicates where asked."""
     if q.strip():

@@ -212,6 +212,52 @@ def _stop_node(box: Node) -> Node | None:
     return None
 
 
+# fixed values: tags that hold no text of an article, by how strict the cleaning is, and names of boxes beside it
+TECHNICAL_TAGS = frozenset("script style noscript svg form button input select option".split())
+BOILERPLATE_TAGS = TECHNICAL_TAGS | frozenset("nav footer header aside iframe".split())
+BESIDE = re.compile("cookie|banner|popup|modal|ad-wrapper|advertisement|sidebar|widget|share-|social-|nav-|menu|toc|navigation|prev-next|left-menu|right-menu|header|footer|aside|breadcrumb|toolbar|comment|meta", re.I)
+
+
+def cleaned(box: Node, strict: bool) -> Node:
+    """A copy of a container without tags of no text; strict: nor boilerplate, nor boxes named as beside the article. It ends at the stop node."""
+    tags, stop = BOILERPLATE_TAGS if strict else TECHNICAL_TAGS, _stop_node(box)
+    ended = False
+
+    def copy(n: Node, parent: Node | None) -> Node:
+        nonlocal ended
+        out = Node(n.tag, n.attrs, parent)
+        for c in n.children:
+            ended = ended or c is stop
+            if ended:
+                break
+            if isinstance(c, str):
+                out.children.append(c)
+            elif c.tag not in tags and not (strict and (BESIDE.search(c.attrs.get("id", "")) or BESIDE.search(c.attrs.get("class", "")))):
+                out.children.append(copy(c, out))
+        return out
+
+    return copy(box, None)
+
+
+def best_cleaned(box: Node) -> tuple[Node, float]:
+    """The strictly cleaned container, or the safely cleaned one where that keeps under 95 % of its text; and the share kept."""
+    size = lambda n: len(re.sub(r"\s", "", n.text(_TECHNICAL)))
+    strict, safe = cleaned(box, True), cleaned(box, False)
+    kept = size(strict) / max(1, size(safe))
+    return (strict if kept >= LEAST_RETENTION else safe), kept
+
+
+def article_text(root: Node) -> str:
+    """Headings and paragraphs, a blank line between, up to a heading or short paragraph after which there is no article."""
+    out: list[str] = []
+    for n in root.all(*_HEADINGS, "p"):
+        text = n.text()
+        if (n.tag in _HEADINGS or len(text) < 80) and _STOP.match(text):
+            break
+        out += [text] if text else []
+    return "\n\n".join(out)
+
+
 def _inline(n: Node) -> str:
     out = []
     for c in n.children:
@@ -409,6 +455,18 @@ def extracted(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(h, u) for h, u in zip(html, url)], columns=list(extract("", "")))
 
 
+@arrow_udf("clean string, kept double, full_text string")
+def clean_text(html: pd.Series) -> pd.DataFrame:
+    """The container's text after cleaning, the share that strict cleaning keeps, and the archive's text of headings and paragraphs."""
+
+    def one(page: str | None) -> tuple[str, float, str]:
+        root = parse(page or "")
+        node, kept = best_cleaned(container(root))
+        return node.text(_TECHNICAL), kept, article_text(root)
+
+    return pd.DataFrame([one(h) for h in html], columns=["clean", "kept", "full_text"])
+
+
 @arrow_udf("string")
 def decoded(data: pd.Series, charset: pd.Series) -> pd.Series:
     """Page bytes as text: the header's charset, else the page's own, else UTF-8; Chinese sets read as GB18030."""

@@ -91,3 +91,52 @@ def validated(new: DataFrame, existing: DataFrame, key: str, required: Sequence[
     nth = F.row_number().over(Window.partitionBy(key, "_ok").orderBy(order))
     reason = F.when(missing, "missing field").when(bad, "invalid format").when(nth > 1, "duplicate in batch").when(F.col("_k").isNotNull(), "duplicate")
     return rows.withColumn("reason", reason).drop("_k", "_ok")
+
+
+def summary(checked: DataFrame, first: int = 5) -> DataFrame:
+    """added, skipped and the first errors, in order of their lines, of validated rows."""
+    bad = F.col("reason").isNotNull()
+    errors = F.array_sort(F.collect_list(F.when(bad, F.struct("line", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("reason")).alias("text")))))
+    counted = checked.agg(F.count_if(~bad).alias("added"), F.count_if(bad).alias("skipped"), errors.alias("e"))
+    return counted.select("added", "skipped", F.transform(F.slice("e", 1, first), lambda x: x["text"]).alias("errors"))
+
+
+def updated(config: DataFrame, key: str, changes: DataFrame) -> DataFrame:
+    """config with the non-null columns of changes put into the rows of the same key."""
+    new = changes.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key])
+    rows = config.join(new, key, "left")
+    return rows.select(*[F.coalesce(f"_new_{c}", c).alias(c) if f"_new_{c}" in new.columns else F.col(c) for c in config.columns])
+
+
+def removed(config: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    return config.join(keys.select(key).distinct(), key, "left_anti").select(config.columns)
+
+
+def relabelled(groups: DataFrame, group: str, label: str) -> DataFrame:
+    """groups (group, label) with a group's label set; a new group is added."""
+    own = groups.sparkSession.createDataFrame([(group, label)], "group string, label string")
+    return groups.where(F.col("group") != group).select("group", "label").unionByName(own)
+
+
+NEWS_COLUMNS = "keyword string, title string, url string, source string, author string, published_date timestamp, scraped_date timestamp, language string, country string, summary string, content string, sentiment string, category string, image_url string, crawl_id string, status string, created_at timestamp, updated_at timestamp"
+
+
+def ensure_table(spark, name: str, columns: str = NEWS_COLUMNS, partition: str = "category") -> None:
+    """The sink's table if there is none. What indexes would serve is partitioned: readers prune by it."""
+    space = name.rpartition(".")[0]
+    if space:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {space}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING PARQUET PARTITIONED BY ({partition})")
+
+
+def self_test(spark, folder: str) -> bool:
+    """Whether a row written below a folder is read back as it was; the row is deleted again."""
+    import uuid
+
+    path, mark = f"{folder.rstrip('/')}/self-test-{uuid.uuid4().hex}", uuid.uuid4().hex
+    spark.createDataFrame([(mark, 1)], "url string, n int").write.parquet(path)
+    try:
+        return [tuple(r) for r in spark.read.parquet(path).collect()] == [(mark, 1)]
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

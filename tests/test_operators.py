@@ -7,7 +7,7 @@ import pytest
 from millrace.functions import text as T
 from millrace.operators import dedup as D
 from millrace.operators import keywords as K
-from millrace.sources import feeds, html, sinks
+from millrace.sources import discovery, feeds, html, sinks
 from millrace.streaming import progress as S
 from pyspark.sql import functions as F
 
@@ -243,3 +243,65 @@ def test_streams_equal_batches(spark, tmp_path):
         expected[r.event_id] = at[r.user_id]
     assert set(spaced) == set(expected)
     assert all(b >= a + 5000 - 1e-3 for u in at for a, b in itertools.pairwise(sorted(spaced[r.event_id] for r in rows if r.user_id == u)))
+
+
+def test_cleaning():
+    page = "<article><h1>T</h1><script>x()</script><div class='cookie-note'>accept</div><p>" + "word " * 60 + "</p><form>f</form><h2>Related stories</h2><p>other</p></article>"
+    box = html.parse(page).all("article")[0]
+    strict, safe = html.cleaned(box, True).text(), html.cleaned(box, False).text()
+    assert "accept" not in strict and "accept" in safe and all("x()" not in t and "other" not in t and " f" not in t for t in (strict, safe))
+    node, kept = html.best_cleaned(box)
+    assert 0.95 < kept < 1 and "accept" not in node.text()
+    lean = html.parse("<div><div class='sidebar'>" + "aside " * 40 + "</div><p>short</p></div>")
+    assert "aside" in html.best_cleaned(lean)[0].text()
+    assert html.article_text(html.parse(page)) == "T\n\n" + " ".join(["word"] * 60)
+
+
+def test_search_urls(spark):
+    rows = [("https://e.com/a", "/find?x=1&q=old", "q", "south sea~*", {"t": "1"}), ("https://e.com/a?b=2", "", "s", "k", None)]
+    df = spark.createDataFrame(rows, "base string, action string, name string, keyword string, hidden map<string,string>")
+    assert [r[0] for r in df.select(discovery.built_search_url("base", "action", "name", "keyword", "hidden")).collect()] == ["https://e.com/find?x=1&q=south+sea~%2A&t=1", "https://e.com/a?b=2&s=k"]
+
+
+def test_probes_end_at_the_first_gap(spark):
+    urls = spark.createDataFrame([("https://e.com/news/98",), ("https://e.com/news/7",)], "url string")
+    landed = spark.createDataFrame([(f"https://e.com/news/{k}",) for k in (99, 100, 101, 103)], "url string")
+    assert sorted(r.n for r in discovery.beyond_index(urls, landed).collect()) == [99, 100, 101]
+
+
+def test_strategies_that_fail_give_way(spark):
+    good = lambda d: spark.createDataFrame([(f"https://{d}/1",)], "url string")
+
+    def bad(d):
+        raise ValueError("no page")
+
+    rows, errors = discovery.dispatched({"a.com": "good", "b.com": "bad", "c.com": "unknown"}, {"good": good, "bad": bad}, good)
+    assert sorted(r.domain for r in rows.collect()) == ["a.com", "b.com", "c.com"] and errors == ["b.com: bad: no page", "c.com: no strategy 'unknown'"]
+
+
+def test_config_files(spark, tmp_path):
+    sinks.write_config(str(tmp_path / "urls.json"), {"urls": [{"url": "https://b.com", "group": "china"}, {"url": "x"}, {"url": "https://a.com"}], "groups": {}})
+    entries = discovery.config_entries(spark, str(tmp_path / "urls.json"), "urls")
+    assert discovery.flattened(entries, "url", "\n", "^http").first()[0] == "https://b.com\nhttps://a.com"
+
+
+def test_sink_table(spark, tmp_path):
+    sinks.ensure_table(spark, "news_test")
+    sinks.ensure_table(spark, "news_test")
+    assert spark.table("news_test").columns[-1] == "category" and sinks.self_test(spark, str(tmp_path)) and not list(tmp_path.iterdir())
+    spark.sql("DROP TABLE news_test")
+
+
+def test_first_kept_against_the_rule(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(120):
+        text = f"t{rng.randrange(25)}"
+        rows.append((k, text, rng.choice([7, 7 ^ 1, 7 ^ 6, 7 ^ 0b111100, 1 << 40, rng.getrandbits(60)])))
+    kept, expected = [], {}
+    for k, text, p in rows:
+        twin = any(t == text or bin(q ^ p).count("1") <= 3 for t, q in kept)
+        expected[k] = twin
+        kept += [] if twin else [(text, p)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, p bigint")
+    assert {r.doc_id: r.is_duplicate for r in D.first_kept(df, print_column="p").collect()} == expected
