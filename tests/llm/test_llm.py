@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tokenizers
+import xxhash
 from millrace.llm import chunks, decontaminate, jpeg, langid, lmscore, media, neardup, packing, rangecoder, secrets, sharding, substrings, tokenfile, tokens
 from millrace.llm.common import table
 
@@ -342,6 +343,19 @@ def test_shards(docs):
     assert all((r.size, r.text_crc32) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id])) for r in rows)
 
 
+def test_shards_against_a_plain_sort(docs):
+    """Shards in order hold the rows in order of hash and id, cut where the bytes are an eighth more, as near as whole rows allow."""
+    key = lambda r: (xxhash.xxh64(r.text.encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64)
+    texts = docs.collect()
+    ordered = sorted(texts, key=lambda r: (key(r), r.doc_id))
+    found = sorted(sharding.shard_by_bytes(docs).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in found] == [r.doc_id for r in ordered]
+    total, largest, at = sum(r.size for r in found), max(r.size for r in found), 0
+    for k in range(1, 8):
+        at = sum(r.size for r in found if r.shard < k)
+        assert abs(at - total * k / 8) <= largest
+
+
 def test_a_hot_text_is_split(spark):
     rows = sharding.shard_by_bytes(spark.range(2000).selectExpr("id AS doc_id", "'the same text' AS text")).collect()
     assert max(Counter(r.shard for r in rows).values()) - min(Counter(r.shard for r in rows).values()) <= 2
@@ -470,6 +484,24 @@ def test_packing(docs):
     assert len(at) <= 1.06 * -(-sum(at.values()) // 1024) + 2
 
 
+@pytest.mark.parametrize("limit", [1, 2, 7, 1000])
+def test_best_fit_against_a_plain_model(limit):
+    """Equal sizes and equal free spaces included: of equals, the bin that has been so longest."""
+    rng = random.Random(limit)
+    bins, opened, clock, made = packing.BestFit(64, limit), [], itertools.count(), itertools.count()
+    for _ in range(3000):
+        size = rng.choice([1, 8, 8, 16, 30, 33, 63, 64, rng.randint(1, 64)])
+        fits = [b for b in opened if b["free"] >= size]
+        if not fits and len(opened) >= limit:
+            opened.remove(min(opened, key=lambda b: (b["free"], b["since"])))
+        chosen = min(fits, key=lambda b: (b["free"], b["since"])) if fits else {"id": next(made), "free": 64}
+        expected = (chosen["id"], 64 - chosen["free"])
+        opened = [b for b in opened if b is not chosen]
+        chosen |= {"free": chosen["free"] - size, "since": next(clock)}
+        opened += [chosen] if chosen["free"] else []
+        assert bins.add(size) == expected
+
+
 def test_range_coder():
     rng = np.random.default_rng(3)
     for ids in (rng.integers(0, 50257, 9000), np.zeros(5), np.tile(np.arange(70), 130), rng.zipf(1.3, 13_000) % 50_000):
