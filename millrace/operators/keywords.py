@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,6 +188,41 @@ def round_score(score: Column) -> Column:
     return let(score, decide)
 
 
+#: From so many terms on a text is scanned once for all of them; an automaton of more characters than this is refused.
+MANY, MOST_CHARACTERS = 40, 8 << 20
+
+
+def counter_of(terms: list[str], case_sensitive: bool = False):
+    """A function of a text Column: how often each term is in it, without overlaps, from one pass over the text."""
+    if sum(map(len, terms)) > MOST_CHARACTERS:
+        raise ValueError(f"the terms have over {MOST_CHARACTERS} characters")
+    wanted = terms if case_sensitive else [t.lower() for t in terms]
+
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton, places = ahocorasick.Automaton(), {}
+        for i, t in enumerate(wanted):
+            places.setdefault(t, []).append(i)
+        for t, own in places.items():
+            if t:
+                automaton.add_word(t, (len(t), own))
+        automaton.make_automaton()
+        for batch in texts:
+            out = []
+            for text in batch:
+                n, ends = [0] * len(wanted), {}
+                for end, (size, own) in automaton.iter(text if case_sensitive else text.lower()) if len(automaton) else ():
+                    if end - size >= ends.get(own[0], -1):
+                        ends[own[0]] = end
+                        for i in own:
+                            n[i] += 1
+                out.append(n)
+            yield pd.Series(out)
+
+    return F.pandas_udf(count, "array<bigint>")
+
+
 def analysis(df, terms: list[str], title="title", description="description", body="body", url="url", exact=False, case_sensitive=False, expression: str | None = None):
     """Adds found_in_*, occurrences, matched_keywords, matched, snippet and relevance_score to pages.
 
@@ -196,20 +233,24 @@ def analysis(df, terms: list[str], title="title", description="description", bod
         return df.withColumns({"occurrences": F.lit(0).cast("bigint"), "matched_keywords": F.array().cast("array<string>"), "matched": F.lit(True), "snippet": F.left(fields["body"], F.lit(150)), "relevance_score": F.lit(100.0)})
     parsed = parse_boolean(expression) if expression else None
     terms = boolean_terms(expression) if parsed else terms
-    n = {k: [occurrences(c, t, exact, case_sensitive) for t in terms] for k, c in fields.items()}
+    scanned = len(terms) > MANY and not exact
+    if scanned:
+        scan = counter_of(terms, case_sensitive)
+        df = df.withColumns({f"_n_{k}": scan(c) for k, c in fields.items()})
+    n = {k: [] if scanned else [occurrences(c, t, exact, case_sensitive) for t in terms] for k, c in fields.items()}
     total = lambda cs: sum(cs[1:], cs[0])
-    hits = {k: total(cs) for k, cs in n.items()}
-    named = F.array_compact(F.array(*[F.when(sum((n[k][i] for k in fields), F.lit(0)) > 0, F.lit(t)) for i, t in enumerate(terms)]))
+    hits = {k: F.aggregate(f"_n_{k}", F.lit(0).cast("bigint"), lambda a, x: a + x) if scanned else total(cs) for k, cs in n.items()}
+    named = F.array_compact(F.transform(F.array(*map(F.lit, terms)), lambda t, i: F.when(sum((F.get(f"_n_{k}", i) for k in fields), F.lit(0)) > 0, t))) if scanned else F.array_compact(F.array(*[F.when(sum((n[k][i] for k in fields), F.lit(0)) > 0, F.lit(t)) for i, t in enumerate(terms)]))
     if parsed:
         named, matched = F.array_sort(named), parsed.match(F.concat_ws("\n", *fields.values()), case_sensitive)
-    elif exact or case_sensitive or any(not t or "\n" in t for t in terms):
+    elif scanned or exact or case_sensitive or any(not t or "\n" in t for t in terms):
         matched = F.size(named) > 0
     else:
         # a filter on this reaches the scan, where each mention of a field would extract it anew: name each once
         matched = let(F.lower(F.concat_ws("\n", *fields.values())), lambda text: F.greatest(*(F.contains(text, F.lit(t.lower())) for t in terms), F.lit(False)))
     out = df.withColumns({f"found_in_{k}": c > 0 for k, c in hits.items()} | {"occurrences": hits["title"] + hits["description"] + hits["body"] + (hits["url"] > 0).cast("bigint"), "matched_keywords": named, "matched": matched, "snippet": snippet(fields["body"], terms), "_body_hits": hits["body"]})
     score = F.when(F.col("matched"), round_score(relevance(F.col("found_in_title"), F.col("found_in_description"), F.col("found_in_url"), F.col("_body_hits"), fields["body"]))).otherwise(0.0)
-    return out.withColumn("relevance_score", score).drop("_body_hits")
+    return out.withColumn("relevance_score", score).drop("_body_hits", *[f"_n_{k}" for k in fields])
 
 
 def any_keyword(text: Column, keywords: list[str]) -> Column:

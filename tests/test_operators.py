@@ -305,3 +305,15 @@ def test_first_kept_against_the_rule(spark):
         kept += [] if twin else [(text, p)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, p bigint")
     assert {r.doc_id: r.is_duplicate for r in D.first_kept(df, print_column="p").collect()} == expected
+
+
+def test_many_terms_are_counted_in_one_pass(spark, monkeypatch):
+    rng = random.Random(2)
+    words = ["sea", "seas", "ana", "banana", "aa", "Navy", "x y", "none"]
+    rows = [tuple("".join(rng.choice(["sea", "s", "an", "a", " ", "navy", "x y", "B"]) for _ in range(rng.randint(0, 20))) for _ in range(4)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "title string, description string, body string, url string")
+    for expression in (None, "sea AND NOT navy OR ana"):
+        plain = [tuple(r) for r in K.analysis(df, words, expression=expression).collect()]
+        monkeypatch.setattr(K, "MANY", 1)
+        assert [tuple(r) for r in K.analysis(df, words, expression=expression).collect()] == plain
+        monkeypatch.undo()
