@@ -76,6 +76,7 @@ def sitemap_urls(payloads: DataFrame, seeds: DataFrame, depth: int = 3) -> DataF
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """url and the least number of links (src, dst) from a seed, up to a depth. Each round is written out."""
+    edges = written(edges.select("src", "dst"), "links")  # every round reads them
     seen = written(seeds.distinct().select("url", F.lit(0).cast("bigint").alias("depth")), "seen")
     frontier = seen
     for d in range(1, depth + 1):
