@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings_of
+from .common import slices, strings_of
 
 BINS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -23,7 +23,8 @@ ORDERS = (1, 2, 3)
 TRAIN_PER_LANGUAGE = 4000
 #: The matrix that is broadcast may have at most so many bytes.
 MATRIX_LIMIT = 256 << 20
-_STEP = 1 << 18
+#: Characters that are hashed at once, and of the texts that are folded at once.
+_STEP, _TEXTS = 1 << 18, 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(128, 32, np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
@@ -75,13 +76,13 @@ class LanguageModel:
         """Language and its posterior probability for each text; ``und`` and 0 where there is no letter."""
         texts = [t or "" for t in texts]
         sums = np.zeros((len(texts), max(1, len(self.languages))))
-        if self.languages:
-            data, bounds = _buffer(texts)
+        for lo, hi in slices(list(map(len, texts)), _TEXTS) if self.languages else ():
+            data, bounds = _buffer(texts[lo:hi])
             for doc, h in _ngrams(data, bounds, len(self.matrix)):
                 if len(doc):
                     rows = self.matrix[h]
                     at = np.flatnonzero(np.diff(doc, prepend=-1))
-                    sums[doc[at]] += np.add.reduceat(rows, at, axis=0, dtype=np.float64)
+                    sums[lo + doc[at]] += np.add.reduceat(rows, at, axis=0, dtype=np.float64)
         best = sums.argmax(axis=1)
         odds = np.exp(sums - sums.max(axis=1, keepdims=True))
         score = odds[np.arange(len(texts)), best] / odds.sum(axis=1)
@@ -118,9 +119,8 @@ def fit_language_model(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE,
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             texts, langs = strings_of(batch.column("text")), [code[x] for x in batch.column("lang").to_pylist()]
-            data, bounds = _buffer(texts)
             label = np.array(langs, np.int64)
-            for doc, h in _ngrams(data, bounds, bins):
+            for doc, h in ((lo + doc, h) for lo, hi in slices(list(map(len, texts)), _TEXTS) for doc, h in _ngrams(*_buffer(texts[lo:hi]), bins)):
                 both = np.bincount(label[doc] * bins + h, minlength=0)
                 for k in range(len(languages)):
                     part = both[k * bins : (k + 1) * bins]
