@@ -1,7 +1,7 @@
 """The query of each operator, over its whole table with production parameters.
 
-None has SQL: regular spans with learned additions, trained models, sketches, codecs, hash sorts
-and bin packing are beyond SQL, so tests hold each against brute force, a round trip or held-out labels.
+Resampling has SQL. For the others (regular spans with learned additions, trained models, sketches, codecs,
+hash sorts, bin packing and tokenizers) SQL cannot, so tests hold each against brute force, a round trip or held-out labels.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lmscore, media, neardup, packing, secrets, sharding, substrings, tokenfile
+from . import align, decontaminate, importance, langid, lmscore, media, neardup, packing, secrets, sharding, substrings, tokenfile, voting
 from .common import table
 
 
@@ -58,10 +58,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(docs, langid.fit_language_model(docs))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return voting.quality(docs, voting.fit_quality_model(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_near_duplicates, op3_decontamination, op4_substring_dedup, op5_lm_scoring, op6_sharding, op7_media, op8_packing, op9_token_output, op10_language_id]
+    own = [op1_secret_scan, op2_near_duplicates, op3_decontamination, op4_substring_dedup, op5_lm_scoring, op6_sharding, op7_media, op8_packing, op9_token_output, op10_language_id, op11_alignment, op12_quality, op13_resampling]
     return {f.__name__: f for f in own}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_resampling": importance.RESAMPLE_SQL}
