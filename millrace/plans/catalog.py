@@ -36,13 +36,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import lifecycle  # noqa: F401  adds its queries
+    from . import landed, lifecycle  # noqa: F401  add their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lifecycle  # noqa: F401  adds its queries
+    from . import landed, lifecycle  # noqa: F401  add their queries
 
     return dict(ORACLE)
 

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
 
 from ..functions.lazy import arrow_udf
 from ..functions.text import STOP_PATTERNS
+from .dom import BLOCKS as _BLOCKS
+from .dom import Node, parse
 
 LEAST_BODY, LEAST_RETENTION = 200, 0.95
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOISE = frozenset("script style nav footer header aside noscript".split())
 _TECHNICAL = frozenset("script style noscript template svg iframe".split())
-_BLOCKS = frozenset("p div section article li tr h1 h2 h3 h4 h5 h6 blockquote pre ul ol table main body".split())
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _STOP = re.compile("|".join(f"(?:{p})" for p in STOP_PATTERNS), re.I)
 _PROVIDERS = (("youtube", ("youtube.com", "youtu.be")), ("vimeo", ("vimeo.com",)), ("loom", ("loom.com",)), ("wistia", ("wistia",)), ("brightcove", ("brightcove",)))
@@ -30,77 +29,6 @@ SCHEMA = (
 )
 
 
-class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def walk(self):
-        """Elements below, in document order."""
-        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while todo:
-            n = todo.pop()
-            yield n
-            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-
-    def all(self, *tags: str):
-        return [n for n in self.walk() if n.tag in tags]
-
-    def text(self, skip: frozenset = frozenset(), stop=None) -> str:
-        """Text below, a space between pieces; nothing of skipped tags, and nothing from a stop node on."""
-        out, todo = [], list(reversed(self.children))
-        while todo:
-            n = todo.pop()
-            if isinstance(n, str):
-                out.append(n)
-            elif n is stop:
-                break
-            elif n.tag not in skip:
-                todo += reversed(n.children)
-        return " ".join(" ".join(out).split())
-
-    def __contains__(self, other: Node) -> bool:
-        while other is not None:
-            if other is self:
-                return True
-            other = other.parent
-        return False
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        n = self.at
-        while n is not self.root and n.tag != tag:
-            n = n.parent
-        if n is not self.root:
-            self.at = n.parent
-
-    def handle_data(self, data):
-        if data:
-            self.at.children.append(data)
-
-
-def parse(html: str) -> Node:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
-
-
 def _meta(root: Node) -> dict[str, str]:
     out: dict[str, str] = {}
     for n in root.all("meta"):
@@ -115,8 +43,8 @@ def _json_ld(root: Node) -> list:
     for n in root.all("script"):
         if n.attrs.get("type", "").lower() == "application/ld+json":
             try:
-                out.append(json.loads("".join(c for c in n.children if isinstance(c, str))))
-            except ValueError:
+                out.append(json.loads(n.raw()))
+            except (ValueError, RecursionError):
                 continue
     return out
 
@@ -135,6 +63,9 @@ def _articles(value):
             todo += reversed(list(v.values()))
 
 
+_BYLINE = re.compile("author|byline|writer", re.I)
+
+
 def _author(root: Node, meta: dict, articles: list[dict]) -> str | None:
     for a in articles:
         who = a.get("author")
@@ -146,7 +77,7 @@ def _author(root: Node, meta: dict, articles: list[dict]) -> str | None:
         if meta.get(key):
             return meta[key]
     for n in root.walk():
-        if re.search("author|byline|writer", n.attrs.get("class", "") + " " + n.attrs.get("id", ""), re.I):
+        if n.attrs and _BYLINE.search(n.attrs.get("class", "") + " " + n.attrs.get("id", "")) and n.text_length() < 200:
             name = re.sub(r"^(by|posted by)\s+", "", n.text(), flags=re.I).strip()
             if 0 < len(name) < 100:
                 return name
@@ -169,45 +100,47 @@ SEARCH_NAMES = re.compile(r"\b(search|query|q|find|keyword|keywords|s|term|terms
 SEARCH_TARGETS = re.compile(r"(search|find|query|results|buscar|suche|zoeken|/?s=|/?q=)", re.I)
 
 
-def _length(n: Node) -> int:
-    """Characters of all strings below, a space between them, without those at the ends; scripts and styles have none."""
-    out: list[str] = []
-    todo = list(reversed(n.children))
-    while todo:
-        c = todo.pop()
-        if isinstance(c, str):
-            out.append(c)
-        elif c.tag not in ("script", "style", "template"):
-            todo += reversed(c.children)
-    return len(" ".join(out).strip())
-
-
 def _score(n: Node) -> float:
     """How much a container looks like the article."""
     if n.tag in NO_CONTAINERS:
         return -1000.0
-    size = _length(n)
+    size = n.length()
     if size < 30:
         return -100.0
-    if sum(map(_length, n.all("a"))) > 0.5 * size:
+    if n.link_length() > 0.5 * size:
         return -500.0
     name = f"{n.attrs.get('id', '')} {' '.join(n.attrs.get('class', '').split())}".lower()
     named = 200.0 * sum(w in name for w in GOOD_NAMES) - 400.0 * sum(w in name for w in BAD_NAMES)
-    return 50.0 * len(n.all("p")) + 0.1 * size + {"article": 600.0, "main": 600.0, "section": 150.0}.get(n.tag, 0.0) + named
+    return 50.0 * n.count("p") + 0.1 * size + {"article": 600.0, "main": 600.0, "section": 150.0}.get(n.tag, 0.0) + named
 
 
 def container(root: Node) -> Node:
     """The best container; one whose paragraphs nearly all stand in a candidate inside it gives way to that one."""
-    found = [(s, n) for n in root.all("div", "section", "article", "main") if (s := _score(n)) > 100]
-    keep = [(s, n) for s, n in found if not any(m is not n and m in n and len(m.all("p")) >= 0.85 * max(1, len(n.all("p"))) for _, m in found)]
-    return max(keep, key=lambda x: x[0])[1] if keep else next(iter(root.all("body")), root)
+    best, most, inside = None, 0.0, []  # inside: open candidates, each with its score, paragraphs and the most paragraphs of one within it
+    found: list[list] = []
+    for n in root.all("div", "section", "article", "main"):
+        if (s := _score(n)) > 100:
+            while inside and inside[-1][0].end <= n.at:
+                inside.pop()
+            row = [n, s, n.count("p"), -1]
+            if inside:
+                inside[-1][3] = max(inside[-1][3], row[2])
+            inside.append(row)
+            found.append(row)
+    for n, s, paragraphs, within in found:
+        if within < 0.85 * max(1, paragraphs) and (best is None or s > most):
+            best, most = n, s
+    return best or root.first("body") or root
 
 
 def _stop_node(box: Node) -> Node | None:
-    for n in box.walk():
-        if n.tag in (*_HEADINGS, "p", "div", "section"):
-            t = n.text()
-            if (n.tag in _HEADINGS or len(t) < 80) and _STOP.search(t):
+    seen: dict[tuple[int, int], bool] = {}  # boxes in boxes often hold the same text
+    for n in box.all(*_HEADINGS, "p", "div", "section"):
+        if n.tag in _HEADINGS or n.text_length() < 80:
+            span = n.span()
+            if span not in seen:
+                seen[span] = bool(_STOP.search(n.text()))
+            if seen[span]:
                 return n
     return None
 
@@ -218,30 +151,39 @@ BOILERPLATE_TAGS = TECHNICAL_TAGS | frozenset("nav footer header aside iframe".s
 BESIDE = re.compile("cookie|banner|popup|modal|ad-wrapper|advertisement|sidebar|widget|share-|social-|nav-|menu|toc|navigation|prev-next|left-menu|right-menu|header|footer|aside|breadcrumb|toolbar|comment|meta", re.I)
 
 
-def cleaned(box: Node, strict: bool) -> Node:
-    """A copy of a container without tags of no text; strict: nor boilerplate, nor boxes named as beside the article. It ends at the stop node."""
-    tags, stop = BOILERPLATE_TAGS if strict else TECHNICAL_TAGS, _stop_node(box)
-    ended = False
+class Cleaned:
+    """What is left of a container: its items, in order."""
+
+    def __init__(self, box: Node, items: list[int]):
+        self.page, self.items = box.page, items
+
+    def text(self, skip: frozenset = frozenset()) -> str:
+        page, out, quiet = self.page, [], 0
+        for j in self.items:
+            if page.tags[j] in skip:
+                quiet = max(quiet, page.end[j])
+            elif page.tags[j] is None and j >= quiet:
+                out += page.pieces[page.pieces_before[j] : page.pieces_before[j + 1]]
+        return " ".join(out)
 
-    def copy(n: Node, parent: Node | None) -> Node:
-        nonlocal ended
-        out = Node(n.tag, n.attrs, parent)
-        for c in n.children:
-            ended = ended or c is stop
-            if ended:
-                break
-            if isinstance(c, str):
-                out.children.append(c)
-            elif c.tag not in tags and not (strict and (BESIDE.search(c.attrs.get("id", "")) or BESIDE.search(c.attrs.get("class", "")))):
-                out.children.append(copy(c, out))
-        return out
 
-    return copy(box, None)
+def cleaned(box: Node, strict: bool) -> Cleaned:
+    """A container without tags of no text; strict: nor boilerplate, nor boxes named as beside the article. It ends at the stop node."""
+    gone, stop, page = BOILERPLATE_TAGS if strict else TECHNICAL_TAGS, _stop_node(box), box.page
+    items, j, last = [], box.at + 1, stop.at if stop is not None else -1
+    while j < box.end and j != last:
+        tag, held = page.tags[j], page.held[j]
+        if tag is not None and (tag in gone or strict and (BESIDE.search(held.get("id", "")) or BESIDE.search(held.get("class", "")))):
+            j = page.end[j]
+            continue
+        items.append(j)
+        j += 1
+    return Cleaned(box, items)
 
 
-def best_cleaned(box: Node) -> tuple[Node, float]:
+def best_cleaned(box: Node) -> tuple[Cleaned, float]:
     """The strictly cleaned container, or the safely cleaned one where that keeps under 95 % of its text; and the share kept."""
-    size = lambda n: len(re.sub(r"\s", "", n.text(_TECHNICAL)))
+    size = lambda c: len("".join(c.text(_TECHNICAL).split()))
     strict, safe = cleaned(box, True), cleaned(box, False)
     kept = size(strict) / max(1, size(safe))
     return (strict if kept >= LEAST_RETENTION else safe), kept
@@ -258,73 +200,86 @@ def article_text(root: Node) -> str:
     return "\n\n".join(out)
 
 
+_MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+_NOT_INLINE = _TECHNICAL | _BLOCKS | {"img", "video", "picture", "audio", "figure"}
+_PLAIN_BOXES = ("div", "section", "article", "main", "body", "#root")
+_PASSED = (_BLOCKS | {"form", "figure", "span", "a", "html", "b", "i", "center"}) - _TECHNICAL - _NOISE
+
+
 def _inline(n: Node) -> str:
-    out = []
-    for c in n.children:
-        if isinstance(c, str):
-            out.append(re.sub(r"\s+", " ", c))
-        elif c.tag in ("b", "strong"):
-            out.append(f"**{_inline(c).strip()}**" if c.text() else "")
-        elif c.tag in ("i", "em"):
-            out.append(f"*{_inline(c).strip()}*" if c.text() else "")
-        elif c.tag == "code":
+    """Text below with its emphasis and code marked, without blocks and media."""
+    page, j = n.page, n.at + 1
+    open_marks: list[tuple[int, str, list[str]]] = [(n.end, "", [])]  # where each marked part ends, its mark, and what it holds
+    while True:
+        while j >= open_marks[-1][0]:
+            _, mark, held = open_marks.pop()
+            if not open_marks:
+                return "".join(held)
+            open_marks[-1][2].append(f"{mark}{''.join(held).strip()}{mark}")
+        tag, out = page.tags[j], open_marks[-1][2]
+        if tag is None:
+            out.append(re.sub(r"\s+", " ", page.held[j]))
+        elif tag in _MARKS:
+            c = Node(page, j)
+            if c.text_length():
+                open_marks.append((c.end, _MARKS[tag], []))
+            else:
+                j = c.end
+                continue
+        elif tag == "code":
+            c = Node(page, j)
             out.append(f"`{c.text()}`")
-        elif c.tag == "br":
+            j = c.end
+            continue
+        elif tag == "br":
             out.append("\n")
-        elif c.tag not in _TECHNICAL | {"img", "video", "picture", "audio", "figure"} and c.tag not in _BLOCKS:
-            out.append(_inline(c))
-    return "".join(out)
+        elif tag in _NOT_INLINE:
+            j = page.end[j]
+            continue
+        j += 1
+
+
+def _block(c: Node) -> str | None:
+    """Markdown of an element that is one block; None of those that only hold others."""
+    if c.tag in _HEADINGS:
+        return "#" * int(c.tag[1]) + " " + c.text().rstrip("¶§ ")
+    if c.tag == "pre":
+        return "```\n" + c.raw().strip("\n") + "\n```"
+    if c.tag == "blockquote":
+        return "\n".join("> " + s for s in c.text().split("\n"))
+    if c.tag in ("ul", "ol"):
+        return "\n".join(("1. " if c.tag == "ol" else "- ") + li.text() for li in c.children if isinstance(li, Node) and li.tag == "li")
+    if c.tag == "table":
+        rows = [[x.replace("|", "\\|") for x in r] for r in _table(c)]
+        return "\n".join(["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0]), *("| " + " | ".join(r) + " |" for r in rows[1:])]) if rows else ""
+    return None
 
 
 def markdown(box: Node, stop: Node | None = None) -> str:
     """The container as Markdown: text of links, no media; ends at the stop node."""
-    out: list[str] = []
-
-    def block(n: Node) -> bool:
-        for c in n.children:
-            if isinstance(c, str):
-                if n.tag in ("div", "section", "article", "main", "body", "#root") and c.strip():
-                    out.append(" ".join(c.split()))
-                continue
-            if c is stop:
-                return False
-            if c.tag in _HEADINGS:
-                out.append("#" * int(c.tag[1]) + " " + c.text().rstrip("¶§ "))
-            elif c.tag == "pre":
-                out.append("```\n" + "".join(x for x in _raw(c)).strip("\n") + "\n```")
-            elif c.tag == "blockquote":
-                out.append("\n".join("> " + s for s in c.text().split("\n")))
-            elif c.tag in ("ul", "ol"):
-                out.append("\n".join(("1. " if c.tag == "ol" else "- ") + li.text() for li in c.children if isinstance(li, Node) and li.tag == "li"))
-            elif c.tag == "table":
-                rows = [[x.replace("|", "\\|") for x in r] for r in _table(c)]
-                if rows:
-                    out.append("\n".join(["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0]), *("| " + " | ".join(r) + " |" for r in rows[1:])]))
-            elif c.tag == "p":
-                if s := _inline(c).strip():
-                    out.append(s)
-                if not block(c):
-                    return False
-            elif c.tag not in _TECHNICAL | _NOISE and c.tag in _BLOCKS | {"form", "figure", "span", "a", "html", "b", "i", "center"}:
-                if c.tag in ("span", "a", "b", "i") and not any(isinstance(x, Node) and x.tag in _BLOCKS for x in c.walk()):
-                    if n.tag != "p" and c.text():
-                        out.append(_inline(c).strip())
-                elif not block(c):
-                    return False
-        return True
-
-    block(box)
+    page, out, j, last = box.page, [], box.at + 1, stop.at if stop is not None else -1
+    while j < box.end and j != last:
+        tag = page.tags[j]
+        if tag is None:
+            if page.tags[page.parent[j]] in _PLAIN_BOXES and page.held[j].strip():
+                out.append(" ".join(page.held[j].split()))
+            j += 1
+            continue
+        c = Node(page, j)
+        j = c.end  # past it, but for those whose parts are blocks of their own
+        if (whole := _block(c)) is not None:
+            out.append(whole)
+        elif tag == "p":
+            out.append(_inline(c).strip())
+            j = c.at + 1
+        elif tag in ("span", "a", "b", "i") and not c.has_block():
+            if page.tags[page.parent[c.at]] != "p" and c.text_length():
+                out.append(_inline(c).strip())
+        elif tag in _PASSED:
+            j = c.at + 1
     return re.sub(r"\n{3,}", "\n\n", "\n\n".join(s for s in out if s.strip()))
 
 
-def _raw(n: Node):
-    for c in n.children:
-        if isinstance(c, str):
-            yield c
-        else:
-            yield from _raw(c)
-
-
 def _table(n: Node) -> list[list[str]]:
     return [[c.text() for c in r.all("td", "th")] for r in n.all("tr") if r.all("td", "th")]
 
@@ -399,13 +354,33 @@ def search_form(root: Node, base: str) -> dict | None:
     return best
 
 
+_PAGED = re.compile(r"[?&](?:page|p|pg|paged|start|offset)=\d+|/page/\d+", re.I)
+_NUMBER = re.compile(r"[?&](?:page|p|pg|paged)=(\d{1,6})(?:&|#|$)|/page/(\d{1,6})(?:[/?#]|$)", re.I)
+
+
+def _page_number(url: str) -> int:
+    """Which page of a listing a URL is; one without a number is the first."""
+    m = _NUMBER.search(url)
+    return int(m[1] or m[2]) if m else 1
+
+
+def _host(url: str) -> str:
+    return re.sub(r"^www\.", "", (re.match(r"(?:[^:/?#]+:)?//([^/?#]*)", url) or ("", ""))[1].lower())
+
+
 def next_page(root: Node, base: str) -> str | None:
+    """The next page of a listing: by rel, by the words of a link with a page number, or by a link that shows and has the next number."""
     for n in root.all("link", "a"):
         if "next" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href"):
             return urljoin(base, n.attrs["href"])
     for n in root.all("a"):
-        if n.text().lower() in ("next", ">", "»", "next page", "older") and re.search(r"[?&](?:page|p|pg|paged|start|offset)=\d+|/page/\d+", n.attrs.get("href", "")):
+        if n.text().lower() in ("next", ">", "»", "next page", "older", "forward") and _PAGED.search(n.attrs.get("href", "")):
             return urljoin(base, n.attrs["href"])
+    here = _page_number(base)
+    for n in root.all("a"):
+        href = urljoin(base, n.attrs.get("href", ""))
+        if n.text() == str(here + 1) and _page_number(href) == here + 1 and _host(href) == _host(base):
+            return href
     return None
 
 
@@ -439,7 +414,7 @@ def extract(html: str | None, url: str | None) -> dict:
         "paragraphs": _distinct([n.text() for n in box.all("p")]),
         "lists": _distinct([[x.text() for x in n.all("li")] for n in box.all("ul", "ol")]),
         "tables": _distinct([_table(n) for n in box.all("table")]),
-        "code": _distinct(["".join(_raw(n)).strip() for n in root.all("pre")]),
+        "code": _distinct([n.raw().strip() for n in root.all("pre")]),
         "quotes": _distinct([n.text() for n in root.all("blockquote")]),
         "links": links(root, base),
         "images": _images(root, base),
@@ -451,8 +426,15 @@ def extract(html: str | None, url: str | None) -> dict:
 
 @arrow_udf(SCHEMA)
 def extracted(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    """Struct of every field of a page, from one parse."""
-    return pd.DataFrame([extract(h, u) for h, u in zip(html, url)], columns=list(extract("", "")))
+    """Struct of every field of a page, from one parse; a page that cannot be read, as with an address that is none, has null fields."""
+    return pd.DataFrame([_extracted(h, u) for h, u in zip(html, url)], columns=list(extract("", "")))
+
+
+def _extracted(html: str | None, url: str | None) -> dict:
+    try:
+        return extract(html, url)
+    except Exception:  # noqa: BLE001  one page must not end the task of thousands
+        return {}
 
 
 @arrow_udf("clean string, kept double, full_text string")
@@ -467,21 +449,37 @@ def clean_text(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(h) for h in html], columns=["clean", "kept", "full_text"])
 
 
+# fixed values: names of Chinese charsets, all read as their superset, and those that servers send without knowing
+CHINESE = ("gb2312", "gbk", "gb18030", "csgb2312", "chinese", "xgbk", "gbk2312", "gb231280")
+UNSURE = ("iso88591", "windows1252", "latin1", "")
+_CHARSET = re.compile(rb"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([\w-]+)""")
+
+
+def _plain_name(name: str | None) -> str:
+    return re.sub("[-_]", "", (name or "").strip().lower())
+
+
+def page_text(raw: bytes, content_type: str | None) -> tuple[str, str]:
+    """Page bytes as text, and the charset they were read by: the header's, unless it says nothing or Latin
+    while the page itself names a Chinese one; without a header's the page's own, else UTF-8. Chinese sets are read as GB18030; unknown ones as UTF-8.
+    """
+    header = m[1] if (m := re.search(r"""(?i)charset\s*=\s*["']?\s*([\w-]+)""", content_type or "")) else ""
+    own = m[1].decode("latin-1") if (m := _CHARSET.search(raw[:4096])) else ""
+    chosen = header or own or "utf-8"
+    if _plain_name(header) in UNSURE and _plain_name(own) in CHINESE:
+        chosen = own
+    if _plain_name(chosen) in CHINESE:
+        chosen = "gb18030"
+    try:
+        return raw.decode(chosen, "replace"), chosen.lower()
+    except LookupError:
+        return raw.decode("utf-8", "replace"), "utf-8"
+
+
 @arrow_udf("string")
 def decoded(data: pd.Series, charset: pd.Series) -> pd.Series:
-    """Page bytes as text: the header's charset, else the page's own, else UTF-8; Chinese sets read as GB18030."""
-
-    def one(raw: bytes | None, name: str | None) -> str | None:
-        if raw is None:
-            return None
-        found = name or (m[1].decode("ascii") if (m := re.search(rb"""(?i)<meta[^>]+charset=["']?([\w-]+)""", raw[:4096])) else "utf-8")
-        found = "gb18030" if found.lower() in ("gb2312", "gbk", "gb18030", "gb_2312-80") else found
-        try:
-            return raw.decode(found, "replace")
-        except LookupError:
-            return raw.decode("utf-8", "replace")
-
-    return pd.Series([one(d, c) for d, c in zip(data, charset)])
+    """Page bytes as text by page_text, given the header's charset."""
+    return pd.Series([None if d is None else page_text(d, f"charset={c}" if c else None)[0] for d, c in zip(data, charset)])
 
 
 @arrow_udf("string")
