@@ -68,15 +68,20 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(999))
 
 
-def near_pairs(prints: DataFrame, value: str = "simhash", key: str = "id", most: int = NEAR) -> DataFrame:
-    """Pairs a < b of rows whose fingerprints differ in at most three bits: complete, by equi-joins on blocks."""
+def block_tables(value: str) -> list[Column]:
+    """The struct (t, v) of each table of blocks: number and key of a fingerprint column."""
+
     def block(start: int, width: int) -> Column:
         return F.shiftrightunsigned(F.shiftleft(F.col(value), 64 - start - width), 64 - width)
 
-    tables = [F.struct(F.lit(k).alias("t"), sum((block(*BLOCKS[b]) * (1 << 11 * i) for i, b in enumerate(c)), F.lit(0)).alias("v")) for k, c in enumerate(itertools.combinations(range(6), 3))]
+    return [F.struct(F.lit(k).alias("t"), sum((block(*BLOCKS[b]) * (1 << 11 * i) for i, b in enumerate(c)), F.lit(0).cast("bigint")).alias("v")) for k, c in enumerate(itertools.combinations(range(6), 3))]
+
+
+def near_pairs(prints: DataFrame, value: str = "simhash", key: str = "id", most: int = NEAR) -> DataFrame:
+    """Pairs a < b of rows whose fingerprints differ in at most three bits: complete, by equi-joins on blocks."""
     # written once: both sides of the join, and each table, would compute the fingerprints again
     known = written(prints.select(F.col(key).alias("id"), F.col(value).alias(value)), "prints")
-    rows = known.where(F.col(value).isNotNull()).select("id", F.col(value).alias("p"), F.explode(F.array(*tables)).alias("x")).select("id", "p", "x.t", "x.v")
+    rows = known.where(F.col(value).isNotNull()).select("id", F.col(value).alias("p")).select("id", "p", F.explode(F.array(*block_tables("p"))).alias("x")).select("id", "p", "x.t", "x.v")
     other = rows.select(F.col("id").alias("b"), F.col("p").alias("q"), "t", "v")
     differ = F.col("p").bitwiseXOR(F.col("q"))
     # of the tables that a pair shares, the first gives it: the one of the three first blocks that are alike
