@@ -185,7 +185,7 @@ def is_video(url: Column) -> Column:
 
 def unwrap_redirect(url: Column) -> Column:
     """The target of a search engine's redirect link."""
-    target = F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]uddg=([^&]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/RU=([^/]+)/", 1), F.lit("")))
+    target = F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]uddg=([^&]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/RU=([^/]+)", 1), F.lit("")))
     return F.coalesce(F.try_url_decode(target), url)
 
 

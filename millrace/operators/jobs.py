@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import in_domains
+from .scan import numbered, running
 
 # fixed values: states that a job does not leave, texts of errors, answers that no second try mends, and default regional sources
 FINAL = ("completed", "failed", "aborted")
@@ -42,8 +43,9 @@ def submitted(requests: DataFrame) -> DataFrame:
 def retried(jobs: DataFrame, ids: DataFrame, next_id: int) -> DataFrame:
     """jobs and a pending copy of each of ids, numbered on from next_id in the order of the old ids. Every setting is copied."""
     copies = jobs.join(ids.select("id").distinct(), "id", "left_semi")
-    fresh = {"id": (F.row_number().over(Window.orderBy("id")) + (next_id - 1)).cast("bigint"), "status": F.lit("pending"), "error_message": F.lit(None).cast("string"), "updated_at": F.lit(None).cast(jobs.schema["updated_at"].dataType)}
-    return jobs.unionByName(copies.withColumns(fresh))
+    copies = numbered(copies, ["id"], name="_number", start=next_id)
+    fresh = {"id": F.col("_number").cast("bigint"), "status": F.lit("pending"), "error_message": F.lit(None).cast("string"), "updated_at": F.lit(None).cast(jobs.schema["updated_at"].dataType)}
+    return jobs.unionByName(copies.withColumns(fresh).drop("_number"))
 
 
 def without_jobs(jobs: DataFrame, children: dict[str, DataFrame], ids: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -153,9 +155,8 @@ def live_entries(entries: DataFrame, now: Column, seconds: float, most: int | No
 
 
 def enough(rows: DataFrame, group: str, order: Sequence[str], size: str, wanted: int) -> DataFrame:
-    """Rows of each group up to the one with which the sum of ``size`` reaches ``wanted``: what an early stop would have read."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < wanted).drop("_before")
+    """Rows of each group up to the one with which the sum of ``size`` reaches ``wanted``: what an early stop would have read. A group of any size lies over several tasks."""
+    return running(rows, F.col(size), order, [group], "_before").where(F.col("_before") < wanted).drop("_before")
 
 
 def replaced(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import classify as C
 from ..operators import dedup as D
 from ..operators import keywords as K
 from ..operators import quality as Q
+from ..operators.scan import numbered
 from ..sources import feeds, html, sinks
 from ..streaming import progress as S
 from . import pages as P
@@ -195,7 +196,7 @@ def url_parts(spark, d):
     return _urls(spark, d).select("url", U.absolutize(u, F.lit("https://base.org")).alias("absolute"), U.origin(u).alias("origin"), U.page_number(u).alias("page_no"), F.size(U.segments(u)).cast("bigint").alias("n_segments"), U.file_ending(u).alias("ending"))
 
 
-@query(rf"WITH {_URLS} SELECT url, coalesce(url_decode(coalesce(nullif(regexp_extract(url, '[?&]uddg=([^&]+)', 1), ''), nullif(regexp_extract(url, '/RU=([^/]+)/', 1), ''))), url) AS target FROM u")
+@query(rf"WITH {_URLS} SELECT url, coalesce(url_decode(coalesce(nullif(regexp_extract(url, '[?&]uddg=([^&]+)', 1), ''), nullif(regexp_extract(url, '/RU=([^/]+)', 1), ''))), url) AS target FROM u")
 def url_unwrap_redirect(spark, d):
     return _urls(spark, d).select("url", U.unwrap_redirect(F.col("url")).alias("target"))
 
@@ -570,8 +571,8 @@ def repeat_page_stop(spark, d):
 
 @query("SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * CAST(1 AS DOUBLE) AS wait FROM events")
 def domain_spacing(spark, d):
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return _t(spark, d, "events").select("event_id", "user_id", ((nth - 1) * F.lit(1.0)).cast("double").alias("wait"))
+    rows = numbered(_t(spark, d, "events").select("event_id", "user_id"), ["event_id"], ["user_id"], "nth", 0)
+    return rows.select("event_id", "user_id", (F.col("nth") * F.lit(1.0)).cast("double").alias("wait"))
 
 
 @query("SELECT event_id FROM events WHERE value > 10 AND (ts IS NULL OR (ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY AND ts <= TIMESTAMP '2024-01-20'))")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
 from ..functions.lazy import arrow_udf
+from ..operators import hosts, jobs, language, scan
 from ..session import shared_folder
-from ..sources import archive, html
+from ..sources import archive, html, results, walks
 from .catalog import _t, query
 
 # ---- archives --------------------------------------------------------------------------------
@@ -45,3 +48,105 @@ SELECT page_id, CAST(length(body) AS BIGINT) AS body_chars, md5(body) AS body_md
 def page_body_text(spark, d):
     e = html.extracted(F.col("html"), F.col("url"))
     return _t(spark, d, "pages").select("page_id", e.alias("e")).select("page_id", F.length("e.body").cast("bigint").alias("body_chars"), F.md5(F.col("e.body").cast("binary")).alias("body_md5"))
+
+
+# ---- result lists ----------------------------------------------------------------------------
+
+_LISTS = r"""lists AS (SELECT page_id, page_id % 4 AS k, ['bing', 'duckduckgo', 'yahoo', 'google'][page_id % 4 + 1] AS engine, unnest(words) AS word, generate_subscripts(words, 1) AS position
+ FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="/([^"]*)"', 1) AS words FROM pages))"""
+
+
+@query(rf"""WITH {_LISTS}, t AS (SELECT page_id, engine, CAST(position AS BIGINT) AS position, 'https://' || CASE k WHEN 0 THEN 'a.example.org/' WHEN 1 THEN 'b.example.org/' WHEN 2 THEN 'c.example.org/' ELSE 'd.example.org/' END || word AS target FROM lists)
+SELECT page_id, engine, position, CASE WHEN engine IN ('duckduckgo', 'yahoo') THEN url_decode(replace(target, '+', ' ')) ELSE target END AS target FROM t
+ WHERE NOT regexp_matches(lower(target), '\.(pdf|jpg|jpeg|png|gif|svg|zip|css|js|xml)$')""")
+def engine_result_links(spark, d):
+    """Pages whose menus are written as the result lists of four engines, with their redirects, read by the engines' rules."""
+    kind = F.col("page_id") % 4
+    as_list = lambda start: F.replace("html", F.lit('<li><a href="/'), F.lit(start))
+    page = F.when(kind == 0, as_list('<li class="x b_algo"><p><a href="https://no.example.org/"></p><h2><a href="https://a.example.org/'))
+    page = page.when(kind == 1, as_list('<li><a class="result__url" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fb.example.org%2F'))
+    page = page.when(kind == 2, as_list('<div class="dd algo"><a href="https://r.search.yahoo.com/_ylt=1/RU=https%3a%2f%2fc.example.org%2f'))
+    page = page.otherwise(as_list('<div class="g"><span><a href="https://d.example.org/'))
+    engine = F.element_at(F.array(*map(F.lit, ("bing", "duckduckgo", "yahoo", "google"))), (kind + 1).cast("int"))
+    rows = _t(spark, d, "pages").select("page_id", page.alias("html"), engine.alias("engine"))
+    return results.search_results(rows, keep=("page_id",)).select("page_id", "engine", "position", "target")
+
+
+@query(r"SELECT page_id, 'menu' AS engine, CAST(generate_subscripts(words, 1) AS BIGINT) AS position, unnest(words) AS href FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1) AS words FROM pages)")
+def template_result_links(spark, d):
+    """The pages' own menus, by a rule for their template."""
+    rule = {"menu": results.Rule((("li", None), ("a", None))), "advert": results.Rule((("div", "ad"), ("a", None)))}
+    rows = _t(spark, d, "pages").select("page_id", "html")
+    read = F.pandas_udf(lambda pages: pages.map(lambda h: results.result_links(h, rule)), "array<struct<engine:string,position:bigint,href:string>>")
+    return rows.select("page_id", F.explode(read("html")).alias("x")).select("page_id", "x.*")
+
+
+# ---- walks -----------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS broken FROM events)
+SELECT CAST(user_id AS VARCHAR) AS domain, CASE WHEN n = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS token, CAST(n AS BIGINT) AS rank FROM c WHERE broken = 0""")
+def oai_token_walk(spark, d):
+    """Each user's events as the pages of one harvest, an event's id as the token that leads to it; an error is a page that cannot be read."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    first = F.row_number().over(w) == 1
+    pages = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("domain"), F.when(~first, F.col("event_id").cast("string")).alias("token"), F.lead("event_id").over(w).cast("string").alias("next_token"), (F.col("event_type") != "error").alias("ok"))
+    return walks.walked(pages)
+
+
+# ---- hosts -----------------------------------------------------------------------------------
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^www\.', '')"
+
+
+@query(rf"""WITH RECURSIVE h AS (SELECT DISTINCT {_HOST} AS host FROM pages), s(host, part) AS (SELECT host, host FROM h UNION ALL SELECT host, substr(part, strpos(part, '.') + 1) FROM s WHERE strpos(part, '.') > 0),
+ known AS (SELECT DISTINCT regexp_extract({_HOST}, '([^.]+\.example\.[a-z]+)$', 1) AS domain FROM pages WHERE page_id % 3 = 0 UNION SELECT 'example.net'),
+ best AS (SELECT host, arg_max(part, length(part)) AS under FROM s WHERE part IN (SELECT domain FROM known) GROUP BY host)
+SELECT page_id, p.host AS host, under FROM (SELECT page_id, {_HOST} AS host FROM pages) p LEFT JOIN best ON p.host = best.host""")
+def host_domain_lookup(spark, d):
+    rows = _t(spark, d, "pages").select("page_id", U.domain(F.col("url")).alias("host"))
+    known = rows.where("page_id % 3 = 0").select(F.regexp_extract("host", r"([^.]+\.example\.[a-z]+)$", 1).alias("domain"))
+    return hosts.domain_of(rows, known.unionByName(spark.createDataFrame([("example.net",)], "domain string")))
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+ texts AS (SELECT host, min(page_id) AS first FROM p GROUP BY host),
+ j AS (SELECT p.*, first FROM p JOIN texts USING (host))
+SELECT page_id, CASE WHEN first % 3 = 0 THEN NOT (starts_with(path, '/en') OR contains(path, '?')) OR starts_with(path, '/en/1') AND NOT regexp_matches(path, '^/en/1.*[?]') OR starts_with(path, '/fr?')
+ WHEN first % 3 = 1 THEN NOT regexp_matches(path, '^/.*5$') ELSE true END AS allowed FROM j""")
+def page_robots_allowed(spark, d):
+    """Pages by rules of their hosts: one of three texts for each host, with rules of other agents, comments, wildcards and an end mark."""
+    rows = _t(spark, d, "pages").select("page_id", U.domain(F.col("url")).alias("host"), "url")
+    body = F.when(F.col("first") % 3 == 0, "User-agent: other\nDisallow: /\n\nUser-agent: *\n# a comment\nDisallow: /en\nAllow: /en/1 # more\nDisallow: /en/1*?\nDisallow: /*?\nAllow: /fr?\nCrawl-delay: 5").when(F.col("first") % 3 == 1, "user-agent:*\r\ndisallow:/*5$\r\nDisallow:")
+    robots = rows.groupBy("host").agg(F.min("page_id").alias("first")).select("host", body.alias("body"))
+    allowed = hosts.robots_allowed(rows.select("host", "url"), robots).distinct()
+    return rows.join(allowed, ["host", "url"]).select("page_id", "allowed")
+
+
+# ---- running sums ----------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(round(coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS cents_before FROM events")
+def running_total(spark, d):
+    """A running sum over the whole table as one group."""
+    rows = _t(spark, d, "events").select("event_id", "ts", "value")
+    return scan.running(rows, F.round(F.col("value") * 100).cast("bigint"), ["ts", "event_id"], name="cents_before").select("event_id", "cents_before")
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT *, coalesce(sum(o_orderkey % 5 + 1) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM orders) WHERE b < 1000")
+def early_stop_hot_groups(spark, d):
+    """What an early stop reads of five groups that hold all rows."""
+    rows = _t(spark, d, "orders").withColumn("size", F.col("o_orderkey") % 5 + 1)
+    return jobs.enough(rows, "o_orderpriority", ["o_orderkey"], "size", 1000).select("o_orderkey", "o_custkey")
+
+
+# ---- languages -------------------------------------------------------------------------------
+
+
+@query()
+def page_language_detected(spark, d):
+    """The language of each page by the profiles of documents, as if it had no tag."""
+    known = language.profiles(_t(spark, d, "documents"))
+    e = html.extracted(F.col("html"), F.col("url"))
+    found = _t(spark, d, "pages").select("page_id", e.alias("e")).select("page_id", "e.lang", language.detected(F.col("e.body"), known).alias("x"))
+    return found.select("page_id", F.col("lang").alias("tag"), F.col("x.lang").alias("detected"), F.col("x.margin").alias("margin"))

@@ -1,11 +1,10 @@
-"""Landed discovery payloads as DataFrames: sitemaps, feeds, WordPress JSON, OAI-PMH, robots rules, link graphs."""
+"""Landed discovery payloads as DataFrames: sitemaps, feeds, WordPress JSON, OAI-PMH, link graphs."""
 
 from __future__ import annotations
 
 import zlib
 import re
 import xml.etree.ElementTree as ET
-from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,23 +115,6 @@ def json_records(body: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(F.when(body.rlike(r"^\s*\["), body), schema), *[F.from_json(F.when(F.get_json_object(body, p).rlike(r"^\s*\["), F.get_json_object(body, p)), schema) for p in paths])
 
 
-def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = "*", salts: int = 64) -> DataFrame:
-    """host, url and allowed of pages (host, url) by the robots texts of hosts (host, body); hosts without one allow all.
-
-    A host's pages are judged in salted groups, so no group grows with the host, and its rules go once to each group.
-    """
-
-    def judge(group: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        rules = RobotFileParser()
-        body = next((b for b in texts["body"] if b), "")
-        rules.parse(body.splitlines())
-        return pd.DataFrame({"host": group["host"], "url": group["url"], "allowed": [not body or rules.can_fetch(agent, u) for u in group["url"]]})
-
-    dealt = pages.select("host", "url", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("salt"))
-    texts = robots.select("host", "body", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return dealt.groupBy("host", "salt").cogroup(texts.groupBy("host", "salt")).applyInPandas(judge, "host string, url string, allowed boolean")
-
-
 def capped(rows: DataFrame, order: list[Column], n: int) -> tuple[DataFrame, bool]:
     """The first n rows of an order, and whether there are more; rows are sorted once."""
     some = written(rows.orderBy(*order).limit(n + 1), "capped")

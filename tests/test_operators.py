@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from millrace.functions import text as T
 from millrace.operators import dedup as D
+from millrace.operators import hosts
 from millrace.operators import keywords as K
 from millrace.sources import discovery, feeds, html, sinks
 from millrace.streaming import progress as S
@@ -144,7 +145,7 @@ def test_sitemaps_and_robots(spark):
     assert feeds.parse_sitemap(b"<urlset><url>") == ("unknown", []) and feeds.parse_sitemap(None) == ("unknown", [])
     pages = spark.createDataFrame([("a", "https://a/x"), ("a", "https://a/private/y"), ("b", "https://b/z")], "host string, url string")
     robots = spark.createDataFrame([("a", "User-agent: *\nDisallow: /private")], "host string, body string")
-    assert {r.url: r.allowed for r in feeds.robots_allowed(pages, robots).collect()} == {"https://a/x": True, "https://a/private/y": False, "https://b/z": True}
+    assert {r.url: r.allowed for r in hosts.robots_allowed(pages, robots).collect()} == {"https://a/x": True, "https://a/private/y": False, "https://b/z": True}
 
 
 def test_oai(spark):
@@ -215,7 +216,7 @@ def test_packed_sitemaps_have_a_bound(monkeypatch):
 def test_robots(spark):
     pages = spark.createDataFrame([("a.com", f"https://a.com/{p}/{i}") for i in range(40) for p in ("x", "no")] + [("b.com", "https://b.com/no/1")], "host string, url string")
     robots = spark.createDataFrame([("a.com", "User-agent: *\nDisallow: /no/"), ("c.com", "x")], "host string, body string")
-    found = feeds.robots_allowed(pages, robots).collect()
+    found = hosts.robots_allowed(pages, robots).collect()
     assert len(found) == 81 and all(r.allowed == ("a.com/no" not in r.url) for r in found)
 
 
