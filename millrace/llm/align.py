@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,11 @@ from .common import distinct, materialize, slices, strings_of
 from .tokens import default_vocabulary
 
 #: Characters of a unit of documents; a longer document is a unit of its own.
-UNIT_CHARS = 16 << 20
+UNIT_CHARS = 6 << 20
 #: Stretches whose alignment a worker keeps, and the longest that it keeps.
-KEEP, LONGEST = 200_000, 32
+KEEP, LONGEST = 100_000, 32
 #: Characters of stretches that DuckDB aligns at once.
-LINE_CHARS = 1 << 21
+LINE_CHARS = 1 << 20
 #: Pairs of documents that are told apart at once; those of one document are taken whole.
 _STEP = 1 << 20
 #: Characters of a stretch that is encoded in one line with others: longer ones, and those of other characters than these, go to the library one by one.
@@ -93,7 +94,7 @@ class Aligner:
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.words = np.array([[m + str(i) for i in range(max(len(tokens), len(names)))] for m in ("", ";", "|", ",")], object)
         self.kept: dict[str, tuple[int, int, int, str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": True})
 
     def stretches(self, text: str) -> list[str]:
         """Parts of a text whose tokens do not depend on their neighbours, each without the space before it."""
@@ -281,9 +282,10 @@ def align(docs: DataFrame, bytes_path: str | None = None, pieces_path: str | Non
 
         own, unit = aligner(*paths), TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), strings_of(batch.column("text"))
-            for lo, hi in slices(list(map(len, texts)), unit_chars):
-                yield from _unit(own, unit, ids[lo:hi], texts[lo:hi])
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(sizes, unit_chars):
+                part = batch.slice(lo, hi - lo)
+                yield from _unit(own, unit, part.column("doc_id").to_pylist(), strings_of(part.column("text")))
                 unit += 1
 
     units = materialize(docs.select("doc_id", "text").mapInArrow(run, _FIELDS), "alignment")
