@@ -10,8 +10,8 @@ A task takes its documents in units of a bounded number of characters. The disti
 unit are laid end to end, and DuckDB holds the token intervals of both tokenizers on that line: a
 window sum over common ends numbers the groups, an ASOF join finds the token in which another begins,
 and a range join within a group those that begin inside it. A document's figures are sums over its
-stretches. Each unit sends every id pair once, with its documents that hold it and its stretches that link it; Spark adds the counts,
-marks the best of each id, and sends them back to the unit, whose documents stand written.
+stretches. Each unit sends every id pair once, with the number of its documents that hold it; Spark adds the counts,
+marks the best of each id, and sends them back to the unit, whose documents and links stand written.
 """
 
 from __future__ import annotations
@@ -200,7 +200,7 @@ def aligner(bytes_path: str, pieces_path: str) -> Aligner:
     return _LOADED[key]
 
 
-_FIELDS = "unit long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, stretches binary, a int, b int, docs long, at binary"
+_FIELDS = "unit long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, stretches binary, links binary, sizes binary, a int, b int, place int, docs long"
 
 
 def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -208,7 +208,12 @@ def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64) * 4), pa.py_buffer(np.ascontiguousarray(values, np.int32))]).cast(pa.binary())
 
 
-_SCHEMA = pa.schema([("unit", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("stretches", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("docs", pa.int64()), ("at", pa.binary())])
+def _places(n: int) -> type:
+    """The integers that hold the places of n pairs."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+_SCHEMA = pa.schema([("unit", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), *((c, pa.binary()) for c in ("stretches", "links", "sizes")), *((c, pa.int32()) for c in ("a", "b", "place")), ("docs", pa.int64())])
 
 
 def _rows(unit: int, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -216,7 +221,7 @@ def _rows(unit: int, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def _unit(own: Aligner, unit: int, ids: list[int | None], texts: list[str]) -> Iterator[pa.RecordBatch]:
-    """One row for each document of a unit, then one for each id pair that its documents link."""
+    """One row for each document of a unit, one of the pairs that its stretches link, then one for each id pair that its documents hold."""
     number: dict[str, int] = defaultdict(itertools.count().__next__)
     found = [list(map(number.__getitem__, own.stretches(t))) for t in texts]
     flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, sum(map(len, found)))
@@ -237,12 +242,12 @@ def _unit(own: Aligner, unit: int, ids: list[int | None], texts: list[str]) -> I
     if not len(flat):
         return
     known, code = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_inverse=True)
+    # which pairs each stretch links, as places among the unit's pairs
+    yield _rows(unit, 1, {"links": pa.array([code.astype(_places(len(known))).tobytes()], pa.binary()), "sizes": pa.array([lengths.astype(np.uint32).tobytes()], pa.binary())})
     count = _documents(np.repeat(np.arange(len(texts)), sizes), flat, code, lengths, len(known))
-    place = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[code.argsort(kind="stable")]
-    ranges = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(known)))))
-    live = count > 0  # the others stand only in documents without tokens
+    live = np.flatnonzero(count)  # the others stand only in documents without tokens
     ids_a, ids_b = (known[live] >> 32).astype(np.int32), (known[live] & 0xFFFFFFFF).astype(np.int32)
-    yield _rows(unit, int(live.sum()), {"a": pa.array(ids_a), "b": pa.array(ids_b), "docs": pa.array(count[live]), "at": _blobs(place, ranges).filter(pa.array(live))})
+    yield _rows(unit, len(live), {"a": pa.array(ids_a), "b": pa.array(ids_b), "place": pa.array(live.astype(np.int32)), "docs": pa.array(count[live])})
 
 
 def _sums(figure: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -289,26 +294,29 @@ def align(docs: DataFrame, bytes_path: str | None = None, pieces_path: str | Non
                 unit += 1
 
     units = materialize(docs.select("doc_id", "text").mapInArrow(run, _FIELDS), "alignment")
-    pairs = units.where("a is not null").select("unit", "a", "b", "docs", "at")
+    pairs = units.where("a is not null").select("unit", "a", "b", "place", "docs")
     totals = pairs.groupBy("a", "b").agg(F.sum("docs").alias("n"))
     marked = totals.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("a")))
-    answers = pairs.join(marked, ["a", "b"]).select(F.col("unit").alias("asked"), "at", "n", "best")
-    rows = units.where("a is null").select("unit", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "stretches")
+    answers = pairs.join(marked, ["a", "b"]).select(F.col("unit").alias("asked"), "place", "n", "best")
+    rows = units.where("a is null").select("unit", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "stretches", "links", "sizes")
 
     def close(left: pa.Table, right: pa.Table) -> pa.Table:
-        joined = lambda t, c: [np.frombuffer(x, np.int32) for x in t.column(c).to_pylist()]
-        own, at = joined(left, "stretches"), joined(right, "at")
-        flat = np.concatenate(own) if own else np.empty(0, np.int32)
-        sums = np.zeros((1 + max([-1, *(int(x.max()) for x in at), int(flat.max()) if len(flat) else -1]), 2), np.int64)
-        if at:
-            times = np.array(list(map(len, at)))
-            place = np.concatenate(at)
-            np.add.at(sums[:, 0], place, np.repeat(right.column("best").to_numpy(zero_copy_only=False).astype(np.int64), times))
-            np.add.at(sums[:, 1], place, np.repeat(right.column("n").to_numpy(), times))
-        bounds = np.concatenate(([0], np.cumsum(list(map(len, own)), dtype=np.int64)))
-        running = np.concatenate((np.zeros((1, 2), np.int64), sums[flat].cumsum(axis=0)))
-        totals = running[bounds[1:]] - running[bounds[:-1]]
+        documents, whole = left.filter(pc.is_null(left.column("sizes"))), left.filter(pc.is_valid(left.column("sizes"))).to_pylist()
+        own = [np.frombuffer(x, np.int32) for x in documents.column("stretches").to_pylist()]
+        flat, bounds = np.concatenate([np.empty(0, np.int32), *own]), np.concatenate(([0], np.cumsum(list(map(len, own)), dtype=np.int64)))
+        totals = np.zeros((len(own), 2), np.int64)
+        if whole:
+            sizes = np.frombuffer(whole[0]["sizes"], np.uint32).astype(np.int64)
+            width = np.uint16 if len(whole[0]["links"]) == 2 * sizes.sum() else np.uint32
+            code = np.frombuffer(whole[0]["links"], width)
+            ends = np.cumsum(sizes)
+            place = right.column("place").to_numpy()
+            for k, name in enumerate(("best", "n")):
+                answer = np.zeros(int(code.max()) + 1 if len(code) else 1, np.int64)
+                answer[place] = right.column(name).to_numpy(zero_copy_only=False)
+                running = np.concatenate(([0], answer[code].cumsum()))
+                totals[:, k] = _sums(running[ends] - running[ends - sizes], flat, bounds)
         names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
-        return pa.table([*(left.column(c) for c in names), pa.array(totals[:, 0]), pa.array(totals[:, 1]), left.column("groups_sha256")], names=[*names, "n_best", "count_sum", "groups_sha256"])
+        return pa.table([*(documents.column(c) for c in names), pa.array(totals[:, 0]), pa.array(totals[:, 1]), documents.column("groups_sha256")], names=[*names, "n_best", "count_sum", "groups_sha256"])
 
     return rows.groupBy("unit").cogroup(answers.groupBy("asked")).applyInArrow(close, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
