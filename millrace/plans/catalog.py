@@ -17,7 +17,7 @@ from ..operators import dedup as D
 from ..operators import keywords as K
 from ..operators import quality as Q
 from ..operators.scan import numbered
-from ..sources import feeds, html, sinks
+from ..sources import feeds, html
 from ..streaming import progress as S
 from . import pages as P
 
@@ -37,13 +37,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import landed, lifecycle  # noqa: F401  add their queries
+    from . import derived, landed, lifecycle  # noqa: F401  add their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import landed, lifecycle  # noqa: F401  add their queries
+    from . import derived, landed, lifecycle  # noqa: F401  add their queries
 
     return dict(ORACLE)
 
@@ -213,14 +213,6 @@ def numeric_tail_max(spark, d):
     return _t(spark, d, "pages").select(prefix.alias("prefix"), number.alias("num"), suffix.alias("suffix")).where("num <> ''").groupBy("prefix", "suffix").agg(F.max(F.col("num").cast("bigint")).alias("highest"))
 
 
-TEMPLATES = [("https://e.com/?s={keyword}&p={page}", "south sea", 2), ("https://e.com/find/{keyword}", "a+b&c", 1)]
-
-
-@query(f"SELECT template, replace(replace(template, '{{keyword}}', replace(url_encode(keyword), '%20', '+')), '{{page}}', CAST(page AS VARCHAR)) AS url FROM {_values(TEMPLATES, 'template, keyword, page')}")
-def search_url_template(spark, d):
-    return _literal(spark, TEMPLATES, "template, keyword, page").select("template", U.search_url(F.col("template"), F.col("keyword"), F.col("page")).alias("url"))
-
-
 # ---- keywords on documents -------------------------------------------------------------------
 
 
@@ -272,14 +264,6 @@ def doc_language_filter(spark, d):
     return _t(spark, d, "documents").where(Q.language_allowed(F.col("lang"), ["en", "fr"]) & (F.length("text") >= html.LEAST_BODY)).select("doc_id", "lang", "n_chars")
 
 
-HIGHLIGHTS = [('a <b> "The" theory & x',), ("nothing here",)]
-
-
-@query(f"""SELECT s, regexp_replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '(?i)(the|amp)', '<mark>\\1</mark>', 'g') AS marked FROM {_values(HIGHLIGHTS, 's')}""")
-def text_highlight(spark, d):
-    return _literal(spark, HIGHLIGHTS, "s").select("s", T.highlight(F.col("s"), ["the", "amp", "x"]).alias("marked"))
-
-
 # ---- duplicates ------------------------------------------------------------------------------
 
 _HASH = f"md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))"
@@ -343,22 +327,6 @@ def slugify(spark, d):
     return rows.select("s", T.slug(F.col("s")).alias("slug"), T.file_name(F.col("s")).alias("file"))
 
 
-DATES = [("2026-08-01T10:00:00Z",), ("2026-08-01",), ("2026-08-01garbage",), ("nonsense",), (None,)]
-
-
-@query(f"SELECT v, strftime(coalesce(CAST(TRY_CAST(v AS TIMESTAMPTZ) AS TIMESTAMP), TRY_CAST(left(v, 10) AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT v FROM {_values(DATES, 'v')})")
-def date_parse_lenient(spark, d):
-    return _literal(spark, DATES, "v").select("v", F.date_format(T.lenient_timestamp(F.col("v")), "yyyy-MM-dd HH:mm:ss").alias("at"))
-
-
-AUTHORS = [("By Jane Doe",), ("posted by  X",), ("Byron",)]
-
-
-@query(f"SELECT v, regexp_replace(v, '(?i)^(by|posted by)\\s+', '') AS author FROM {_values(AUTHORS, 'v')}")
-def author_prefix(spark, d):
-    return _literal(spark, AUTHORS, "v").select("v", T.author_name(F.col("v")).alias("author"))
-
-
 @query("""SELECT o_orderkey, strftime(CASE WHEN t > b THEN t ELSE t + INTERVAL 1 DAY END, '%Y-%m-%d %H:%M') AS daily,
  strftime(CASE WHEN wk > b THEN wk ELSE wk + INTERVAL 7 DAY END, '%Y-%m-%d %H:%M') AS weekly,
  strftime(CASE WHEN m1 > b THEN m1 ELSE m2 END, '%Y-%m-%d %H:%M') AS monthly, strftime(b + INTERVAL 30 DAY, '%Y-%m-%d %H:%M') AS plain FROM
@@ -375,11 +343,6 @@ def next_run(spark, d):
 
 # ---- labels ----------------------------------------------------------------------------------
 
-ARTICLES = [
-    (1, "https://www.rand.org/policy_briefs/a.pdf", "US Maritime Security Strategy", "navy vessels defense Indo-Pacific", "en"), (2, "https://state.gov/x", "Election in India", "growth and support for trade", "xx"), (3, "https://mit.edu/p", None, "crisis", None),
-    (4, "https://journal.com/p", "Toward research", None, "FR"), (5, "https://vimeo.com/1", "watch", "The U.S. Navy", "ja"), (6, "https://e.com/p", "Plain", "nothing of note", "de"),
-]
-
 
 def _like(words, *columns) -> str:
     return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words for c in columns) + ")"
@@ -392,19 +355,6 @@ def _geo(names) -> str:
     return ", ".join(f"CASE WHEN regexp_matches(x, '\\b{n.lower()}\\b') THEN '{n}' END" for n in names)
 
 
-@query(rf"""WITH a AS (SELECT id, lower(url) u, {_DOMAIN.format('url')} h, lower(coalesce(title, '')) n, coalesce(title, '') || ' ' || coalesce(content, '') r, lower(coalesce(title, '') || ' ' || coalesce(content, '')) x, lang FROM {_values(ARTICLES, 'id, url, title, content, lang')}),
- b AS (SELECT *, {_SOURCE} source_type, list_filter([{_geo(C.COUNTRIES)}], lambda z: z IS NOT NULL) cs, list_filter([{_geo(C.REGIONS)}], lambda z: z IS NOT NULL) rs, array_to_string(list_filter([{', '.join(f"CASE WHEN {_like(w, 'x')} THEN '{k}' END" for k, w in C.THEMES.items())}], lambda z: z IS NOT NULL), ', ') th FROM a)
- SELECT CAST(id AS BIGINT) AS id, source_type, CASE WHEN contains(u, 'pdf') THEN CASE WHEN {_like(C.BRIEF_WORDS, 'u', 'n')} THEN 'Policy Brief' ELSE 'Report' END {' '.join(f"WHEN {_like(w, 'u', 'n')} THEN '{k}'" for k, w in C.CONTENT_WORDS.items())} WHEN source_type = 'Journal' THEN 'Journal' ELSE 'Article' END AS content_type,
- CASE WHEN th = '' THEN 'General' ELSE th END AS theme,
- coalesce(nullif(array_to_string(list_concat(list_concat(cs, CASE WHEN regexp_matches(r, '\bUS\b|\bU\.S\.\b') AND NOT list_contains(cs, 'United States') THEN ['United States'] ELSE [] END), rs), ', '), ''), 'Global') AS geography,
- coalesce(CASE lower(coalesce(lang, 'en')) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in C.LANGUAGES.items())} END, 'English') AS language,
- CASE WHEN p > q THEN 'positive' WHEN q > p THEN 'negative' ELSE 'neutral' END AS sentiment FROM (SELECT *, {' + '.join(f"CAST(contains(x, '{w}') AS INT)" for w in C.POSITIVE)} p, {' + '.join(f"CAST(contains(x, '{w}') AS INT)" for w in C.NEGATIVE)} q FROM b)""")
-def article_labels(spark, d):
-    url, title, content = F.col("url"), F.col("title"), F.col("content")
-    rows = _literal(spark, ARTICLES, "id, url, title, content, lang")
-    return rows.select("id", C.source_type(url).alias("source_type"), C.content_type(url, title).alias("content_type"), C.subject_theme(title, content).alias("theme"), C.country_region(title, content).alias("geography"), C.language_name(F.col("lang")).alias("language"), C.sentiment(title, content).alias("sentiment"))
-
-
 _MOODS = {"p": ("tion", "ment", "ther"), "n": ("que", "sch", "ciado", "sea")}
 _TOPICS = {"Alpha": ("ciado", "osció"), "Beta": ("sch", "keit"), "Gamma": ("sea", "thion")}
 
@@ -420,19 +370,6 @@ def page_source_type(spark, d):
     return _t(spark, d, "pages").select("page_id", C.source_type(F.col("url")).alias("source_type"))
 
 
-ERRORS = [
-    (1, "x | 504: Gateway time-out", "the gateway failed"), (2, "Fine", "502 Bad Gateway nginx"), (3, "Just a moment", "cloudflare ray id 1 verify you are human"), (4, "Essay", "a " * 700 + "504 gateway timeout"), (5, "Fine", "An ordinary short page"),
-]
-_PHRASES = list(Q.ERROR_PHRASES)
-
-
-@query(f"""SELECT CAST(id AS BIGINT) AS id, (length(title) < 120 AND len(list_filter({_PHRASES}, lambda z: contains(lower(title), z))) > 0) OR (length(body) < 1200 AND len(list_filter({_PHRASES}, lambda z: instr(lower(body), z) BETWEEN 1 AND 120)) > 0)
- OR (length(body) < 250 AND len(list_filter({_PHRASES}, lambda z: contains(lower(body), z))) > 0) OR ((contains(lower(body), 'cloudflare') OR contains(lower(title), 'cloudflare')) AND (s >= 2 OR (length(body) < 1500 AND s >= 1))) AS is_error
- FROM (SELECT *, len(list_filter({list(Q.CHALLENGE_SIGNALS)}, lambda z: contains(lower(body), z))) s FROM {_values(ERRORS, 'id, title, body')})""")
-def error_page_flag(spark, d):
-    return _literal(spark, ERRORS, "id, title, body").select("id", Q.is_error_page(F.col("body"), F.col("title"), F.col("body")).alias("is_error"))
-
-
 # ---- pages -----------------------------------------------------------------------------------
 
 _LINKS = r"""l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 pos FROM pages),
@@ -583,45 +520,12 @@ def date_range_filter(spark, d):
 
 # ---- discovery -------------------------------------------------------------------------------
 
-PAYLOADS = [
-    (1, '<?xml version="1.0"?><urlset><url><loc>https://a.com/1</loc></url><url><loc><![CDATA[https://a.com/2]]></loc></url></urlset>'), (2, "<sitemapindex><sitemap><loc> https://a.com/s2.xml</loc></sitemap></sitemapindex>"),
-    (3, "<rss><channel><item><title>x</title><link>https://b.com/1</link></item><item><link>https://b.com/2</link></item></channel></rss>"), (4, '<feed><entry><link rel="x" href="https://c.com/1"/></entry></feed>'), (5, "not xml"),
-]
-
-
-@query(f"SELECT CAST(id AS BIGINT) AS id, unnest(regexp_extract_all(body, '{feeds.LOC}', 1)) AS url FROM {_values(PAYLOADS, 'id, body')}")
-def sitemap_locations(spark, d):
-    return _literal(spark, PAYLOADS, "id, body").select("id", F.explode(feeds.locations(F.col("body"))).alias("url"))
-
-
-@query(rf"""SELECT CAST(id AS BIGINT) AS id, regexp_matches(left(body, 2000), '(?i)<(?:urlset|sitemapindex)\b') AS is_map, regexp_matches(left(body, 1000), '(?i)<(?:rss|feed|rdf:RDF)\b') AS is_feed,
- array_to_string(list_concat(regexp_extract_all(body, '(?is)<item\b.*?<link>\s*(?:<!\[CDATA\[)?\s*(https?://[^<\]\s]+)', 1), regexp_extract_all(body, '(?is)<entry\b.*?<link\b[^>]*?href=["''](https?://[^"'']+)', 1)), ' ') AS links FROM {_values(PAYLOADS, 'id, body')}""")
-def feed_parse(spark, d):
-    body = F.col("body")
-    return _literal(spark, PAYLOADS, "id, body").select("id", feeds.is_sitemap(body).alias("is_map"), feeds.is_feed(body).alias("is_feed"), F.array_join(feeds.feed_links(body), " ").alias("links"))
-
-
-ENVELOPES = [(1, '{"data": [{"id": 1}, {"id": 2}]}'), (2, '[{"id": 3}]'), (3, '{"data": {"items": [{"id": 4}]}}'), (4, "broken"), (5, '{"other": 1}')]
-
-
-@query(f"""SELECT id, CAST(json_extract_string(r, '$.id') AS BIGINT) AS record FROM (SELECT CAST(id AS BIGINT) AS id, unnest(json_extract(CASE WHEN body LIKE '[%' THEN body WHEN json_type(TRY_CAST(body AS JSON), '$.data') = 'ARRAY' THEN json_extract(body, '$.data') WHEN json_type(TRY_CAST(body AS JSON), '$.data.items') = 'ARRAY' THEN json_extract(body, '$.data.items') END, '$[*]')) r FROM {_values(ENVELOPES, 'id, body')} WHERE json_valid(body))""")
-def json_record_list(spark, d):
-    return _literal(spark, ENVELOPES, "id, body").select("id", F.explode(feeds.json_records(F.col("body"), "array<struct<id:bigint>>")).alias("r")).select("id", F.col("r.id").alias("record"))
-
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark, d):
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-POSTS = [('[{"id": 7, "link": "https://w.com/7", "date_gmt": "2026-01-02T03:04:05", "title": {"rendered": "A &amp; B"}, "excerpt": {"rendered": "x"}}, {"id": 8}]',), ("oops",)]
-
-
-@query("SELECT 'https://w.com/7' AS url, 'wp_api' AS source, 'A & B' AS title, '2026-01-02 03:04:05' AS published, '7' AS post_id")
-def wp_json_map(spark, d):
-    return feeds.wordpress_posts(_literal(spark, POSTS, "body")).select("url", "source", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), F.element_at("metadata", "id").alias("post_id"))
-
-
 _EDGES = "e AS (SELECT CAST(o_custkey AS VARCHAR) src, CAST(o_custkey + 1 + o_orderkey % 97 AS VARCHAR) dst FROM orders GROUP BY 1, 2)"
 
 
@@ -631,16 +535,6 @@ def bfs_depth(spark, d):
     return feeds.breadth_first(edges, spark.createDataFrame([("1",)], "url string"), 4)
 
 
-CONFIG = [(1, "https://a.com", "A"), (2, "notaurl", "B"), (3, "https://a.com", "C"), (4, None, "D"), (5, "https://old.com", "E"), (6, "https://new.com", "")]
-
-
-@query(f"""SELECT CAST(line AS BIGINT) AS line, CASE WHEN coalesce(trim(url), '') = '' OR coalesce(trim(label), '') = '' THEN 'missing field' WHEN NOT regexp_matches(url, '^https?://') THEN 'invalid format'
- WHEN row_number() OVER (PARTITION BY url, coalesce(trim(url), '') <> '' AND coalesce(trim(label), '') <> '' AND coalesce(regexp_matches(url, '^https?://'), false) ORDER BY line) > 1 THEN 'duplicate in batch' WHEN url = 'https://old.com' THEN 'duplicate' END AS reason FROM {_values(CONFIG, 'line, url, label')}""")
-def config_validate_split(spark, d):
-    stored = spark.createDataFrame([("https://old.com",)], "url string")
-    return sinks.validated(_literal(spark, CONFIG, "line, url, label"), stored, "url", ["url", "label"], "^https?://").select("line", "reason")
-
-
 # ---- streams, as the batch plans they must equal ---------------------------------------------
 
 

@@ -6,18 +6,17 @@ wrong one in the engine does not agree with itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import jobs as J
 from ..operators import keywords as K
-from ..operators import quality as Q
 from ..sources import discovery as D
 from ..sources import html, sinks
 from . import records as R
-from .catalog import _literal, _t, _values, query
+from .catalog import _literal, _t, query
 
 _NOW = "TIMESTAMP '2024-01-20 12:00:00'"
 _JOBS = "j AS (SELECT o_orderkey AS id, o_custkey AS owner, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'processing' ELSE 'pending' END AS status FROM orders)"
@@ -43,13 +42,6 @@ def _crawl(spark, d) -> DataFrame:
 
 
 _SHOWN = ["id", "status", "error_message"]
-REQUESTS = [(1, " war ", "search", None), (2, "  ", "search", None), (3, None, "direct", "https://a.com"), (4, "x", "direct", "  "), (5, None, "search", None), (6, None, "direct", None), (7, None, "config", None)]
-
-
-@query(f"""SELECT CAST(id AS BIGINT) AS id, trim(coalesce(keyword, '')) AS keyword, CASE WHEN source_type = 'search' AND trim(coalesce(keyword, '')) = '' THEN 'keyword is required when source_type is ''search'''
- WHEN source_type = 'direct' AND trim(coalesce(direct_urls, '')) = '' THEN 'direct_urls field is required when source_type is ''direct''' END AS rejected FROM {_values(REQUESTS, 'id, keyword, source_type, direct_urls')}""")
-def job_submit(spark, d):
-    return J.submitted(_literal(spark, REQUESTS, "id, keyword, source_type, direct_urls")).select("id", "keyword", "rejected")
 
 
 @query(f"WITH {_JOBS}, m AS (SELECT max(id) AS n FROM j) SELECT id, owner, status FROM j UNION ALL SELECT n + row_number() OVER (ORDER BY id), owner, 'pending' FROM j, m WHERE id % 7 = 0 AND status = 'completed'")
@@ -110,14 +102,6 @@ def url_phases(spark, d):
     return J.phases(_crawl(spark, d)).groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "pending").alias("pending"))
 
 
-REGIONAL = [("https://cgtn.com",), ("http://www.cgtn.com/x",), ("https://a.b.stats.gov.cn/",), ("https://notcgtn.com/",), ("https://cgtn.com.evil.org/",), ("ftp://cgtn.com/",), ("https://news.cn",), ("https://x.com/?u=.cn",), ("https://en.cn.com/",), ("HTTPS://CGTN.com/",), (None,)]
-
-
-@query(f"SELECT url, coalesce({_REGIONAL}, false) AS regional FROM {_values(REGIONAL, 'url')}")
-def url_regional_source(spark, d):
-    return _literal(spark, REGIONAL, "url").select("url", J.is_regional(F.col("url")).alias("regional"))
-
-
 @query(f"""WITH {_JOBS}, s AS (SELECT user_id AS id, sum(CASE WHEN event_type <> 'signup' THEN 1 ELSE 0 END) c, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) m FROM events GROUP BY 1)
 SELECT j.id, CAST(1 + coalesce(c, 0) AS BIGINT) AS total_urls_crawled, CAST(coalesce(m, 0) AS BIGINT) AS total_urls_matched FROM j LEFT JOIN s ON s.id = j.id""")
 def job_counters(spark, d):
@@ -134,15 +118,6 @@ def keyword_progress_reset(spark, d):
     return J.progress_reset(done, 4, ["1-URGENT", "5-LOW", "new one", "5-LOW"]).drop("started_at", "completed_at")
 
 
-ATTEMPTS = [(1, 1, "true", 200), (2, 1, "false", 404), (3, 1, "false", 503), (3, 2, "true", 200), (4, 1, "false", 500), (4, 2, "false", 500), (5, 1, "false", 0), (6, 1, "false", 403), (6, 2, "true", 200)]
-
-
-@query(f"""WITH a AS (SELECT id, attempt, ok = 'true' AS ok, ok = 'true' OR coalesce(code IN (404, 410, 401, 403), false) OR attempt >= 2 AS last FROM {_values(ATTEMPTS, 'id, attempt, ok, code')}), f AS (SELECT id, coalesce(min(attempt) FILTER (WHERE last), max(attempt)) t FROM a GROUP BY 1)
-SELECT CAST(f.id AS BIGINT) AS id, CAST(t AS BIGINT) AS tries, CASE WHEN NOT last THEN 'pending' WHEN ok THEN 'fetched' ELSE 'failed' END AS status, CASE t WHEN 1 THEN 0.0 ELSE 1.0 END :: DOUBLE AS waited FROM f JOIN a ON a.id = f.id AND a.attempt = t""")
-def retry_outcomes(spark, d):
-    return J.outcomes(_literal(spark, ATTEMPTS, "id, attempt, ok, code").withColumn("ok", F.col("ok") == "true"))
-
-
 _SCHEDULES = "s AS (SELECT event_id AS id, event_type AS keyword, value > 5 AS active, ts AS next_run FROM events)"
 
 
@@ -234,9 +209,9 @@ def export_sorted(spark, d):
 
 
 def _placed(rows, order, n):
-    """The first n ids of an order with their places; the page is sorted without gathering the rest."""
-    first = rows.orderBy(*order).limit(n).select("id").collect()
-    return rows.sparkSession.createDataFrame([(r.id, k) for k, r in enumerate(first, 1)], "id bigint, place bigint")
+    """The first n ids of an order with their places; what is numbered is the page, n rows."""
+    first = rows.orderBy(*order).limit(n)
+    return first.select("id", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))
 
 
 @query(f"WITH {_STORED} SELECT id, row_number() OVER (ORDER BY relevance_score, id) AS place FROM r WHERE NOT is_duplicate AND (contains(lower(coalesce(title, '')), 'an') OR contains(lower(url), 'an')) ORDER BY place LIMIT 100")
@@ -254,15 +229,6 @@ def history_latest(spark, d):
     return R.history(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 15)
 
 
-GROUPS = [("myanmar", "Z Myanmar"), ("x1", "beta"), ("china", "A China"), ("x2", "Alpha"), ("northeast_india", "India"), ("x3", "alpine")]
-
-
-@query("SELECT * FROM (VALUES ('china', CAST(1 AS BIGINT)), ('myanmar', 2), ('northeast_india', 3), ('x2', 4), ('x3', 5), ('x1', 6)) AS t(key, place)")
-def group_sorted(spark, d):
-    rows = _literal(spark, GROUPS, "key, label").orderBy(*R.group_order(F.col("key"), F.col("label"))).collect()
-    return spark.createDataFrame([(r.key, k) for k, r in enumerate(rows, 1)], "key string, place bigint")
-
-
 @query(f"WITH {_URLS} SELECT id, status, 'N/A' AS title, CASE WHEN length(url) > 63 THEN left(url, 60) || '...' ELSE url END AS url, error_message FROM u WHERE search_id = 12 AND status = 'failed' ORDER BY id LIMIT 50")
 def url_terminal_listing(spark, d):
     return R.url_listing(_inspectable(spark, d), 12, "failed")
@@ -302,53 +268,12 @@ def doc_any_keyword(spark, d):
     return _t(spark, d, "documents").where(K.any_keyword(F.col("text"), ["Keit", "QUE a"])).select("doc_id")
 
 
-_ARTICLES = [(1, "https://a.com/", "2024-01-19"), (2, "https://a.com/2024/01/18/story-1.html", "2024-01-18"), (3, "https://a.com/2023/01/18/story-1.html", None), (4, "https://a.com/n/story-7.html", None), (5, "https://a.com/n/story-8.html", "2023-10-22"), (6, "https://a.com/n/story-9.html", "2023-10-21"), (7, "https://a.com/202401/x/", None)]
-
-
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'skipped', 'Skipped: Homepage or category/index landing page content.'), (2, 'matched', NULL), (3, 'skipped', 'Skipped: Article published more than 3 months ago (2023-01-18).'), (4, 'skipped', 'Skipped: Unable to verify article publication date.'), (5, 'matched', NULL),
- (6, 'skipped', 'Skipped: Article published more than 3 months ago (2023-10-21).'), (7, 'matched', NULL)) AS t(id, status, error_message)""")
-def keyword_free_mode(spark, d):
-    rows = _literal(spark, _ARTICLES, "id, url, day")
-    verdict = Q.keyword_free_verdict(F.col("url"), F.col("day").try_cast("date"), F.lit("2024-01-20").cast("date"))
-    return rows.select("id", verdict.alias("v")).select("id", "v.status", "v.error_message")
-
-
-_RESPONSES = [(1, "https://www.mfa.gov.cn/web/system/x.html", 10, None, 200, ""), (2, "https://www.mfa.gov.cn/a", 56100, None, 200, ""), (3, "https://www.mfa.gov.cn/a", 57000, None, 200, ""), (4, "https://x.org/", 55990, None, 200, ""), (5, "https://m.com/", 5, "Challenge", 200, ""), (6, "https://m.com/", 5, None, 403, "<b>Just a moment</b>"), (7, "https://m.com/", 5, None, 200, "Just a moment"), (8, "https://m.com/", 5, "x", 503, "fine")]
-
-
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'maintenance'), (2, 'maintenance'), (3, NULL), (4, NULL), (5, 'challenge'), (6, 'challenge'), (7, NULL), (8, NULL)) AS t(id, verdict)")
-def response_verdict(spark, d):
-    rows = _literal(spark, _RESPONSES, "id, url, size, mitigated, status, body")
-    return rows.select("id", Q.response_verdict(*(F.col(c) for c in ("url", "size", "mitigated", "status", "body"))).alias("verdict"))
-
-
 @query("SELECT event_id, strftime(make_timestamp(event_id * 86400123 * 1000), '%Y-%m-%d %H:%M:%S') AS at, md5('https://' || CAST(event_id AS VARCHAR)) AS record_id FROM events")
 def record_ids(spark, d):
     i = F.col("event_id")
     return _t(spark, d, "events").select("event_id", F.date_format(T.from_epoch_ms(i * 86400123), "yyyy-MM-dd HH:mm:ss").alias("at"), T.record_id(F.concat(F.lit("https://"), i.cast("string"))).alias("record_id"))
 
 
-_SCORES = [("35.25",), ("35.35",), ("0.05",), ("0.15",), ("0.25",), ("0.35",), ("12.75",), ("99.95",), ("40.0",), ("7.449999999999999",), ("60.65",), ("0.0",), ("1.05",), ("2.675",), ("45.45",)]
-
-
-@query("SELECT * FROM (VALUES ('35.25', 35.2::DOUBLE), ('35.35', 35.4), ('0.05', 0.1), ('0.15', 0.1), ('0.25', 0.2), ('0.35', 0.3), ('12.75', 12.8), ('99.95', 100.0), ('40.0', 40.0), ('7.449999999999999', 7.4), ('60.65', 60.6), ('0.0', 0.0), ('1.05', 1.1), ('2.675', 2.7), ('45.45', 45.5)) AS t(raw, score)")
-def score_rounding(spark, d):
-    return _literal(spark, _SCORES, "raw").select("raw", K.round_score(F.col("raw").cast("double")).alias("score"))
-
-
-_EXPRESSIONS = [("alpha beta", "true", "alpha,beta"), ("war OR", "false", "war"), ("alpha OR", "true", "alpha"), ("NOT", "true", ""), ("alpha AND", "false", "alpha"), ('"alpha beta" AND NOT x', "true", "alpha beta,x"), ("(alpha", "true", "alpha"), ("alpha AND-x", "false", "alpha,x"), ("NOT NOT alpha", "true", "alpha"), ("", "false", "")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', {m}, '{t}')" for e, m, t in _EXPRESSIONS) + ") AS t(expression, matched, terms)")
-def boolean_expressions(spark, d):
-    text = F.lit("Alpha beta gamma")
-    parts = [spark.range(1).select(F.lit(e).alias("expression"), K.parse_boolean(e).match(text).alias("matched"), F.lit(",".join(K.boolean_terms(e))).alias("terms")) for e, _, _ in _EXPRESSIONS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 _FIELD = r"regexp_extract(html, '{0}', 1)"
 
 
@@ -378,34 +303,17 @@ def discovery_tail_probes(spark, d):
     return D.tail_probes(_t(spark, d, "customer").select(url.alias("url"))).select("url", "n")
 
 
-SEEDED = [(1, '[{"url": "https://a.com/news/sea-1", "status": "valid", "head_data": {"title": "The sea", "jsonld": [{"datePublished": "bad"}, {"datePublished": "2024-01-15T00:00:00"}]}}, {"url": "https://a.com/news/x", "status": "not_valid"}]'), (2, '[{"url": "https://b.com/news/y", "relevance_score": 0.5}, {"url": "https://a.com/list/9"}, {"url": "https://a.com/news/old", "head_data": {"jsonld": [{"datePublished": "2020-01-01"}]}}, {"url": "https://a.com/blog/z"}, {"url": "https://a.com/news/last", "relevance_score": 2}]'), (3, "broken")]
-
-
-@query("SELECT * FROM (VALUES ('https://a.com/news/sea-1', 'The sea', '2024-01-15', 2.0::DOUBLE), ('https://a.com/news/last', NULL, NULL, 2.0)) AS t(url, title, published, relevance_score)")
-def discovery_seeder_rows(spark, d):
-    rows = D.seeder_rows(_literal(spark, SEEDED, "id, body"), U.host_in_scope(F.col("url"), "a.com"), "sea", [r"/list/"], since=F.lit("2023-01-01").cast("timestamp"), prefix="/news")
-    return rows.select("url", "title", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "relevance_score")
-
-
 @query(r"SELECT url, CAST((length(url) - length(replace(url, 'a', ''))) AS DOUBLE) AS relevance_score FROM (SELECT DISTINCT url FROM pages) WHERE NOT regexp_matches(url, '/[a-m][^/]*/[^/]*$') ORDER BY relevance_score DESC, url LIMIT 25")
 def discovery_sitemap_strategy(spark, d):
     entries = _t(spark, d, "pages").select(F.col("url").alias("loc"), F.lit(None).cast("string").alias("lastmod"))
     return D.sitemap_strategy(entries, F.lit(True), "a", 25, listing=[r"/[a-m][^/]*/[^/]*$"]).select("url", "relevance_score")
 
 
-_BULK = [("https://a.com, A , g1\n\n  https://b.com\nhttps://c.com,,,news,fr,my note\n",)]
-
-
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'https://a.com', 'A', 'g1', 'site', 'en', ''), (3, 'https://b.com', 'https://b.com', 'general', 'site', 'en', ''), (4, 'https://c.com', 'https://c.com', 'general', 'news', 'fr', 'my note')) AS t(line, url, label, \"group\", type, language, notes)")
-def config_bulk_lines(spark, d):
-    return D.bulk_lines(_literal(spark, _BULK, "text"), group="general", type="site", language="en")
-
-
-@query("SELECT page_id, link, CAST(min(pos) AS BIGINT) AS pos FROM (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos, CASE WHEN starts_with(unnest(hrefs), '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || unnest(hrefs) ELSE unnest(hrefs) END AS link FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) hrefs FROM pages)) WHERE regexp_matches(link, '[0-9]') GROUP BY 1, 2")
+@query("SELECT page_id, link, CAST(min(pos) AS BIGINT) AS pos FROM (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos, CASE WHEN starts_with(unnest(hrefs), '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || unnest(hrefs) ELSE unnest(hrefs) END AS link FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) hrefs FROM pages)) WHERE regexp_matches(link, '/[A-Z]') GROUP BY 1, 2")
 def discovery_topic_search(spark, d):
     from . import pages as P
 
-    return D.topic_search(P.links(_t(spark, d, "pages")).select("page_id", "pos", "link"), F.lit(True), ["[0-9]"])
+    return D.topic_search(P.links(_t(spark, d, "pages")).select("page_id", "pos", "link"), F.lit(True), ["/[A-Z]"])
 
 
 @query("""WITH t AS (SELECT user_id AS search, CAST(floor(event_id / 400) AS BIGINT) AS page, event_id AS pos, 'https://r.com/' || CAST(event_id % 40 AS VARCHAR) AS url FROM events), l AS (SELECT search, page, list(url ORDER BY pos) urls FROM t GROUP BY 1, 2),
@@ -417,14 +325,6 @@ def discovery_search_loop(spark, d):
     return D.search_loop(rows)
 
 
-_LINES = [(1, "https://a.com", None), (2, "x", "missing field"), (3, "y", "duplicate"), (4, "z", "duplicate"), (5, "w", None)]
-
-
-@query("SELECT CAST(2 AS BIGINT) AS added, CAST(3 AS BIGINT) AS skipped, 'line 2: missing field; line 3: duplicate' AS errors")
-def config_summary(spark, d):
-    return sinks.summary(_literal(spark, _LINES, "line, url, reason"), 2).withColumn("errors", F.array_join("errors", "; "))
-
-
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || CAST(n_nationkey AS VARCHAR) ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey % 7 > 0")
 def config_update_delete(spark, d):
     nation = _t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")

@@ -94,14 +94,14 @@ def flattened(entries: DataFrame, column: str, separator: str, pattern: str = r"
     return kept.agg(F.array_join(F.transform(rows, lambda r: r["v"]), separator).alias("value"))
 
 
-def bulk_lines(texts: DataFrame, text: str = "text", **defaults: str) -> DataFrame:
-    """line and the fields of entries typed one a line, commas between: url, label (the url), group, type, language, notes."""
-    lines = texts.select(F.posexplode(F.split(text, "\n")).alias("at", "l")).where(F.trim(F.regexp_replace("l", r"\s", " ")) != "")
+def bulk_lines(texts: DataFrame, text: str = "text", keep: Sequence[str] = (), **defaults: str) -> DataFrame:
+    """keep, line and the fields of entries typed one a line, commas between: url, label (the url), group, type, language, notes."""
+    lines = texts.select(*keep, F.posexplode(F.split(text, "\n")).alias("at", "l")).where(F.trim(F.regexp_replace("l", r"\s", " ")) != "")
     parts = F.transform(F.split(F.regexp_replace("l", r"^\s+|\s+$", ""), ","), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     cell = lambda i: F.nullif(F.get("p", F.lit(i)), F.lit(""))
     own = {n: F.coalesce(cell(i), F.lit(defaults.get(n, ""))) for i, n in enumerate(BULK_FIELDS) if i > 1}
     url = F.coalesce(cell(0), F.lit(""))
-    return lines.select((F.col("at") + 1).cast("bigint").alias("line"), parts.alias("p")).select("line", url.alias("url"), F.coalesce(cell(1), url).alias("label"), *[c.alias(n) for n, c in own.items()])
+    return lines.select(*keep, (F.col("at") + 1).cast("bigint").alias("line"), parts.alias("p")).select(*keep, "line", url.alias("url"), F.coalesce(cell(1), url).alias("label"), *[c.alias(n) for n, c in own.items()])
 
 
 def topic_search(links: DataFrame, scope: Column, patterns: Sequence[str]) -> DataFrame:

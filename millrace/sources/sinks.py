@@ -94,11 +94,12 @@ def validated(new: DataFrame, existing: DataFrame, key: str, required: Sequence[
 
 
 def summary(checked: DataFrame, first: int = 5) -> DataFrame:
-    """added, skipped and the first errors, in order of their lines, of validated rows."""
+    """added, skipped and the first errors, in order of their lines, of validated rows. Of the errors only the first are gathered."""
     bad = F.col("reason").isNotNull()
-    errors = F.array_sort(F.collect_list(F.when(bad, F.struct("line", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("reason")).alias("text")))))
-    counted = checked.agg(F.count_if(~bad).alias("added"), F.count_if(bad).alias("skipped"), errors.alias("e"))
-    return counted.select("added", "skipped", F.transform(F.slice("e", 1, first), lambda x: x["text"]).alias("errors"))
+    least = checked.where(bad).select("line", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("reason")).alias("text")).orderBy("line", "text").limit(first)
+    errors = least.agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("errors"))
+    counted = checked.agg(F.count_if(~bad).alias("added"), F.count_if(bad).alias("skipped"))
+    return counted.crossJoin(F.broadcast(errors))  # one row each
 
 
 def updated(config: DataFrame, key: str, changes: DataFrame) -> DataFrame:
