@@ -12,7 +12,7 @@ from ..functions import urls as U
 from ..functions.lazy import arrow_udf
 from ..operators import hosts, jobs, language, scan
 from ..session import shared_folder
-from ..sources import archive, html, results, walks
+from ..sources import archive, html, results, sites, walks
 from .catalog import _t, query
 
 # ---- archives --------------------------------------------------------------------------------
@@ -150,3 +150,101 @@ def page_language_detected(spark, d):
     e = html.extracted(F.col("html"), F.col("url"))
     found = _t(spark, d, "pages").select("page_id", e.alias("e")).select("page_id", "e.lang", language.detected(F.col("e.body"), known).alias("x"))
     return found.select("page_id", F.col("lang").alias("tag"), F.col("x.lang").alias("detected"), F.col("x.margin").alias("margin"))
+
+
+# ---- sites -----------------------------------------------------------------------------------
+
+
+def _site_pages(spark, d):
+    """site, n and url of the pages of each site, numbered by their ids."""
+    rows = _t(spark, d, "pages").select(U.origin(F.col("url")).alias("site"), "page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    return scan.numbered(rows, ["page_id"], ["site"], "n")
+
+
+_SITE_PAGES = r"o AS (SELECT regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS site, page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages), w AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS n, length(site) % 4 AS k FROM o)"
+
+
+@query(f"""WITH {_SITE_PAGES}, q AS (SELECT site, url, min(CASE WHEN k < 2 AND n % 3 = 0 THEN 2000000 + n WHEN k < 2 AND n % 3 = 2 THEN 1000000 + n ELSE n END) AS o FROM w WHERE k <> 3 AND NOT contains(lower(url), 'sitemap') GROUP BY 1, 2)
+SELECT site, place, url FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY o) AS place FROM q) WHERE place <= 5""")
+def site_sitemap_pages(spark, d):
+    """Each site's pages in sitemaps of one of four kinds: named by a robots text with a nested one and one in text; at a guessed address as an index of three; a plain one; and none."""
+    rows = _site_pages(spark, d).withColumn("k", F.length("site") % 4)
+    third = F.col("n") % 3
+    loc = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))
+    part = rows.groupBy("site", "k").agg(*[F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("n", value.alias("e"))))), lambda x: x["e"]).alias(name) for name, cond, value in (("a", third == 1, loc), ("b", third == 2, loc), ("c", third == 0, loc), ("ct", third == 0, F.col("url")), ("all", F.lit(True), loc))])
+    body = lambda entries: F.concat(F.lit("<urlset>"), F.array_join(entries, ""), F.lit("</urlset>"))
+    at = lambda end: F.concat("site", F.lit(end))
+    entry = lambda end: F.concat(F.lit("<sitemap><loc>"), at(end), F.lit("</loc></sitemap>"))
+    file = lambda url, text: F.struct(url.alias("url"), text.alias("body"))
+    maps = F.array(file(at("/a.xml"), body("a")), file(at("/b.xml"), body("b")), file(at("/c.xml"), body("c")))
+    robots = F.concat(F.lit("User-agent: *\nSitemap: "), at("/a.xml"), F.lit("\nsitemap:"), at("/more/b.xml"), F.lit(" \r\nSITEMAP: "), at("/c.txt"))
+    index = F.concat(F.lit("<sitemapindex>"), entry("/a.xml"), entry("/b.xml"), entry("/c.xml"), entry("/sitemap.xml"), F.lit("</sitemapindex>"))
+    files = F.when(F.col("k") == 0, F.array(file(at("/robots.txt"), robots), file(at("/a.xml"), body("a")), file(at("/more/b.xml"), body("b")), file(at("/c.txt"), F.array_join("ct", "\n "))))
+    files = files.when(F.col("k") == 1, F.concat(F.array(file(at("/sitemap_index.xml"), index)), maps)).when(F.col("k") == 2, F.array(file(at("/robots.txt"), F.lit("User-agent: *")), file(at("/sitemap.xml"), body("all"))))
+    landed = part.select("site", F.explode(files).alias("f")).select("f.*")
+    return sites.sitemap_pages(rows.select("site"), landed, 5)
+
+
+@query(f"""WITH {_SITE_PAGES}, q AS (SELECT site, url, min(CASE WHEN k = 0 AND n % 2 = 0 THEN 1000000 + n ELSE n END) AS o FROM w WHERE k < 2 AND starts_with(url, 'http') GROUP BY 1, 2)
+SELECT site, place, url FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY o) AS place FROM q) WHERE place <= 4""")
+def site_feed_pages(spark, d):
+    """Each site's pages in two feeds, in one, or in a file that is no feed."""
+    rows = _site_pages(spark, d).withColumn("k", F.length("site") % 4)
+    item = F.concat(F.lit("<item><link>"), "url", F.lit("</link></item>"))
+    entry = F.concat(F.lit("<entry><link href='"), "url", F.lit("'/></entry>"))
+    odd = F.col("n") % 2 == 1
+    lists = rows.groupBy("site", "k").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("n", e.alias("e"))))), lambda x: x["e"]), "").alias(name) for name, cond, e in (("odd", odd, item), ("even", ~odd, entry), ("all", F.lit(True), entry))])
+    file = lambda end, a, text, b: F.struct(F.concat("site", F.lit(end)).alias("url"), F.concat(F.lit(a), text, F.lit(b)).alias("body"))
+    files = F.when(F.col("k") == 0, F.array(file("/atom.xml", "<feed>", F.col("even"), "</feed>"), file("/rss", "<rss><channel>", F.col("odd"), "</channel></rss>"))).when(F.col("k") == 1, F.array(file("/feed", "<feed>", F.col("all"), "</feed>"))).otherwise(F.array(file("/feed", "<html>", F.col("all"), "</html>")))
+    return sites.feed_pages(rows.select("site"), lists.select(F.explode(files).alias("f")).select("f.*"), 4)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), p AS (SELECT *, n // 5 + 1 AS page, n // 5 + 1 = 6 + user_id % 5 AS bad, user_id % 7 = 0 AS told FROM e), f AS (SELECT user_id, min(page) FILTER (WHERE bad AND user_id % 3 = 0) AS gap FROM p GROUP BY 1)
+SELECT 'https://w' || CAST(p.user_id AS VARCHAR) || '.org' AS site, row_number() OVER (PARTITION BY p.user_id ORDER BY n) AS place, 'https://w.org/' || CAST(event_id AS VARCHAR) AS url, 'A & ' || CAST(event_id AS VARCHAR) AS title
+ FROM p JOIN f USING (user_id) WHERE (gap IS NULL OR page < gap) AND (NOT told OR page <= 4) QUALIFY row_number() OVER (PARTITION BY p.user_id ORDER BY n) <= 60""")
+def wordpress_list_walk(spark, d):
+    """Each user's events as a site's lists of five posts; of some sites a list fails, others tell that there are four lists."""
+    rows = scan.numbered(_t(spark, d, "events").select("user_id", "event_id"), ["event_id"], ["user_id"], "n", 0).withColumn("page", F.floor(F.col("n") / 5) + 1)
+    i = F.col("event_id").cast("string")
+    post = F.struct(F.col("event_id").alias("id"), F.concat(F.lit("https://w.org/"), i).alias("link"), F.struct(F.concat(F.lit("A &amp; "), i).alias("rendered")).alias("title"))
+    lists = rows.groupBy("user_id", "page").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n", post.alias("p")))), lambda x: x["p"])).alias("body"))
+    u = F.col("user_id")
+    bad = (F.col("page") == 6 + u % 5) & (u % 3 == 0)
+    landed = lists.select(F.concat(F.lit("https://w"), u.cast("string"), F.lit(".org")).alias("site"), F.lit("posts").alias("kind"), "page", F.when(bad, 400).otherwise(200).alias("status"), F.when(u % 7 == 0, 4).cast("bigint").alias("total"), F.when(bad, "{}").otherwise(F.col("body")).alias("body"))
+    return sites.wordpress_walk(landed, 60).select("site", "place", "url", "title")
+
+
+@query("""WITH e AS (SELECT user_id % 40 AS site, user_id AS query, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), p AS (SELECT *, n // 4 + 1 AS page FROM e),
+ r AS (SELECT * FROM p WHERE page < CASE query % 4 WHEN 0 THEN 7 WHEN 1 THEN 9 ELSE 61 END AND (ts >= TIMESTAMP '2024-01-05' OR query % 2 = 1))
+SELECT site, place, url FROM (SELECT site, row_number() OVER (PARTITION BY site ORDER BY CAST(query AS VARCHAR), n) AS place, 'https://n.cn/' || CAST(event_id AS VARCHAR) AS url FROM r) WHERE place <= 100""")
+def site_search_walk(spark, d):
+    """Each user's events as the answers of a site's search, four items each: JSON with times for even users, else links of a page. One search ends in an error, one repeats its page, others end with their events."""
+    rows = scan.numbered(_t(spark, d, "events").select("user_id", "event_id", "ts"), ["event_id"], ["user_id"], "n", 0).withColumn("page", F.floor(F.col("n") / 4) + 1)
+    u, i = F.col("user_id"), F.col("event_id").cast("string")
+    record = F.struct(F.concat(F.lit("//n.cn/"), i).alias("url"), i.alias("title"), F.unix_millis(F.col("ts").cast("timestamp")).alias("publishTime"))
+    anchor = F.concat(F.lit("<p><a class=x href='/"), i, F.lit("'><b>"), i, F.lit("</b></a><a href='/about'>about</a></p>"))
+    by_page = rows.groupBy("user_id", "page").agg(F.to_json(F.struct(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("n", record.alias("r")))), lambda x: x["r"]).alias("list")).alias("data"))).alias("json"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", anchor.alias("a")))), lambda x: x["a"]), "").alias("html"))
+    answers = by_page.select((u % 40).alias("site"), u.cast("string").alias("query"), "page", (~((u % 4 == 0) & (F.col("page") == 7))).alias("ok"), F.when(u % 2 == 0, sites.json_items(F.col("json"))).otherwise(sites.matching_items(F.col("html"), "https://n.cn", [r"/\d+$"])).alias("items"))
+    # searches of the second kind answer their ninth page with the eighth
+    eighth = answers.where((F.col("query").cast("bigint") % 4 == 1) & (F.col("page") == 8)).withColumn("page", F.lit(9).cast("bigint"))
+    others = answers.where(~((F.col("query").cast("bigint") % 4 == 1) & (F.col("page") == 9)))
+    return sites.search_walk(others.unionByName(eighth), most=100, since=F.lit("2024-01-05").cast("timestamp")).select("site", "place", "url")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'https://g.cn/s?q=' || k || '&b=' || strftime(o_orderdate::DATE - 90, '%Y-%m-%d') || '&e=' || strftime(o_orderdate::DATE, '%Y-%m-%d') || '&page=' || CAST(p AS VARCHAR)
+ ELSE 'https://ifa.np/en/news/?q=' || k || CASE WHEN p > 1 THEN '&page=' || CAST(p AS VARCHAR) ELSE '' END END AS url FROM (SELECT *, replace(o_orderpriority, ' ', '+') AS k, o_orderkey % 3 + 1 AS p FROM orders)""")
+def search_url_dated(spark, d):
+    """Search addresses with date placeholders, and those whose template has no page."""
+    page, day = F.col("o_orderkey") % 3 + 1, F.col("o_orderdate").cast("date")
+    dated = sites.dated_search_url(F.lit("https://g.cn/s?q={keyword}&b={YYYY-MM-DD}&e={YYYY-MM-DD}&page={page}"), F.col("o_orderpriority"), page, F.date_sub(day, 90), day)
+    paged = sites.paged_search_url(F.lit("https://ifa.np/en/news/?q={keyword}"), F.col("o_orderpriority"), page)
+    return _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, dated).otherwise(paged).alias("url"))
+
+
+@query(r"""WITH s AS (SELECT page_id % 5 AS search_id, url, min(CASE page_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'matched' ELSE 'skipped' END) AS status FROM pages WHERE page_id % 2 = 0 GROUP BY 1, 2)
+SELECT DISTINCT page_id % 5 AS search_id, p.url AS url, coalesce(status, 'pending') AS status, CASE WHEN status IS NULL THEN 'new' ELSE 'again' END AS queued FROM pages p LEFT JOIN s ON s.search_id = p.page_id % 5 AND s.url = p.url WHERE status IS NULL OR status IN ('pending', 'failed')""")
+def frontier_requeued(spark, d):
+    i = F.col("page_id")
+    rows = _t(spark, d, "pages").select((i % 5).alias("search_id"), "url", "page_id")
+    status = F.when(i % 7 == 0, "failed").when(i % 7 == 1, "pending").when(i % 7 == 2, "matched").otherwise("skipped")
+    return sites.frontier(rows, rows.where(i % 2 == 0).select("search_id", "url", status.alias("status"))).drop("domain")
