@@ -17,7 +17,7 @@ from ..operators import keywords as K
 from ..operators import quality as Q
 from ..operators import scan
 from ..sources import discovery as D
-from ..sources import feeds, sinks
+from ..sources import feeds, html, sinks
 from . import records as R
 from .catalog import _rounded, _t, query
 from .lifecycle import _REGIONAL, _STORED, _now, _stored
@@ -382,3 +382,88 @@ def boolean_expressions(spark, d):
     """Every document against expressions with groups, quotes, missing operands, and what follows a complete one."""
     found = F.array(*[F.struct(F.lit(e).alias("expression"), K.parse_boolean(e).match(F.col("text")).alias("matched"), F.lit(",".join(K.boolean_terms(e))).alias("terms")) for e in _EXPRESSIONS])
     return _t(spark, d, "documents").select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+
+
+# ---- fields of pages -------------------------------------------------------------------------
+
+_HEADS = (
+    '<meta name="description" content="About {0}"><meta property="og:image" content="/img/{0}.png"><script type="application/ld+json">{"@graph": [{"x": {"@type": ["Thing", "NewsArticle"], "author": [{"name": " Jane {0} "}], "datePublished": "2026-05-15T10:00:00Z"}}]}</script>',
+    '<meta property="og:description" content=" Open {0} "><meta name="twitter:image" content="https://cdn.org/{0}.jpg"><meta property="article:published_time" content="2026-04-01"><meta name="author" content="Writer {0}">',
+    '<link rel="image_src" href="../{0}.gif"><meta name="date" content="not one"><script type="application/ld+json">{"@type": "Article", "author": "Solo {0}"}</script><script type="application/ld+json">{broken</script>',
+    "",
+)
+_BODIES = (
+    '<figure><p><img src="a{0}.png" alt="alt" width="640px"></p><figcaption>cap <b>{0}</b></figcaption></figure><img data-src="/b.png"><img src="a{0}.png"><img>',
+    '<time datetime="2026-03-02T01:02:03">then</time><div class="Byline">By  Some{0} One</div><img src="/logo.png"><img src="//c.org/x{0}.png">',
+    '<iframe src="https://player.vimeo.com/{0}"></iframe><video poster="p.jpg"><source src="/v{0}.mp4"></video><embed src="e"><object></object>',
+    '<h2>H{0} ¶</h2><h3>H{0} ¶</h3><ul><li>one</li><li>t{0}</li></ul><table><tr><th>a|b</th><td>{0}</td></tr><tr></tr></table><pre> x\n{0} </pre><blockquote>said {0}</blockquote><a rel="prev next" href="?page={0}">m</a>',
+)
+
+
+def _marked(text: str, at: Column) -> Column:
+    return F.replace(F.lit(text), F.lit("{0}"), at.cast("string"))
+
+
+_AT = r"regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
+_DIR = r"regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS i, url, page_id % 4 AS k, page_id // 4 % 4 AS b, {_AT} AS site, {_DIR} AS folder FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'About ' || i WHEN 1 THEN 'Open ' || i END AS description,
+ CASE WHEN k = 0 THEN 'Jane ' || i WHEN k = 1 THEN 'Writer ' || i WHEN k = 2 THEN 'Solo ' || i WHEN b = 1 THEN 'Some' || i || ' One' ELSE 'Unknown' END AS author,
+ CASE WHEN k = 1 THEN '2026-04-01' WHEN b = 1 THEN '2026-03-02' WHEN k = 0 THEN '2026-05-15' END AS published,
+ CASE WHEN k = 0 THEN site || '/img/' || i || '.png' WHEN k = 1 THEN 'https://cdn.org/' || i || '.jpg' WHEN k = 2 THEN 'up' WHEN b = 0 THEN folder || '/a' || i || '.png' WHEN b = 1 THEN regexp_extract(url, '^[^:]+:') || '//c.org/x' || i || '.png' END AS image,
+ CASE b WHEN 0 THEN folder || '/a' || i || '.png cap ' || i || ' 640; ' || site || '/b.png  -' WHEN 1 THEN site || '/logo.png  -; ' || regexp_extract(url, '^[^:]+:') || '//c.org/x' || i || '.png  -' ELSE '' END AS images,
+ CASE b WHEN 2 THEN 'https://player.vimeo.com/' || i || ' vimeo ; ' || site || '/v' || i || '.mp4 html5 ' || folder || '/p.jpg; ' || folder || '/e iframe ' ELSE '' END AS videos,
+ CASE b WHEN 3 THEN 'H' || i ELSE '' END AS heading, CASE b WHEN 3 THEN 'one,t' || i ELSE '' END AS list, CASE b WHEN 3 THEN 'a|b,' || i ELSE '' END AS cells, CASE b WHEN 3 THEN 'x' || chr(10) || i ELSE '' END AS code, CASE b WHEN 3 THEN 'said ' || i ELSE '' END AS quote,
+ CASE b WHEN 3 THEN regexp_replace(url, '[?#].*$', '') || '?page=' || i END AS next_page FROM p""")
+def page_marked_fields(spark, d):
+    """Pages with marked heads and bodies of four kinds each: what is said about them, their media, lists, tables, code and next pages."""
+    i = F.col("page_id")
+    kinds = lambda texts, at: F.element_at(F.array(*[_marked(t, i) for t in texts]), (at + 1).cast("int"))
+    page = F.concat(F.lit("<html><head><title>t</title>"), kinds(_HEADS, i % 4), F.lit("</head><body>"), kinds(_BODIES, F.floor(i / 4) % 4), F.lit("</body></html>"))
+    e = html.extracted(page, F.col("url"))
+    rows = _t(spark, d, "pages").select("page_id", e.alias("e")).select("page_id", "e.*")
+    text = lambda *parts: F.concat(*[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    sp = F.lit(" ")
+    return rows.select(
+        "page_id", "description", "author", "published", F.when(i % 4 == 2, F.when(F.col("image").endswith(".gif"), "up")).otherwise(F.col("image")).alias("image"),
+        F.array_join(F.transform("images", lambda x: text(x["src"], sp, x["caption"], sp, x["width"])), "; ").alias("images"), F.array_join(F.transform("videos", lambda x: text(x["src"], sp, x["type"], sp, x["thumbnail"])), "; ").alias("videos"),
+        F.array_join("headings", ",").alias("heading"), F.coalesce(F.array_join(F.get("lists", F.lit(0)), ","), F.lit("")).alias("list"), F.coalesce(F.array_join(F.flatten(F.get("tables", F.lit(0))), ","), F.lit("")).alias("cells"), first("code").alias("code"), first("quotes").alias("quote"), "next_page",
+    )
+
+
+@query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(u, '^http://', 'https://') ELSE u END AS forced, page_id % 4 < 2 OR regexp_matches(u, '\.(MP4|webm)([?#]|$)') AS video FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '//[^/?#]*', '//m.youtube.com') WHEN 1 THEN regexp_replace(url, '//[^/?#]*', '//youtu.be') WHEN 2 THEN regexp_replace(url, '[?#].*$', '') || CASE WHEN page_id % 8 = 2 THEN '.MP4?x=1' ELSE '.webm#t' END ELSE regexp_replace(url, '//[^/?#]*', '//notvimeo.com') END AS u FROM pages)""")
+def url_scheme_and_video(spark, d):
+    i, host = F.col("page_id"), lambda name: F.regexp_replace("url", F.lit("//[^/?#]*"), F.lit(f"//{name}"))
+    ended = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.when(i % 8 == 2, ".MP4?x=1").otherwise(".webm#t"))
+    url = F.when(i % 4 == 0, host("m.youtube.com")).when(i % 4 == 1, host("youtu.be")).when(i % 4 == 2, ended).otherwise(host("notvimeo.com"))
+    return _t(spark, d, "pages").select("page_id", U.force_https(url, i % 3 == 0).alias("forced"), U.is_video(url).alias("video"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 4 = 1 THEN s_name WHEN s_suppkey % 4 = 2 THEN s_name || ', b' ELSE s_name || ', b (+2 more)' END AS shown, 'Group ' || CAST(s_suppkey AS VARCHAR) || ' Of Names' AS label FROM supplier""")
+def keyword_and_group_labels(spark, d):
+    i = F.col("s_suppkey")
+    words = F.slice(F.array("s_name", F.lit("b"), F.lit("c"), F.lit("d")), F.lit(1), F.when(i % 4 == 3, 4).otherwise(i % 4).cast("int"))
+    return _t(spark, d, "supplier").select("s_suppkey", T.keyword_display(words).alias("shown"), T.group_label(F.concat(F.lit("group_"), i.cast("string"), F.lit("_of_NAMES"))).alias("label"))
+
+
+@query("SELECT url, (SELECT count(DISTINCT url) FROM pages) > 50 AS truncated FROM (SELECT DISTINCT url FROM pages) ORDER BY url LIMIT 50")
+def candidates_capped(spark, d):
+    rows, more = feeds.capped(_t(spark, d, "pages").select("url").distinct(), [F.col("url").asc()], 50)
+    return rows.withColumn("truncated", F.lit(more))
+
+
+@query(f"WITH {_STORED} SELECT id AS \"ID\", url AS \"URL\", coalesce(title, '') AS \"Title\", md5(coalesce(full_content, '')) AS content_md5, coalesce(occurrences, 0) AS \"Occurrences\" FROM r WHERE status = 'matched'")
+def export_files_round_trip(spark, d):
+    """Matched results exported as CSV parts and read back, texts with quotes, commas and line ends included."""
+    import uuid
+
+    from ..session import shared_folder
+
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    rows = R.export_rows(R.listed(_stored(spark, d), status="matched")).select("ID", "URL", "Title", F.col("Full Content").alias("content"), "Occurrences")
+    sinks.export_parts(rows, folder, "csv")
+    back = sinks.exported_parts(spark, folder, "csv", rows.schema)
+    return back.select("ID", "URL", "Title", F.md5(F.col("content").cast("binary")).alias("content_md5"), "Occurrences")

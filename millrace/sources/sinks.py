@@ -47,6 +47,28 @@ def export(df: DataFrame, path: str, kind: str) -> None:
         write_xlsx(path, names, [[r[n] for n in names] for r in rows])
 
 
+#: How texts are kept whole in CSV parts: every value is quoted, quotes are doubled, and values may hold line ends; null is an empty value without quotes.
+_CSV = {"header": "true", "quoteAll": "true", "escape": '"', "multiLine": "true", "lineSep": "\n", "encoding": "UTF-8", "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def export_parts(df: DataFrame, folder: str, kind: str) -> None:
+    """Write any number of rows as csv, json (a line each) or parquet parts of a folder, each task its own."""
+    if kind == "csv":
+        df.write.options(**_CSV).csv(folder)
+    elif kind == "json":
+        df.write.option("ignoreNullFields", "false").json(folder)
+    elif kind == "parquet":
+        df.write.parquet(folder)
+    else:
+        raise ValueError(f"unknown export format {kind!r}")
+
+
+def exported_parts(spark, folder: str, kind: str, schema) -> DataFrame:
+    """Parts that export_parts has written."""
+    reader = spark.read.schema(schema)
+    return reader.options(**_CSV).csv(folder) if kind == "csv" else reader.json(folder) if kind == "json" else reader.parquet(folder)
+
+
 def write_xlsx(path: str, names: Sequence[str], rows: Sequence[Sequence]) -> None:
     """A workbook of one sheet; column widths follow the longest cell, 12 to 50."""
     text = lambda v: "" if v is None else str(v)
