@@ -114,28 +114,34 @@ def first_kept(rows: DataFrame, text: str = "text", order: str = "doc_id", print
     """order, content_hash, simhash and is_duplicate by the sequential rule: a row is a duplicate if an
     earlier *kept* row has its hash or a fingerprint within three bits.
 
-    Rows equal in hash and fingerprint share the fate of their first, or repeat it. Among those
-    firsts, each round keeps rows without undecided or kept earlier neighbours, and drops rows with a
-    kept one, until all are decided.
+    Rows equal in hash and fingerprint share the fate of their first, or repeat it. Among those firsts, a round asks of each
+    fingerprint and each hash for its first kept and its first undecided row, and near fingerprints, as distinct values, exchange what they know; so rows of one
+    fingerprint are never paired. A row with an earlier kept one is dropped, one without an earlier undecided one is kept, the others wait for the next round.
     """
     value = F.col(print_column) if print_column else simhash(F.col(text))
     hashed = written(rows.select(F.col(order).alias("id"), content_hash(F.col(text)).alias("content_hash"), value.alias("simhash")), "prints")
     same = F.struct("content_hash", F.coalesce(F.col("simhash").cast("string"), F.lit("")))
-    firsts = written(hashed.groupBy(same.alias("k")).agg(F.min("id").alias("id"), F.first("content_hash").alias("content_hash"), F.first("simhash").alias("simhash")), "firsts")
-    edges = written(near_pairs(firsts).select("a", "b"), "edges")
-    state = written(firsts.select("id", "content_hash", F.lit(None).cast("boolean").alias("kept")), "state")
+    waiting = written(hashed.groupBy(same.alias("k")).agg(F.min("id").alias("id"), F.first("content_hash").alias("content_hash"), F.first("simhash").alias("simhash")).drop("k"), "firsts")
+    values = waiting.where("simhash is not null").select("simhash").distinct()
+    pairs = near_pairs(values.select("simhash", F.col("simhash").alias("id"))).select("a", "b")
+    near = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(values.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"))), "near")
+    kept = waiting.limit(0)
     while True:
-        seen = edges.join(state.select(F.col("id").alias("a"), "kept"), "a").groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.bool_or(F.col("kept").isNull()).alias("open"))
-        # rows of one hash are told by their group: whether one is kept, and which undecided one is first
-        alike = state.groupBy("content_hash").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("twin_kept"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("first_open"))
-        known = state.join(seen.withColumnRenamed("b", "id"), "id", "left").join(alike, "content_hash")
-        waits = F.coalesce(F.col("open"), F.lit(False)) | F.coalesce(F.col("first_open") < F.col("id"), F.lit(False))
-        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("near_kept", F.lit(False)) | F.col("twin_kept"), False).when(waits, F.lit(None).cast("boolean")).otherwise(True)
-        state = written(known.select("id", "content_hash", decided.alias("kept")), "state")
-        if state.where("kept is null").isEmpty():
+        none = F.lit(None).cast(waiting.schema["id"].dataType)
+        both = waiting.withColumns({"open": F.col("id"), "kept": none}).unionByName(kept.withColumns({"open": none, "kept": F.col("id")}))
+        firsts = [F.min("open").alias("open"), F.min("kept").alias("kept")]
+        own = both.where("simhash is not null").groupBy(F.col("simhash").alias("b")).agg(*firsts)
+        by_print = near.join(own, "b").groupBy(F.col("a").alias("simhash")).agg(F.min("open").alias("open_near"), F.min("kept").alias("kept_near"))
+        by_hash = both.groupBy("content_hash").agg(*firsts)
+        known = waiting.join(by_hash, "content_hash").join(by_print, "simhash", "left")
+        dropped, open_before = (F.coalesce(F.least(a, b) < F.col("id"), F.lit(False)) for a, b in (("kept", "kept_near"), ("open", "open_near")))
+        state = written(known.select("id", "content_hash", "simhash", F.when(dropped, F.lit("dropped")).when(open_before, F.lit("waiting")).otherwise(F.lit("kept")).alias("fate")), "state")
+        kept = kept.unionByName(state.where("fate = 'kept'").drop("fate"))
+        waiting = state.where("fate = 'waiting'").drop("fate")
+        if waiting.isEmpty():
             break
-    kept = state.where("kept").select("id", F.lit(True).alias("_kept"))
-    return hashed.join(kept, "id", "left").select(F.col("id").alias(order), "content_hash", "simhash", F.col("_kept").isNull().alias("is_duplicate"))
+    decided = kept.select("id", F.lit(True).alias("_kept"))
+    return hashed.join(decided, "id", "left").select(F.col("id").alias(order), "content_hash", "simhash", F.col("_kept").isNull().alias("is_duplicate"))
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
