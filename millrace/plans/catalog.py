@@ -101,6 +101,12 @@ def page_keyword_rank(spark, d):
 
 # ---- URLs ------------------------------------------------------------------------------------
 
+# fixed values, as SQL compares them
+_SQL_PARAMETERS = "q query search s keyword keywords k keys searchword search_api_views_fulltext text term find sr search_query search_keyword buscar suche".split()
+_SQL_STATIC = ".pdf .jpg .jpeg .png .gif .svg .zip .css .js .xml".split()
+_SQL_SKIPPED = ".pdf .jpg .jpeg .png .gif .svg .webp .zip .tar .gz .css .js .xml .json .mp4 .mp3 .wav .avi .mov .ico .woff .woff2 .ttf .eot".split()
+_SQL_EXCLUDED = "google.com google.co.in google.co.uk google.ad google.ae youtube.com youtu.be facebook.com twitter.com instagram.com linkedin.com pinterest.com duckduckgo.com bing.com yahoo.com search.yahoo.com microsoft.com wikipedia.org w3.org schema.org".split()
+
 URLS = [
     ("https://example.com/search?q=war",), ("https://example.com/page/2/?s=x",), ("https://example.com/?s=navy",), ("https://example.com/?Q=",), ("https://example.com/search/",), ("https://example.com/results?query=a",),
     ("https://example.com/find?keyword=b",), ("https://example.com/research/paper-1",), ("https://example.com/findings/2024",), ("https://example.com/news/page/2/",), ("https://example.com/article?id=123&ref=homepage",),
@@ -121,10 +127,10 @@ def url_domain_counts(spark, d):
 
 
 _QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
-_SEARCH = rf"""coalesce(starts_with(url, 'http') AND (regexp_matches({_PATH.format('url')}, '(?i)/(?:{'|'.join(U.SEARCH_SEGMENTS)})(?:/|$)')
- OR ({_QUERY} <> '' AND list_has_any(list_transform(string_split({_QUERY}, '&'), lambda x: lower(url_decode(string_split(x, '=')[1]))), {list(U.SEARCH_PARAMETERS)}))
- OR (regexp_matches({_PATH.format('url')}, '(?i)/page/\d+') AND regexp_matches('?' || {_QUERY}, '(?i)[?&](?:{'|'.join(U.PAGED_SEARCH_PARAMETERS)})='))
- OR regexp_matches(url, '{U.NO_RESULTS}')), false)"""
+_SEARCH = rf"""coalesce(starts_with(url, 'http') AND (regexp_matches({_PATH.format('url')}, '(?i)/(?:search|find|results|searchresults|search-results|site-search|query)(?:/|$)')
+ OR ({_QUERY} <> '' AND list_has_any(list_transform(string_split({_QUERY}, '&'), lambda x: lower(url_decode(string_split(x, '=')[1]))), {_SQL_PARAMETERS}))
+ OR (regexp_matches({_PATH.format('url')}, '(?i)/page/\d+') AND regexp_matches('?' || {_QUERY}, '(?i)[?&](?:q|s|query|search|keyword|keywords|find|keys|searchword|term)='))
+ OR regexp_matches(url, '(?i)no[_-]?results|0[_-]?results|not[_-]?found|noresult')), false)"""
 
 
 @query(f"WITH {_URLS} SELECT url, {_SEARCH} AS is_search FROM u")
@@ -140,7 +146,7 @@ def url_candidate_filter(spark, d):
 _CLEAN = f"regexp_replace(lower({_PATH.format('url')}), '^/+|/+$', '', 'g')"
 
 
-@query(rf"""WITH {_URLS} SELECT url, CASE WHEN c = '' OR c IN {U.INDEX_FILES} THEN false
+@query(rf"""WITH {_URLS} SELECT url, CASE WHEN c = '' OR c IN ('index.html', 'index.shtml', 'index.htm', 'default.html', 'default.shtml') THEN false
  WHEN regexp_matches(p, '/\d{{4}}[-/]?\d{{2}}[-/]?\d{{2}}/|/\d{{6}}/|/page/\d{{6}}/|/a/\d{{6}}/') OR regexp_matches(p, 't\d{{8}}_') THEN true
  WHEN n <= 2 AND NOT g THEN false WHEN n >= 2 AND (g OR ends_with(c, '.html') OR ends_with(c, '.shtml') OR ends_with(c, '.htm')) THEN true ELSE false END AS is_article
  FROM (SELECT url, lower({_PATH.format('url')}) p, {_CLEAN} c, len(string_split({_CLEAN}, '/')) n, regexp_matches(string_split({_CLEAN}, '/')[-1], '[0-9]') g FROM u)""")
@@ -159,8 +165,8 @@ def url_date(spark, d):
     return _urls(spark, d).select("url", U.date_from_url(F.col("url")).cast("string").alias("published"))
 
 
-@query(rf"""WITH {_URLS} SELECT url, regexp_matches(url, '^https?://') AND NOT ({' OR '.join(f"ends_with(lower({_PATH.format('url')}), '{e}')" for e in U.STATIC_ENDINGS)})
- AND NOT ({_DOMAIN.format('url')} IN {U.EXCLUDED_DOMAINS} OR len(list_filter({list(U.EXCLUDED_DOMAINS)}, lambda x: ends_with({_DOMAIN.format('url')}, '.' || x))) > 0) AS valid FROM u""")
+@query(rf"""WITH {_URLS} SELECT url, regexp_matches(url, '^https?://') AND NOT ({' OR '.join(f"ends_with(lower({_PATH.format('url')}), '{e}')" for e in _SQL_STATIC)})
+ AND NOT ({_DOMAIN.format('url')} IN {tuple(_SQL_EXCLUDED)} OR len(list_filter({_SQL_EXCLUDED}, lambda x: ends_with({_DOMAIN.format('url')}, '.' || x))) > 0) AS valid FROM u""")
 def url_valid_result(spark, d):
     return _urls(spark, d).select("url", U.is_valid_result(F.col("url")).alias("valid"))
 
@@ -201,7 +207,7 @@ def url_unwrap_redirect(spark, d):
     return _urls(spark, d).select("url", U.unwrap_redirect(F.col("url")).alias("target"))
 
 
-@query(rf"""WITH {_URLS} SELECT url, starts_with(url, '#') OR {' OR '.join(f"ends_with(lower({_PATH.format('url')}), '{e}')" for e in U.SKIPPED_ENDINGS)}
+@query(rf"""WITH {_URLS} SELECT url, starts_with(url, '#') OR {' OR '.join(f"ends_with(lower({_PATH.format('url')}), '{e}')" for e in _SQL_SKIPPED)}
  OR len(list_filter(string_split({_PATH.format('url')}, '/'), lambda x: x <> '')) = 0 OR regexp_matches(url, '(?i)[?&](?:page|p|pg|paged|start|offset|from)=\d+') AS skip FROM u""")
 def url_skippable(spark, d):
     return _urls(spark, d).select("url", U.is_skippable(F.col("url")).alias("skip"))
@@ -307,7 +313,8 @@ def hamming_pairs(spark, d):
 # ---- text ------------------------------------------------------------------------------------
 
 LINES = [("Body line one\nBody two\nRelated stories\nnoise",), ("Only body",), ("A\nMore from our site\nB",), ("Comments\nx",)]
-_STOPS = "(?i)" + "|".join(f"(?:{p})" for p in T.STOP_PATTERNS)
+# fixed values: lines at which an article ends, as SQL compares them
+_STOPS = r"(?i)(?:^more\s+(?:.*\s+)?(?:news|articles|stories|headlines)$)|(?:^related\s+(?:.*\s+)?(?:stories|articles|posts|news|content)$)|(?:^you\s+may\s+also\s+like$)|(?:^recommended\s+for\s+you$)|(?:^read\s+next$)|(?:^sponsored\s+(?:.*\s+)?content$)|(?:^latest\s+(?:.*\s+)?(?:stories|news|headlines|articles)$)|(?:^popular\s+(?:.*\s+)?(?:stories|articles|posts)$)|(?:^top\s+stories$)|(?:^trending\s+(?:.*\s+)?(?:stories|news|topics)$)|(?:^comments$)|(?:^discussion$)|(?:^share\s+this\s+article$)|(?:^follow\s+us$)|(?:^newsletter$)|(?:^more\s+from\s+)"
 
 
 @query(f"""SELECT s, array_to_string(CASE WHEN hit > 0 THEN ls[1 : hit - 1] ELSE ls END, chr(10)) AS kept FROM (SELECT s, ls, coalesce(list_position(list_transform(ls, lambda x: length(trim(x)) < 80 AND regexp_matches(trim(x), '{_STOPS}')), true), 0) hit FROM
@@ -348,7 +355,7 @@ def _like(words, *columns) -> str:
     return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words for c in columns) + ")"
 
 
-_SOURCE = f"CASE WHEN contains(h, '.gov') THEN 'Government' WHEN {_like(('.edu', '.ac.'), 'h')} THEN 'Research Institute' WHEN {_like(C.JOURNAL_WORDS, 'h', 'u')} THEN 'Journal' WHEN {_like(C.THINK_TANK_WORDS, 'h', 'u')} THEN 'Think Tank' ELSE 'News' END"
+_SOURCE = f"CASE WHEN contains(h, '.gov') THEN 'Government' WHEN {_like(('.edu', '.ac.'), 'h')} THEN 'Research Institute' WHEN {_like(('journal', 'springer', 'ieee', 'sciencedirect', 'nature', 'academic', 'researchgate'), 'h', 'u')} THEN 'Journal' WHEN {_like(('thinktank', 'brookings', 'rand', 'csis', 'chathamhouse', 'cfr', 'rusi', 'sipri', 'iiss', 'lowyinstitute'), 'h', 'u')} THEN 'Think Tank' ELSE 'News' END"
 
 
 def _geo(names) -> str:
@@ -382,7 +389,7 @@ def page_links(spark, d):
 
 
 @query(f"""WITH {_LINKS} SELECT page_id, link FROM (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) n FROM k WHERE {_DOMAIN.format('link')} = {_DOMAIN.format('url')}
- AND NOT ({' OR '.join(f"ends_with(lower({_PATH.format('link')}), '{e}')" for e in U.STATIC_ENDINGS)})) WHERE n <= 100""")
+ AND NOT ({' OR '.join(f"ends_with(lower({_PATH.format('link')}), '{e}')" for e in _SQL_STATIC)})) WHERE n <= 100""")
 def link_expansion_top100(spark, d):
     rows = P.links(_t(spark, d, "pages"))
     same = (U.domain(F.col("link")) == U.domain(F.col("url"))) & ~U._ends_with_any(F.lower(U.path(F.col("link"))), U.STATIC_ENDINGS)

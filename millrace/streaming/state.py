@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,23 @@ from .sink import KeyedLog
 LIVE_SECONDS, MOST_HOSTS = 86_400, 1000
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """From now on streams of the session keep their state in RocksDB, as those of this module need."""
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """RocksDB for the streams that start within."""
+    before = spark.conf.get(_PROVIDER)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 # ---- near duplicates -------------------------------------------------------------------------
@@ -80,14 +96,15 @@ def _first_shared(differ: int) -> int:
     return _CHOICES.index(tuple(alike[:3]))
 
 
-def near_links(rows: DataFrame, live_seconds: int | None = None) -> DataFrame:
+def near_links(rows: DataFrame, live_seconds: int | None = None, marks: tuple[str, str] | None = None) -> DataFrame:
     """Links (a, b, same) of each row b (id, text) of a stream to the earlier rows a that have its content hash or a
     fingerprint within three bits (``same``: both are equal), and one with null a for every row. What is older than ``live_seconds`` is forgotten.
 
     A row asks the blocks of its fingerprint and the block of its hash; each pair is found in one block alone. Copies
-    of a text are linked to the first one only and leave nothing in the state.
+    of a text are linked to the first one only and leave nothing in the state. ``marks`` names columns that hold hash and fingerprint already.
     """
-    own = rows.select("id", content_hash(F.col("text")).alias("content_hash"), dedup.simhash(F.col("text")).alias("p"))
+    value = (F.col(marks[0]), F.col(marks[1])) if marks else (content_hash(F.col("text")), dedup.simhash(F.col("text")))
+    own = rows.select("id", value[0].alias("content_hash"), value[1].alias("p"))
     tables = dedup.block_tables("p")
     whole = F.struct(F.lit(-1).alias("t"), F.xxhash64("content_hash").alias("v"))
     asked = own.select("id", "content_hash", F.coalesce("p", F.lit(0)).alias("p"), F.explode(F.when(F.col("p").isNull(), F.array(whole)).otherwise(F.concat(F.array(whole), F.array(*tables)))).alias("x"))
@@ -119,13 +136,13 @@ def settled(links: DataFrame, log: KeyedLog, batch_id: int) -> None:
     log.write(state, batch_id)
 
 
-def first_kept_stream(rows: DataFrame, folder: str, checkpoint: str, live_seconds: int | None = None):
+def first_kept_stream(rows: DataFrame, folder: str, checkpoint: str, live_seconds: int | None = None, marks: tuple[str, str] | None = None):
     """Start the stream that keeps the first of each group of near copies of rows (id, text): decisions in a KeyedLog.
 
     Order is by arrival: batches as they come, ids within a batch. Ids are distinct.
     """
     log = KeyedLog(rows.sparkSession, folder, ["id"], "id long, kept boolean")
-    stream = near_links(rows, live_seconds).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    stream = near_links(rows, live_seconds, marks).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return stream.foreachBatch(lambda links, batch_id: settled(links, log, batch_id)).trigger(availableNow=True).start()
 
 
