@@ -35,8 +35,8 @@ _VALUE_LEAST = 6
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 #: A state that meets unseen characters less often than this has none.
 LEAST_NEW = 0.02
-#: Decisions on tokens that a worker keeps.
-KEEP_TOKENS = 200_000
+#: Decisions on tokens that a worker keeps, and the longest token that it keeps; the longest string of the training sample.
+KEEP_TOKENS, LONGEST_KEPT, LONGEST_LEARNED = 200_000, 64, 256
 #: Classes of characters and their sizes; within a class all characters are equally likely.
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_", ".", "=", "-")
 _CLASS = {c: k for k, cs in enumerate(_CLASSES) for c in cs}
@@ -68,15 +68,17 @@ def other_tokens(text: str, spans: list) -> list[tuple[int, int, str]]:
 class Automaton:
     """A probabilistic automaton over character classes, that also knows the characters of each move.
 
-    States hold counts of visits, ends and moves. ``learn`` builds the prefix tree of the sample and
-    merges, in breadth-first order, each state on the border into the first finished state that the
-    Hoeffding test, applied along their subtrees, does not tell from it.
+    States hold counts of visits, ends and moves, and how many characters still followed at each visit. ``learn`` builds the prefix tree of the sample and
+    merges, in breadth-first order, each state on the border into the finished state nearest in length that the
+    Hoeffding test does not tell from it: neither by ends and moves, along their subtrees, nor by the distributions of what follows, which
+    tell places in a format apart even where the tree has thinned out to single strings.
     """
 
     def __init__(self):
         self.moves: list[dict[int, list]] = [{}]  # class -> [state, count]
         self.chars: list[Counter] = [Counter()]
         self.visits, self.ends = [0], [0]
+        self.left: list[Counter] = [Counter()]  # characters that followed -> visits
 
     @classmethod
     def learn(cls, sample: list[str], alpha: float = 0.05) -> Automaton:
@@ -84,7 +86,8 @@ class Automaton:
         for word in sorted(sample):
             state = 0
             a.visits[0] += 1
-            for c in word:
+            a.left[0][len(word)] += 1
+            for at, c in enumerate(word, 1):
                 k = _CLASS.get(c, 0)
                 if k not in a.moves[state]:
                     a.moves[state][k] = [len(a.moves), 0]
@@ -92,11 +95,13 @@ class Automaton:
                     a.chars.append(Counter())
                     a.visits.append(0)
                     a.ends.append(0)
+                    a.left.append(Counter())
                 edge = a.moves[state][k]
                 edge[1] += 1
                 a.chars[state][c] += 1
                 state = edge[0]
                 a.visits[state] += 1
+                a.left[state][len(word) - at] += 1
             a.ends[state] += 1
         a._fold(alpha)
         a._prune()
@@ -105,6 +110,16 @@ class Automaton:
     def _differ(self, f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > bound * (n1**-0.5 + n2**-0.5)
 
+    def _length_gap(self, p: int, q: int) -> float:
+        """How far apart the distributions of what follows are, at the length where they are furthest."""
+        m, n, x, y, far = self.visits[p], self.visits[q], 0, 0, 0.0
+        if not (m and n):
+            return 0.0
+        for k in sorted(self.left[p].keys() | self.left[q].keys()):
+            x, y = x + self.left[p][k], y + self.left[q][k]
+            far = max(far, abs(x / m - y / n))
+        return far
+
     def _compatible(self, p: int, q: int, bound: float) -> bool:
         todo = [(p, q)]
         while todo:
@@ -127,6 +142,7 @@ class Automaton:
             self.visits[p] += self.visits[q]
             self.ends[p] += self.ends[q]
             self.chars[p] += self.chars[q]
+            self.left[p] += self.left[q]
             for k, (to, n) in self.moves[q].items():
                 if k in self.moves[p]:
                     self.moves[p][k][1] += n
@@ -144,8 +160,9 @@ class Automaton:
                 return
             r, k = border[0]
             q = self.moves[r][k][0]
-            for p in done:
-                if self._compatible(p, q, bound):
+            # the nearest in length first, so that single strings go where they belong
+            for gap, p in sorted((self._length_gap(p, q), p) for p in done):
+                if gap <= bound * (max(1, self.visits[p]) ** -0.5 + self.visits[q] ** -0.5) and self._compatible(p, q, bound):
                     self.moves[r][k][0] = p
                     self._absorb(p, q)
                     break
@@ -161,7 +178,7 @@ class Automaton:
                     at[to] = len(order)
                     order.append(to)
         self.moves = [{k: [at[to], n] for k, (to, n) in self.moves[q].items()} for q in order]
-        self.chars, self.visits, self.ends = ([own[q] for q in order] for own in (self.chars, self.visits, self.ends))
+        self.chars, self.visits, self.ends, self.left = ([own[q] for q in order] for own in (self.chars, self.visits, self.ends, self.left))
 
     def background(self) -> dict[str, float]:
         """Log probability of each character, by how often the sample has its class."""
@@ -193,13 +210,13 @@ class Automaton:
         self.stops.append(0.0)
         return self
 
-    def log_likelihood(self, word: str) -> float:
-        """Natural logarithm of the probability of the word."""
+    def log_likelihood(self, word: str, strict: bool = False) -> float:
+        """Natural logarithm of the probability of the word; strict: minus infinity for a word that leaves the format, or ends where no learned one did."""
         state, total, steps = 0, 0.0, self.steps
         for c in word:
             state, p = steps[state][c]
             total += p
-        return total + self.stops[state]
+        return -math.inf if strict and (state == len(self.moves) or not self.ends[state]) else total + self.stops[state]
 
 
 class SecretModel:
@@ -212,15 +229,17 @@ class SecretModel:
         """Whether some credential automaton explains the token's format much better than the ordinary one."""
         found = self.known.get(token)
         if found is None:
-            if len(self.known) >= KEEP_TOKENS:
-                self.known.clear()
-            found = self.known[token] = self._accepts(token)
+            found = self._accepts(token)
+            if len(token) <= LONGEST_KEPT:
+                if len(self.known) >= KEEP_TOKENS:
+                    self.known.clear()
+                self.known[token] = found
         return found
 
     def _accepts(self, token: str) -> bool:
         if not self.credentials:
             return False
-        gain = max(a.log_likelihood(token) for a in self.credentials.values()) - self.ordinary.log_likelihood(token)
+        gain = max(a.log_likelihood(token, strict=True) for a in self.credentials.values()) - self.ordinary.log_likelihood(token)
         return gain >= LEAST_RATIO and gain >= LEAST_RATE * len(token)
 
     def spans(self, text: str) -> list[tuple[int, int, int, str]]:
@@ -239,7 +258,7 @@ def _rank(value: str) -> int:
 
 
 def fit_secret_model(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND, labelled: dict[str, list[str]] | None = None) -> SecretModel:
-    """Automata from the ``per_kind`` distinct strings of each kind with the least hashes, and from ``labelled`` credentials of other kinds.
+    """Automata from the ``per_kind`` distinct strings of each kind with the least hashes, of up to LONGEST_LEARNED characters, and from ``labelled`` credentials of other kinds.
 
     Every token of every text is ranked; each task keeps its own least hashes, so that what is
     exchanged and collected is bounded whatever the input. Tokens that no rule labels are the
@@ -251,7 +270,7 @@ def fit_secret_model(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND, labelled:
         tops, hashed = [_HALF] * 5, xxhash.xxh64_intdigest
 
         def add(kind: int, value: str) -> None:
-            if value not in least[kind] and (h := _rank(value)) < tops[kind]:
+            if len(value) <= LONGEST_LEARNED and value not in least[kind] and (h := _rank(value)) < tops[kind]:
                 own = least[kind]
                 own[value] = h
                 if len(own) >= 2 * per_kind:

@@ -112,6 +112,32 @@ def test_learned_spans_on_labelled_forms(spark):
     assert len(learned) <= sum(len(t.split()) for t in prose) / 2000, len(learned)  # words in capitals look like short keys
 
 
+def test_rules_kinds_give_formats_with_places(spark):
+    """On the given table the automata of the rules' kinds have a state for each place of a format, add no false span, and know unseen strings of their kind with the rule switched off."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    model = secrets.fit_secret_model(docs)
+    assert all(len(a.moves) > 20 for a in model.credentials.values()) and len(model.ordinary.moves) > 5
+    found = [x for r in docs.collect() for x in model.spans(r.text or "")]
+    assert not [x for x in found if x[1] == 3]
+    for kind in (0, 2):
+        own = sorted({t for _, k, _, t in found if k == kind})
+        random.Random(1).shuffle(own)
+        half = secrets.SecretModel({"half": secrets.Automaton.learn(own[: len(own) // 2])}, model.ordinary)
+        unseen = own[len(own) // 2 :]
+        assert len(unseen) > 40 and sum(map(half.accepts, unseen)) >= 0.9 * len(unseen)
+        assert not any(half.accepts(t[:-1]) or half.accepts(t + "0") for t in unseen if len(t) == 40)
+
+
+def test_lengths_tell_places_apart():
+    """A fixed format folds to a chain whose only end is its length; one of any length to a loop."""
+    rng = random.Random(2)
+    fixed = secrets.Automaton.learn(["".join(rng.choices("0123456789abcdef", k=24)) for _ in range(100)])
+    assert len(fixed.moves) == 25 and [k for k, n in enumerate(fixed.ends) if n] == [24]
+    loop = secrets.Automaton.learn([rng.choice("ab") * rng.choice([6, 7, 8, 9, 10, 11, 12, 13, 14, 15]) for _ in range(20)])
+    assert len(loop.moves) < 10
+    assert secrets.Automaton.learn([]).finish(loop.background()).log_likelihood("abc", strict=True) == -math.inf
+
+
 def test_spans_of_many_credentials_are_told_apart():
     text = " ".join(f"token={k:08d} word{k}" for k in range(4000))
     spans = secrets.base_spans(text)
