@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lazy import arrow_udf
 from ..functions.text import content_hash
-from ..session import written
+from ..session import released, written
 
 BITS, NEAR = 64, 3
 #: Blocks of the fingerprint. Three differing bits leave three of six blocks alike, so each choice of
@@ -125,7 +125,7 @@ def first_kept(rows: DataFrame, text: str = "text", order: str = "doc_id", print
     values = waiting.where("simhash is not null").select("simhash").distinct()
     pairs = near_pairs(values.select("simhash", F.col("simhash").alias("id"))).select("a", "b")
     near = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(values.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"))), "near")
-    kept = waiting.limit(0)
+    kept = waiting.sparkSession.createDataFrame([], waiting.schema)
     while True:
         none = F.lit(None).cast(waiting.schema["id"].dataType)
         both = waiting.withColumns({"open": F.col("id"), "kept": none}).unionByName(kept.withColumns({"open": none, "kept": F.col("id")}))
@@ -136,10 +136,13 @@ def first_kept(rows: DataFrame, text: str = "text", order: str = "doc_id", print
         known = waiting.join(by_hash, "content_hash").join(by_print, "simhash", "left")
         dropped, open_before = (F.coalesce(F.least(a, b) < F.col("id"), F.lit(False)) for a, b in (("kept", "kept_near"), ("open", "open_near")))
         state = written(known.select("id", "content_hash", "simhash", F.when(dropped, F.lit("dropped")).when(open_before, F.lit("waiting")).otherwise(F.lit("kept")).alias("fate")), "state")
-        kept = kept.unionByName(state.where("fate = 'kept'").drop("fate"))
-        waiting = state.where("fate = 'waiting'").drop("fate")
+        kept = kept.unionByName(written(state.where("fate = 'kept'").drop("fate"), "kept"))
+        rest = written(state.where("fate = 'waiting'").drop("fate"), "waiting")
+        released(state, waiting)
+        waiting = rest
         if waiting.isEmpty():
             break
+    released(near)
     decided = kept.select("id", F.lit(True).alias("_kept"))
     return hashed.join(decided, "id", "left").select(F.col("id").alias(order), "content_hash", "simhash", F.col("_kept").isNull().alias("is_duplicate"))
 

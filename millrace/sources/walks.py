@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import released, written
 
 
 def walked(pages: DataFrame) -> DataFrame:
@@ -28,11 +28,13 @@ def walked(pages: DataFrame) -> DataFrame:
         further = reached.join(jumps, ["domain", "token"]).select("domain", F.col("next").alias("token"), (F.col("rank") + step).alias("rank"))
         fresh = written(further.join(reached.select("domain", "token"), ["domain", "token"], "left_anti").groupBy("domain", "token").agg(F.min("rank").alias("rank")), "further")
         if fresh.isEmpty():
+            released(good, jumps, fresh)
             return reached
-        reached = written(reached.unionByName(fresh), "reached")
+        longer = written(reached.unionByName(fresh), "reached")
         second = jumps.select("domain", F.col("token").alias("next"), F.col("next").alias("after"))
-        jumps = written(jumps.join(second, ["domain", "next"]).select("domain", "token", F.col("after").alias("next")), "jumps")
-        step *= 2
+        doubled = written(jumps.join(second, ["domain", "next"]).select("domain", "token", F.col("after").alias("next")), "jumps")
+        released(reached, fresh, jumps)
+        reached, jumps, step = longer, doubled, 2 * step
 
 
 def harvested(pages: DataFrame, records: DataFrame, most: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.text import content_hash
 from ..operators import dedup
-from ..session import written
+from ..session import released, written
 from .sink import KeyedLog
 
 #: A host's rules are kept for a day, and so many hosts at most.
@@ -130,10 +130,13 @@ def settled(links: DataFrame, log: KeyedLog, batch_id: int) -> None:
         seen = edges.join(state.select(F.col("id").alias("a"), "kept"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.bool_or(F.col("kept").isNull()).alias("open"))
         both = state.join(seen, "id", "left")
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("near_kept", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(False)), F.lit(None).cast("boolean")).otherwise(F.lit(True))
-        state = written(both.select("id", decided.alias("kept")), "state")
+        after = written(both.select("id", decided.alias("kept")), "state")
+        released(state)
+        state = after
         if state.where("kept is null").isEmpty():
             break
     log.write(state, batch_id)
+    released(pairs, heard, edges, state)
 
 
 def first_kept_stream(rows: DataFrame, folder: str, checkpoint: str, live_seconds: int | None = None, marks: tuple[str, str] | None = None):
