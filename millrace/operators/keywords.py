@@ -140,33 +140,35 @@ def occurrences(text: Column, term: str, exact: bool = False, case_sensitive: bo
 def snippet(text: Column, terms: list[str], around: int = 10) -> Column:
     """Words around the first one that holds the term found earliest; else the first 150 characters."""
 
-    def cut(flat: Column, words: Column, term: Column) -> Column:
-        at = F.array_position(F.transform(words, lambda w: F.contains(F.lower(w), term)), True).cast("int")
-
-        def around_word(hit: Column) -> Column:
+    def cut(flat: Column, low: Column, found: Column) -> Column:
+        # a term of one word lies within the word that it first occurs in, so that word's place is the number of spaces before
+        before = F.left(low, found["at"] - 1)
+        spaces = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+        bound = F.struct(F.split(flat, " ").alias("words"), F.when(F.contains(found["term"], F.lit(" ")), 0).otherwise(spaces).cast("int").alias("hit"))
+
+        def around_word(s: Column) -> Column:
+            words, hit = s["words"], s["hit"]
             start, end = F.greatest(hit - around, F.lit(0)), F.least(hit + around, F.size(words))
             body = F.array_join(F.slice(words, start + 1, F.greatest(end - start, F.lit(0))), " ")
             return F.concat(F.when(start > 0, "... ").otherwise(""), body, F.when(end < F.size(words), " ...").otherwise(""))
 
         plain = F.when(F.length(flat) > 150, F.concat(F.left(flat, F.lit(150)), F.lit("..."))).otherwise(flat)
-        return F.when(term.isNull(), plain).otherwise(let(F.greatest(at - 1, F.lit(0)), around_word))
+        return F.when(found.isNull(), plain).otherwise(let(bound, around_word))
 
     def earliest(low: Column) -> Column:
         # the least place wins; of equal places the term given first
-        found = F.array_min(F.array_compact(F.array(*[F.when(F.instr(low, t.lower()) > 0, F.struct(F.instr(low, t.lower()).alias("at"), F.lit(k).alias("k"), F.lit(t.lower()).alias("term"))) for k, t in enumerate(terms)])))
-        return found["term"]
+        return F.array_min(F.array_compact(F.array(*[F.when(F.instr(low, t.lower()) > 0, F.struct(F.instr(low, t.lower()).alias("at"), F.lit(k).alias("k"), F.lit(t.lower()).alias("term"))) for k, t in enumerate(terms)])))
 
     def whole(flat: Column) -> Column:
-        bound = F.struct(F.split(flat, " ").alias("words"), let(F.lower(flat), earliest).alias("term"))
-        return let(bound, lambda s: cut(flat, s["words"], s["term"]))
+        return let(F.lower(flat), lambda low: let(F.struct(low.alias("low"), earliest(low).alias("found")), lambda s: cut(flat, s["low"], s["found"])))
 
     return let(squeeze(text), whole)
 
 
 def relevance(in_title: Column, in_description: Column, in_url: Column, body_hits: Column, body: Column) -> Column:
     """35 for the title, 15 for the description, 10 for the URL, and up to 40 by density, not rounded."""
-    words = F.size(F.filter(F.split(F.coalesce(body, F.lit("")), r"\s+"), lambda w: w != ""))
-    density = F.when(words > 0, F.least(F.lit(40.0), body_hits / words * 2000)).otherwise(0.0)
+    words = F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"\S+"))
+    density = F.least(F.lit(40.0), F.coalesce(F.try_divide(body_hits, words) * 2000, F.lit(0.0)))  # words are counted once
     return F.when(in_title, 35.0).otherwise(0.0) + F.when(in_description, 15.0).otherwise(0.0) + F.when(in_url, 10.0).otherwise(0.0) + density
 
 
@@ -237,7 +239,10 @@ def analysis(df, terms: list[str], title="title", description="description", bod
     if scanned:
         scan = counter_of(terms, case_sensitive)
         df = df.withColumns({f"_n_{k}": scan(c) for k, c in fields.items()})
-    n = {k: [] if scanned else [occurrences(c, t, exact, case_sensitive) for t in terms] for k, c in fields.items()}
+    else:
+        # each count once, however many columns are made of it
+        df = df.withColumns({f"_n_{k}_{i}": occurrences(c, t, exact, case_sensitive) for k, c in fields.items() for i, t in enumerate(terms)}) if terms else df
+    n = {k: [] if scanned else [F.col(f"_n_{k}_{i}") for i in range(len(terms))] for k in fields}
     total = lambda cs: sum(cs[1:], cs[0])
     hits = {k: F.aggregate(f"_n_{k}", F.lit(0).cast("bigint"), lambda a, x: a + x) if scanned else total(cs) for k, cs in n.items()}
     named = F.array_compact(F.transform(F.array(*map(F.lit, terms)), lambda t, i: F.when(sum((F.get(f"_n_{k}", i) for k in fields), F.lit(0)) > 0, t))) if scanned else F.array_compact(F.array(*[F.when(sum((n[k][i] for k in fields), F.lit(0)) > 0, F.lit(t)) for i, t in enumerate(terms)]))
@@ -250,7 +255,7 @@ def analysis(df, terms: list[str], title="title", description="description", bod
         matched = let(F.lower(F.concat_ws("\n", *fields.values())), lambda text: F.greatest(*(F.contains(text, F.lit(t.lower())) for t in terms), F.lit(False)))
     out = df.withColumns({f"found_in_{k}": c > 0 for k, c in hits.items()} | {"occurrences": hits["title"] + hits["description"] + hits["body"] + (hits["url"] > 0).cast("bigint"), "matched_keywords": named, "matched": matched, "snippet": snippet(fields["body"], terms), "_body_hits": hits["body"]})
     score = F.when(F.col("matched"), round_score(relevance(F.col("found_in_title"), F.col("found_in_description"), F.col("found_in_url"), F.col("_body_hits"), fields["body"]))).otherwise(0.0)
-    return out.withColumn("relevance_score", score).drop("_body_hits", *[f"_n_{k}" for k in fields])
+    return out.withColumn("relevance_score", score).drop("_body_hits", *[f"_n_{k}" for k in fields], *[f"_n_{k}_{i}" for k in fields for i in range(len(terms))])
 
 
 def any_keyword(text: Column, keywords: list[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators.keywords import analysis
+from ..session import written
 
 EXPORT = {"doc_id": "ID", "url": "URL", "domain": "Domain", "title": "Title", "occurrences": "Occurrences", "relevance_score": "Relevance Score", "status": "Status"}
 
@@ -21,9 +22,10 @@ def regex_fields(pages: DataFrame) -> DataFrame:
 
 
 def ranked(pages: DataFrame, terms: list[str]) -> DataFrame:
-    """Analysed pages that match, best first."""
+    """Analysed pages that match, best first. They are written before they are sorted: a sort's range exchange reads its input twice."""
     found = analysis(regex_fields(pages), terms).where("matched")
-    return found.select("page_id", "url", urls.domain(F.col("url")).alias("domain"), "title", "lang", "occurrences", F.array_join("matched_keywords", ", ").alias("keywords"), "relevance_score").orderBy(F.col("relevance_score").desc(), "page_id")
+    rows = found.select("page_id", "url", urls.domain(F.col("url")).alias("domain"), "title", "lang", "occurrences", F.array_join("matched_keywords", ", ").alias("keywords"), "relevance_score")
+    return written(rows, "ranked").orderBy(F.col("relevance_score").desc(), "page_id")
 
 
 def links(pages: DataFrame) -> DataFrame:
