@@ -434,7 +434,7 @@ def _extracted(html: str | None, url: str | None) -> dict:
     try:
         return extract(html, url)
     except Exception:  # noqa: BLE001  one page must not end the task of thousands
-        return {}
+        return dict.fromkeys(extract("", ""))
 
 
 @arrow_udf("clean string, kept double, full_text string")
