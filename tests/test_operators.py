@@ -64,6 +64,13 @@ def test_near_pairs_are_complete(spark):
     assert {(r.a, r.b) for r in D.near_pairs(df).collect()} == expected
 
 
+def test_near_pairs_are_not_broadcast(spark):
+    """The tables of blocks have twenty rows for each fingerprint, which no estimate by the file's size knows."""
+    rows = spark.range(2000).select("id", F.xxhash64("id").alias("simhash"))
+    pairs = D.near_pairs(rows)
+    assert pairs.count() == 0 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_links_lose_no_pair(spark):
     rng = random.Random(3)
     values = [rng.getrandbits(62) for _ in range(5)]
