@@ -271,7 +271,7 @@ def doc_any_keyword(spark, d):
 @query("SELECT event_id, strftime(make_timestamp(event_id * 86400123 * 1000), '%Y-%m-%d %H:%M:%S') AS at, md5('https://' || CAST(event_id AS VARCHAR)) AS record_id FROM events")
 def record_ids(spark, d):
     i = F.col("event_id")
-    return _t(spark, d, "events").select("event_id", F.date_format(T.from_epoch_ms(i * 86400123), "yyyy-MM-dd HH:mm:ss").alias("at"), T.record_id(F.concat(F.lit("https://"), i.cast("string"))).alias("record_id"))
+    return _t(spark, d, "events").select("event_id", T.time_text(T.from_epoch_ms(i * 86400123)).alias("at"), T.record_id(F.concat(F.lit("https://"), i.cast("string"))).alias("record_id"))
 
 
 _FIELD = r"regexp_extract(html, '{0}', 1)"

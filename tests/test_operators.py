@@ -47,6 +47,11 @@ def test_analysis_without_terms(spark):
     assert (r.matched, r.occurrences, r.relevance_score, len(r.snippet)) == (True, 0, 100.0, 150)
 
 
+def test_times_past_the_year_9999(spark):
+    rows = spark.createDataFrame([(0,), (253402300799000,), (253402315945739,), (None,)], "ms bigint")
+    assert [r[0] for r in rows.select(T.time_text(T.from_epoch_ms(F.col("ms")))).collect()] == ["1970-01-01 00:00:00", "9999-12-31 23:59:59", "10000-01-01 04:12:25", None]
+
+
 def test_simhash_values():
     mask = (1 << 64) - 1
     assert format(D.simhash_values(["The quick brown fox jumps over the lazy dog and runs away happily."])[0] & mask, "x") == "1ad043f190521a37"
