@@ -5,6 +5,8 @@ import time
 from datetime import datetime, timezone
 
 import pytest
+from millrace.functions import lazy
+from millrace.operators import language
 from millrace.sources import archive, dom, html
 from pyspark.sql import functions as F
 
@@ -180,3 +182,22 @@ def test_unforeseen_pages_give_rows(spark):
     rows = spark.createDataFrame([("<a href='/x'>a</a>", "http://[bad"), (None, None), ("\x00<![CDATA[", "u")], "h string, u string")
     found = rows.select(html.extracted(F.col("h"), F.col("u")).alias("e"), html.clean_text(F.col("h")).alias("c")).collect()
     assert [r.e.title for r in found] == [None, "Untitled", "Untitled"] and len(found) == 3
+
+
+def test_functions_of_pages_see_a_few_at_a_time(spark):
+    """What a task holds of pages has a bound, however many rows or bytes its Arrow batch has; every row gets its own value."""
+    seen = lazy.paged_udf("n int, size int")(lambda texts: [{"n": len(texts), "size": None if t is None else len(t)} for t in texts])
+    size = F.when(F.col("id") % 7 == 0, 0).when(F.col("id") % 50 == 1, 400_000).otherwise(F.col("id")).cast("int")
+    rows = spark.range(0, 700, 1, 1).select("id", F.when(F.col("id") % 11 > 0, F.repeat(F.lit("x"), size)).alias("t"), size.alias("size"))
+    found = rows.select("id", "size", seen("t").alias("x"), F.col("t").isNull().alias("none")).collect()
+    assert len(found) == 700 and all(r.x["size"] == (None if r.none else r.size) for r in found)
+    assert max(r.x["n"] for r in found) <= 256 and all(r.x["n"] < 200 for r in found if r.size == 400_000 and not r.none)
+    pages = spark.range(0, 600, 1, 1).select("id", F.concat(F.lit("<title>a"), "id", F.lit("</title>")).alias("h"))
+    assert all(r.t == f"a{r.id}" for r in pages.select("id", html.extracted(F.col("h"), F.lit("https://e.com"))["title"].alias("t")).collect())
+
+
+def test_language_is_judged_by_the_first_characters(spark):
+    known = language.profiles(spark.createDataFrame([("the thing that then", "en"), ("que quel quai", "fr"), (None, "fr")], "text string, lang string"))
+    texts = [("é" * 1990 + " the then" + " que" * 900,), ("que quel",), (None,)]
+    found = spark.createDataFrame(texts, "t string").select(language.detected(F.col("t"), known).alias("x")).collect()
+    assert [(r.x.lang, r.x.margin) for r in found] == [language.nearest(t, known) for (t,) in texts]
