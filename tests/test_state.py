@@ -4,8 +4,10 @@ import random
 from collections import OrderedDict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from millrace.operators import dedup
+from millrace.plans import landed
 from millrace.streaming import progress, sink, state
 from pyspark.sql import functions as F
 
@@ -112,6 +114,88 @@ def test_spacing_forgets_silent_hosts(spark, tmp_path):
         assert abs(found[event] - last[host]) < 1e-3
 
 
+class Held(dict):
+    """A map or value of the state that counts what is asked of it."""
+
+    asked = 0
+
+    def exists(self):
+        return bool(self)
+
+    def getValue(self, key):
+        self.asked += 1
+        return dict.get(self, key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def get(self):
+        return dict.get(self, 0)
+
+    def update(self, value):
+        self[0] = value
+
+
+class Handle:
+    def __init__(self):
+        self.map, self.value, self.timers = Held(), Held(), set()
+        self.getMapState, self.getValueState = (lambda *a: self.map), (lambda *a: self.value)
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentProcessingTimeInMs = lambda: ms
+
+
+def test_blocks_of_a_part_are_asked_once_and_forgotten_alone():
+    """One group holds many blocks; a batch reads those that it asks, once each, and an entry is forgotten by its own age."""
+    handle, blocks = Handle(), state._Blocks(1000)
+    blocks.init(handle)
+    p = [0, 1 << 63 >> 5, 0b1011 << 40]
+    batch = lambda rows, ms: sorted((r.b, -1 if pd.isna(r.a) else int(r.a)) for out in blocks.handleInputRows((-1, 3), iter([pd.DataFrame(rows, columns=["id", "content_hash", "p", "v"])]), Clock(ms)) for r in out.itertuples())
+    rows = [(k, f"h{k % 5}", p[0], k % 5) for k in range(40)]
+    first = batch(rows, 0)
+    assert first == sorted([(k, -1) for k in range(40)] + [(k, k % 5) for k in range(5, 40)]) and handle.map.asked == 0
+    assert batch([(50, "h1", p[1], 1), (51, "h1", p[0], 1), (52, "new", p[0], 9)], 600) == [(50, -1), (50, 1), (51, -1), (51, 1), (52, -1)]
+    assert handle.map.asked == 2
+    # row 1 is past its time, row 50 is not
+    assert batch([(60, "h1", p[2], 1)], 1200) == [(60, -1), (60, 50)]
+    assert batch([(70, "h1", p[0], 1)], 5000) == [(70, -1)]
+
+
+def test_spacing_is_that_of_a_loop_to_the_microsecond():
+    rng, handle, spacing = random.Random(8), Handle(), state._Spacing(2.5)
+    spacing.init(handle)
+    last, at = None, 1_704_067_200_000_000
+    for _ in range(5):
+        times = []
+        for _ in range(rng.randrange(1, 40)):
+            at += rng.choice([0, 1, 2_499_999, 2_500_000, 7_000_003])
+            times.append(at)
+        asked = pd.DataFrame({"event_id": range(len(times)), "at": [t / 1e6 for t in times]}).sample(frac=1, random_state=1)
+        found = next(spacing.handleInputRows(("h",), iter([asked[:3], asked[3:]]), None))
+        for t, start in zip(times, found.sort_values("event_id")["start_at"]):
+            last = t if last is None else max(t, last + 2_500_000)
+            assert start == last / 1e6
+        assert handle.timers == {int((last / 1e6 + 2.5) * 1000) + 1}
+
+
+def test_landings_are_whole_batches_of_several_files(spark):
+    """Rows land in their order, each landing one micro-batch that no single task has to write or read."""
+    seen, small = {}, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "0"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        start = lambda stream, to: stream.writeStream.option("checkpointLocation", f"{to}/checkpoint").foreachBatch(lambda rows, k: seen.update({k: sorted(r.id for r in rows.collect())})).trigger(availableNow=True).start()
+        folder = landed._arrived(spark, spark.range(1000).select((999 - F.col("id")).alias("id")), ["id"], 3, start)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert [seen[k] for k in sorted(seen)] == [list(range(334)), list(range(334, 667)), list(range(667, 1000))]
+    assert all(spark.read.parquet(f"{folder}/in/{k:03d}").inputFiles()[1:] for k in range(3))
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     log = sink.KeyedLog(spark, str(tmp_path / "log"), ["k"], "k long, v string")
     frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
