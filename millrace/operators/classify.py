@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.urls import domain
 
 # fixed values: word lists of the labels
@@ -61,20 +62,23 @@ def _text(title: Column, content: Column) -> Column:
 
 
 def subject_theme(title: Column, content: Column, themes=None) -> Column:
-    text = F.lower(_text(title, content))
-    found = F.array_join(F.array_compact(F.array(*[F.when(_any(words, text), F.lit(k)) for k, words in (themes or THEMES).items()])), ", ")
-    return F.when(found == "", "General").otherwise(found)
+    named = lambda text: F.array_join(F.array_compact(F.array(*[F.when(_any(words, text), F.lit(k)) for k, words in (themes or THEMES).items()])), ", ")
+    return let(let(F.lower(_text(title, content)), named), lambda found: F.when(found == "", "General").otherwise(found))
 
 
 def country_region(title: Column, content: Column, countries=COUNTRIES, regions=REGIONS) -> Column:
     """Names found as whole words; US or U.S. before a word character, in capitals, adds the United States."""
-    raw = _text(title, content)
-    low = F.lower(raw)
-    named = lambda names: [F.when(low.rlike(r"(?U)\b" + n.lower() + r"\b"), F.lit(n)) for n in names]
-    found = F.array_compact(F.array(*named(countries)))
-    states = raw.rlike(r"(?U)\bUS\b|\bU\.S\.\b") & ~F.array_contains(found, "United States")
-    found = F.concat(found, F.when(states, F.array(F.lit("United States"))).otherwise(F.array().cast("array<string>")), F.array_compact(F.array(*named(regions))))
-    return F.when(F.size(found) == 0, "Global").otherwise(F.array_join(found, ", "))
+
+    def places(raw: Column, low: Column) -> Column:
+        # a plain search first: hardly any text comes to the pattern of a name
+        named = lambda names: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n.lower())) & low.rlike(r"(?U)\b" + n.lower() + r"\b"), F.lit(n)) for n in names]))
+        states = _any(("US", "U.S."), raw) & raw.rlike(r"(?U)\bUS\b|\bU\.S\.\b")
+        own = let(named(countries), lambda found: F.concat(found, F.when(states & ~F.array_contains(found, "United States"), F.array(F.lit("United States"))).otherwise(F.array().cast("array<string>"))))
+        return F.array_join(F.concat(own, named(regions)), ", ")
+
+    text = _text(title, content)
+    found = let(F.struct(text.alias("raw"), F.lower(text).alias("low")), lambda s: places(s["raw"], s["low"]))
+    return let(found, lambda names: F.when(names == "", "Global").otherwise(names))
 
 
 def language_name(code: Column) -> Column:
@@ -84,7 +88,9 @@ def language_name(code: Column) -> Column:
 
 def sentiment(title: Column, content: Column, positive=POSITIVE, negative=NEGATIVE) -> Column:
     """Whether more distinct positive or more distinct negative words occur."""
-    text = F.lower(_text(title, content))
-    count = lambda words: sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
-    p, n = count(positive), count(negative)
-    return F.when(p > n, "positive").when(n > p, "negative").otherwise("neutral")
+
+    def mood(text: Column) -> Column:
+        count = lambda words: sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+        return let(count(positive) - count(negative), lambda n: F.when(n > 0, "positive").when(n < 0, "negative").otherwise("neutral"))
+
+    return let(F.lower(_text(title, content)), mood)

@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 from millrace.functions import text as T
+from millrace.operators import classify as C
 from millrace.operators import dedup as D
 from millrace.operators import hosts
 from millrace.operators import keywords as K
@@ -47,6 +48,18 @@ def test_analysis_without_terms(spark):
     assert (r.matched, r.occurrences, r.relevance_score, len(r.snippet)) == (True, 0, 100.0, 150)
 
 
+def test_labels_lower_a_text_once(spark):
+    rows = spark.createDataFrame([("Bus", "INDIA, not Indiana; the US"), (None, "U.S.a and South Korea, Southeast Asia"), ("usa", "status indo-pacific"), ("A", None), (None, None)], "t string, c string")
+    title, content = F.col("t"), F.col("c")
+    for label in (C.country_region, C.subject_theme, C.sentiment):
+        plan = rows.select(label(title, content).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.split("LogicalRDD")[0].count("lower(") == 1
+    found = rows.select(C.country_region(title, content).alias("p"), C.subject_theme(title, content).alias("s"), C.sentiment(title, content).alias("m")).collect()
+    assert [r.p for r in found] == ["India, United States", "South Korea, United States, Southeast Asia", "USA, Indo-Pacific", "Global", "Global"]
+    assert [(r.s, r.m) for r in found][3:] == [("General", "neutral")] * 2
+    assert [r.m for r in spark.createDataFrame([("win", "support risk"), ("fail", "growth risk"), ("win", "risk")], "t string, c string").select(C.sentiment(title, content).alias("m")).collect()] == ["positive", "negative", "neutral"]
+
+
 def test_times_past_the_year_9999(spark):
     rows = spark.createDataFrame([(0,), (253402300799000,), (253402315945739,), (None,)], "ms bigint")
     assert [r[0] for r in rows.select(T.time_text(T.from_epoch_ms(F.col("ms")))).collect()] == ["1970-01-01 00:00:00", "9999-12-31 23:59:59", "10000-01-01 04:12:25", None]
