@@ -112,6 +112,13 @@ def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], at
 
 
+def ragged(sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Places of the elements of the numbered runs, one run after the other, where runs of such sizes follow each other."""
+    begins, own = np.cumsum(sizes) - sizes, sizes[numbers]
+    ends = np.cumsum(own)
+    return np.repeat(begins[numbers] - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]]) -> DataFrame:
     """mapInArrow with a function per task: make() is called once in each task."""
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 import xxhash
@@ -548,6 +549,45 @@ def test_token_files(docs):
         start += len(own)
 
 
+def test_segments_code_phrases(docs):
+    """Each distinct word's ids are coded once and its number wherever it stands; what has too many phrases is coded by its ids."""
+    enc = tokens.Encoder(tokens.default_vocabulary())
+    texts = [r.text for r in docs.collect()]
+    phrases, numbers, counts = enc.phrases(pa.array(texts * 3))
+    ids = np.frombuffer(b"".join([phrases[k] for k in numbers]), "<u4")
+    assert ids.tobytes() == b"".join(enc.each(texts)) * 3 and len(counts) == 3 * len(texts) and counts.sum() == len(numbers)
+    coded = []
+    for most in (1 << 22, len(phrases) + 1, len(phrases), 1):
+        sizes, n, blocks, checks = tokenfile.code_segment(phrases, numbers, most)
+        assert (tokenfile.decode_segment(sizes, n, blocks, checks, len(ids)) == ids).all()
+        coded.append((n, sum(map(len, blocks))))
+    assert coded[0] == coded[1] and coded[2] == coded[3] and coded[2][0] == len(ids) + len(np.unique(ids))
+    assert coded[0][0] < 0.6 * len(ids) and coded[0][1] < min(len(ids), coded[2][1])
+
+
+def test_range_coder_learns_from_all_blocks():
+    """What one block has taught need not be learned by the next; ids may have up to 22 bits."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 22, 5000).astype(np.uint32)
+    ids = np.concatenate([passage, *[passage[k : k + 700] for k in rng.integers(0, 4300, 400)]])
+    blocks, checks = rangecoder.encode_blocks(ids, 22)
+    assert (rangecoder.decode_blocks(blocks, len(ids), checks, 22) == ids).all()
+    assert sum(map(len, blocks)) * 8 < 12 * len(ids)  # 22 bits an id where each block begins anew
+    for bits in (16, 23):
+        with pytest.raises(ValueError):
+            rangecoder.encode_blocks(ids, bits)
+
+
+def test_words_cut_where_pieces_begin():
+    """White space of every kind and length, and marks after letters, as the library cuts them."""
+    plain, enc = tokenizers.Tokenizer.from_file(tokens.default_vocabulary()), tokens.Encoder(tokens.default_vocabulary())
+    texts = [a + b + c for a in ("", "x", "x!", "\t", "é'") for b in ("", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t ", "\t\n", " \t", "   ", "\n\n\n", "\x85 ", "\xa0", "\x1c\n", "\u3000 ") for c in ("", "y", "'s", "$$$ z", "y\n", "_y", "×", "y×.", "''", "y's!", "y!'s", "ǅ, 1")]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice(texts) for _ in range(4)) for _ in range(3000)]
+    for t, ids in zip(texts, enc.each(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_encoder_equals_the_library(docs):
     """Ids are those of a tokenizer that nobody has set up otherwise, strings of special tokens included."""
     plain, enc = tokenizers.Tokenizer.from_file(tokens.default_vocabulary()), tokens.Encoder(tokens.default_vocabulary())
