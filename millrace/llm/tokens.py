@@ -26,7 +26,7 @@ from .common import ragged, slices
 #: Pieces kept by a worker at most; a store that is full keeps those of the texts at hand. Longer pieces are not kept.
 KEEP_PIECES, LONGEST = 350_000, 48
 #: Characters of texts that are encoded at once.
-_STEP = 1 << 23
+_STEP = 1 << 22
 _PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ɏ]*")
 #: Letters, after a space or a line feed, and the marks that may follow them (an apostrophe may not): a piece each, and the line feed one.
